@@ -34,10 +34,42 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.archive import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.bitslices import top_neighbours
+
+    return top_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.ngram_join import linked
+
+    return linked(_table(spark, sf_dir, "documents"))
+
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
+    "op4_warc": op4_warc,
+    "op5_topk": op5_topk,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
