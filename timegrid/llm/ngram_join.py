@@ -255,3 +255,17 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = ORDERS)
     out = rows.join(sets, "digest", "left")
     empty = F.col("size") == 0
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents of the smallest doc_id of each class, with all their columns; of a repeated doc_id one row.
+
+    Rows without doc_id can't be told apart and all stay.
+    """
+    rows = save(linked(docs.where("doc_id IS NOT NULL"), n, percent), "classes")
+    rest = rows.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        kept = known.unionByName(kept.where("doc_id IS NULL"))
+    return kept

@@ -62,6 +62,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.rules import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.pitman_yor import held_out_scores
+
+    return held_out_scores(_table(spark, sf_dir, "documents"))
+
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.language import identify_pages
+
+    return identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op7_token_counts": op7_token_counts,
@@ -70,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_join": op10_ngram_join,
+    "op1_quality": op1_quality,
+    "op2_lm_score": op2_lm_score,
+    "op6_language": op6_language,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
