@@ -48,13 +48,16 @@ def group_digests(docs: DataFrame) -> DataFrame:
 def collisions(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The digests (of rows with doc_id, digest) that unlike canonical texts share, by comparing the texts' bytes.
 
-    Only documents whose digest occurs again are read again, and a task sends one smallest and one largest text of
-    each group: they are equal if all are.
+    Only documents whose digest occurs again are read again.
     """
     again = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     members = rows.join(again, "digest", "left_semi").select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(members, "doc_id", "left_semi").select(canonical(F.col("text")).alias("_canonical"))
-    texts = texts.select("_canonical", wide_hash(F.col("_canonical")).alias("digest"))
+    return unlike(texts.select("_canonical", wide_hash(F.col("_canonical")).alias("digest")))
+
+
+def unlike(texts: DataFrame) -> DataFrame:
+    """The digests whose texts (digest, _canonical) aren't all the same bytes: a task sends two texts of each at most."""
     ends = texts.groupBy("digest").agg(F.min("_canonical").alias("a"), F.max("_canonical").alias("b"))
     return ends.where(F.col("a") != F.col("b")).select("digest")
 
@@ -95,26 +98,29 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ids = text.select("doc_id", "tie", F.length("text").cast("long").alias("n_chars")).distinct()
-    near = save(neighbours(ids), "neighbours")
+    ids = save(text.select("doc_id", "tie", F.length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("digest")), "ids")
+    again = ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.lit(True).alias("again"))
+    ids = ids.distinct()
+    near = neighbours(ids.select("doc_id", "tie", "n_chars")).join(ids.join(again, "digest", "left"), ["doc_id", "tie"])
+    near = save(near, "neighbours")
     placed = text.join(near, ["doc_id", "tie"])
     starts = placed.select(
         F.col("previous_id").alias("doc_id"), F.col("previous_tie").alias("tie"),
         F.expr("left(text, cast(floor(previous_chars / 3) as int))").alias("start"),
     ).groupBy("doc_id", "tie").agg(F.first("start").alias("start"))
-    both = placed.select("doc_id", "tie", "text", "next_id", "next_tie").join(starts, ["doc_id", "tie"])
-    both = both.withColumn("n_chars", F.length("text").cast("long"))
+    both = placed.select("doc_id", "tie", "text", "next_id", "next_tie", "n_chars", "digest", "again").join(starts, ["doc_id", "tie"])
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 3) as int)), start)"))
-    forms = both.select("doc_id", "tie", "n_chars", "next_id", "next_tie", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("a"), canonical(F.col("edited")).alias("b"))
+    forms = both.select("doc_id", "tie", "n_chars", "next_id", "next_tie", "digest", "again", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("a"), canonical(F.col("edited")).alias("b"))
+    # the canonical texts of digests that occur again go along, to be compared
     rows = save(
         forms.select(
-            "doc_id", "tie", "n_chars", "next_id", "next_tie", "edited_sha256", wide_hash(F.col("a")).alias("digest"), wide_hash(F.col("b")).alias("edited_digest"),
+            "doc_id", "tie", "n_chars", "next_id", "next_tie", "digest", "edited_sha256", wide_hash(F.col("b")).alias("edited_digest"), F.when(F.col("again"), F.col("a")).alias("_canonical"),
             F.sha2("a", 256).alias("sha"), F.sha2("b", 256).alias("edited_sha"), (F.col("a") == F.col("b")).cast("double").alias("near_edited"),
         ),
         "forms",
     )
-    bad = save(collisions(rows.select("doc_id", "digest"), docs), "collisions")
-    rows = _settled(_settled(rows, bad, "digest", "sha", "fingerprint"), bad, "edited_digest", "edited_sha", "edited_fingerprint")
+    bad = save(unlike(rows.where("_canonical IS NOT NULL").select("digest", "_canonical")), "collisions")
+    rows = _settled(_settled(rows.drop("_canonical"), bad, "digest", "sha", "fingerprint"), bad, "edited_digest", "edited_sha", "edited_fingerprint")
     following = rows.select(F.col("doc_id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("fingerprint").alias("next_fingerprint")).distinct()
     out = rows.join(following, ["next_id", "next_tie"])
     return out.select(
