@@ -4,6 +4,8 @@ A document's set is its distinct word n-grams. With similarity at least t, two s
 order of n-grams share a member among the first size - ceil(t * size) + 1 of each: their prefixes. That holds in every
 global order, so candidates must share a prefix member in several orders.
 
+Moreover the first common member has at least as many members after it, in both sets, as they must have in common.
+
 Orders put rare n-grams first: a sketch of fixed size counts all n-grams of all documents by hash, and an order sorts
 by the count's class, then by a hash of its own. Passages and lines that many documents share so come last, and documents
 that merely share them don't meet.
@@ -37,6 +39,7 @@ from timegrid.llm.components import components
 ORDERS = 3
 SKETCH_BITS = 23
 CHUNK = 1 << 16
+POSTING = ["member", "digest", "size", "place"]
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -75,10 +78,11 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def prefix(members: np.ndarray, classes: np.ndarray, percent: int, order: int) -> np.ndarray:
-    """The first members in one of the orders."""
+    """The first members in one of the orders, in that order."""
     p = prefix_length(len(members), percent)
     rank = (classes[members & np.uint64(len(classes) - 1)].astype(np.uint64) << np.uint64(56)) | (mixed(members, 50 + order) >> np.uint64(8))
-    return members[np.argpartition(rank, p - 1)[:p]] if p < len(members) else members
+    first = np.argpartition(rank, p - 1)[:p] if p < len(members) else np.arange(len(members))
+    return members[first[np.argsort(rank[first])]]
 
 
 PROFILE = "doc_id long, size long, digest long, chunk int, counts binary"
@@ -132,7 +136,7 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
-    """(member, digest, size) of the prefixes in the first order; a task gives a set once. classes: broadcast."""
+    """(member, digest, size, place) of the prefixes in the first order; a task gives a set once. classes: broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -147,9 +151,10 @@ def postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
                         sizes.append(len(s))
                 lengths = [len(m) for m in members]
                 columns = [np.concatenate([np.empty(0, np.uint64), *members]).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["member", "digest", "size"])
+                columns.append(np.concatenate([np.empty(0, np.int32), *(np.arange(n_, dtype=np.int32) for n_ in lengths)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], POSTING)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "member long, digest long, size int")
+    return docs.select("doc_id", "text").mapInArrow(run, "member long, digest long, size int, place int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -157,30 +162,41 @@ def shared(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_run = None, False  # the last row so far, and whether its run has two sets already
+        kinds = (np.int64, np.int64, np.int32, np.int32)
         for batch in batches:
-            m, d, s = (np.asarray(c) for c in batch.columns)
+            rows = [np.asarray(c) for c in batch.columns]
             if held is not None:
-                m, d, s = (np.concatenate([[h], c]) for h, c in zip(held, (m, d, s), strict=True))
+                rows = [np.concatenate([[h], c]) for h, c in zip(held, rows, strict=True)]
+            m, d = rows[:2]
             if not len(m):
                 continue
             new = np.ones(len(m), bool)
             new[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
-            m, d, s = m[new], d[new], s[new]
+            rows = [c[new] for c in rows]
+            m = rows[0]
             like_before, like_after = np.zeros(len(m), bool), np.zeros(len(m), bool)
             like_before[1:] = like_after[:-1] = m[1:] == m[:-1]
             like_before[0] = open_run
             keep = (like_before | like_after)[:-1]
-            held, open_run = (m[-1], d[-1], s[-1]), bool(like_before[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep].astype(t)) for c, t in ((m, np.int64), (d, np.int64), (s, np.int32))], ["member", "digest", "size"])
+            held, open_run = [c[-1] for c in rows], bool(like_before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep].astype(t)) for c, t in zip(rows, kinds, strict=True)], POSTING)
         if held is not None and open_run:
-            yield pa.RecordBatch.from_arrays([pa.array([int(held[0])], pa.int64()), pa.array([int(held[1])], pa.int64()), pa.array([int(held[2])], pa.int32())], ["member", "digest", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([h], t)) for h, t in zip(held, kinds, strict=True)], POSTING)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return save(rows.repartition(parts, "member").sortWithinPartitions("member", "digest").mapInArrow(run, "member long, digest long, size int"), "shared")
+    return save(rows.repartition(parts, "member").sortWithinPartitions("member", "digest").mapInArrow(run, "member long, digest long, size int, place int"), "shared")
+
 
+def _may_link(percent: int):
+    """Whether two sets may link that share a member at these places of their orders.
 
-def _sizes_fit(a, b, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    Linked sets have least = ceil(t (a + b) / (1 + t)) members in common, at or after their first common one in either
+    order; so for that member neither set has fewer than that many left. One of the smaller sets of a group whose rare
+    members come first meets no other that way.
+    """
+    a, b = F.col("size").cast("long"), F.col("pivot_size").cast("long")
+    least = F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (a - F.col("place") >= least) & (b - F.col("pivot_place") >= least)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, classes, orders: int) -> DataFrame:
@@ -231,9 +247,9 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = ORDERS)
     texts = save(docs.select("doc_id", "text").join(first.join(wanted, "digest"), "doc_id").select("digest", "text"), "texts")
 
     a, b = F.least("digest", "pivot"), F.greatest("digest", "pivot")
-    pivot = lists.groupBy("member").agg(F.min_by(F.struct("digest", "size"), F.xxhash64("member", "digest")).alias("p"))
-    star = lists.join(pivot, "member").select("digest", "size", F.col("p.digest").alias("pivot"), F.col("p.size").alias("pivot_size"))
-    star = save(star.where((F.col("digest") != F.col("pivot")) & _sizes_fit(F.col("size"), F.col("pivot_size"), percent)).select(a.alias("a"), b.alias("b")).distinct(), "star")
+    pivot = lists.groupBy("member").agg(F.min_by(F.struct("digest", "size", "place"), F.struct("place", F.xxhash64("member", "digest"))).alias("p"))
+    star = lists.join(pivot, "member").select("digest", "size", "place", F.col("p.digest").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.place").alias("pivot_place"))
+    star = save(star.where((F.col("digest") != F.col("pivot")) & _may_link(percent)).select(a.alias("a"), b.alias("b")).distinct(), "star")
     links = verified(star, texts, n, percent, classes, orders)
     roots = components(links)
 
@@ -242,8 +258,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = ORDERS)
     by_class = classed.groupBy("member", "root").agg(F.count(F.lit(1)).alias("c"))
     major = by_class.groupBy("member").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     minor = classed.join(major.select("member", "major"), "member").where("root <> major").drop("major")
-    x = classed.select("member", F.col("digest").alias("pivot"), F.col("size").alias("pivot_size"), F.col("root").alias("pivot_root"))
-    cross = minor.join(x, "member").where((F.col("root") != F.col("pivot_root")) & _sizes_fit(F.col("size"), F.col("pivot_size"), percent))
+    x = classed.select("member", F.col("digest").alias("pivot"), F.col("size").alias("pivot_size"), F.col("place").alias("pivot_place"), F.col("root").alias("pivot_root"))
+    cross = minor.join(x, "member").where((F.col("root") != F.col("pivot_root")) & _may_link(percent))
     cross = save(cross.select(a.alias("a"), b.alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "cross")
     more = verified(cross, texts, n, percent, classes, orders)
     if not more.isEmpty():
