@@ -226,9 +226,9 @@ def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
     range the directory's rows are searched by bisection, then the block's lines.
     """
     key = F.udf(reversed_key, "string")
-    ranges = directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    ranges = directory.groupBy(F.col("file").alias("range")).agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
     asked = urls.select("url").where("url IS NOT NULL").distinct().withColumn("key", key("url"))
-    asked = asked.join(F.broadcast(ranges), F.col("key").between(F.col("low"), F.col("high"))).select("file", "key", "url")
+    asked = asked.join(F.broadcast(ranges), F.col("key").between(F.col("low"), F.col("high"))).select("range", "key", "url")
 
     def run(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
         opened, rows = {}, []
@@ -246,7 +246,7 @@ def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
                 b += 1
         return pa.Table.from_pylist(rows, _arrow(f"asked string, {RECORDS}"))
 
-    return asked.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(run, f"asked string, {RECORDS}")
+    return asked.groupBy("range").cogroup(directory.groupBy("file")).applyInArrow(run, f"asked string, {RECORDS}")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
