@@ -72,10 +72,10 @@ def test_packing(spark, rows):
 
 def test_word_ids_survive_marks_and_forgetting():
     w = packing.WordIds(PATH, most=2)
-    texts = [b"a \x01 b", "x\x01y ünï ok".encode(), b"", b"don't stop"]
+    texts = ["a \x01 b", "x\x01y ünï ok", "", "don't STOP's", "ÀÉÎ, ÿ. ×÷ ªº µ İstanbul ΑΣ", "e\u0301a 漢字 🙂ok <|endoftext|>x", "$$$ (word) x1y2 nb\u00a0sp"]
     for _ in range(3):
-        ids, counts = w.ids(texts, 0)
-        want = [[*tokenizers.Tokenizer.from_file(PATH).encode(t.decode(), add_special_tokens=False).ids, 0] for t in texts]
+        ids, counts = w.ids(pa.array(texts))
+        want = [[*tokenizers.Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, 0] for t in texts]
         assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
 
 

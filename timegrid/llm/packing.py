@@ -12,11 +12,13 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,11 @@ from timegrid.llm.common import save, slices
 
 SEQUENCE = 2048
 GROUP = 8192
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 900_000
+#: Letters of ASCII and Latin-1, then ASCII marks but the apostrophe: the tokenizer cuts such a word just there.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
+#: How byte-level vocabularies write the bytes of letters: most as the character of that number, the rest after 255.
+SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Stands between words that are encoded together; a word of its own for the tokenizer.
 MARK = b"\x01"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,88 +39,113 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of texts by way of their words: a word's ids don't depend on its neighbours, so each is encoded once."""
 
-    def __init__(self, path: str, most: int = KNOWN_WORDS):
+    def __init__(self, path: str, end_id: int = 0, most: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
         mark = self._encode(MARK.decode())
         self.mark = mark[0] if len(mark) == 1 else -1
+        self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.pool = np.empty(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 17, np.int64)  # word w has the ids from ends[w] to ends[w + 1]
+        self.ends = np.zeros(1 << 17, np.int32)  # word w has the ids from ends[w] to ends[w + 1]
+        self.pool[0], self.ends[1], self.size = self.end_id, 1, 1  # word 0 is the end of a text
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes many words in one call, a mark between them; words with the mark's character go one by one."""
-        plain, odd = [w for w in words if MARK not in w], [w for w in words if MARK in w]
+        """Adds the ids of new words. Most are letters and then marks, whose ids are those of the two parts one after
+        the other; the letters, in the vocabulary's spelling, go to the model at once. Others go through the whole
+        tokenizer, many in one call with a mark between them; words with the mark's own character go one by one.
+        """
+        ids: list[int] = []
+        ends: list[int] = []
+        done: list[bytes] = []
+        other: list[bytes] = []
+        for word in words:
+            if not (m := SIMPLE.fullmatch(word.decode())):
+                other.append(word)
+                continue
+            letters = m[1].lower()
+            ids += self._part(letters if letters.isascii() else letters.encode().decode("latin-1").translate(SPELLING))
+            if m[2]:
+                ids += self._part(m[2])
+            done.append(word)
+            ends.append(len(ids))
+        self._keep(done, np.array(ids, np.uint32), np.array(ends, np.int64))
+        plain, odd = [w for w in other if MARK not in w], [w for w in other if MARK in w]
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
             joined = (b" " + MARK + b" ").join([*part, b""]).decode()
-            ids = np.array(self._encode(joined), np.uint32)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) == len(part):
-                self._keep(part, ids[ids != self.mark], ends - np.arange(len(part)))
+            found = np.array(self._encode(joined), np.uint32)
+            marks = np.flatnonzero(found == self.mark)
+            if len(marks) == len(part):
+                self._keep(part, found[found != self.mark], marks - np.arange(len(part)))
             else:
                 odd += part
         for w in odd:
-            ids = np.array(self._encode(w.decode()), np.uint32)
-            self._keep([w], ids, np.array([len(ids)]))
+            found = np.array(self._encode(w.decode()), np.uint32)
+            self._keep([w], found, np.array([len(found)]))
+
+    def _part(self, spelled: str) -> list[int]:
+        known = self.parts.get(spelled)
+        if known is None:
+            known = self.parts[spelled] = [t.id for t in self.model.tokenize(spelled)]
+        return known
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        n = len(self.known)
+        n = self.size
         start = int(self.ends[n])
         if start + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), np.uint32)])
         if n + len(words) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)])
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int32)])
         self.pool[start : start + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(words)] = start + ends
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.size += len(words)
 
-    def ids(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each with the end id after it, and how many each text has."""
-        if len(self.known) > self.most:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), each with the end id after it, and how many each text has."""
+        if self.size > self.most:
             self.forget()
-        flat: list[bytes] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = text.split()
-            counts[i] = len(words)
-            flat += words
-        coded = pa.array(flat, pa.binary()).dictionary_encode()
+        lists = pc.ascii_split_whitespace(texts)
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
         names = coded.dictionary.to_pylist()
         self._learn([w for w in names if w not in self.known])
-        at = np.fromiter((self.known[w] for w in names), np.int64, len(names))
-        word = at[coded.indices.to_numpy(zero_copy_only=False)] if flat else np.empty(0, np.int64)
-        # a pseudo-word after each text stands for the end id
-        where = np.cumsum(counts)
-        starts, lengths = np.insert(self.ends[word], where, -1), np.insert(self.ends[word + 1] - self.ends[word], where, 1)
+        at = np.fromiter(map(self.known.__getitem__, names), np.int32, len(names))
+        word = at[coded.indices.to_numpy(zero_copy_only=False)] if names else np.empty(0, np.int32)
+        stops = np.cumsum(counts)
+        word = np.insert(word, stops, 0)
+        starts = self.ends[word]
+        lengths = self.ends[word + 1] - starts
         total = np.cumsum(lengths)
-        source = np.repeat(starts - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)
-        ends = total[where + np.arange(len(texts))] if len(texts) else total
-        out = self.pool[np.maximum(source, 0)]
-        out[ends - 1] = end_id
-        return out, np.diff(ends, prepend=0)
+        source = np.repeat((starts - (total - lengths)).astype(np.int32), lengths)
+        source += np.arange(len(source), dtype=np.int32)
+        ends = total[stops + np.arange(len(texts))]
+        return self.pool[source], np.diff(ends, prepend=0)
 
 
-_by_path: dict[str, WordIds] = {}
+_by_path: dict[tuple[str, int], WordIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = 0) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _by_path.setdefault(tokenizer, WordIds(tokenizer))
+        if (tokenizer, end_id) not in _by_path:
+            _by_path[tokenizer, end_id] = WordIds(tokenizer, end_id)
+        words = _by_path[tokenizer, end_id]
         for batch in batches:
-            for part in slices(batch):
-                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                ids, counts = words.ids(texts, end_id)
+            for part in slices(batch, most=8 << 20):
+                ids, counts = words.ids(part.column("text").cast(pa.string()).fill_null(""))
                 rows, at, data = [], 0, memoryview(ids.astype("<u4")).cast("B")
                 for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                     for p, s in enumerate(range(0, n, sequence)):
