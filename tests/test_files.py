@@ -57,7 +57,7 @@ def test_versions_keep_backups(spark, tmp_path):
 
 def test_discovery(spark, tmp_path):
     for name in ("12_a.wav", "40_b.wav", "x_c.wav", "._12_a.wav"):
-        (tmp_path / name).write_text("")
+        (tmp_path / name).write_text("x")
     found = files.discover(spark, str(tmp_path), r"^([^_]+)_", 1, 20)
     assert [r["name"] for r in found.collect()] == ["12_a.wav"]
 

@@ -5,12 +5,17 @@ Nulls give null unless a function says otherwise. ANSI mode is assumed: every di
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 STEPS = 16
 
 
+def by_track() -> WindowSpec:
+    """The window of a track's rows."""
+    return Window.partitionBy("track_id")
+
+
 def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.functions import cols as C
+from timegrid.functions.cols import by_track
 
-TRACK = Window.partitionBy("track_id")
 MANY = 135.0
 
 
@@ -18,7 +18,7 @@ def strict_downbeats(beats: DataFrame) -> DataFrame:
 
 def bars(boundaries: DataFrame) -> DataFrame:
     """Consecutive boundaries as bars: track_id, bar (from 0), start, end; times that repeat count once."""
-    order = TRACK.orderBy("t")
+    order = by_track().orderBy("t")
     rows = boundaries.select("track_id", "t").distinct()
     rows = rows.select("track_id", (F.row_number().over(order) - 1).alias("bar"), F.col("t").alias("start"), F.lead("t").over(order).alias("end"))
     return rows.where("end IS NOT NULL")
@@ -26,7 +26,7 @@ def bars(boundaries: DataFrame) -> DataFrame:
 
 def tied_bars(boundaries: DataFrame) -> DataFrame:
     """As bars, but boundaries of equal time (told apart by `tie`) stay and make bars of no length."""
-    order = TRACK.orderBy("t", "tie")
+    order = by_track().orderBy("t", "tie")
     rows = boundaries.select("track_id", (F.row_number().over(order) - 1).alias("bar"), F.col("t").alias("start"), F.lead("t").over(order).alias("end"))
     return rows.where("end IS NOT NULL")
 
@@ -58,7 +58,7 @@ def time_signature(beats: DataFrame, default: int = 4) -> DataFrame:
 
 def bars_by_resets(beats: DataFrame) -> DataFrame:
     """Bar numbers for beats that only have positions (track_id, beat_time, beat_pos): a bar begins at each 1."""
-    run = TRACK.orderBy("beat_time").rowsBetween(Window.unboundedPreceding, 0)
+    run = by_track().orderBy("beat_time").rowsBetween(Window.unboundedPreceding, 0)
     return beats.withColumn("bar_num", F.sum((F.col("beat_pos") == 1).cast("int")).over(run).cast("int"))
 
 
@@ -74,7 +74,7 @@ def track_classes(rows: DataFrame, many: float = MANY) -> DataFrame:
     joined = rows.join(base, "track_id").withColumn("class", C.tempo_class(F.col("tempo_bpm"), F.coalesce("override", "base")))
 
     def number(kind: str) -> Column:
-        return F.sum((F.col("class") == kind).cast("int")).over(TRACK)
+        return F.sum((F.col("class") == kind).cast("int")).over(by_track())
 
     joined = joined.withColumn("dominant", F.when(number("normal") >= number("double") + number("half"), "normal").otherwise("factor2"))
     return joined.withColumn("orientation", F.when(F.col("dominant") == "normal", "").when(number("double") >= number("half"), "double").otherwise("half"))
@@ -87,7 +87,7 @@ def repaired(classed: DataFrame) -> DataFrame:
     be merged. In a run of bars to merge, every second one has been taken in by its neighbour; so is the bar after a
     run of odd length.
     """
-    order = TRACK.orderBy("bar")
+    order = by_track().orderBy("bar")
     rows = classed.withColumn("action", C.repair_action(F.col("class"), F.col("dominant"), F.col("orientation")))
     merge = F.col("action") == "merge"
     rows = rows.withColumn("island", F.sum((~merge).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -112,7 +112,7 @@ def repaired(classed: DataFrame) -> DataFrame:
     stop = F.when(F.col("head"), F.coalesce("next_end", "end")).otherwise(F.col("end"))
     keep = ["track_id", "base", "override", "dominant", "orientation"]
     pieces = rows.select(*keep, stop.alias("stop"), F.explode(parts).alias("p")).select(*keep, "stop", "p.*")
-    by_time = TRACK.orderBy("start")
+    by_time = by_track().orderBy("start")
     out = pieces.withColumn("end", F.coalesce(F.lead("start").over(by_time), F.col("stop"))).withColumn("corrected_bar_num", F.row_number().over(by_time))
     return out.drop("stop")
 
@@ -158,7 +158,7 @@ def equal_width_histogram(rows: DataFrame, value: str, bins: int = 20, group: li
 
 def validity(boundaries: DataFrame) -> DataFrame:
     """Per track (rows track_id, position, t): whether there are two boundaries at least and they increase strictly."""
-    order = TRACK.orderBy("position")
+    order = by_track().orderBy("position")
     steps = boundaries.withColumn("step", F.col("t") - F.lag("t").over(order))
     seen = steps.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("least"))
     few = F.col("n") < 2
@@ -169,5 +169,5 @@ def validity(boundaries: DataFrame) -> DataFrame:
 
 def outliers(rows: DataFrame, value: str, n_std: float = 2.0) -> DataFrame:
     """Flags values no farther from the track's mean than n population standard deviations."""
-    keep = F.abs(F.col(value) - F.avg(value).over(TRACK)) <= n_std * F.stddev_pop(value).over(TRACK)
+    keep = F.abs(F.col(value) - F.avg(value).over(by_track())) <= n_std * F.stddev_pop(value).over(by_track())
     return rows.withColumn("kept", keep)

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.functions import cols as C
+from timegrid.functions.cols import by_track
 from timegrid.operators import asof
 
-TRACK = Window.partitionBy("track_id")
-
 
 def matches(predicted: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """Pairs of a prediction and an annotation that are each other's nearest and no farther apart than the tolerance."""
@@ -36,14 +35,14 @@ def continuity(predicted: DataFrame, truth: DataFrame, share: float = 0.175) ->
     share, and the prediction before was right for the annotation before. Predictions without one before only need
     their place.
     """
-    order = TRACK.orderBy("t")
+    order = by_track().orderBy("t")
     a = truth.select("track_id", "t").withColumn("k", F.row_number().over(order)).withColumn("step", F.coalesce(F.col("t") - F.lag("t").over(order), F.lead("t").over(order) - F.col("t")))
     p = predicted.select("track_id", F.col("t").alias("p"))
-    p = p.withColumn("j", F.row_number().over(TRACK.orderBy("p"))).withColumn("pstep", F.col("p") - F.lag("p").over(TRACK.orderBy("p")))
+    p = p.withColumn("j", F.row_number().over(by_track().orderBy("p"))).withColumn("pstep", F.col("p") - F.lag("p").over(by_track().orderBy("p")))
     near = asof.nearest(p, a.select("track_id", "t"), "p").withColumnRenamed("nearest", "t").join(a, ["track_id", "t"])
     placed = (F.abs(F.col("p") - F.col("t")) < share * F.col("step")) & (F.col("pstep").isNull() | (F.abs(1 - F.col("pstep") / F.col("step")) < share))
     ok = near.where(placed).groupBy("track_id", "k").agg(F.min("j").alias("j"))
-    by = TRACK.orderBy("k")
+    by = by_track().orderBy("k")
     before = (F.lag("k").over(by) == F.col("k") - 1) & (F.lag("j").over(by) == F.col("j") - 1)
     ok = ok.withColumn("right", F.coalesce(before, F.lit(False)) | (F.col("j") == 1))
     right = ok.groupBy("track_id").agg(F.count_if("right").alias("right"))
@@ -55,7 +54,7 @@ def continuity(predicted: DataFrame, truth: DataFrame, share: float = 0.175) ->
 
 def variants(truth: DataFrame) -> DataFrame:
     """The annotations and their other metrical levels: twice as fast, off the beat, and each half of them."""
-    order = TRACK.orderBy("t")
+    order = by_track().orderBy("t")
     rows = truth.select("track_id", "t").withColumn("k", F.row_number().over(order)).withColumn("middle", (F.col("t") + F.lead("t").over(order)) / 2.0)
     keep = F.array(
         F.struct(F.lit("same").alias("variant"), F.col("t").alias("t")), F.struct(F.lit("double").alias("variant"), F.col("t").alias("t")), F.struct(F.lit("double").alias("variant"), F.col("middle").alias("t")),

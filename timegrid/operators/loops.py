@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.functions import cols as C
+from timegrid.functions.cols import by_track
 from timegrid.operators import asof
 
-TRACK = Window.partitionBy("track_id")
-
 
 def windows(tracks: DataFrame, overview: DataFrame | None = None, start: float | None = None, duration: float | None = None, default_start: float = 0.0, default_duration: float = 30.0) -> DataFrame:
     """A window per track: a given start, else the overview's (track_id, offset_s), else the default; likewise its length."""
@@ -40,7 +39,7 @@ def snippet_tempo(bars: DataFrame, windows_: DataFrame) -> DataFrame:
 
 def loop_tempos(bars: DataFrame, length: int) -> DataFrame:
     """Mean tempo of consecutive groups of `length` bars; the last may have fewer."""
-    position = F.row_number().over(TRACK.orderBy("bar")) - 1
+    position = F.row_number().over(by_track().orderBy("bar")) - 1
     rows = bars.withColumn("loop", F.floor(position / length).cast("int"))
     return rows.groupBy("track_id", "loop").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_bars"), F.avg("tempo_bpm").alias("mean_bpm"))
 
@@ -72,10 +71,10 @@ def snippet_info(bars: DataFrame, windows_: DataFrame, patterns: DataFrame) -> D
 
 def bar_durations(starts: DataFrame) -> DataFrame:
     """Rows (track_id, bar, start): start from the first in ms, and length; the last length is the others' median."""
-    order = TRACK.orderBy("bar")
+    order = by_track().orderBy("bar")
     length = (F.lead("start").over(order) - F.col("start")) * 1000.0
-    rows = starts.withColumn("length", length).withColumn("begin_ms", (F.col("start") - F.min("start").over(TRACK)) * 1000.0)
-    return rows.select("track_id", "bar", "begin_ms", F.coalesce("length", F.percentile("length", 0.5).over(TRACK)).alias("duration_ms"))
+    rows = starts.withColumn("length", length).withColumn("begin_ms", (F.col("start") - F.min("start").over(by_track())) * 1000.0)
+    return rows.select("track_id", "bar", "begin_ms", F.coalesce("length", F.percentile("length", 0.5).over(by_track())).alias("duration_ms"))
 
 
 def bar_starts(long: DataFrame) -> DataFrame:
@@ -121,11 +120,11 @@ def delta_ticks(events: DataFrame, ticks_per_unit: float, length: int, end: Colu
 
     Times count from the track's first event. A note lasts `length` ticks, cut at `end` (a Column of ticks) if given.
     """
-    start = F.floor((F.col("t") - F.min("t").over(TRACK)) * ticks_per_unit).cast("long")
+    start = F.floor((F.col("t") - F.min("t").over(by_track())) * ticks_per_unit).cast("long")
     rows = events.withColumn("tick", start)
     stop = F.col("tick") + length
     rows = rows.withColumn("stop", F.greatest(F.least(stop, end), F.col("tick")) if end is not None else stop)
-    order = TRACK.orderBy("t", *[c for c in ("event_id",) if c in events.columns])
+    order = by_track().orderBy("t", *[c for c in ("event_id",) if c in events.columns])
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("on", F.greatest(F.lit(0), F.col("tick") - F.coalesce(F.lag("stop").over(order), F.lit(0))))
     message = F.explode(F.array(F.struct(F.lit("on").alias("kind"), F.col("on").alias("delta")), F.struct(F.lit("off").alias("kind"), (F.col("stop") - F.col("tick")).alias("delta"))))
     return rows.select("track_id", "n", message.alias("m")).select("track_id", "n", "m.kind", "m.delta")
@@ -133,9 +132,9 @@ def delta_ticks(events: DataFrame, ticks_per_unit: float, length: int, end: Colu
 
 def interval_ticks(intervals: DataFrame, ticks_per_unit: float) -> DataFrame:
     """Intervals (track_id, note, start, end) as on and off messages, ticks since the message before."""
-    base = F.min("start").over(TRACK)
+    base = F.min("start").over(by_track())
     rows = intervals.withColumn("a", F.floor((F.col("start") - base) * ticks_per_unit).cast("long")).withColumn("b", F.floor((F.col("end") - base) * ticks_per_unit).cast("long"))
-    order = TRACK.orderBy("start", "note")
+    order = by_track().orderBy("start", "note")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("on", F.greatest(F.lit(0), F.col("a") - F.coalesce(F.lag("b").over(order), F.lit(0))))
     message = F.explode(F.array(F.struct(F.lit("on").alias("kind"), F.col("on").alias("delta")), F.struct(F.lit("off").alias("kind"), (F.col("b") - F.col("a")).alias("delta"))))
     return rows.select("track_id", "n", "note", message.alias("m")).select("track_id", "n", "note", "m.kind", "m.delta")
@@ -143,7 +142,7 @@ def interval_ticks(intervals: DataFrame, ticks_per_unit: float) -> DataFrame:
 
 def paired_tempos(raw: DataFrame, fixed: DataFrame) -> DataFrame:
     """Raw and corrected bars side by side by position; the shorter table is padded with nulls."""
-    order = TRACK.orderBy("start")
+    order = by_track().orderBy("start")
     a = raw.select("track_id", F.row_number().over(order).alias("bar_num"), F.col("start").alias("downbeat_raw"), F.col("tempo_bpm").alias("tempo_raw"))
     b = fixed.select("track_id", F.row_number().over(order).alias("bar_num"), F.col("start").alias("downbeat_corrected"), F.col("tempo_bpm").alias("tempo_corrected"), "usable")
     return a.join(b, ["track_id", "bar_num"], "full").withColumn("usable", F.coalesce("usable", F.lit(False)))

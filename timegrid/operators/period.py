@@ -6,13 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timegrid.functions import cols as C
+from timegrid.functions.cols import by_track
 from timegrid.operators import asof
 
 #: Lags 1, 2, 4, 8 are chosen from; a lag's neighbours tell whether it is a maximum.
 MAX_LAG = 9
-TRACK = Window.partitionBy("track_id")
 
 
 def bar_vectors(onsets: DataFrame, bars: DataFrame, bins: int = 16) -> DataFrame:
@@ -40,7 +41,7 @@ def lag_profile(pairs: DataFrame, similarity: Column, mean: bool = False) -> Dat
 
 def power_of_two(profile: DataFrame) -> DataFrame:
     """Per track the best of the lags 2, 4, 8 that are local maxima, else of 1, 2, 4, 8; the smallest of equals."""
-    order = TRACK.orderBy("lag")
+    order = by_track().orderBy("lag")
     v, before, after = F.col("value"), F.lag("value").over(order), F.lead("value").over(order)
     peak = F.when(before.isNull(), v > after).when(after.isNull(), v > before).otherwise((v >= before) & (v >= after) & ((v > before) | (v > after)))
     rows = profile.withColumn("peak", F.coalesce(peak, F.lit(False))).where(F.col("lag").isin(1, 2, 4, 8))
@@ -88,7 +89,7 @@ def contour_period(values: DataFrame, bars: DataFrame, beats: int = 4, n: int =
     return power_of_two(lag_profile(lag_pairs(vectors), similarity))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fourier_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
     """Largest normalised circular correlation of long arrays of equal length, by Fourier transforms."""
 
@@ -116,7 +117,7 @@ def channel_period(frames: DataFrame) -> DataFrame:
 def _criteria(bars: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Per track and candidate length: n, the squared error of bar-length differences about their phases' means."""
     d = (F.col("end") - F.col("start")) * 1000.0
-    rows = bars.withColumn("d", d - F.lag(d).over(TRACK.orderBy("bar"))).withColumn("i", F.row_number().over(TRACK.orderBy("bar")))
+    rows = bars.withColumn("d", d - F.lag(d).over(by_track().orderBy("bar"))).withColumn("i", F.row_number().over(by_track().orderBy("bar")))
     rows = rows.where("d IS NOT NULL").select("track_id", "i", "d", F.explode(F.array(*map(F.lit, lengths))).alias("L"))
     rows = rows.withColumn("r", F.col("i") % F.col("L"))
     means = rows.groupBy("track_id", "L", "r").agg(F.avg("d").alias("mu"))
@@ -146,8 +147,8 @@ def bic_period(scores: DataFrame) -> DataFrame:
 
 def aicc_period(scores: DataFrame, tolerance: float = 2.0, default: int = 4) -> DataFrame:
     """The smallest length whose score is less than `tolerance` above the best; the default if a score is undefined."""
-    least = F.min("score").over(TRACK)
-    undefined = F.count_if(F.col("score").isNull()).over(TRACK) > 0
+    least = F.min("score").over(by_track())
+    undefined = F.count_if(F.col("score").isNull()).over(by_track()) > 0
     near = F.when(F.col("score") == least, True).otherwise(F.col("score") - least < tolerance)
     rows = scores.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("undefined", undefined)
     return rows.groupBy("track_id").agg(F.when(F.max("undefined"), F.lit(default)).otherwise(F.min(F.when(F.col("near"), F.col("L")))).cast("int").alias("L"))

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.functions import cols as C
-
-TRACK = Window.partitionBy("track_id")
+from timegrid.functions.cols import by_track
 
 
 def differences(rows: DataFrame, value: str, order: str) -> DataFrame:
-    return rows.withColumn("difference", F.col(value) - F.lag(value).over(TRACK.orderBy(order)))
+    return rows.withColumn("difference", F.col(value) - F.lag(value).over(by_track().orderBy(order)))
 
 
 def voiced(values: DataFrame, low: float, high: float) -> DataFrame:
@@ -24,17 +23,17 @@ def runs(rows: DataFrame, end: float | None = None, least: float = 0.0, order: t
 
     Without an end it ends at its last row. Intervals shorter than `least` are dropped.
     """
-    by = TRACK.orderBy(*order)
+    by = by_track().orderBy(*order)
     new = F.coalesce(~F.col("note").eqNullSafe(F.lag("note").over(by)), F.lit(True)) | (F.row_number().over(by) == 1)
     marked = rows.withColumn("run", F.sum(new.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = marked.groupBy("track_id", "run", "note").agg(F.min("t").alias("start"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))
-    stop = F.coalesce(F.lead("start").over(TRACK.orderBy("run")), F.lit(end).cast("double"), F.col("last").cast("double"))
+    stop = F.coalesce(F.lead("start").over(by_track().orderBy("run")), F.lit(end).cast("double"), F.col("last").cast("double"))
     return spans.withColumn("end", stop).where(F.col("end") - F.col("start") >= least).drop("last")
 
 
 def gap_fill(points: DataFrame, expected: float, ratio: float = 2.0) -> DataFrame:
     """Points (track_id, t) and those put into gaps longer than ratio * expected, spaced by `expected`."""
-    gap = F.col("t") - F.lag("t").over(TRACK.orderBy("t"))
+    gap = F.col("t") - F.lag("t").over(by_track().orderBy("t"))
     rows = points.select("track_id", "t", gap.alias("gap"))
     wide = rows.where(F.col("gap") > ratio * expected).withColumn("n", (F.rint(F.col("gap") / expected) - 1).cast("int")).where("n >= 1")
     added = wide.select("track_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.col("t") - F.col("gap") + i * expected)).alias("t"), F.lit(True).alias("added"))
@@ -47,7 +46,7 @@ def min_spacing(points: DataFrame, least: float) -> DataFrame:
     Points that are `least` or more after the point before are always kept (nothing kept is later), so tracks are cut
     there first; only the bursts between are walked, each as one array.
     """
-    order = TRACK.orderBy("t")
+    order = by_track().orderBy("t")
     far = F.coalesce(F.col("t") - F.lag("t").over(order) >= least, F.lit(True))
     rows = points.select("track_id", "t").withColumn("burst", F.sum(far.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     lists = rows.groupBy("track_id", "burst").agg(F.array_sort(F.collect_list("t")).alias("ts"))
@@ -56,13 +55,13 @@ def min_spacing(points: DataFrame, least: float) -> DataFrame:
 
 def peak_normalised(values: DataFrame) -> DataFrame:
     """value over the track's largest absolute value; unchanged where that is 0."""
-    top = F.max(F.abs("value")).over(TRACK)
+    top = F.max(F.abs("value")).over(by_track())
     return values.withColumn("value", F.when(top > 0, F.col("value") / F.nullif(top, F.lit(0.0))).otherwise(F.col("value")))
 
 
 def peaks(values: DataFrame, delta: float) -> DataFrame:
     """Strict local maxima of a track's values that reach delta."""
-    order = TRACK.orderBy("t")
+    order = by_track().orderBy("t")
     rows = values.withColumn("_a", F.lag("value").over(order)).withColumn("_b", F.lead("value").over(order))
     return rows.where((F.col("value") > F.col("_a")) & (F.col("value") > F.col("_b")) & (F.col("value") >= delta)).drop("_a", "_b")
 
@@ -84,8 +83,8 @@ def refined_peaks(candidates: DataFrame, values: DataFrame, before: float, after
 
 def decibels(rows: DataFrame, value: str, floor_db: float = 80.0) -> DataFrame:
     """Power in dB below the track's largest, floored, and scaled to [0, 1]."""
-    top = F.max(F.greatest(F.col(value), F.lit(1e-10))).over(TRACK)
+    top = F.max(F.greatest(F.col(value), F.lit(1e-10))).over(by_track())
     db = F.log10(F.greatest(F.col(value), F.lit(1e-10)) / top) * 10.0
     out = rows.withColumn("db", db).withColumn("db", F.greatest(F.col("db"), F.lit(-floor_db)))
-    low, high = F.min("db").over(TRACK), F.max("db").over(TRACK)
+    low, high = F.min("db").over(by_track()), F.max("db").over(by_track())
     return out.withColumn("scaled", (F.col("db") - low) / F.greatest(high - low, F.lit(1e-9)))

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BEATS = "`beat_time(s)` DOUBLE, `downbeat_time(s)` DOUBLE, beat_pos INT, global_beat INT, bar_num INT"
-FILE = F.col("_metadata.file_path")
 
 
-def track_of(path: Column = FILE, ending: str = "") -> Column:
+def track_of(path: Column | str = "_metadata.file_path", ending: str = "") -> Column:
     """A file's name without folder and ending is its track."""
-    return F.url_decode(F.regexp_extract(path, rf"([^/]+?)(?:{ending})?\.[^./]*$", 1))
+    return F.url_decode(F.regexp_extract(F.col(path) if isinstance(path, str) else path, rf"([^/]+?)(?:{ending})?\.[^./]*$", 1))
 
 
 def read_beats(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +135,7 @@ def read_values(spark: SparkSession, path: str, low: float, high: float) -> Data
 
 
 def discover(spark: SparkSession, path: str, pattern: str, low: int | None = None, high: int | None = None, glob: str = "*") -> DataFrame:
-    """Files whose name matches a regular expression with one group, the id; `._` files are skipped.
+    """Files whose name matches a regular expression with one group, the id; `._` files and empty ones are skipped.
 
     With a range, ids must be numbers inside it.
     """
