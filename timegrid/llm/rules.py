@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from timegrid.llm.common import BLANKS, save
 
 SAMPLE = 20_000
+PARTS = 6
 TREES = 24
 DEPTH = 3
 PENALTY = 0.001
@@ -93,7 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     if ones in (0, n):
         return prior, []
     features = array_to_vector(F.array(*(f"x_{n}" for n in names)))
-    data = rows.select(F.col("label").cast("double").alias("label"), features.alias("features"), *(f"x_{n}" for n in names)).persist()
+    # the sample has a bounded size: a few partitions, or else the fits' many small jobs are mostly task overhead
+    data = rows.coalesce(PARTS).select(F.col("label").cast("double").alias("label"), features.alias("features"), *(f"x_{n}" for n in names)).persist()
     try:
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=48, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed).fit(data)
         rules = sorted({r for tree in forest.trees for r in tree_rules(tree.toDebugString, names)})
