@@ -132,6 +132,34 @@ def test_fourier_equals_array_functions(spark):
     assert [r.x for r in both] == pytest.approx([r.y for r in both])
 
 
+def test_several_channels_add_up(spark):
+    rng = random.Random(7)
+    rows = [("a", b, c, [rng.random() - 0.5 for _ in range(12)] if c < 2 else [0.0] * 12) for b in range(12) for c in range(3)]
+    df = spark.createDataFrame(rows, "track_id string, bar int, channel int, frames array<double>")
+    assert period.multichannel_period(df).first().L in (1, 2, 4, 8)
+    a, b = ([r[3] for r in rows if r[1] == k] for k in (0, 1))
+    pair = spark.createDataFrame([(a, b)], "a array<array<double>>, b array<array<double>>")
+    got = pair.select(period.channel_correlation("a", "b")).first()[0]
+    dots = [sum(x[c][i] * y for c in range(2) for i, y in zip([(j + s) % 12 for j in range(12)], b[c], strict=True)) for x in [a] for s in range(12)]
+    scale = sum((sum(v * v for v in a[c]) * sum(v * v for v in b[c])) ** 0.5 for c in range(2))
+    assert got == pytest.approx(max(dots) / scale)
+
+
+def test_zip_reports_unequal_counts(spark):
+    def part(n, name):
+        return spark.createDataFrame([("d", i, f"{name}{i}") for i in range(n)] + [("e", 0, name)], f"dataset string, position int, {name} string")
+
+    rows, bad = prep.zipped(part(3, "f"), part(3, "a"), part(2, "n"))
+    assert rows.count() == 3 and [r.dataset for r in bad.collect()] == ["d"]
+
+
+def test_mixed_channels_keep_the_sum(spark):
+    rows = spark.createDataFrame([(i, *([float(i + c)] for c in range(5))) for i in range(200)], "id int, c0 array<double>, c1 array<double>, c2 array<double>, c3 array<double>, c4 array<double>")
+    got = prep.mixed_channels(rows, "id", [f"c{i}" for i in range(5)]).collect()
+    assert all(sum(x[0] for x in r.mix) == 5 * r.id + 10 for r in got)
+    assert {len(r.mix) for r in got} == {2, 3, 4, 5}
+
+
 def test_loop_tempos_and_full_bars(spark):
     rows = spark.createDataFrame([("a", i, float(i), i + 1.0, b) for i, b in enumerate([120.0, 120.0, 120.0, 120.0, 121.0, 121.0])], "track_id string, bar int, start double, end double, tempo_bpm double")
     assert [(r.n_bars, r.mean_bpm) for r in loops.loop_tempos(rows, 4).orderBy("loop").collect()] == [(4, 120.0), (2, 121.0)]

@@ -105,6 +105,35 @@ def fourier_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(T.DoubleType())
+def channel_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same over several channels (arrays of arrays): the channels' correlations add up, and so do their norms.
+
+    Channels whose norm is next to nothing in either bar are left out.
+    """
+
+    def one(x, y) -> float:
+        if x is None or y is None:
+            return 0.0
+        total, scale = 0.0, 0.0
+        for p, q in zip(x, y, strict=False):
+            p, q = np.asarray(p, float), np.asarray(q, float)
+            n, m = np.linalg.norm(p), np.linalg.norm(q)
+            if len(p) == len(q) and n >= 1e-9 and m >= 1e-9:
+                total = total + np.fft.irfft(np.fft.rfft(p) * np.conj(np.fft.rfft(q)), n=len(p))
+                scale += n * m
+        return float(np.max(total) / scale) if scale else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def multichannel_period(frames: DataFrame) -> DataFrame:
+    """Period of frames in several channels (track_id, bar, channel, frames); a bar's channels are one array."""
+    order = F.array_sort(F.collect_list(F.struct("channel", "frames")))
+    bars = frames.groupBy("track_id", "bar").agg(F.transform(order, lambda x: x["frames"]).alias("v"))
+    return power_of_two(lag_profile(lag_pairs(bars), channel_correlation("a", "b")))
+
+
 def channel_profile(frames: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """Lag profile of feature frames (track_id, bar, frames)."""
     return lag_profile(lag_pairs(frames.withColumnRenamed("frames", "v"), max_lag), fourier_correlation("a", "b"))

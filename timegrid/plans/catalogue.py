@@ -283,6 +283,19 @@ def rms_summary_best(spark, d):
     return summary.select("track_id", *(F.round(f"{m}_ms", 4).alias(f"{m}_ms") for m in WIDE), "best")
 
 
+@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, {', '.join(f"round(coalesce(max(rms_ms) FILTER (method = '{m}'), 0), 4) AS {m}" for m in WIDE)} FROM rms GROUP BY track_id""")
+def rms_comparison(spark, d):
+    series_ = stats.comparison_series(stats.rms(_long(spark, d)), WIDE)
+    return series_.select("track_id", *(F.round(m, 4).alias(m) for m in WIDE))
+
+
+@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, round(CASE WHEN base = 0 THEN 0 ELSE (base - rms_ms) / base * 100 END, 3) AS gain FROM (SELECT *, max(rms_ms) FILTER (method = 'uncorrected') OVER (PARTITION BY track_id) AS base FROM rms)""")
+def rms_improvement(spark, d):
+    base = F.max(F.when(F.col("method") == "uncorrected", F.col("rms_ms"))).over(C.by_track())
+    rows = stats.rms(_long(spark, d)).withColumn("base", base)
+    return rows.select("track_id", "method", (F.round(C.improvement(F.col("base"), F.col("rms_ms")), 3) + 0.0).alias("gain"))
+
+
 @query(f"""{S.GRID}, h AS (SELECT track_id, CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1, 2)
 SELECT track_id, position, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT track_id FROM ticks), (SELECT CAST(unnest(range(1, 65)) AS INT) AS position)) LEFT JOIN h USING (track_id, position)""")
 def rhythm_histogram(spark, d):
@@ -362,6 +375,13 @@ def period_channels(spark, d):
     return period.channel_period(T.frames(spark, d))
 
 
+@query()
+def period_multichannel(spark, d):
+    parts = F.array(*(F.struct(F.lit(i).alias("channel"), F.slice("frames", 16 * i + 1, 16).alias("frames")) for i in range(4)))
+    rows = T.frames(spark, d).select("track_id", "bar", F.explode(parts).alias("p")).select("track_id", "bar", "p.*")
+    return period.multichannel_period(rows)
+
+
 @query()
 def channel_profile(spark, d):
     return rounded(period.channel_profile(T.frames(spark, d)), "value")
@@ -415,6 +435,13 @@ def bar_durations(spark, d):
     return out.withColumn("begin_ms", F.round("begin_ms", 4)).withColumn("duration_ms", F.round("duration_ms", 4))
 
 
+@query(f"""{S.GRID}, b AS (SELECT track_id, bar, min(grid_time) AS s FROM points GROUP BY 1, 2), f AS (SELECT track_id, min(onset_time) * 1000 AS o FROM ticks GROUP BY 1), l AS (SELECT track_id, bar, s, (lead(s) OVER (PARTITION BY track_id ORDER BY bar) - s) * 1000 AS len FROM b)
+SELECT bar AS bar_number, CAST(track_id AS VARCHAR) AS song_id, CAST(track_id AS VARCHAR) AS song_info, round(o, 3) AS first_onset_ms, round((s - min(s) OVER w) * 1000, 3) AS begin_ms, round(coalesce(len, median(len) OVER w), 3) AS duration_ms FROM l LEFT JOIN f USING (track_id) WINDOW w AS (PARTITION BY track_id)""")
+def bar_duration_export(spark, d):
+    out = loops.duration_export(_long(spark, d))
+    return out.withColumns({c: F.round(c, 3) for c in ("first_onset_ms", "begin_ms", "duration_ms")})
+
+
 @query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, b AS (SELECT *, bar - min(bar) OVER (PARTITION BY track_id, method) AS b FROM long)
 SELECT * FROM (SELECT track_id, method, round(min(grid_time) FILTER (b = 0), 6) AS loop_start, round(min(grid_time) FILTER (b = 4), 6) AS loop_end FROM b WHERE tick = 0 GROUP BY 1, 2) WHERE loop_start IS NOT NULL AND loop_end IS NOT NULL""")
 def loop_bounds(spark, d):

@@ -157,6 +157,11 @@ def write_wide(wide: DataFrame, path: str) -> None:
     wide.write.csv(path, header=True)
 
 
+def write_table(rows: DataFrame, path: str) -> None:
+    """Bar tempos side by side, bar durations, histograms: CSV with a header, in as many files as the rows need."""
+    rows.write.csv(path, header=True)
+
+
 def write_references(references: DataFrame, ranges: DataFrame, path: str) -> None:
     """The references whose bar lies inside the snippet."""
     references.join(ranges.select("track_id", "first_bar", F.col("last_bar").alias("last")), "track_id").where("ref_bar BETWEEN first_bar AND last").drop("first_bar", "last").write.parquet(path)
