@@ -80,7 +80,10 @@ def snippet_references(bars: DataFrame, ranges: DataFrame, onsets: DataFrame, nu
 
 
 def loops(bars: DataFrame, ranges: DataFrame, length: int | Column) -> DataFrame:
-    """Loops of `length` bars from each range's first bar on; one that the track's boundaries don't complete is dropped."""
+    """Loops of `length` bars from each range's first bar on; one that the track's boundaries don't complete is dropped.
+
+    length: a number, a column, or an explode of several numbers.
+    """
     length = C.lit(length)
     rows = bars.join(ranges, "track_id").withColumn("L", length)
     starts = rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0")
@@ -157,8 +160,9 @@ def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration:
         method("per_snippet", moved, snippet_phases(ticks, refs, False, steps)),
         method("per_snippet_remapped", moved, snippet_phases(ticks, refs, True, steps)),
     ]
-    wanted = [(f"standard_L{n}", F.lit(n)) for n in lengths]
-    sources = [loops(bars, ranges, n).withColumn("method", F.lit(m)) for m, n in wanted]
+    # all lengths at once: one join of the bars with themselves, not one for each length
+    standard = loops(bars, ranges, F.explode(F.array(*map(F.lit, lengths))))
+    sources = [standard.withColumn("method", F.concat(F.lit("standard_L"), F.col("L").cast("string")))]
     if patterns is not None:
         long = bars.join(patterns, "track_id")
         rows = long.join(ranges, "track_id")
