@@ -12,8 +12,8 @@ that merely share them don't meet.
 
 1. Each text is profiled: size and digest of its set. Texts with equal sets are one from here on.
 2. Prefixes in the first order are dealt out by member; only members with two sets or more stay.
-3. Every member's sets are compared with one of them, chosen by hash. Pairs must pass the sizes and the prefixes of the
-   other orders; then their sets are intersected exactly. The links found make classes.
+3. Every member's sets are compared with one of them, chosen by hash. Pairs must pass the sizes, a sample of their
+   sets and the prefixes of the other orders; then their sets are intersected exactly. The links found make classes.
 4. What could still join two classes is compared too: in each member's list, all pairs of sets of different classes.
    So no link between classes is missed, and large groups of similar documents never emit all their pairs.
 
@@ -199,6 +199,56 @@ def _may_link(percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (a - F.col("place") >= least) & (b - F.col("pivot_place") >= least)
 
 
+TEXTS = "digest long, size int, sample binary, text string"
+
+
+def with_samples(rows: DataFrame, n: int) -> DataFrame:
+    """rows (digest, text) with the set's size and a sample of it, as a table; rows whose text has another digest go.
+
+    The sample is by a hash, the same for all sets: a quarter of the n-grams, 32 bits of each, sorted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                ids = part.column("digest").to_pylist()
+                sets = shingle_sets(part.column("text"), n)
+                keep = [bool(len(s)) and digest(s) == d for s, d in zip(sets, ids, strict=True)]
+                samples = []
+                for s, k in zip(sets, keep, strict=True):
+                    if k:
+                        h = mixed(s, 90)
+                        samples.append(np.unique((h[h < np.uint64(1 << 62)] >> np.uint64(30)).astype("<u4")).tobytes())
+                part = part.filter(pa.array(keep, pa.bool_()))
+                sizes = [len(s) for s, k in zip(sets, keep, strict=True) if k]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(sizes, pa.int32()), pa.array(samples, pa.binary()), part.column("text")], ["digest", "size", "sample", "text"])
+
+    return save(rows.select("digest", "text").mapInArrow(run, TEXTS), "texts")
+
+
+def likely(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose samples don't rule a link out.
+
+    Linked sets differ in a + b - 2 * least members at most, and so do samples of them. Pairs that merely share a
+    passage go here, for the price of their samples instead of their texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("size_a", "size_b", "sample_a", "sample_b")]
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b, x, y) in enumerate(zip(*columns, strict=True)):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                least = (percent * (a + b) + 99 + percent) // (100 + percent)
+                keep[i] = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) <= a + b - 2 * least
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def side(k: str) -> DataFrame:
+        return texts.select(F.col("digest").alias(k), F.col("size").alias(f"size_{k}"), F.col("sample").alias(f"sample_{k}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, classes, orders: int) -> DataFrame:
     """The pairs (a, b of digests) that link. texts: digest, text. Prefixes of the further orders first, then the sets."""
 
@@ -229,6 +279,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, classes,
                         b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
+    pairs = save(likely(pairs, texts, percent), "likely")
     with_a = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     return save(with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
@@ -244,7 +295,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, orders: int = ORDERS)
 
     wanted = lists.select("digest").distinct()
     first = rows.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    texts = save(docs.select("doc_id", "text").join(first.join(wanted, "digest"), "doc_id").select("digest", "text"), "texts")
+    texts = with_samples(docs.select("doc_id", "text").join(first.join(wanted, "digest"), "doc_id"), n)
 
     a, b = F.least("digest", "pivot"), F.greatest("digest", "pivot")
     pivot = lists.groupBy("member").agg(F.min_by(F.struct("digest", "size", "place"), F.struct("place", F.xxhash64("member", "digest"))).alias("p"))
