@@ -388,6 +388,40 @@ def test_model_without_training_rows(spark, rows):
     assert all(r.train_tokens == 0 and r.score == 0 for r in pitman_yor.held_out_scores(docs).collect())
 
 
+def model_pairs(docs):
+    """Pairs (context, word) of hashes in the texts, with counts."""
+    out = Counter()
+    for _, t, _ in docs:
+        tokens, counts = pitman_yor._with_ends(pa.array([t or ""]))
+        out.update(zip(pitman_yor._contexts(tokens, counts).view(np.int64).tolist(), tokens.view(np.int64).tolist(), strict=True))
+    return out
+
+
+def test_every_pair_counts(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(words(rng, 30, "u", 60)), "a") for i in range(40)] + [(40, "u1 u2 u1 u2 new u1 other", "a")]
+    pairs = model_pairs(texts[:40])
+    _, counted = pitman_yor.gather(table(spark, texts[:40]))
+    assert {(r.context, r.word): r.c for r in counted.collect()} == pairs and min(pairs.values()) == 1
+    # hardly anything is broadcast, and most is
+    for word_share, pair_share in ((0.02, 0.5), (1e-6, 2e-6)):
+        model = pitman_yor.fit(table(spark, texts[:40]), word_share, pair_share, sweeps=3, burn_in=1)
+        own = {(r.context, r.word): r.own for r in model["own"].collect()}
+        assert set(own) == set(pairs) and all(pairs[k] - 0.75 * pairs[k] <= x <= pairs[k] - 0.75 for k, x in own.items())
+        ps, backs, totals = ({**dict(zip(model[k].tolist(), model[x], strict=True))} for k, x in (("key", "ps"), ("contexts", "backs"), ("contexts", "totals")))
+        for r in model["rare"].collect():
+            ps[r.word], backs[r.word], totals[r.word] = np.array(r.ps), np.array(r.backs), r.c
+        assert len(model["pair"]) <= 1 / pair_share and (word_share < 0.01 or len(model["key"]) < len(ps))
+
+        def chance(context, word, own=own, ps=ps, backs=backs, totals=totals, model=model):
+            p, back = ps.get(word, np.array(model["unknown_ps"])), backs.get(context, np.ones(2))
+            return own.get((context, word), 0.0) / (1 + totals.get(context, 0)) + (back * p).mean()
+
+        for r in pitman_yor.score(table(spark, texts), model).collect():
+            got = model_pairs([texts[r.doc_id]])
+            assert r.score == pytest.approx(sum(n * math.log10(chance(*k)) for k, n in got.items()), rel=1e-6)
+
+
 # --- quality rules
 
 

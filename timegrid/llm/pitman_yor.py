@@ -8,10 +8,11 @@ Seating is sampled in sweeps of blocked Gibbs: in a restaurant each dish's custo
 after the other by the Chinese-restaurant rule, given the table totals of the sweep before. Predictive probabilities
 are averaged over the sweeps after the first ones.
 
-What is kept: the parent has every word of the training texts, a table that grows with them and is joined by hash,
-never collected. Contexts keep dishes whose pair makes at least `pair_share` of all tokens; a pruned pair's customers
-go on to the parent, each as a table of its own, and the context gives their mass to the parent's word probabilities.
-That bounds what is broadcast: at most 1 / word_share words and 1 / pair_share pairs, at any corpus size.
+What is kept: every word and every pair of the training texts is counted, in tables that grow with them and are joined
+by hash, never collected. A pair that occurs once has one table in any seating, so only pairs that occur twice or more
+are seated. Broadcast are shortcuts: the words (as words and as contexts) that make `word_share` of all tokens, at most
+1 / word_share, and the most frequent pairs, at most 1 / pair_share. They save joins and change no result. Seatings are
+drawn by task; a run on other partitions draws others.
 
 Words are runs between ASCII blanks with A-Z lowered; each text ends with one end token. A word stands as its 64-bit
 hash. Defined cases: null, empty and blank texts are the end token alone; repeated rows are scored each, and counted
@@ -25,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +55,11 @@ def _contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts in the training texts: words (word, c) and pairs (context, word, c).
 
-    A task counts all its words, and the pairs that occur more than once in one of its slices of text; pairs that are
-    frequent enough to be kept lose next to nothing by that, and what they lose counts as pruned.
+    A task sums its words, and the pairs of each slice of text; Spark sums those again before they are dealt.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = Tally(), {}
+        words = Tally()
         none = np.zeros(0, np.int64)
 
         def out(a: np.ndarray, b: np.ndarray | None, c: np.ndarray) -> pa.RecordBatch:
@@ -74,8 +73,7 @@ def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 words.add(tokens)
                 before = _contexts(tokens, counts)
                 _, at, c = np.unique(mixed(before, 1) + tokens, return_index=True, return_counts=True)
-                often = c > 1
-                yield out(tokens[at[often]], before[at[often]], c[often].astype(np.int64))
+                yield out(tokens[at], before[at], c.astype(np.int64))
                 if words.full():
                     k, n = words.take()
                     yield out(k, None, n)
@@ -83,26 +81,30 @@ def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield out(k, None, n)
 
     rows = docs.select("text").mapInArrow(run, "context long, word long, c long")
-    counts = save(rows.groupBy("context", "word").agg(F.sum("c").alias("c")).where("context IS NULL OR c > 2"), "counts")
+    counts = save(rows.groupBy("context", "word").agg(F.sum("c").alias("c")), "counts")
     return counts.where("context IS NULL").select("word", "c"), counts.where("context IS NOT NULL")
 
 
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator, grow: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables of each dish after its customers sat down one by one.
 
-    strength: (concentration + discount * tables of the restaurant) * base probability. With k customers at t tables,
-    the next opens one with probability strength / (strength + k - discount * t). The first 64 customers are seated
+    strength: (concentration + discount * tables of the restaurant's other dishes) * base probability; each table of the
+    dish itself adds grow. With k customers at t tables, the next opens one with probability s / (s + k - discount * t),
+    s = strength + grow * t. The first 64 customers are seated
     singly; after that blocks of a twentieth of those seated sit down at once, with the chance at the block's middle.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     for k in range(1, int(min(64, customers.max(initial=0)))):
-        open_ = rng.random(len(customers)) * (strength + k - discount * tables) < strength
+        now = strength + grow * tables
+        open_ = rng.random(len(customers)) * (now + k - discount * tables) < now
         tables += open_ & (customers > k)
     late = np.flatnonzero(customers > 64)
+    grow = np.broadcast_to(grow, len(customers))
     at = np.full(len(late), 64)
     while len(late):
         block = np.minimum(np.ceil(0.05 * at).astype(np.int64), customers[late] - at)
-        chance = strength[late] / (strength[late] + at + block / 2 - discount * tables[late])
+        now = strength[late] + grow[late] * tables[late]
+        chance = now / (now + at + block / 2 - discount * tables[late])
         tables[late] += rng.binomial(block, np.clip(chance, 0.0, 1.0))
         at = at + block
         on = at < customers[late]
@@ -115,152 +117,277 @@ def discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
 
 
+def _find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(sorted_, asked), len(sorted_) - 1)
+    return at, sorted_[at] == asked
+
+
+def _numbers(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _by_place(rows: DataFrame, place: str, value: Column, size: int) -> np.ndarray:
+    """Sums of value by the place in a broadcast array, as an array; bounded like the array."""
+    sums = rows.where(F.col(place) >= 0).groupBy(place).agg(F.sum(value).alias("x")).toPandas()
+    out = np.zeros(size, np.int64)
+    out[sums[place].to_numpy(np.int64)] = sums["x"].to_numpy(np.int64)
+    return out
+
+
+def _placed(pairs: DataFrame, key: np.ndarray, contexts: np.ndarray) -> DataFrame:
+    """pairs with the places of word (wi) and context (ci) in the sorted arrays, -1 where they are not there."""
+    arrays = pairs.sparkSession.sparkContext.broadcast((key, contexts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for column, sorted_ in zip(("word", "context"), arrays.value, strict=True):
+                at, there = _find(sorted_, batch.column(column).to_numpy(zero_copy_only=False))
+                places.append(pa.array(np.where(there, at, -1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("context", "word", "c")), *places], ["context", "word", "c", "wi", "ci"])
+
+    return pairs.select("context", "word", "c").mapInArrow(run, "context long, word long, c long, wi int, ci int")
+
+
 def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 1) -> dict:
-    """The model: totals, discounts, `rare` (word, c, p) as a table, and arrays for what is broadcast."""
+    """The model: totals and discounts; `rare` (word, c, p, ps, backs) and `own` (context, word, own) as tables; and
+    arrays of what is broadcast. ps and backs have a value for each kept sweep."""
     words, pairs = gather(docs)
     n, v, ones, twos = words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n, v = int(n or 0), int(v)
     d0, theta0, d1, theta1 = discount_of(ones, twos), 1.0, 0.75, 1.0
-    often = words.where(F.col("c") >= max(1.0, word_share * n)).toPandas()
+    spark, kept = docs.sparkSession, sweeps - burn_in
+    is_often = F.col("c") >= max(1.0, word_share * n)
+    often = words.where(is_often).toPandas()
     key, c = often["word"].to_numpy(np.int64), often["c"].to_numpy(np.int64)
     by_key = np.argsort(key)
     key, c = key[by_key], c[by_key]
-
-    kept = pairs.where(F.col("c") >= max(3.0, pair_share * n))
-    contexts = kept.select("context").distinct()
-    totals = words.withColumnRenamed("word", "context").withColumnRenamed("c", "total").join(contexts, "context")
+    # as contexts: the same words, and the start
     starts = docs.count()
-    base = words.select("word", (F.col("c") / F.lit(float(max(n, 1)))).alias("p"))
-    dishes = kept.join(base, "word").join(totals, "context", "left")
-    dishes = dishes.withColumn("total", F.coalesce("total", F.lit(starts)))
-
-    def restaurants(dish: pd.DataFrame) -> pd.DataFrame:
-        """Sweeps of some context restaurants at once; the kept dishes are bounded, pruned customers are the total's rest."""
-        dish = dish.sort_values(["context", "word"])
-        rng = np.random.default_rng([seed, int(dish["bucket"].iloc[0])])
-        customers, p = dish["c"].to_numpy(np.int64), dish["p"].to_numpy()
-        _, first, room = np.unique(dish["context"].to_numpy(), return_index=True, return_inverse=True)
-        seated = np.bincount(room, customers)
-        total = np.maximum(dish["total"].to_numpy()[first], seated)
-        pruned = total - seated
-        tables, mass, back, mean = np.ones(len(dish), np.int64), 0.0, 0.0, 0.0
-        for sweep in range(sweeps):
-            others = (np.bincount(room, tables) + pruned)[room] - tables
-            tables = seat(customers, (theta1 + d1 * others) * p, d1, rng)
-            if sweep >= burn_in:
-                mass = mass + (customers - d1 * tables) / (theta1 + total[room]) / (sweeps - burn_in)
-                back = back + ((theta1 + d1 * np.bincount(room, tables) + pruned) / (theta1 + total))[room] / (sweeps - burn_in)
-                mean = mean + tables / (sweeps - burn_in)
-        return pd.DataFrame({"context": dish["context"], "word": dish["word"], "mass": mass, "back": back, "c": customers, "tables": mean})
-
-    dishes = dishes.withColumn("bucket", F.pmod(F.xxhash64("context"), F.lit(256)))
-    # few bytes but much work: not to be merged into one task
-    seated = dishes.repartition(64, "bucket").groupBy("bucket").applyInPandas(restaurants, "context long, word long, mass double, back double, c long, tables double").toPandas()
-    # customers that the contexts send on: one for each table instead of one for each token
-    fewer = (seated["c"] - seated["tables"]).groupby(seated["word"]).sum()
-    sent = np.maximum(1, c - np.rint(fewer.reindex(key).fillna(0).to_numpy()).astype(np.int64))
-    customers_total = n - int((c - sent).sum())
-
-    # the parent: every word's tables given the last sweep's total; words of one count share their chances, not their draws
-    rare = words.where(F.col("c") < max(1.0, word_share * n))
-    histogram = rare.groupBy("c").agg(F.count(F.lit(1)).alias("words")).toPandas()
-    rare_c, rare_n = histogram["c"].to_numpy(np.int64), histogram["words"].to_numpy(np.int64)
-    rng = np.random.default_rng([seed, 0])
-    total, p_often, p_rare, back0 = float(v), np.zeros(len(c)), np.zeros(len(rare_c)), 0.0
+    contexts = np.append(key, START.view(np.int64))
+    by_context = np.argsort(contexts)
+    contexts, totals = contexts[by_context], np.append(c, starts)[by_context]
+
+    # how many pairs each word ends and begins: its tables if each pair has one
+    ends = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("ends"))
+    begins = pairs.groupBy(F.col("context").alias("word")).agg(F.count(F.lit(1)).alias("begins"))
+    kinds = save(words.join(ends, "word", "left").join(begins, "word", "left").select("word", "c", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("begins", F.lit(0)).alias("begins")), "kinds")
+    at_key = kinds.where(is_often).toPandas().set_index("word").reindex(key)
+    often_ends = at_key["ends"].to_numpy(np.int64)
+    start_kinds = pairs.where(F.col("context") == int(START.view(np.int64))).count()
+    often_begins = np.append(at_key["begins"].to_numpy(np.int64), start_kinds)[by_context]
+    rare_kinds = kinds.where(~is_often)
+
+    # dishes of two customers and more, with their tables (t) and those of the kept sweeps (ts)
+    dishes = _placed(pairs.where("c > 1"), key, contexts)
+    dishes = save(dishes.withColumn("t", F.lit(1).cast("long")).withColumn("ts", F.array().cast("array<long>")), "dishes")
+    near = (F.col("wi") >= 0) & (F.col("ci") >= 0)
+    more = F.col("t") - 1
+    rare = save(rare_kinds.select("word", F.col("ends").alias("m"), F.lit(1).cast("long").alias("t"), F.array().cast("array<double>").alias("own")), "rare")
+    sent, often_t, total = often_ends, np.ones(len(key), np.int64), float(v)
+    customers = float(pairs.count())
+    owns, shares, sizes, often_backs = [], [], [], []
+
+    def context_tables() -> np.ndarray:
+        return often_begins + _by_place(dishes, "ci", more, len(contexts))
+
     for sweep in range(sweeps):
-        strength = (theta0 + d0 * total) / (v + 1)
-        tables = seat(sent, np.full(len(sent), strength), d0, rng)
-        # a sample of seatings of each count stands for all words that have it; the sample is bounded, the total is not
-        drawn = np.minimum(rare_n, 1000)
-        each = seat(np.repeat(rare_c, drawn), np.full(int(drawn.sum()), strength), d0, rng)
-        ends = np.cumsum(drawn)
-        sums = np.concatenate([[0], np.cumsum(each)])
-        rare_mean = (sums[ends] - sums[ends - drawn]) / np.maximum(drawn, 1)
-        total = float(tables.sum() + (rare_mean * rare_n).sum())
+        # contexts, given the parent's probabilities and the totals of the sweep before
+        share = (theta0 + d0 * total) / (theta0 + customers) / (v + 1)
+        p_often = c / max(1, n)
+        rare_p = words.where(~is_often).select("word", (F.col("c") / F.lit(float(max(1, n)))).alias("p"))
+        rare_tables = dishes.where("ci < 0").groupBy("context").agg(F.sum(more).alias("more")).join(rare_kinds.select(F.col("word").alias("context"), "begins"), "context")
+        rare_tables = rare_tables.select("context", (F.col("begins") + F.col("more")).alias("tables"))
+        far = dishes.where(~near).join(rare_p, "word", "left").join(rare_tables, "context", "left")
+        known = dishes.where(near).withColumns({"p": F.lit(None).cast("double"), "tables": F.lit(None).cast("long")})
+        given = spark.sparkContext.broadcast((p_often, context_tables()))
+
+        def serve(batches: Iterator[pa.RecordBatch], given=given, sweep=sweep) -> Iterator[pa.RecordBatch]:
+            ps, tables = given.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                wi, ci, guests, t = (_numbers(batch.column(k), np.int64) for k in ("wi", "ci", "c", "t"))
+                p = np.where(wi >= 0, ps[wi] if len(ps) else 0.0, _numbers(batch.column("p")))
+                others = np.where(ci >= 0, tables[ci], _numbers(batch.column("tables"))) - t
+                names = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("context", "word")]
+                rng = np.random.default_rng([seed, 1, sweep, int(mixed(names[0], 1)[0] ^ names[1][0])])
+                t = seat(guests, (theta1 + d1 * others) * p, d1, rng)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("context", "word", "c", "wi", "ci")), pa.array(t), batch.column("ts")], ["context", "word", "c", "wi", "ci", "t", "ts"])
+
+        columns = ["context", "word", "c", "wi", "ci", "t", "ts", "p", "tables"]
+        seated = known.select(*columns).unionByName(far.select(*columns)).mapInArrow(serve, "context long, word long, c long, wi int, ci int, t long, ts array<long>")
+        if sweep >= burn_in:
+            seated = seated.withColumn("ts", F.concat("ts", F.array("t")))
+        dishes = save(seated, "dishes")
+
+        # the parent, given a customer for each of the contexts' tables
+        sent = often_ends + _by_place(dishes, "wi", more, len(key))
+        rng = np.random.default_rng([seed, 0, sweep])
+        grow = d0 / (v + 1)
+        often_t = seat(sent, theta0 / (v + 1) + grow * (total - often_t), d0, rng, grow)
+        extra = dishes.where("wi < 0").groupBy("word").agg(F.sum(more).alias("more"))
+        asked = rare.select("word", "t", "own").join(rare_kinds.select("word", "ends"), "word").join(extra, "word", "left")
+        asked = asked.select("word", (F.col("ends") + F.coalesce("more", F.lit(0))).alias("m"), "t", "own")
+
+        def reseat(batches: Iterator[pa.RecordBatch], sweep=sweep, total=total, grow=grow) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                m, t = (_numbers(batch.column(k), np.int64) for k in ("m", "t"))
+                rng = np.random.default_rng([seed, 2, sweep, int(batch.column("word")[0].as_py()) & 0xFFFFFFFFFFFFFFFF])
+                t = seat(m, theta0 / (v + 1) + grow * (total - t), d0, rng, grow)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(m), pa.array(t), batch.column("own")], ["word", "m", "t", "own"])
+
+        reseated = asked.mapInArrow(reseat, "word long, m long, t long, own array<double>")
         if sweep >= burn_in:
-            share = (theta0 + d0 * total) / (theta0 + customers_total)
-            p_often += (sent - d0 * tables) / (theta0 + customers_total) + share / (v + 1)
-            p_rare += (rare_c - d0 * rare_mean) / (theta0 + customers_total) + share / (v + 1)
-            back0 += share / (v + 1)
-    kept_sweeps = sweeps - burn_in
-    p_often, p_rare, back0 = p_often / kept_sweeps, p_rare / kept_sweeps, (back0 / kept_sweeps if n else 1.0)
-    by_count = docs.sparkSession.createDataFrame(pd.DataFrame({"c": rare_c, "p": p_rare}), "c long, p double")
-    seated = seated.sort_values(["context", "word"])
+            reseated = reseated.withColumn("own", F.concat("own", F.array(F.col("m") - F.lit(d0) * F.col("t"))))
+        rare = save(reseated, "rare")
+        rare_m, rare_t = rare.agg(F.sum("m"), F.sum("t")).first()
+        customers, total = float(sent.sum() + (rare_m or 0)), float(often_t.sum() + (rare_t or 0))
+        if sweep >= burn_in:
+            sizes.append(theta0 + customers)
+            shares.append((theta0 + d0 * total) / (theta0 + customers) / (v + 1))
+            owns.append(sent - d0 * often_t)
+            often_backs.append((theta1 + d1 * context_tables()) / (theta1 + totals))
+
+    often_ps = np.stack([x / size + share for x, size, share in zip(owns, sizes, shares, strict=True)], axis=1)
+    ps = F.array(*((F.get("own", F.lit(i)) / F.lit(sizes[i]) + F.lit(shares[i])) for i in range(kept)))
+    tables = dishes.where("ci < 0").groupBy(F.col("context").alias("word")).agg(F.array(*(F.sum(F.get("ts", F.lit(i)) - 1) for i in range(kept))).alias("more"))
+    backs = F.array(*((F.lit(theta1) + F.lit(d1) * (F.col("begins") + F.coalesce(F.get("more", F.lit(i)), F.lit(0)))) / (F.lit(theta1) + F.col("c")) for i in range(kept)))
+    rare = rare.select("word", ps.alias("ps")).join(rare_kinds, "word").join(tables, "word", "left").select("word", "c", "ps", backs.alias("backs"))
+    rare = save(rare.withColumn("p", F.aggregate("ps", F.lit(0.0), lambda a, x: a + x) / kept), "rare")
+
+    # customers of a pair less the discount of its tables; a pair of one customer has one table
+    mean = F.aggregate("ts", F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(float(kept))
+    own = pairs.where("c = 1").select("context", "word", "c", F.lit(1.0 - d1).alias("own")).unionByName(dishes.select("context", "word", "c", (F.col("c") - F.lit(d1) * mean).alias("own")))
+    counts = sorted(((r["c"], r["count"]) for r in pairs.groupBy("c").count().collect()), reverse=True)
+    fits = [x for (x, _), below in zip(counts, np.cumsum([k for _, k in counts]), strict=True) if below <= 1 / pair_share]
+    shortcut = own.where(F.col("c") >= (min(fits) if fits else 1 << 62)).join(rare.select(F.col("word").alias("context"), F.col("c").alias("total"), "backs"), "context", "left")
+    shortcut = shortcut.select("context", "word", "own", "total", (F.aggregate("backs", F.lit(0.0), lambda a, x: a + x) / kept).alias("back")).toPandas()
+    at, there = _find(contexts, shortcut["context"].to_numpy(np.int64))
+    often_backs = np.stack(often_backs, axis=1)
+    total_ = np.where(there, totals[at], shortcut["total"].to_numpy(float))
+    shortcut["mass"] = shortcut["own"].to_numpy(float) / (theta1 + total_)
+    shortcut["back"] = np.where(there, often_backs[at].mean(axis=1), shortcut["back"].to_numpy(float))
     return {
-        "n": n, "v": v, "unknown": back0, "key": key, "count": c, "p": p_often,
-        "pair": seated[["context", "word", "mass", "back"]], "rare": rare.join(F.broadcast(by_count), "c").select("word", "c", "p"),
+        "n": n, "v": v, "unknown": float(np.mean(shares)) if n else 1.0, "unknown_ps": shares if n else [1.0] * kept, "theta1": theta1,
+        "key": key, "count": c, "p": often_ps.mean(axis=1), "ps": often_ps, "contexts": contexts, "totals": totals, "backs": often_backs,
+        "pair": shortcut[["context", "word", "mass", "back"]].sort_values(["context", "word"]), "rare": rare, "own": own.select("context", "word", "own"),
     }
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every text's n_tokens, n_known, train_tokens, base_score and score, with the columns `keep` of docs.
 
-    Tokens whose probability is broadcast are summed where the text is. For each other distinct word of a text a row
-    goes to the table of words by hash; a word that is not there is unknown.
+    A token's probability is the mean over the kept sweeps of mass + back * p. Tokens for which all of it is broadcast
+    are summed where the text is. For each other distinct pair of a text a row goes by hash to the table of rare words,
+    for its word and for its context where these are not broadcast, and to the table of pairs; what is not there is
+    unknown.
     """
-    n, v = model["n"], model["v"]
+    n, v, theta1 = model["n"], model["v"], model["theta1"]
     floor = n + 0.5 * (v + 1)
-    key = model["key"].view(np.uint64)
-    up = np.argsort(key)
     pair = model["pair"]
     pair_key = mixed(pair["context"].to_numpy(np.int64).view(np.uint64), 1) + pair["word"].to_numpy(np.int64).view(np.uint64)
     pair_up = np.argsort(pair_key)
-    context = pair.drop_duplicates("context")
-    context_key = context["context"].to_numpy(np.int64).view(np.uint64)
-    context_up = np.argsort(context_key)
     tables = docs.sparkSession.sparkContext.broadcast({
-        "key": key[up], "count": model["count"][up], "p": model["p"][up],
+        **{k: model[k] for k in ("key", "count", "ps", "contexts", "totals", "backs")},
         "pair": pair_key[pair_up], "mass": pair["mass"].to_numpy(float)[pair_up],
-        "context": context_key[context_up], "back": context["back"].to_numpy(float)[context_up],
     })
 
-    def find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sorted_):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(sorted_, asked), len(sorted_) - 1)
-        return at, sorted_[at] == asked
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables.value
         for batch in batches:
             for part in slices(batch):
                 tokens, counts = _with_ends(part.column("text"))
                 before = _contexts(tokens, counts)
-                distinct, inverse = np.unique(tokens, return_inverse=True)
-                at, known = find(t["key"], distinct)
-                c = np.where(known, t["count"][at] if len(t["key"]) else 0, 0)[inverse]
-                p = np.where(known, t["p"][at] if len(t["key"]) else 0, 0.0)[inverse]
-                known = known[inverse]
-                places, inverse_before = np.unique(before, return_inverse=True)
-                at, there = find(t["context"], places)
-                back = np.where(there, t["back"][at] if len(t["context"]) else 1.0, 1.0)[inverse_before]
-                at, there = find(t["pair"], mixed(before, 1) + tokens)
-                mass = np.where(there, t["mass"][at] if len(t["pair"]) else 0.0, 0.0)
-                logs = np.log10(np.where(known, mass + back * p, back))
-                base = np.where(known, np.log10((c + 0.5) / floor), 0.0)
-                ends = np.cumsum(counts)
+                names = mixed(before, 1) + tokens
                 text = np.repeat(np.arange(len(counts)), counts)
-
-                def sums(x: np.ndarray, text=text, counts=counts) -> np.ndarray:
-                    return np.bincount(text, x, len(counts))
-
-                left = np.flatnonzero(~known)
-                word, owner = tokens[left].view(np.int64), text[left]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32)
+                # distinct pairs of the slice, then of each text
+                _, first, which = np.unique(names, return_index=True, return_inverse=True)
+                word, context = tokens[first].view(np.int64), before[first].view(np.int64)
+                wi, word_known = _find(t["key"], word)
+                ci, context_known = _find(t["contexts"], context)
+                at, short = _find(t["pair"], names[first])
+                x = np.zeros(len(first))
+                both = np.flatnonzero(word_known & context_known)
+                x[both] = (t["ps"][wi[both]] * t["backs"][ci[both]]).mean(axis=1)
+                size = np.where(context_known, theta1 + t["totals"][ci], 0.0)
+                done = word_known & context_known & short
+                logs = np.zeros(len(first))
+                logs[done] = np.log10(t["mass"][at[done]] + x[done])
+                base = np.zeros(len(first))
+                base[word_known] = np.log10((t["count"][wi[word_known]] + 0.5) / floor)
+
+                def sums(y: np.ndarray, text=text, counts=counts) -> np.ndarray:
+                    return np.bincount(text, y, len(counts))
+
+                left = np.flatnonzero(~done[which])
+                asked, times = np.unique(text[left] * len(first) + which[left], return_counts=True)
+                owner, pair_ = asked // len(first), asked % len(first)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32))
+                rows = pa.StructArray.from_arrays([
+                    pa.array(context[pair_]), pa.array(word[pair_]), pa.array(times.astype(np.int32)), pa.array(x[pair_]), pa.array(size[pair_]),
+                    pa.array(word_known[pair_]), pa.array(context_known[pair_]), pa.array(wi[pair_].astype(np.int32)), pa.array(ci[pair_].astype(np.int32)),
+                ], ["context", "word", "n", "x", "size", "wk", "ck", "wi", "ci"])
                 columns = [part.column(k) for k in ("doc_id", *keep)]
-                columns += [pa.array(counts), pa.array(sums(known).astype(np.int64)), pa.array(sums(base)), pa.array(sums(logs)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(word))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_tokens", "n_known", "base_score", "score", "words"])
+                columns += [pa.array(counts), pa.array(sums(word_known[which]).astype(np.int64)), pa.array(sums(base[which])), pa.array(sums(logs[which])), pa.ListArray.from_arrays(offsets, rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_tokens", "n_known", "base_score", "score", "pairs"])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep]
-    sums = docs.select("doc_id", *keep, "text").mapInArrow(run, ", ".join(["doc_id long", *kept, "n_tokens long", "n_known long", "base_score double", "score double", "words array<long>"]))
+    pairs_type = "array<struct<context:long,word:long,n:int,x:double,size:double,wk:boolean,ck:boolean,wi:int,ci:int>>"
+    sums = docs.select("doc_id", *keep, "text").mapInArrow(run, ", ".join(["doc_id long", *kept, "n_tokens long", "n_known long", "base_score double", "score double", f"pairs {pairs_type}"]))
     sums = save(sums.withColumn("_row", F.monotonically_increasing_id()), "sums")
-    asked = sums.select("_row", F.explode("words").alias("word"))
-    unknown = (math.log10(0.5 / floor), math.log10(model["unknown"]))
-    rare = model["rare"].select("word", F.log10((F.col("c") + 0.5) / floor).alias("lb"), F.log10("p").alias("ls"))
-    answered = asked.join(rare, "word", "left").groupBy("_row").agg(
-        F.count("lb").alias("known"), F.sum(F.coalesce("lb", F.lit(unknown[0]))).alias("lb"), F.sum(F.coalesce("ls", F.lit(unknown[1]))).alias("ls")
-    )
-    out = sums.drop("words").join(answered, "_row", "left")
+    asked = sums.select("_row", F.explode("pairs").alias("a")).select("_row", "a.*")
+    name = F.xxhash64("context", "word").alias("name")
+    whole = asked.where("wk AND ck").select("_row", name, "n", "x", "size", F.lit(0).alias("known"), F.lit(0.0).alias("lb"))
+
+    # tokens whose word or context is rare or unknown
+    part = asked.where("NOT (wk AND ck)").select("_row", "context", "word", "n", "size", "wk", "ck", "wi", "ci")
+    rare_words = model["rare"].select("word", F.col("c").alias("wc"), "ps")
+    rare_contexts = model["rare"].select(F.col("word").alias("context"), F.col("c").alias("cc"), "backs")
+    part = part.join(rare_words, "word", "left").join(rare_contexts, "context", "left")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tables.value
+        unknown = np.array(model_unknown)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+
+            def vectors(column: str, at: str, known: str, table: np.ndarray, other: np.ndarray, batch=batch) -> np.ndarray:
+                values = batch.column(column)
+                out = np.tile(other, (len(values), 1))
+                there = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+                if len(there):
+                    out[there] = values.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(there), -1)
+                often = np.flatnonzero(batch.column(known).to_numpy(zero_copy_only=False))
+                if len(often):
+                    out[often] = table[_numbers(batch.column(at), np.int64)[often]]
+                return out
+
+            p = vectors("ps", "wi", "wk", t["ps"], unknown)
+            back = vectors("backs", "ci", "ck", t["backs"], np.ones(len(unknown)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("_row", "name", "n")), pa.array((p * back).mean(axis=1)), batch.column("size"), batch.column("known"), batch.column("lb")], ["_row", "name", "n", "x", "size", "known", "lb"])
+
+    model_unknown = list(model["unknown_ps"])
+    # what the word itself adds to n_known and base_score: nothing where the task that tokenised has added it
+    lb = F.when(F.col("wk"), F.lit(0.0)).otherwise(F.log10((F.coalesce("wc", F.lit(0)) + 0.5) / F.lit(floor)))
+    part = part.select(
+        "_row", name, "n", F.when(F.col("ck"), F.col("size")).when(F.col("cc").isNotNull(), F.col("cc") + F.lit(theta1)).otherwise(F.lit(1.0)).alias("size"),
+        F.when(~F.col("wk") & F.col("wc").isNotNull(), 1).otherwise(0).alias("known"), lb.alias("lb"), "wk", "ck", "wi", "ci", "ps", "backs",
+    )
+    part = part.mapInArrow(weigh, "_row long, name long, n int, x double, size double, known int, lb double")
+
+    own = model["own"].select(name, F.col("own").cast("float").alias("own"))
+    answered = whole.unionByName(part).join(own, "name", "left")
+    answered = answered.groupBy("_row").agg(
+        F.sum(F.col("n") * F.col("known")).alias("known"), F.sum(F.col("n") * F.col("lb")).alias("lb"),
+        F.sum(F.col("n") * F.log10(F.coalesce(F.col("own") / F.col("size"), F.lit(0.0)) + F.col("x"))).alias("ls"),
+    )
+    out = sums.drop("pairs").join(answered, "_row", "left")
 
     def plus(a: str, b: str) -> Column:
         return (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
