@@ -422,6 +422,73 @@ def test_every_pair_counts(spark):
             assert r.score == pytest.approx(sum(n * math.log10(chance(*k)) for k, n in got.items()), rel=1e-6)
 
 
+def plain_restaurants(texts, sweeps, burn_in, d0, d1, rng):
+    """A Chinese-restaurant sampler customer by customer; mean probability of each pair (context, word) of known words."""
+    pairs = model_pairs(texts)
+    vocabulary = sorted({w for _, w in pairs})
+    v, tables, parent = len(vocabulary), {k: [] for k in pairs}, {w: [] for w in vocabulary}
+    guests = [k for k, c in pairs.items() for _ in range(c)]
+
+    def parent_p(w):
+        t, n = sum(map(len, parent.values())), sum(map(sum, parent.values()))
+        return (sum(parent[w]) - d0 * len(parent[w]) + (1 + d0 * t) / (v + 1)) / (1 + n)
+
+    def context_tables(u):
+        return sum(len(x) for (a, _), x in tables.items() if a == u)
+
+    def sit(at, d, new):
+        weights = [x - d for x in at] + [new]
+        i = rng.choices(range(len(weights)), weights)[0]
+        if i == len(at):
+            at.append(0)
+        at[i] += 1
+        return i == len(at) - 1 and at[i] == 1
+
+    def leave(at):
+        i = rng.choices(range(len(at)), at)[0]
+        at[i] -= 1
+        if not at[i]:
+            at.pop(i)
+            return True
+        return False
+
+    totals, mean = Counter(), Counter()
+    for (u, _), c in pairs.items():
+        totals[u] += c
+    for sweep in range(sweeps):
+        for u, w in guests:
+            if sweep and leave(tables[u, w]):
+                leave(parent[w])
+            if sit(tables[u, w], d1, (1 + d1 * context_tables(u)) * parent_p(w)):
+                t = sum(map(len, parent.values()))
+                sit(parent[w], d0, (1 + d0 * t) / (v + 1))
+        if sweep >= burn_in:
+            p = {w: parent_p(w) for w in vocabulary}
+            for u in totals:
+                back = (1 + d1 * context_tables(u)) / (1 + totals[u])
+                for w in vocabulary:
+                    mean[u, w] += ((pairs.get((u, w), 0) - d1 * len(tables.get((u, w), []))) / (1 + totals[u]) + back * p[w]) / (sweeps - burn_in)
+    return mean
+
+
+def test_contexts_and_parent_share_sweeps(spark):
+    # "only" follows one word alone, the others follow any
+    draw = random.Random(6)
+    texts = [(i, "see only see only " + " ".join(draw.choice("abcdef") for _ in range(12)), "a") for i in range(6)]
+    model = pitman_yor.fit(table(spark, texts), word_share=0.05, pair_share=0.1, sweeps=14, burn_in=4)
+    words_ = Counter()
+    for (_, w), c in model_pairs(texts).items():
+        words_[w] += c
+    ones, twos = (sum(c == k for c in words_.values()) for k in (1, 2))
+    want = plain_restaurants(texts, 400, 50, pitman_yor.discount_of(ones, twos), 0.75, random.Random(1))
+    ps, backs, totals = ({**dict(zip(model[k].tolist(), model[x], strict=True))} for k, x in (("key", "ps"), ("contexts", "backs"), ("contexts", "totals")))
+    for r in model["rare"].collect():
+        ps[r.word], backs[r.word], totals[r.word] = np.array(r.ps), np.array(r.backs), r.c
+    own = {(r.context, r.word): r.own for r in model["own"].collect()}
+    got = {(u, w): own.get((u, w), 0.0) / (1 + totals[u]) + float((backs[u] * ps[w]).mean()) for u, w in want}
+    assert max(abs(math.log(got[k] / want[k])) for k in want) < 0.25
+
+
 # --- quality rules
 
 

@@ -4,9 +4,9 @@ Two levels of restaurants. A context restaurant holds the words that followed on
 one parent, the restaurant of single words, whose own base is uniform over the vocabulary and one unknown word. A
 customer of a context restaurant that opens a table is a customer of the parent.
 
-Seating is sampled in sweeps of blocked Gibbs: in a restaurant each dish's customers are taken out and seated again one
-after the other by the Chinese-restaurant rule, given the table totals of the sweep before. Predictive probabilities
-are averaged over the sweeps after the first ones.
+Seating is sampled in sweeps of blocked Gibbs: the dishes of all contexts are reseated given the parent and the table
+totals of the sweep before, then the parent's given the contexts' tables. Predictive probabilities are averaged over the
+sweeps after the first ones.
 
 What is kept: every word and every pair of the training texts is counted, in tables that grow with them and are joined
 by hash, never collected. A pair that occurs once has one table in any seating, so only pairs that occur twice or more
@@ -22,8 +22,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ WORD_SHARE = 1e-6
 PAIR_SHARE = 2e-6
 SWEEPS = 6
 BURN_IN = 2
+#: Dishes of up to so many customers are reseated exactly.
+EXACT = 256
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -85,26 +88,22 @@ def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts.where("context IS NULL").select("word", "c"), counts.where("context IS NOT NULL")
 
 
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator, grow: np.ndarray | float = 0.0) -> np.ndarray:
+def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after its customers sat down one by one.
 
-    strength: (concentration + discount * tables of the restaurant's other dishes) * base probability; each table of the
-    dish itself adds grow. With k customers at t tables, the next opens one with probability s / (s + k - discount * t),
-    s = strength + grow * t. The first 64 customers are seated
+    strength: (concentration + discount * tables of the restaurant) * base probability. With k customers at t tables,
+    the next opens one with probability strength / (strength + k - discount * t). The first 64 customers are seated
     singly; after that blocks of a twentieth of those seated sit down at once, with the chance at the block's middle.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     for k in range(1, int(min(64, customers.max(initial=0)))):
-        now = strength + grow * tables
-        open_ = rng.random(len(customers)) * (now + k - discount * tables) < now
+        open_ = rng.random(len(customers)) * (strength + k - discount * tables) < strength
         tables += open_ & (customers > k)
     late = np.flatnonzero(customers > 64)
-    grow = np.broadcast_to(grow, len(customers))
     at = np.full(len(late), 64)
     while len(late):
         block = np.minimum(np.ceil(0.05 * at).astype(np.int64), customers[late] - at)
-        now = strength[late] + grow[late] * tables[late]
-        chance = now / (now + at + block / 2 - discount * tables[late])
+        chance = strength[late] / (strength[late] + at + block / 2 - discount * tables[late])
         tables[late] += rng.binomial(block, np.clip(chance, 0.0, 1.0))
         at = at + block
         on = at < customers[late]
@@ -112,6 +111,38 @@ def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.r
     return tables
 
 
+@functools.cache
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logs of the generalised Stirling numbers: the weight of c customers of a dish at t tables, by c and t."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, most + 1):
+            stay = np.log(np.maximum(0.0, c - 1 - discount * t)) + out[c - 1, 1:]
+            out[c, 1:] = np.logaddexp(out[c - 1, :-1], stay)
+    return out
+
+
+def reseated(customers: np.ndarray, chances: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float, rng: np.random.Generator, now: np.ndarray) -> np.ndarray:
+    """Tables of each dish in a Gibbs step, given the restaurant's other dishes and the tables that it has now.
+
+    chances(at, i): the strength (as for seat) of the dishes `at` when they have i tables. Up to EXACT customers the
+    tables are drawn from their exact conditional distribution, t tables with weight S(c, t) times the strengths at 1,
+    2, ... t - 1 tables. Larger dishes are seated by seat, with the strength at the tables that they have.
+    """
+    tables = np.minimum(customers, 1).astype(np.int64)
+    weights = log_stirling(discount)
+    for c in np.unique(customers[(customers > 1) & (customers <= EXACT)]):
+        at = np.flatnonzero(customers == c)[:, None]
+        factors = np.log(np.maximum(1e-300, chances(at, np.arange(1, c)[None, :])))
+        logs = weights[c, 1 : c + 1] + np.concatenate([np.zeros((len(at), 1)), np.cumsum(factors, axis=1)], axis=1)
+        tables[at[:, 0]] = 1 + np.argmax(logs + rng.gumbel(size=logs.shape), axis=1)
+    late = np.flatnonzero(customers > EXACT)
+    tables[late] = seat(customers[late], chances(late, now[late]), discount, rng)
+    return tables
+
+
 def discount_of(ones: int, twos: int) -> float:
     """The usual estimate from how many dishes have one and two customers, kept off the ends."""
     return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
@@ -196,28 +227,34 @@ def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAI
     for sweep in range(sweeps):
         # contexts, given the parent's probabilities and the totals of the sweep before
         share = (theta0 + d0 * total) / (theta0 + customers) / (v + 1)
-        p_often = c / max(1, n)
-        rare_p = words.where(~is_often).select("word", (F.col("c") / F.lit(float(max(1, n)))).alias("p"))
+        rare_p = rare.select("word", "m", F.col("t").alias("parent"))
         rare_tables = dishes.where("ci < 0").groupBy("context").agg(F.sum(more).alias("more")).join(rare_kinds.select(F.col("word").alias("context"), "begins"), "context")
         rare_tables = rare_tables.select("context", (F.col("begins") + F.col("more")).alias("tables"))
         far = dishes.where(~near).join(rare_p, "word", "left").join(rare_tables, "context", "left")
-        known = dishes.where(near).withColumns({"p": F.lit(None).cast("double"), "tables": F.lit(None).cast("long")})
-        given = spark.sparkContext.broadcast((p_often, context_tables()))
+        known = dishes.where(near).withColumns({k: F.lit(None).cast("long") for k in ("m", "parent", "tables")})
+        given = spark.sparkContext.broadcast((sent, often_t, context_tables()))
 
-        def serve(batches: Iterator[pa.RecordBatch], given=given, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            ps, tables = given.value
+        def serve(batches: Iterator[pa.RecordBatch], given=given, sweep=sweep, share=share, size=theta0 + customers) -> Iterator[pa.RecordBatch]:
+            of_word, parents, tables = given.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 wi, ci, guests, t = (_numbers(batch.column(k), np.int64) for k in ("wi", "ci", "c", "t"))
-                p = np.where(wi >= 0, ps[wi] if len(ps) else 0.0, _numbers(batch.column("p")))
+                m, parent = (np.where(wi >= 0, x[wi] if len(x) else 0, _numbers(batch.column(k))) for k, x in (("m", of_word), ("parent", parents)))
                 others = np.where(ci >= 0, tables[ci], _numbers(batch.column("tables"))) - t
                 names = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("context", "word")]
                 rng = np.random.default_rng([seed, 1, sweep, int(mixed(names[0], 1)[0] ^ names[1][0])])
-                t = seat(guests, (theta1 + d1 * others) * p, d1, rng)
+                rest = m - t  # the parent's customers from other contexts, and their part of its tables
+                parent = np.where(rest > 0, np.maximum(1.0, parent * rest / np.maximum(m, 1)), 0.0)
+
+                def chances(at: np.ndarray, i: np.ndarray, others=others, rest=rest, parent=parent) -> np.ndarray:
+                    p = np.maximum(0.0, rest[at] + i - d0 * np.maximum(parent[at], 1.0)) / size + share
+                    return (theta1 + d1 * (others[at] + i)) * p
+
+                t = reseated(guests, chances, d1, rng, t)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("context", "word", "c", "wi", "ci")), pa.array(t), batch.column("ts")], ["context", "word", "c", "wi", "ci", "t", "ts"])
 
-        columns = ["context", "word", "c", "wi", "ci", "t", "ts", "p", "tables"]
+        columns = ["context", "word", "c", "wi", "ci", "t", "ts", "m", "parent", "tables"]
         seated = known.select(*columns).unionByName(far.select(*columns)).mapInArrow(serve, "context long, word long, c long, wi int, ci int, t long, ts array<long>")
         if sweep >= burn_in:
             seated = seated.withColumn("ts", F.concat("ts", F.array("t")))
@@ -227,7 +264,7 @@ def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAI
         sent = often_ends + _by_place(dishes, "wi", more, len(key))
         rng = np.random.default_rng([seed, 0, sweep])
         grow = d0 / (v + 1)
-        often_t = seat(sent, theta0 / (v + 1) + grow * (total - often_t), d0, rng, grow)
+        often_t = reseated(sent, lambda at, i, t=often_t, total=total: theta0 / (v + 1) + grow * (total - t[at] + i), d0, rng, often_t)
         extra = dishes.where("wi < 0").groupBy("word").agg(F.sum(more).alias("more"))
         asked = rare.select("word", "t", "own").join(rare_kinds.select("word", "ends"), "word").join(extra, "word", "left")
         asked = asked.select("word", (F.col("ends") + F.coalesce("more", F.lit(0))).alias("m"), "t", "own")
@@ -238,13 +275,13 @@ def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAI
                     continue
                 m, t = (_numbers(batch.column(k), np.int64) for k in ("m", "t"))
                 rng = np.random.default_rng([seed, 2, sweep, int(batch.column("word")[0].as_py()) & 0xFFFFFFFFFFFFFFFF])
-                t = seat(m, theta0 / (v + 1) + grow * (total - t), d0, rng, grow)
+                t = reseated(m, lambda at, i, t=t: theta0 / (v + 1) + grow * (total - t[at] + i), d0, rng, t)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(m), pa.array(t), batch.column("own")], ["word", "m", "t", "own"])
 
-        reseated = asked.mapInArrow(reseat, "word long, m long, t long, own array<double>")
+        parent = asked.mapInArrow(reseat, "word long, m long, t long, own array<double>")
         if sweep >= burn_in:
-            reseated = reseated.withColumn("own", F.concat("own", F.array(F.col("m") - F.lit(d0) * F.col("t"))))
-        rare = save(reseated, "rare")
+            parent = parent.withColumn("own", F.concat("own", F.array(F.col("m") - F.lit(d0) * F.col("t"))))
+        rare = save(parent, "rare")
         rare_m, rare_t = rare.agg(F.sum("m"), F.sum("t")).first()
         customers, total = float(sent.sum() + (rare_m or 0)), float(often_t.sum() + (rare_t or 0))
         if sweep >= burn_in:
