@@ -537,6 +537,20 @@ def test_language(spark):
     assert got[90].lang == "de" and got[91].lang == "und" and got[92].lang == "de"
 
 
+def test_languages_of_few_rows(spark):
+    rng = random.Random(5)
+    speak = {"en": ["the", "and", "thing", "with"], "el": ["και", "του", "είναι", "αυτό"]}
+    texts = [(i, " ".join(rng.choice(speak[x]) for _ in range(30)), x, "s", 0) for i, x in enumerate(["en"] * 2995 + ["el"] * 5)]
+    texts += [(5000, "漢字漢字漢字 漢字漢字漢字", "zh", "s", 0), (5001, "漢字漢字漢字 漢字漢字漢字", None, "s", 0)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in language.identified_documents(docs).collect()}
+    assert kept == {t[0] for t in texts} - {5001}
+    page = [(1, None, f'<html data-x="{"y" * 900}" lang="el"><body>12</body></html>'), (2, None, "<html><body>και του είναι αυτό και του</body></html>")]
+    pages = spark.createDataFrame(page, "page_id long, url string, html string")
+    assert {r.page_id: r.declared for r in language.page_rows(pages).collect()} == {1: "el", 2: None}
+    assert {r.page_id: r.lang for r in language.identify_pages(pages, docs).collect()}[2] == "el"
+
+
 # --- shared helpers and empty tables
 
 

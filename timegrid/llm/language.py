@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from timegrid.llm.common import save, slices
 
 CELLS = 1 << 16
-#: A language must label this share of the training texts, which bounds their number.
-LEAST_SHARE = 0.002
+#: So many training rows make a model of a language, at any corpus size; a model costs 0.5 MB.
+LEAST_ROWS = 3
 TEMPER = 0.2
 MARGIN = 3.0
 QUOTED = 0.1
@@ -50,7 +50,7 @@ def _pairs(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int32), *cells]), counts
 
 
-def train(texts: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
+def train(texts: DataFrame, least_rows: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log chances (language and at last `und`, by cell) from rows of text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,7 @@ def train(texts: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str]
     counts = texts.where("lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
     counts = save(counts, "pairs")
     number = counts.where("cell = -1")
-    total = number.agg(F.sum("c")).first()[0] or 0
-    langs = sorted(r["lang"] for r in number.where(F.col("c") >= least_share * total).select("lang").collect())
+    langs = sorted(r["lang"] for r in number.where(F.col("c") >= least_rows).select("lang").collect())
     table = np.zeros((len(langs), CELLS))
     for r in counts.where((F.col("cell") >= 0) & F.col("lang").isin(langs)).collect() if langs else []:  # bounded: cells times languages
         table[langs.index(r["lang"]), r["cell"]] = r["c"]
@@ -163,7 +162,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """page_id, the page's visible text, and its evidence columns."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,12};", " ")
-    declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]{0,400}?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     host = F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
     def none(c: Column) -> Column:
@@ -184,10 +183,12 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 def identified_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is known: their `lang` counts as the declaration, their source as the host.
 
-    Rejected are those whose most likely outcome is `und`. The columns stay as they are.
+    Rejected are those whose most likely outcome is `und`, unless they declare a language without a model: their texts
+    can't speak against it. The columns stay as they are.
     """
     langs, logs = train(docs)
+    judged = F.col("lang").isNull() | F.col("lang").isin(langs)
     null, key = F.lit(None).cast("string"), F.xxhash64("doc_id", "text", "lang", "source")
-    rows = docs.select(key.alias("_key"), "text", F.col("lang").alias("declared"), null.alias("suffix"), null.alias("domain"), F.col("source").alias("host"))
-    unknown = save(identify(rows, langs, logs).where("lang = 'und'").select("_key").distinct(), "unknown")
+    rows = docs.select(key.alias("_key"), judged.alias("_judged"), "text", F.col("lang").alias("declared"), null.alias("suffix"), null.alias("domain"), F.col("source").alias("host"))
+    unknown = save(identify(rows, langs, logs).where("lang = 'und' AND _judged").select("_key").distinct(), "unknown")
     return docs.withColumn("_key", key).join(unknown, "_key", "left_anti").select(*docs.columns)
