@@ -576,6 +576,20 @@ def lookup_priority(spark, d):
     return reports.lookup_by_priority(orders.select(name.alias("name")).distinct(), by_id.unionByName(by_name))
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest([CAST(o_custkey AS VARCHAR), CAST(o_custkey AS VARCHAR) || '_take', upper(o_orderpriority), CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority || ' - live', '-' || CAST(o_custkey AS VARCHAR)]) AS name FROM orders),
+k AS (SELECT name, split_part(name, '_', 1) AS prefix, trim(regexp_replace(split_part(lower(name), ' - ', 1), '^[0-9]+[_ ]+', '')) AS part FROM n),
+o AS (SELECT CAST(c_custkey AS VARCHAR) AS id, min(c_custkey / 10.0) AS off FROM customer GROUP BY 1), p AS (SELECT lower(o_orderpriority) AS nm, min(o_custkey) + 0.5 AS off FROM orders GROUP BY 1)
+SELECT name, CAST(coalesce(a.off, b.off, c.off, d.off, 0.0) AS DOUBLE) AS "offset" FROM k LEFT JOIN o a ON a.id = name LEFT JOIN o b ON b.id = prefix AND regexp_full_match(prefix, '[0-9]+') LEFT JOIN p c ON c.nm = lower(name) LEFT JOIN p d ON d.nm = part""")
+def lookup_priority_all(spark, d):
+    """Names from the whole keys of all orders, looked up in all customers; those with a leading '-' have no match."""
+    customer, priority = F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    orders = T.table(spark, d, "orders")
+    names = F.array(customer, F.concat(customer, F.lit("_take")), F.upper(priority), F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), priority, F.lit(" - live")), F.concat(F.lit("-"), customer))
+    by_id = T.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("song_id"), F.lit(None).cast("string").alias("songname"), (F.col("c_custkey") / 10.0).alias("offset"))
+    by_name = orders.groupBy(F.lower(priority).alias("songname")).agg((F.min("o_custkey") + 0.5).cast("double").alias("offset")).select(F.lit(None).cast("string").alias("song_id"), "songname", "offset")
+    return reports.lookup_by_priority(orders.select(F.explode(names).alias("name")).distinct(), by_id.unionByName(by_name))
+
+
 @query("""WITH r AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT user_id AS track_id, count(*) AS events, CAST(sum(k) AS BIGINT) AS total, count(*) FILTER (k % 2 = 0) AS even, count(*) FILTER (k IS NULL) AS missing FROM r GROUP BY user_id""")
 def json_summary(spark, d):
     rows = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.from_json("props", "k INT")["k"].alias("k"))
