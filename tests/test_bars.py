@@ -97,6 +97,21 @@ def test_min_spacing_depends_on_what_is_kept(spark):
     assert column(series.min_spacing(points(spark, [1.0, 1.05, 2.0, 2.1, 2.16, 3.0]), 0.15), "t", "t") == [1.0, 2.0, 2.16, 3.0]
 
 
+def test_min_spacing_gathers_no_track(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.random() * 100) for k in (1, 2, None) for _ in range(4000)] + [(1, None)]
+    got = series.min_spacing(spark.createDataFrame(rows, "track_id long, t double"), 0.5)
+    want = []
+    for k in (1, 2, None):
+        last = None
+        for t in sorted(t for x, t in rows if x == k and t is not None):
+            if last is None or t - last >= 0.5:
+                want.append((k, t))
+                last = t
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_frame_labels(spark):
     rows = {r.frame: r.label for r in prep.frame_labels(points(spark, [4.0]), 1.0).collect()}
     assert rows == {2: 0.25, 3: 0.5, 4: 1.0, 5: 0.5, 6: 0.25}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timegrid.functions import cols as C
 from timegrid.functions.cols import by_track
 
 
@@ -43,14 +45,21 @@ def gap_fill(points: DataFrame, expected: float, ratio: float = 2.0) -> DataFram
 def min_spacing(points: DataFrame, least: float) -> DataFrame:
     """Greedy minimum spacing in each track: kept points are at least `least` after the last kept one.
 
-    Points that are `least` or more after the point before are always kept (nothing kept is later), so tracks are cut
-    there first; only the bursts between are walked, each as one array.
+    A task scans its tracks in order and holds the last kept time alone, so a track may be of any length.
     """
-    order = by_track().orderBy("t")
-    far = F.coalesce(F.col("t") - F.lag("t").over(order) >= least, F.lit(True))
-    rows = points.select("track_id", "t").withColumn("burst", F.sum(far.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = rows.groupBy("track_id", "burst").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return lists.select("track_id", F.explode(C.min_spacing(F.col("ts"), least)).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, track, last = False, None, 0.0
+        for batch in batches:
+            kept = []
+            for i, (x, t) in enumerate(zip(batch.column("track_id").to_pylist(), batch.column("t").to_pylist(), strict=True)):
+                if not began or x != track or not t - last < least:
+                    began, track, last = True, x, t
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = points.select("track_id", F.col("t").cast("double").alias("t")).where("t IS NOT NULL").repartition("track_id").sortWithinPartitions("track_id", "t")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def peak_normalised(values: DataFrame) -> DataFrame:
