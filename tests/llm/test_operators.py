@@ -276,6 +276,18 @@ def test_archive_lookup(spark):
     assert archive.reversed_key("http://www.B.example.com:80/x?q=1") == "com,example,b)/x?q=1"
 
 
+def test_archive_of_odd_ids_and_addresses(spark):
+    big = "x" * 1200
+    data = [(None, "http://a.example.com/", big), (None, None, "y"), (7, "http://[foo/", big), (8, "no\thost\nHere", "z")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = archive.round_trip(pages).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type) for r in got) == Counter((i, len(h), "response") for i, _, h in data)
+    folder = common.fresh_dir(spark, "warc")
+    directory = archive.index(archive.write(archive.decide(pages), folder), folder, lines=2)
+    found = archive.lookup(directory, pages.select("url")).collect()
+    assert Counter((r.asked, r.page_id) for r in found) == Counter((u, i) for i, u, _ in data if u)
+
+
 # --- bit slices
 
 

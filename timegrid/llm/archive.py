@@ -12,7 +12,8 @@ Records of equal payloads of 1000 bytes or more are stored once, with the larges
 that keep their HTTP head, whose Content-Length still states the whole payload's size.
 
 Files lie in the shared folder and are named by task attempt; only files that a finished attempt has returned are
-ever read. Defined cases: a null payload is empty; a null address becomes urn:page:<page_id>; addresses and rows may
+ever read. Defined cases: a null payload is empty; a null address becomes urn:page:<page_id>; a null
+page_id is an empty one, and such a page is always a response; addresses and rows may
 repeat, a capture each; of equal page_ids with equal payloads one is the response, the others revisit it; an empty
 table gives empty archives and results; extra columns are ignored.
 """
@@ -44,10 +45,17 @@ RECORDS = "page_id long, copy int, payload_bytes long, payload_digest string, re
 
 
 def reversed_key(url: str) -> str:
-    """Sort key of an address: host labels from the last to the first, then port, path and query; scheme and www don't count."""
-    parts = urlsplit(url.strip())
+    """Sort key of an address: host labels from the last to the first, then port, path and query; scheme and www don't count.
+
+    An address without a host, or that can't be parsed, is its own key in lower case. Tabs and line ends are blanks.
+    """
+    url = re.sub(r"[\t\r\n]", " ", url.strip())
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return url.lower()
     if not parts.netloc:
-        return url.strip().lower()
+        return url.lower()
     host, _, port = parts.netloc.rpartition("@")[2].lower().partition(":")
     labels = re.sub(r"^www\d*\.", "", host.rstrip(".")).split(".")
     return ",".join(reversed(labels)) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
@@ -73,8 +81,8 @@ def _record(head: list[tuple[str, str]], block: bytes) -> bytes:
     return deflate.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + deflate.flush()
 
 
-def record_id(page_id: int, copy: int) -> str:
-    return f"<urn:page:{page_id}:{copy}>"
+def record_id(page_id: int | None, copy: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{copy}>"
 
 
 def capture(page_id: int, copy: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -108,12 +116,12 @@ def parse(data: bytes) -> dict:
     if kind == "response" and (size != len(payload) or hashlib.sha1(payload).hexdigest() != stated):
         raise ValueError(f"record {head['WARC-Record-ID']} doesn't hold the payload that it states")
     refers = head["WARC-Refers-To"][1:-1].split(":")[2] if kind == "revisit" else None
-    return {"page_id": int(page), "copy": int(copy), "payload_bytes": size, "payload_digest": stated, "record_type": kind, "refers_to": refers and int(refers), "url": head["WARC-Target-URI"], "payload": payload if kind == "response" else None}
+    return {"page_id": int(page) if page else None, "copy": int(copy), "payload_bytes": size, "payload_digest": stated, "record_type": kind, "refers_to": refers and int(refers), "url": head["WARC-Target-URI"], "payload": payload if kind == "response" else None}
 
 
 def decide(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """The pages with payload, digest, copy (number among equal page_ids) and what they refer to (null: a response)."""
-    url = F.coalesce("url", F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")))
+    url = F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     rows = pages.select("page_id", url.alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     rows = rows.withColumn("copy", (F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")) - 1).cast("int"))
     rows = rows.withColumn("first", F.min("copy").over(Window.partitionBy("page_id", "digest")))
