@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,16 +21,22 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, or an own one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="timegrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    """The folder that all executors and the driver share: spark.checkpoint.dir.
+
+    Where that is unset, a folder in the warehouse, which the executors share too.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return path.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/timegrid/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/timegrid/{uuid.uuid4().hex}/{name}"
+    _made.append(path.rpartition("/")[0])
+    return path
+
+
+#: Folders made by fresh_dir in this process that still stand.
+_made: list[str] = []
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +44,33 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_in = path.rpartition("/")[0]
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of `save` that nothing reads any more, and lets Spark's cleaner drop the shuffle files of finished stages."""
+    for table in tables:
+        remove(table.sparkSession, table._saved_in)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Removes all tables, archives and indexes that operators have left in the shared folder in this process.
+
+    A result reads them, so it's to be called when results have been used.
+    """
+    for folder in list(_made):
+        remove(spark, folder)
 
 
 def word_count(text: Column) -> Column:

@@ -4,15 +4,22 @@ Two levels of restaurants. A context restaurant holds the words that followed on
 one parent, the restaurant of single words, whose own base is uniform over the vocabulary and one unknown word. A
 customer of a context restaurant that opens a table is a customer of the parent.
 
-Seating is sampled in sweeps of blocked Gibbs: the dishes of all contexts are reseated given the parent and the table
-totals of the sweep before, then the parent's given the contexts' tables. Predictive probabilities are averaged over the
-sweeps after the first ones.
+Seating is sampled in sweeps of blocked Gibbs. A sweep reseats the dishes of all contexts given the parent and the
+table totals of the sweep before, sums the tables by word, and reseats the parent's dishes given these. The predictive
+probabilities of the sweeps after the first ones are averaged.
 
-What is kept: every word and every pair of the training texts is counted, in tables that grow with them and are joined
-by hash, never collected. A pair that occurs once has one table in any seating, so only pairs that occur twice or more
-are seated. Broadcast are shortcuts: the words (as words and as contexts) that make `word_share` of all tokens, at most
-1 / word_share, and the most frequent pairs, at most 1 / pair_share. They save joins and change no result. Seatings are
-drawn by task; a run on other partitions draws others.
+How it is dealt: every pair (context, word) of the training texts is counted, none is dropped. Tasks sum the pairs of a
+run of texts and send them, packed, to shards by the context's hash, so that a restaurant's customers, tables and
+dishes lie in one task. A context that holds more than a shard's part of the tokens is dealt over several shards by the
+word's hash; its totals, a row each, go back to its shards. In a sweep each shard asks the table of words for the words
+that it holds, by a join, and gives back its tables by word. Scoring sends the distinct pairs of texts to the same
+shards. Shards have a bounded number of tokens, and their number grows with the texts.
+
+Broadcast are shortcuts only, which save rows and change no result: the words that make `word_share` of all tokens or
+more, at most 1 / word_share, and the most frequent pairs, at most 1 / pair_share.
+
+All draws come from hashes of the dish, the sweep and the step, and totals are whole numbers, so the partitioning of the
+texts changes no seating; scores agree but for the order of sums.
 
 Words are runs between ASCII blanks with A-Z lowered; each text ends with one end token. A word stands as its 64-bit
 hash. Defined cases: null, empty and blank texts are the end token alone; repeated rows are scored each, and counted
@@ -23,22 +30,30 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import Tally, hashes_of, mixed, save, slices, words_of
+from timegrid.llm.common import hashes_of, mixed, release, save, slices, words_of
 
 WORD_SHARE = 1e-6
 PAIR_SHARE = 2e-6
-SWEEPS = 6
+SWEEPS = 4
 BURN_IN = 2
 #: Dishes of up to so many customers are reseated exactly.
-EXACT = 256
+EXACT = 64
+#: Bytes of text for each shard, and tokens that a task sums before it sends them.
+SHARD_BYTES = 6 << 20
+RUN_TOKENS = 2_500_000
+ASK_TOKENS = 1_000_000
+#: Bytes of text from which the contexts to be dealt over several shards are told; they decide places, not results.
+PROBE_BYTES = 64 << 20
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -55,60 +70,40 @@ def _contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return before
 
 
-def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts in the training texts: words (word, c) and pairs (context, word, c).
+def _named(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a pair."""
+    return mixed(context, 1) + word
 
-    A task sums its words, and the pairs of each slice of text; Spark sums those again before they are dealt.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Tally()
-        none = np.zeros(0, np.int64)
+def _find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each asked value in a sorted array, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(sorted_, asked), len(sorted_) - 1)
+    return at, sorted_[at] == asked
 
-        def out(a: np.ndarray, b: np.ndarray | None, c: np.ndarray) -> pa.RecordBatch:
-            context = pa.array(b.view(np.int64)) if b is not None else pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([context, pa.array(a.view(np.int64)), pa.array(c)], ["context", "word", "c"])
 
-        yield pa.RecordBatch.from_arrays([pa.array(none)] * 3, ["context", "word", "c"])
-        for batch in batches:
-            for part in slices(batch):
-                tokens, counts = _with_ends(part.column("text"))
-                words.add(tokens)
-                before = _contexts(tokens, counts)
-                _, at, c = np.unique(mixed(before, 1) + tokens, return_index=True, return_counts=True)
-                yield out(tokens[at], before[at], c.astype(np.int64))
-                if words.full():
-                    k, n = words.take()
-                    yield out(k, None, n)
-        k, n = words.take()
-        yield out(k, None, n)
-
-    rows = docs.select("text").mapInArrow(run, "context long, word long, c long")
-    counts = save(rows.groupBy("context", "word").agg(F.sum("c").alias("c")), "counts")
-    return counts.where("context IS NULL").select("word", "c"), counts.where("context IS NOT NULL")
-
-
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers sat down one by one.
-
-    strength: (concentration + discount * tables of the restaurant) * base probability. With k customers at t tables,
-    the next opens one with probability strength / (strength + k - discount * t). The first 64 customers are seated
-    singly; after that blocks of a twentieth of those seated sit down at once, with the chance at the block's middle.
-    """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    for k in range(1, int(min(64, customers.max(initial=0)))):
-        open_ = rng.random(len(customers)) * (strength + k - discount * tables) < strength
-        tables += open_ & (customers > k)
-    late = np.flatnonzero(customers > 64)
-    at = np.full(len(late), 64)
-    while len(late):
-        block = np.minimum(np.ceil(0.05 * at).astype(np.int64), customers[late] - at)
-        chance = strength[late] / (strength[late] + at + block / 2 - discount * tables[late])
-        tables[late] += rng.binomial(block, np.clip(chance, 0.0, 1.0))
-        at = at + block
-        on = at < customers[late]
-        late, at = late[on], at[on]
-    return tables
+def _array(data: bytes | None, kind: str) -> np.ndarray:
+    return np.frombuffer(data or b"", kind)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def _table(schema: pa.Schema, rows: int, **columns) -> pa.Table:
+    """A table of the schema; columns that aren't given are null."""
+
+    def one(f: pa.Field) -> pa.Array:
+        given = columns.get(f.name)
+        return pa.nulls(rows, f.type) if given is None else given if isinstance(given, (pa.Array, pa.ChunkedArray)) else pa.array(given, f.type)
+
+    return pa.table([one(f) for f in schema], schema=schema)
+
+
+# --- seating
 
 
 @functools.cache
@@ -124,23 +119,108 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def reseated(customers: np.ndarray, chances: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float, rng: np.random.Generator, now: np.ndarray) -> np.ndarray:
-    """Tables of each dish in a Gibbs step, given the restaurant's other dishes and the tables that it has now.
+def uniforms(names: np.ndarray, sweep: int, step: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each dish, sweep and step."""
+    return ((mixed(names ^ np.uint64(mixed(np.array([seed * 1000 + sweep], np.uint64), 60)[0]), 61 + step) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
-    chances(at, i): the strength (as for seat) of the dishes `at` when they have i tables. Up to EXACT customers the
-    tables are drawn from their exact conditional distribution, t tables with weight S(c, t) times the strengths at 1,
-    2, ... t - 1 tables. Larger dishes are seated by seat, with the strength at the tables that they have.
+
+@dataclass
+class Own:
+    """Strengths of a parent's dishes: (theta + d * tables of the restaurant) / (v + 1) for each further table."""
+
+    others: np.ndarray
+    theta: float
+    discount: float
+    v: int
+
+    def strength(self, at: slice | np.ndarray, tables) -> np.ndarray:
+        return (self.theta + self.discount * (self.others[at] + tables)) / (self.v + 1)
+
+    def opened(self, at: slice | np.ndarray, tables, new=1.0) -> None:
+        pass
+
+    def ordered(self, order: np.ndarray) -> Own:
+        return Own(self.others[order], self.theta, self.discount, self.v)
+
+
+@dataclass
+class Shared:
+    """Strengths of a context's dishes: (theta1 + d1 * tables) * p, where each table is a customer of the parent.
+
+    rest: the parent's customers of the word from other contexts; tau: its tables for them, which grow by the chance
+    that the customer so far opened one there.
     """
-    tables = np.minimum(customers, 1).astype(np.int64)
+
+    others: np.ndarray
+    theta: float
+    discount: float
+    rest: np.ndarray
+    tau: np.ndarray
+    size: float
+    base: float
+    parent_discount: float
+
+    def _own(self, at, tables) -> np.ndarray:
+        return np.maximum(0.0, self.rest[at] + tables - self.parent_discount * self.tau[at])
+
+    def strength(self, at, tables) -> np.ndarray:
+        return (self.theta + self.discount * (self.others[at] + tables)) * (self._own(at, tables) + self.base) / self.size
+
+    def opened(self, at, tables, new=1.0) -> None:
+        """The table after `tables` tables was opened (new: how many)."""
+        self.tau[at] = self.tau[at] + new * self.base / (self._own(at, tables) + self.base)
+
+    def ordered(self, order: np.ndarray) -> Shared:
+        return Shared(self.others[order], self.theta, self.discount, self.rest[order], self.tau[order].copy(), self.size, self.base, self.parent_discount)
+
+
+def reseated(customers: np.ndarray, names: np.ndarray, prior: Own | Shared, discount: float, sweep: int, seed: int) -> np.ndarray:
+    """Tables of each dish in a Gibbs step, given the restaurants' other dishes.
+
+    Up to EXACT customers the tables are drawn from their conditional distribution: t tables have the weight S(c, t)
+    times the strengths at 1, 2, ... t - 1 tables. The largest of log weight plus a Gumbel number is such a draw.
+    Larger dishes are seated one customer after the other, from the sixteenth on in blocks of an eighth of those seated,
+    whose new tables are the expected number, rounded at random.
+    """
+    order = np.argsort(-customers, kind="stable")
+    c, names, prior = customers[order], names[order], prior.ordered(order)
+    tables = np.minimum(c, 1).astype(np.int64)
+    large = int(np.searchsorted(-c, -EXACT, side="left"))  # dishes of more than EXACT customers come first
+    several = int(np.searchsorted(-c, -1, side="left"))
+
+    # exact: dishes large .. several, in order of falling size
     weights = log_stirling(discount)
-    for c in np.unique(customers[(customers > 1) & (customers <= EXACT)]):
-        at = np.flatnonzero(customers == c)[:, None]
-        factors = np.log(np.maximum(1e-300, chances(at, np.arange(1, c)[None, :])))
-        logs = weights[c, 1 : c + 1] + np.concatenate([np.zeros((len(at), 1)), np.cumsum(factors, axis=1)], axis=1)
-        tables[at[:, 0]] = 1 + np.argmax(logs + rng.gumbel(size=logs.shape), axis=1)
-    late = np.flatnonzero(customers > EXACT)
-    tables[late] = seat(customers[late], chances(late, now[late]), discount, rng)
-    return tables
+    sizes = c[large:several]
+    if len(sizes):
+        total = np.zeros(len(sizes))
+        best = weights[sizes, 1] - np.log(-np.log(uniforms(names[large:several], sweep, 0, seed)))
+        prior.opened(slice(large, several), 0)
+        for i in range(1, int(sizes[0])):
+            k = int(np.searchsorted(-sizes, -i, side="left"))  # those of more than i customers
+            at = slice(large, large + k)
+            total[:k] += np.log(prior.strength(at, i))
+            prior.opened(at, i)
+            value = weights[sizes[:k], i + 1] + total[:k] - np.log(-np.log(uniforms(names[at], sweep, i, seed)))
+            better = value > best[:k]
+            best[:k][better] = value[better]
+            tables[large : large + k][better] = i + 1
+
+    if large:
+        prior.opened(slice(0, large), 0)
+        live, seen, step = np.arange(large), np.ones(large, np.int64), 0
+        while len(live):
+            block = np.minimum(np.where(seen < 16, 1, seen // 8), c[live] - seen)
+            strength = prior.strength(live, tables[live])
+            chance = strength / (strength + np.maximum(seen + (block - 1) / 2 - discount * tables[live], 1e-9))
+            new = np.minimum(block, np.floor(block * np.clip(chance, 0.0, 1.0) + uniforms(names[live], sweep, 1000 + step, seed)).astype(np.int64))
+            prior.opened(live, tables[live], new)
+            tables[live] += new
+            seen, step = seen + block, step + 1
+            on = seen < c[live]
+            live, seen = live[on], seen[on]
+    out = np.empty_like(tables)
+    out[order] = tables
+    return out
 
 
 def discount_of(ones: int, twos: int) -> float:
@@ -148,293 +228,511 @@ def discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
 
 
-def _find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(sorted_, asked), len(sorted_) - 1)
-    return at, sorted_[at] == asked
+# --- counting
 
 
-def _numbers(column: pa.Array, kind: type = np.float64) -> np.ndarray:
-    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+@dataclass
+class Places:
+    """Where pairs lie: a shard by the context's hash; contexts in `keys` are dealt over `parts` shards by the word's."""
 
+    shards: int
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-def _by_place(rows: DataFrame, place: str, value: Column, size: int) -> np.ndarray:
-    """Sums of value by the place in a broadcast array, as an array; bounded like the array."""
-    sums = rows.where(F.col(place) >= 0).groupBy(place).agg(F.sum(value).alias("x")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[sums[place].to_numpy(np.int64)] = sums["x"].to_numpy(np.int64)
-    return out
+    def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        at, split = _find(self.keys, context)
+        name = mixed(context, 2)
+        if len(self.keys):
+            name = np.where(split, mixed(name + mixed(word, 4) % np.maximum(1, self.parts[at]).astype(np.uint64), 5), name)
+        return (name % np.uint64(self.shards)).astype(np.int64)
 
 
-def _placed(pairs: DataFrame, key: np.ndarray, contexts: np.ndarray) -> DataFrame:
-    """pairs with the places of word (wi) and context (ci) in the sorted arrays, -1 where they are not there."""
-    arrays = pairs.sparkSession.sparkContext.broadcast((key, contexts))
+def places(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Places:
+    """Shards for the texts of docs, and the contexts to split: those of more than a quarter of a shard's tokens."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    if shards < 4:
+        return Places(shards)
+    share = max(1, int(1e6 * min(1.0, PROBE_BYTES / size)))
+    probe = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = []
-            for column, sorted_ in zip(("word", "context"), arrays.value, strict=True):
-                at, there = _find(sorted_, batch.column(column).to_numpy(zero_copy_only=False))
-                places.append(pa.array(np.where(there, at, -1).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("context", "word", "c")), *places], ["context", "word", "c", "wi", "ci"])
-
-    return pairs.select("context", "word", "c").mapInArrow(run, "context long, word long, c long, wi int, ci int")
-
-
-def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 1) -> dict:
-    """The model: totals and discounts; `rare` (word, c, p, ps, backs) and `own` (context, word, own) as tables; and
-    arrays of what is broadcast. ps and backs have a value for each kept sweep."""
-    words, pairs = gather(docs)
-    n, v, ones, twos = words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, v = int(n or 0), int(v)
-    d0, theta0, d1, theta1 = discount_of(ones, twos), 1.0, 0.75, 1.0
-    spark, kept = docs.sparkSession, sweeps - burn_in
-    is_often = F.col("c") >= max(1.0, word_share * n)
-    often = words.where(is_often).toPandas()
-    key, c = often["word"].to_numpy(np.int64), often["c"].to_numpy(np.int64)
-    by_key = np.argsort(key)
-    key, c = key[by_key], c[by_key]
-    # as contexts: the same words, and the start
-    starts = docs.count()
-    contexts = np.append(key, START.view(np.int64))
-    by_context = np.argsort(contexts)
-    contexts, totals = contexts[by_context], np.append(c, starts)[by_context]
-
-    # how many pairs each word ends and begins: its tables if each pair has one
-    ends = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("ends"))
-    begins = pairs.groupBy(F.col("context").alias("word")).agg(F.count(F.lit(1)).alias("begins"))
-    kinds = save(words.join(ends, "word", "left").join(begins, "word", "left").select("word", "c", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("begins", F.lit(0)).alias("begins")), "kinds")
-    at_key = kinds.where(is_often).toPandas().set_index("word").reindex(key)
-    often_ends = at_key["ends"].to_numpy(np.int64)
-    start_kinds = pairs.where(F.col("context") == int(START.view(np.int64))).count()
-    often_begins = np.append(at_key["begins"].to_numpy(np.int64), start_kinds)[by_context]
-    rare_kinds = kinds.where(~is_often)
-
-    # dishes of two customers and more, with their tables (t) and those of the kept sweeps (ts)
-    dishes = _placed(pairs.where("c > 1"), key, contexts)
-    dishes = save(dishes.withColumn("t", F.lit(1).cast("long")).withColumn("ts", F.array().cast("array<long>")), "dishes")
-    near = (F.col("wi") >= 0) & (F.col("ci") >= 0)
-    more = F.col("t") - 1
-    rare = save(rare_kinds.select("word", F.col("ends").alias("m"), F.lit(1).cast("long").alias("t"), F.array().cast("array<double>").alias("own")), "rare")
-    sent, often_t, total = often_ends, np.ones(len(key), np.int64), float(v)
-    customers = float(pairs.count())
-    owns, shares, sizes, often_backs = [], [], [], []
-
-    def context_tables() -> np.ndarray:
-        return often_begins + _by_place(dishes, "ci", more, len(contexts))
+            for part in slices(batch):
+                k, c = np.unique(_contexts(*_with_ends(part.column("text"))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["context", "c"])
+
+    counted = save(probe.mapInArrow(run, "context long, c long").groupBy("context").agg(F.sum("c").alias("c")), "probe")
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    large = counted.where(F.col("c") >= max(1.0, total * max(1e-5, 0.25 / shards))).toPandas()  # at most 100,000 rows
+    release(counted)
+    keys = large["context"].to_numpy(np.int64).view(np.uint64)
+    up = np.argsort(keys)
+    return Places(shards, keys[up], np.ceil(4 * shards * large["c"].to_numpy(float) / total).astype(np.int64)[up])
+
+
+def _packed(places_: Places, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct pairs by shard and context, and their shards in that order."""
+    shard = places_.of(context, word)
+    order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | (context >> np.uint64(24)), kind="stable")
+    return order, shard[order]
+
+
+def _gatherer(batches: Iterator[pa.RecordBatch], least: int, columns: list[str]) -> Iterator[tuple]:
+    """Runs of texts with about `least` tokens: tokens, counts, and the columns' arrays."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            tokens, counts = _with_ends(part.column("text"))
+            held.append((tokens, counts, [part.column(c) for c in columns]))
+            size += len(tokens)
+            if size >= least:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple:
+    columns = [pa.concat_arrays(c) for c in zip(*(h[2] for h in held), strict=True)]
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), columns
+
+
+SENT = "shard int, contexts binary, lengths binary, words binary, counts binary"
+#: A shard's restaurants: contexts with customers (n), dishes of one customer (ones) and of more (several); the words
+#: of both kinds of dishes in order of contexts; customers (c) of the second kind, tables (t) and their sum over kept
+#: sweeps (ts), the contexts' tables in the kept sweeps (kept), one sweep after the other.
+BOOK = "contexts binary, n binary, ones binary, several binary, single binary, words binary, c binary, t binary, ts binary, kept binary"
+COUNTED = f"shard int, {BOOK}, word long, wc long, w1 long, wk long, context long, cn long, ct long, pairs1 long, pairs2 long"
 
-    for sweep in range(sweeps):
-        # contexts, given the parent's probabilities and the totals of the sweep before
-        share = (theta0 + d0 * total) / (theta0 + customers) / (v + 1)
-        rare_p = rare.select("word", "m", F.col("t").alias("parent"))
-        rare_tables = dishes.where("ci < 0").groupBy("context").agg(F.sum(more).alias("more")).join(rare_kinds.select(F.col("word").alias("context"), "begins"), "context")
-        rare_tables = rare_tables.select("context", (F.col("begins") + F.col("more")).alias("tables"))
-        far = dishes.where(~near).join(rare_p, "word", "left").join(rare_tables, "context", "left")
-        known = dishes.where(near).withColumns({k: F.lit(None).cast("long") for k in ("m", "parent", "tables")})
-        given = spark.sparkContext.broadcast((sent, often_t, context_tables()))
-
-        def serve(batches: Iterator[pa.RecordBatch], given=given, sweep=sweep, share=share, size=theta0 + customers) -> Iterator[pa.RecordBatch]:
-            of_word, parents, tables = given.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                wi, ci, guests, t = (_numbers(batch.column(k), np.int64) for k in ("wi", "ci", "c", "t"))
-                m, parent = (np.where(wi >= 0, x[wi] if len(x) else 0, _numbers(batch.column(k))) for k, x in (("m", of_word), ("parent", parents)))
-                others = np.where(ci >= 0, tables[ci], _numbers(batch.column("tables"))) - t
-                names = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("context", "word")]
-                rng = np.random.default_rng([seed, 1, sweep, int(mixed(names[0], 1)[0] ^ names[1][0])])
-                rest = m - t  # the parent's customers from other contexts, and their part of its tables
-                parent = np.where(rest > 0, np.maximum(1.0, parent * rest / np.maximum(m, 1)), 0.0)
-
-                def chances(at: np.ndarray, i: np.ndarray, others=others, rest=rest, parent=parent) -> np.ndarray:
-                    p = np.maximum(0.0, rest[at] + i - d0 * np.maximum(parent[at], 1.0)) / size + share
-                    return (theta1 + d1 * (others[at] + i)) * p
-
-                t = reseated(guests, chances, d1, rng, t)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("context", "word", "c", "wi", "ci")), pa.array(t), batch.column("ts")], ["context", "word", "c", "wi", "ci", "t", "ts"])
-
-        columns = ["context", "word", "c", "wi", "ci", "t", "ts", "m", "parent", "tables"]
-        seated = known.select(*columns).unionByName(far.select(*columns)).mapInArrow(serve, "context long, word long, c long, wi int, ci int, t long, ts array<long>")
-        if sweep >= burn_in:
-            seated = seated.withColumn("ts", F.concat("ts", F.array("t")))
-        dishes = save(seated, "dishes")
-
-        # the parent, given a customer for each of the contexts' tables
-        sent = often_ends + _by_place(dishes, "wi", more, len(key))
-        rng = np.random.default_rng([seed, 0, sweep])
-        grow = d0 / (v + 1)
-        often_t = reseated(sent, lambda at, i, t=often_t, total=total: theta0 / (v + 1) + grow * (total - t[at] + i), d0, rng, often_t)
-        extra = dishes.where("wi < 0").groupBy("word").agg(F.sum(more).alias("more"))
-        asked = rare.select("word", "t", "own").join(rare_kinds.select("word", "ends"), "word").join(extra, "word", "left")
-        asked = asked.select("word", (F.col("ends") + F.coalesce("more", F.lit(0))).alias("m"), "t", "own")
-
-        def reseat(batches: Iterator[pa.RecordBatch], sweep=sweep, total=total, grow=grow) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                m, t = (_numbers(batch.column(k), np.int64) for k in ("m", "t"))
-                rng = np.random.default_rng([seed, 2, sweep, int(batch.column("word")[0].as_py()) & 0xFFFFFFFFFFFFFFFF])
-                t = reseated(m, lambda at, i, t=t: theta0 / (v + 1) + grow * (total - t[at] + i), d0, rng, t)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(m), pa.array(t), batch.column("own")], ["word", "m", "t", "own"])
-
-        parent = asked.mapInArrow(reseat, "word long, m long, t long, own array<double>")
-        if sweep >= burn_in:
-            parent = parent.withColumn("own", F.concat("own", F.array(F.col("m") - F.lit(d0) * F.col("t"))))
-        rare = save(parent, "rare")
-        rare_m, rare_t = rare.agg(F.sum("m"), F.sum("t")).first()
-        customers, total = float(sent.sum() + (rare_m or 0)), float(often_t.sum() + (rare_t or 0))
-        if sweep >= burn_in:
-            sizes.append(theta0 + customers)
-            shares.append((theta0 + d0 * total) / (theta0 + customers) / (v + 1))
-            owns.append(sent - d0 * often_t)
-            often_backs.append((theta1 + d1 * context_tables()) / (theta1 + totals))
-
-    often_ps = np.stack([x / size + share for x, size, share in zip(owns, sizes, shares, strict=True)], axis=1)
-    ps = F.array(*((F.get("own", F.lit(i)) / F.lit(sizes[i]) + F.lit(shares[i])) for i in range(kept)))
-    tables = dishes.where("ci < 0").groupBy(F.col("context").alias("word")).agg(F.array(*(F.sum(F.get("ts", F.lit(i)) - 1) for i in range(kept))).alias("more"))
-    backs = F.array(*((F.lit(theta1) + F.lit(d1) * (F.col("begins") + F.coalesce(F.get("more", F.lit(i)), F.lit(0)))) / (F.lit(theta1) + F.col("c")) for i in range(kept)))
-    rare = rare.select("word", ps.alias("ps")).join(rare_kinds, "word").join(tables, "word", "left").select("word", "c", "ps", backs.alias("backs"))
-    rare = save(rare.withColumn("p", F.aggregate("ps", F.lit(0.0), lambda a, x: a + x) / kept), "rare")
-
-    # customers of a pair less the discount of its tables; a pair of one customer has one table
-    mean = F.aggregate("ts", F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(float(kept))
-    own = pairs.where("c = 1").select("context", "word", "c", F.lit(1.0 - d1).alias("own")).unionByName(dishes.select("context", "word", "c", (F.col("c") - F.lit(d1) * mean).alias("own")))
-    counts = sorted(((r["c"], r["count"]) for r in pairs.groupBy("c").count().collect()), reverse=True)
-    fits = [x for (x, _), below in zip(counts, np.cumsum([k for _, k in counts]), strict=True) if below <= 1 / pair_share]
-    shortcut = own.where(F.col("c") >= (min(fits) if fits else 1 << 62)).join(rare.select(F.col("word").alias("context"), F.col("c").alias("total"), "backs"), "context", "left")
-    shortcut = shortcut.select("context", "word", "own", "total", (F.aggregate("backs", F.lit(0.0), lambda a, x: a + x) / kept).alias("back")).toPandas()
-    at, there = _find(contexts, shortcut["context"].to_numpy(np.int64))
-    often_backs = np.stack(often_backs, axis=1)
-    total_ = np.where(there, totals[at], shortcut["total"].to_numpy(float))
-    shortcut["mass"] = shortcut["own"].to_numpy(float) / (theta1 + total_)
-    shortcut["back"] = np.where(there, often_backs[at].mean(axis=1), shortcut["back"].to_numpy(float))
-    return {
-        "n": n, "v": v, "unknown": float(np.mean(shares)) if n else 1.0, "unknown_ps": shares if n else [1.0] * kept, "theta1": theta1,
-        "key": key, "count": c, "p": often_ps.mean(axis=1), "ps": often_ps, "contexts": contexts, "totals": totals, "backs": often_backs,
-        "pair": shortcut[["context", "word", "mass", "back"]].sort_values(["context", "word"]), "rare": rare, "own": own.select("context", "word", "own"),
-    }
-
-
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every text's n_tokens, n_known, train_tokens, base_score and score, with the columns `keep` of docs.
 
-    A token's probability is the mean over the kept sweeps of mass + back * p. Tokens for which all of it is broadcast
-    are summed where the text is. For each other distinct pair of a text a row goes by hash to the table of rare words,
-    for its word and for its context where these are not broadcast, and to the table of pairs; what is not there is
-    unknown.
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.strip().split(" ") for f in ddl.split(","))])
+
+
+def gather(docs: DataFrame, places_: Places) -> DataFrame:
+    """The restaurants of docs' texts: a row per shard (BOOK), and rows of counts.
+
+    word, wc, w1, wk: of each word of a shard its customers, its dishes of one customer and of more. context, cn, ct:
+    of each context that is dealt over several shards its customers and dishes here. pairs1, pairs2: how many dishes
+    of one and two customers the shard has.
     """
-    n, v, theta1 = model["n"], model["v"], model["theta1"]
-    floor = n + 0.5 * (v + 1)
-    pair = model["pair"]
-    pair_key = mixed(pair["context"].to_numpy(np.int64).view(np.uint64), 1) + pair["word"].to_numpy(np.int64).view(np.uint64)
-    pair_up = np.argsort(pair_key)
-    tables = docs.sparkSession.sparkContext.broadcast({
-        **{k: model[k] for k in ("key", "count", "ps", "contexts", "totals", "backs")},
-        "pair": pair_key[pair_up], "mass": pair["mass"].to_numpy(float)[pair_up],
-    })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
+        schema = _schema(SENT)
+        for tokens, counts, _ in _gatherer(batches, RUN_TOKENS, []):
+            before = _contexts(tokens, counts)
+            _, first, c = np.unique(_named(before, tokens), return_index=True, return_counts=True)
+            context, word = before[first], tokens[first]
+            del before, tokens
+            order, shard = _packed(places_, context, word)
+            context, word, c = context[order], word[order], c[order].astype("<u4")
+            starts, lengths = _runs(shard)
+            rows = []
+            for s, k in zip(starts.tolist(), lengths.tolist(), strict=True):
+                at, sizes = _runs(context[s : s + k])
+                rows.append((int(shard[s]), context[s : s + k][at].tobytes(), sizes.astype("<u4").tobytes(), word[s : s + k].tobytes(), c[s : s + k].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def count(table: pa.Table) -> pa.Table:
+        schema, sent = _schema(COUNTED), {k: table.column(k).to_pylist() for k in ("contexts", "lengths", "words", "counts")}
+        context = np.concatenate([np.repeat(_array(x, "<u8"), _array(k, "<u4")) for x, k in zip(sent["contexts"], sent["lengths"], strict=True)])
+        word = np.concatenate([_array(x, "<u8") for x in sent["words"]])
+        c = np.concatenate([_array(x, "<u4") for x in sent["counts"]]).astype(np.int64)
+        shard = table.column("shard")[0].as_py()
+        order = np.argsort(_named(context, word))
+        context, word, c = context[order], word[order], c[order]
+        starts = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+        context, word, c = context[starts], word[starts], np.add.reduceat(c, starts)
+        order = np.argsort(context, kind="stable")
+        context, word, c = context[order], word[order], c[order]
+        starts, lengths = _runs(context)
+        one = c == 1
+        n, ones = np.add.reduceat(c, starts), np.add.reduceat(one.astype(np.int64), starts)
+        many = c[~one]
+        book = {
+            "contexts": context[starts], "n": n, "ones": ones.astype("<u4"), "several": (lengths - ones).astype("<u4"), "single": word[one], "words": word[~one],
+            "c": many, "t": np.ones(len(many), "<u4"), "ts": np.zeros(len(many), "<u4"), "kept": np.zeros(0, np.int64),
+        }
+        out = [_table(schema, 1, shard=[shard], pairs1=[int(one.sum())], pairs2=[int((c == 2).sum())], **{k: [v.tobytes()] for k, v in book.items()})]
+        order = np.argsort(word)
+        w, one, c = word[order], one[order], c[order]
+        at, kinds = _runs(w)
+        w1 = np.add.reduceat(one.astype(np.int64), at)
+        out.append(_table(schema, len(at), shard=np.full(len(at), shard, np.int32), word=w[at].view(np.int64), wc=np.add.reduceat(c, at), w1=w1, wk=kinds - w1))
+        _, split = _find(places_.keys, context[starts])
+        out.append(_table(schema, int(split.sum()), context=context[starts][split].view(np.int64), cn=n[split], ct=lengths[split]))
+        return pa.concat_tables(out)
+
+    return save(docs.select("text").mapInArrow(run, SENT).groupBy("shard").applyInArrow(count, COUNTED), "counts")
+
+
+# --- fitting
+
+
+@dataclass
+class Model:
+    """What scoring needs. words: word, wc (its customers) and for each kept sweep m and t (parent's customers and tables); books: the
+    shards' restaurants; splits: for each kept sweep the tables of contexts in several shards; split_n: their customers."""
+
+    n: int
+    v: int
+    d0: float
+    d1: float
+    theta: float
+    places: Places
+    words: DataFrame
+    books: DataFrame
+    held: DataFrame
+    sizes: list[float]
+    shares: list[float]
+    split_n: np.ndarray
+    splits: list[np.ndarray]
+
+    @property
+    def parent(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """What turns a word's customers and tables into its probabilities: (m - d0 * t) / size + share."""
+        return self.d0, np.array(self.sizes), np.array(self.shares)
+
+
+SEATED = f"shard int, {BOOK}, word long, sent long, context long, ct long"
+
+
+def _totals(rows: DataFrame, keys: np.ndarray, column: str) -> np.ndarray:
+    """Sums by context for the contexts in several shards, at most 100,000, in the order of keys."""
+    out = np.zeros(len(keys), np.int64)
+    if len(keys):
+        sums = rows.where("context IS NOT NULL").groupBy("context").agg(F.sum(column).alias("x")).toPandas()
+        at, there = _find(keys, sums["context"].to_numpy(np.int64).view(np.uint64))
+        out[at[there]] = sums["x"].to_numpy(np.int64)[there]
+    return out
+
+
+def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 1, shard_bytes: int = SHARD_BYTES) -> Model:
+    """The model of the texts of docs."""
+    where = places(docs, shard_bytes)
+    held = gather(docs, where)
+    pairs1, pairs2 = (int(x or 0) for x in held.agg(F.sum("pairs1"), F.sum("pairs2")).first())
+    words = held.where("word IS NOT NULL").groupBy("word").agg(F.sum("wc").alias("c"), F.sum("w1").alias("w1"), F.sum("wk").alias("wk"))
+    words = save(words.select("word", "c", "w1", (F.col("w1") + F.col("wk")).alias("m"), F.lit(1).cast("long").alias("t")), "words")
+    n, v, ones, twos, customers = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.sum("m")).first())
+    d0, d1, theta, total = discount_of(ones, twos), discount_of(pairs1, pairs2), 1.0, v
+    split_n, split_t = _totals(held, where.keys, "cn"), _totals(held, where.keys, "ct")
+    columns = [f.split(" ")[0] for f in BOOK.split(", ")]
+    books = held.where("contexts IS NOT NULL").select("shard", *columns)
+    asked = held.where("wk > 0").select(F.col("shard").alias("place"), "word")
+    sizes, shares, splits, kept = [], [], [], []
+    old_books: list[DataFrame] = []
+
+    for sweep in range(sweeps):
+        size, base, keep = theta + customers, (theta + d0 * total) / (v + 1), sweep >= burn_in
+
+        def seat(book: pa.Table, told: pa.Table, *, sweep=sweep, size=size, base=base, keep=keep, split_t=split_t) -> pa.Table:
+            schema = _schema(SEATED)
+            if not book.num_rows:
+                return schema.empty_table()
+            row = {k: book.column(k)[0].as_py() for k in ("shard", *columns)}
+            contexts, ones_, several = _array(row["contexts"], "<u8"), _array(row["ones"], "<u4").astype(np.int64), _array(row["several"], "<u4").astype(np.int64)
+            word, c, t, ts = _array(row["words"], "<u8"), _array(row["c"], "<i8"), _array(row["t"], "<u4").astype(np.int64), _array(row["ts"], "<u4")
+            of = np.repeat(np.arange(len(contexts)), several)
+            tables = ones_ + np.bincount(of, t, len(contexts)).astype(np.int64)
+            at, split = _find(where.keys, contexts)
+            tables[split] = split_t[at[split]]
+            w = told.column("word").to_numpy().view(np.uint64)
+            up = np.argsort(w)
+            place = up[np.searchsorted(w[up], word)] if len(word) else np.zeros(0, np.int64)
+            m, parent = told.column("m").to_numpy()[place], told.column("t").to_numpy()[place]
+            rest = (m - t).astype(float)
+            tau = np.where(rest > 0, np.maximum(1.0, parent * rest / np.maximum(m, 1)), 0.0)
+            prior = Shared((tables[of] - t).astype(float), theta, d1, rest, tau, size, base, d0)
+            t = reseated(c, _named(contexts[of], word), prior, d1, sweep, seed)
+            tables = ones_ + np.bincount(of, t, len(contexts)).astype(np.int64)
+            row |= {"t": t.astype("<u4").tobytes()}
+            if keep:
+                row |= {"ts": (ts + t).astype("<u4").tobytes(), "kept": row["kept"] + tables.tobytes()}
+            order = np.argsort(word)
+            starts, _ = _runs(word[order])
+            sent = np.add.reduceat(t[order], starts) if len(starts) else np.zeros(0, np.int64)
+            return pa.concat_tables([
+                _table(schema, 1, **{k: [x] for k, x in row.items()}),
+                _table(schema, len(starts), word=word[order][starts].view(np.int64), sent=sent),
+                _table(schema, int(split.sum()), context=contexts[split].view(np.int64), ct=tables[split]),
+            ])
+
+        told = asked.join(words.select("word", "m", "t"), "word").select("place", "word", "m", "t")
+        seated = save(books.groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(seat, SEATED), "seated")
+        books, split_t = seated.where("contexts IS NOT NULL").select("shard", *columns), _totals(seated, where.keys, "ct")
+
+        def parents(batches: Iterator[pa.RecordBatch], sweep=sweep, total=total) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    m, t = batch.column("m").to_numpy(), batch.column("t").to_numpy()
+                    names = mixed(batch.column("word").to_numpy().view(np.uint64), 3)
+                    now = reseated(m, names, Own((total - t).astype(float), theta, d0, v), d0, sweep, seed)
+                    yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(now))
+
+        sums = seated.where("word IS NOT NULL").groupBy("word").agg(F.sum("sent").alias("sent"))
+        moved = words.join(sums, "word", "left").select("word", "c", "w1", (F.col("w1") + F.coalesce("sent", F.lit(0))).alias("m"), "t", *kept)
+        schema = ", ".join(f"{c} long" for c in moved.columns)
+        moved = moved.mapInArrow(parents, schema)
+        if keep:
+            k = len(sizes)
+            moved = moved.withColumns({f"m{k}": F.col("m"), f"t{k}": F.col("t")})
+            kept += [f"m{k}", f"t{k}"]
+        before, words = words, save(moved, "words")
+        release(before, *old_books)
+        old_books = [seated]
+        customers, total = (int(x or 0) for x in words.agg(F.sum("m"), F.sum("t")).first())
+        if keep:
+            sizes.append(theta + customers)
+            shares.append((theta + d0 * total) / (theta + customers) / (v + 1))
+            splits.append(split_t)
+    return Model(n, v, d0, d1, theta, where, words.select("word", F.col("c").alias("wc"), *kept), books, held, sizes, shares, split_n, splits)
+
+
+# --- scoring
+
+
+def _word_values(parent: tuple[float, np.ndarray, np.ndarray], rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and probabilities (rows by kept sweeps) of words that the parent knows."""
+    discount, sizes, shares = parent
+    m, t = (np.stack([rows.column(f"{x}{i}").to_numpy() for i in range(len(sizes))], axis=1).astype(float) for x in "mt")
+    return rows.column("wc").to_numpy(), (m - discount * t) / sizes + shares
+
+
+class Restaurants:
+    """The contexts of one shard, as a shard's row has them, with what a pair's probability needs."""
+
+    def __init__(self, row: dict | None, scalars: dict):
+        self.k, self.theta, self.d1 = len(scalars["sizes"]), scalars["theta"], scalars["d1"]
+        row = row or {}
+        self.contexts = _array(row.get("contexts"), "<u8")
+        ones, several = _array(row.get("ones"), "<u4").astype(np.int64), _array(row.get("several"), "<u4").astype(np.int64)
+        self.n = _array(row.get("n"), "<i8").copy()
+        tables = _array(row.get("kept"), "<i8").reshape(self.k, -1).copy()
+        at, split = _find(scalars["places"].keys, self.contexts)
+        self.n[split] = scalars["split_n"][at[split]]
+        for i in range(self.k):
+            tables[i, split] = scalars["splits"][i][at[split]]
+        self.back = ((self.theta + self.d1 * tables) / (self.theta + self.n)).T if len(self.contexts) else np.ones((0, self.k))
+        self.words, self.c = _array(row.get("words"), "<u8"), _array(row.get("c"), "<i8")
+        self.of = np.repeat(np.arange(len(self.contexts)), several)
+        self.own = self.c - self.d1 * _array(row.get("ts"), "<u4") / self.k
+        single = _array(row.get("single"), "<u8")
+        of_single = np.repeat(np.arange(len(self.contexts)), ones) if len(single) else np.zeros(0, np.int64)
+        self.names = np.concatenate([_named(self.contexts[self.of], self.words), _named(self.contexts[of_single], single)])
+        self.mass = np.concatenate([self.own, np.full(len(single), 1.0 - self.d1)])
+
+    def sort(self) -> None:
+        up = np.argsort(self.names)
+        self.names, self.mass = self.names[up], self.mass[up]
+
+    def of_pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs: customers less discounts over the context's size, back-off (pairs by kept sweeps), whether seen."""
+        at, known = _find(self.contexts, context)
+        back = np.ones((len(context), self.k))
+        back[known] = self.back[at[known]]
+        size = np.full(len(context), self.theta)
+        size[known] += self.n[at[known]]
+        place, seen = _find(self.names, _named(context, word))
+        mass = np.zeros(len(context))
+        mass[seen] = self.mass[place[seen]] / size[seen]
+        return mass, back, seen
+
+
+def _near(model: Model, word_share: float) -> dict[str, np.ndarray]:
+    rows = model.words.where(F.col("wc") >= max(1.0, word_share * model.n)).toArrow()
+    keys = rows.column("word").to_numpy().view(np.uint64)
+    up = np.argsort(keys)
+    c, p = _word_values(model.parent, rows)
+    return {"keys": keys[up], "c": c[up], "p": p[up]}
+
+
+def _frequent(model: Model, scalars: dict, near: dict, pair_share: float) -> dict[str, np.ndarray]:
+    """Names and log probabilities of the most frequent pairs of frequent words, at most 1 / pair_share."""
+    columns = ("contexts", "n", "ones", "several", "words", "c", "ts", "kept")
+
+    def classes(c: np.ndarray) -> np.ndarray:
+        return np.floor(8 * np.log2(np.maximum(c, 1))).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                tokens, counts = _with_ends(part.column("text"))
-                before = _contexts(tokens, counts)
-                names = mixed(before, 1) + tokens
-                text = np.repeat(np.arange(len(counts)), counts)
-                # distinct pairs of the slice, then of each text
-                _, first, which = np.unique(names, return_index=True, return_inverse=True)
-                word, context = tokens[first].view(np.int64), before[first].view(np.int64)
-                wi, word_known = _find(t["key"], word)
-                ci, context_known = _find(t["contexts"], context)
-                at, short = _find(t["pair"], names[first])
-                x = np.zeros(len(first))
-                both = np.flatnonzero(word_known & context_known)
-                x[both] = (t["ps"][wi[both]] * t["backs"][ci[both]]).mean(axis=1)
-                size = np.where(context_known, theta1 + t["totals"][ci], 0.0)
-                done = word_known & context_known & short
-                logs = np.zeros(len(first))
-                logs[done] = np.log10(t["mass"][at[done]] + x[done])
-                base = np.zeros(len(first))
-                base[word_known] = np.log10((t["count"][wi[word_known]] + 0.5) / floor)
-
-                def sums(y: np.ndarray, text=text, counts=counts) -> np.ndarray:
-                    return np.bincount(text, y, len(counts))
-
-                left = np.flatnonzero(~done[which])
-                asked, times = np.unique(text[left] * len(first) + which[left], return_counts=True)
-                owner, pair_ = asked // len(first), asked % len(first)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32))
-                rows = pa.StructArray.from_arrays([
-                    pa.array(context[pair_]), pa.array(word[pair_]), pa.array(times.astype(np.int32)), pa.array(x[pair_]), pa.array(size[pair_]),
-                    pa.array(word_known[pair_]), pa.array(context_known[pair_]), pa.array(wi[pair_].astype(np.int32)), pa.array(ci[pair_].astype(np.int32)),
-                ], ["context", "word", "n", "x", "size", "wk", "ck", "wi", "ci"])
-                columns = [part.column(k) for k in ("doc_id", *keep)]
-                columns += [pa.array(counts), pa.array(sums(word_known[which]).astype(np.int64)), pa.array(sums(base[which])), pa.array(sums(logs[which])), pa.ListArray.from_arrays(offsets, rows)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_tokens", "n_known", "base_score", "score", "pairs"])
-
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep]
-    pairs_type = "array<struct<context:long,word:long,n:int,x:double,size:double,wk:boolean,ck:boolean,wi:int,ci:int>>"
-    sums = docs.select("doc_id", *keep, "text").mapInArrow(run, ", ".join(["doc_id long", *kept, "n_tokens long", "n_known long", "base_score double", "score double", f"pairs {pairs_type}"]))
-    sums = save(sums.withColumn("_row", F.monotonically_increasing_id()), "sums")
-    asked = sums.select("_row", F.explode("pairs").alias("a")).select("_row", "a.*")
-    name = F.xxhash64("context", "word").alias("name")
-    whole = asked.where("wk AND ck").select("_row", name, "n", "x", "size", F.lit(0).alias("known"), F.lit(0.0).alias("lb"))
-
-    # tokens whose word or context is rare or unknown
-    part = asked.where("NOT (wk AND ck)").select("_row", "context", "word", "n", "size", "wk", "ck", "wi", "ci")
-    rare_words = model["rare"].select("word", F.col("c").alias("wc"), "ps")
-    rare_contexts = model["rare"].select(F.col("word").alias("context"), F.col("c").alias("cc"), "backs")
-    part = part.join(rare_words, "word", "left").join(rare_contexts, "context", "left")
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
-        unknown = np.array(model_unknown)
+            for data in batch.column("c").to_pylist():
+                k, n = np.unique(classes(_array(data, "<i8")), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    found = sorted(((r["k"], r["n"]) for r in model.books.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()), reverse=True)
+    fits = [k for (k, _), below in zip(found, np.cumsum([n for _, n in found]), strict=True) if below <= 1 / pair_share]
+    if not fits:
+        return {"names": np.zeros(0, np.uint64), "lp": np.zeros(0)}
+    least, given = min(fits), model.books.sparkSession.sparkContext.broadcast((scalars, near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scalars_, near_ = given.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-
-            def vectors(column: str, at: str, known: str, table: np.ndarray, other: np.ndarray, batch=batch) -> np.ndarray:
-                values = batch.column(column)
-                out = np.tile(other, (len(values), 1))
-                there = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
-                if len(there):
-                    out[there] = values.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(there), -1)
-                often = np.flatnonzero(batch.column(known).to_numpy(zero_copy_only=False))
-                if len(often):
-                    out[often] = table[_numbers(batch.column(at), np.int64)[often]]
-                return out
-
-            p = vectors("ps", "wi", "wk", t["ps"], unknown)
-            back = vectors("backs", "ci", "ck", t["backs"], np.ones(len(unknown)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("_row", "name", "n")), pa.array((p * back).mean(axis=1)), batch.column("size"), batch.column("known"), batch.column("lb")], ["_row", "name", "n", "x", "size", "known", "lb"])
-
-    model_unknown = list(model["unknown_ps"])
-    # what the word itself adds to n_known and base_score: nothing where the task that tokenised has added it
-    lb = F.when(F.col("wk"), F.lit(0.0)).otherwise(F.log10((F.coalesce("wc", F.lit(0)) + 0.5) / F.lit(floor)))
-    part = part.select(
-        "_row", name, "n", F.when(F.col("ck"), F.col("size")).when(F.col("cc").isNotNull(), F.col("cc") + F.lit(theta1)).otherwise(F.lit(1.0)).alias("size"),
-        F.when(~F.col("wk") & F.col("wc").isNotNull(), 1).otherwise(0).alias("known"), lb.alias("lb"), "wk", "ck", "wi", "ci", "ps", "backs",
-    )
-    part = part.mapInArrow(weigh, "_row long, name long, n int, x double, size double, known int, lb double")
+            for row in batch.to_pylist():
+                r = Restaurants(row, scalars_)
+                at, known = _find(near_["keys"], r.words)
+                chosen = np.flatnonzero(known & (classes(r.c) >= least))
+                of = r.of[chosen]
+                p = r.own[chosen] / (r.theta + r.n[of]) + (r.back[of] * near_["p"][at[chosen]]).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(r.names[chosen].view(np.int64)), pa.array(np.log10(p))], ["name", "lp"])
+
+    rows = model.books.select(*columns).mapInArrow(run, "name long, lp double").toArrow()
+    names = rows.column("name").to_numpy().view(np.uint64)
+    up = np.argsort(names)
+    return {"names": names[up], "lp": rows.column("lp").to_numpy()[up]}
 
-    own = model["own"].select(name, F.col("own").cast("float").alias("own"))
-    answered = whole.unionByName(part).join(own, "name", "left")
-    answered = answered.groupBy("_row").agg(
-        F.sum(F.col("n") * F.col("known")).alias("known"), F.sum(F.col("n") * F.col("lb")).alias("lb"),
-        F.sum(F.col("n") * F.log10(F.coalesce(F.col("own") / F.col("size"), F.lit(0.0)) + F.col("x"))).alias("ls"),
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+    """Every text's n_tokens, n_known, train_tokens, base_score and score, with the columns `keep` of docs.
+
+    A token's probability is the mean over the kept sweeps of (customers - d1 * tables) / (theta1 + size) + back * p.
+    Frequent pairs are summed where the text is. The other distinct pairs of each text go to their contexts' shards,
+    packed by runs of texts; a shard answers with sums by text. Pairs that no training text has, of words that aren't
+    broadcast, are joined to the table of words after that.
+    """
+    spark, k = docs.sparkSession, len(model.sizes)
+    scalars = {"theta": model.theta, "d1": model.d1, "sizes": model.sizes, "places": model.places, "split_n": model.split_n, "splits": model.splits}
+    near = _near(model, word_share)
+    given = spark.sparkContext.broadcast({"scalars": scalars, "near": near, "pairs": _frequent(model, scalars, near, pair_share)})
+    floor, n, where = model.n + 0.5 * (model.v + 1), model.n, model.places
+    chunk = "shard int, run long, contexts binary, lengths binary, words binary, times binary, texts binary, counts binary"
+    doc = "text_no int, n_tokens long, n_known long, base_score double, score double"
+    names = ["doc_id", *keep]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in names for f in docs.schema.fields if f.name == c]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, schema, number = given.value, _schema(f"{chunk}, {doc}"), 0
+        near_, pairs = t["near"], t["pairs"]
+        lb = np.log10((near_["c"] + 0.5) / floor)
+        for tokens, counts, columns in _gatherer(batches, ASK_TOKENS, names):
+            run, number = (TaskContext.get().partitionId() << 32) + number, number + 1
+            before, text = _contexts(tokens, counts), np.repeat(np.arange(len(counts)), counts)
+            found, first, which = np.unique(_named(before, tokens), return_index=True, return_inverse=True)
+            context, word = before[first], tokens[first]
+            at, known = _find(near_["keys"], word)
+            place, short = _find(pairs["names"], found)
+            base, logs = np.zeros(len(found)), np.zeros(len(found))
+            base[known], logs[short] = lb[at[known]], pairs["lp"][place[short]]
+            own = {"n_known": np.bincount(text, known[which], len(counts)).astype(np.int64), "base_score": np.bincount(text, base[which], len(counts)), "score": np.bincount(text, logs[which], len(counts))}
+            whole = pa.schema([*schema, *(pa.field(c, x.type) for c, x in zip(names, columns, strict=True))])
+            rows = _table(whole, len(counts), **dict(zip(names, columns, strict=True)), shard=np.full(len(counts), run % where.shards, np.int32), run=np.full(len(counts), run), text_no=np.arange(len(counts), dtype=np.int32), n_tokens=counts, **own)
+            out = [rows]
+            # the other pairs by shard and context; of each the texts and how often they have it
+            left = np.flatnonzero(~short)
+            order, shard = _packed(where, context[left], word[left])
+            rank = np.full(len(found), -1)
+            rank[left[order]] = np.arange(len(order))
+            context, word = context[left[order]], word[left[order]]
+            mine = np.flatnonzero(rank[which] >= 0)
+            entry, c = np.unique(rank[which[mine]] * len(counts) + text[mine], return_counts=True)
+            pair, entry = entry // len(counts), entry % len(counts)
+            times = np.bincount(pair, minlength=len(order))
+            ends = np.concatenate([[0], np.cumsum(times)])
+            starts, lengths = _runs(shard)
+            packed = []
+            for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
+                runs, sizes = _runs(context[s : s + m])
+                a, b = ends[s], ends[s + m]
+                packed.append((int(shard[s]), run, context[s : s + m][runs].tobytes(), sizes.astype("<u4").tobytes(), word[s : s + m].tobytes(), times[s : s + m].astype("<u4").tobytes(), entry[a:b].astype("<u4").tobytes(), c[a:b].astype("<u4").tobytes()))
+            if packed:
+                columns_ = dict(zip([f.name for f in _schema(chunk)], zip(*packed, strict=True), strict=True))
+                out.append(_table(whole, len(packed), **columns_))
+            yield from pa.concat_tables(out).to_batches()
+
+    answers = f"run long, {doc}, texts binary, ls binary, rare_texts binary, lb binary, known binary, word long, times long, {', '.join(f'b{i} double' for i in range(k))}"
+
+    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+        t, schema = given.value, _schema(answers)
+        docs_ = asked.filter(pc.is_valid(asked.column("text_no")))
+        whole = pa.schema([*schema, *(pa.field(c, asked.schema.field(c).type) for c in names)])
+        kept = _table(whole, len(docs_), **{c: docs_.column(c).combine_chunks() for c in whole.names if c in docs_.column_names})
+        out = [kept]
+
+        def more(rows: int, **columns) -> None:
+            out.append(_table(whole, rows, **columns))
+
+        chunks = asked.filter(pc.is_null(asked.column("text_no"))).select([f.name for f in _schema(chunk)]).to_pylist()
+        if not chunks:
+            return kept
+        is_book = pc.is_valid(told.column("contexts"))
+        books = told.filter(is_book).to_pylist()
+        restaurants = Restaurants(books[0] if books else None, t["scalars"])
+        restaurants.sort()
+        rare = told.filter(pc.invert(is_book))
+        rare_keys = rare.column("word").to_numpy().view(np.uint64)
+        up = np.argsort(rare_keys)
+        rare_keys = rare_keys[up]
+        rare_c, rare_p = _word_values(parent, rare)
+        rare_c, rare_p = rare_c[up], rare_p[up]
+        near_ = t["near"]
+        for x in chunks:
+            word, times = _array(x["words"], "<u8"), _array(x["times"], "<u4")
+            context = np.repeat(_array(x["contexts"], "<u8"), _array(x["lengths"], "<u4"))
+            mass, back, _ = restaurants.of_pairs(context, word)
+            p = np.ones((len(word), k))
+            at, is_near = _find(near_["keys"], word)
+            p[is_near] = near_["p"][at[is_near]]
+            at, is_rare = _find(rare_keys, word)
+            is_rare &= ~is_near
+            p[is_rare] = rare_p[at[is_rare]]
+            resolved = is_near | is_rare
+            logs, lb = np.log10(mass + (back * p).mean(axis=1)), np.zeros(len(word))
+            logs[~resolved] = 0.0
+            lb[is_rare] = np.log10((rare_c[at[is_rare]] + 0.5) / floor)
+            pair, texts, c = np.repeat(np.arange(len(word)), times), _array(x["texts"], "<u4"), _array(x["counts"], "<u4")
+            size, rare_pair = int(texts.max()) + 1, is_rare[pair]
+            here, there = np.flatnonzero(np.bincount(texts, minlength=size)), np.flatnonzero(np.bincount(texts[rare_pair], minlength=size))
+            sums = {"texts": here.astype("<u4"), "ls": np.bincount(texts, logs[pair] * c)[here].astype("<f4"), "rare_texts": there.astype("<u4")}
+            sums |= {"lb": np.bincount(texts, lb[pair] * c)[there], "known": np.bincount(texts, rare_pair * c)[there].astype("<u4")}
+            more(1, run=[x["run"]], **{name: [y.tobytes()] for name, y in sums.items()})
+            open_ = np.flatnonzero(~resolved[pair])
+            if len(open_):
+                backs = {f"b{i}": back[pair[open_], i] for i in range(k)}
+                more(len(open_), run=np.full(len(open_), x["run"]), text_no=texts[open_].astype(np.int32), word=word[pair[open_]].view(np.int64), times=c[open_].astype(np.int64), **backs)
+        return pa.concat_tables(out)
+
+    parent = model.parent
+    # the words of a shard's own pairs that aren't broadcast go to it; they are found by a join on the word
+    is_rare = F.col("wc") < max(1.0, word_share * n)
+    rare = model.held.where("word IS NOT NULL").select("shard", "word").join(model.words.where(is_rare), "word")
+    told = model.books.unionByName(rare, allowMissingColumns=True)
+    asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
+    got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers")
+
+    def add(table: pa.Table) -> pa.Table:
+        texts, rare_texts = (np.concatenate([_array(x, "<u4") for x in table.column(c).to_pylist()]) for c in ("texts", "rare_texts"))
+        size = int(texts.max()) + 1
+        sums = {
+            name: np.bincount(at, np.concatenate([_array(x, kind) for x in table.column(name).to_pylist()]), size).astype(float)
+            for name, kind, at in (("ls", "<f4", texts), ("lb", "<f8", rare_texts), ("known", "<u4", rare_texts))
+        }
+        return pa.table({"run": np.full(size, table.column("run")[0].as_py()), "text_no": np.arange(size, dtype=np.int32), **sums})
+
+    sums = got.where("ls IS NOT NULL").select("run", "texts", "ls", "rare_texts", "lb", "known").groupBy("run").applyInArrow(add, "run long, text_no int, ls double, lb double, known double")
+    # pairs that no training text has, of words that aren't broadcast: the word may be known, or not
+    open_ = got.where("times IS NOT NULL").join(model.words, "word", "left")
+    ps = [F.coalesce((F.col(f"m{i}") - model.d0 * F.col(f"t{i}")) / model.sizes[i], F.lit(0.0)) + model.shares[i] for i in range(k)]
+    chance = sum((F.col(f"b{i}") * ps[i] for i in range(k)), F.lit(0.0)) / k
+    open_ = open_.select(
+        "run", "text_no", (F.col("times") * F.log10(chance)).alias("ls"), (F.col("times") * F.log10((F.coalesce("wc", F.lit(0)) + 0.5) / floor)).alias("lb"),
+        F.when(F.col("wc").isNotNull(), F.col("times")).otherwise(0).cast("double").alias("known"),
     )
-    out = sums.drop("pairs").join(answered, "_row", "left")
+    more = sums.unionByName(open_).groupBy("run", "text_no").agg(F.sum("ls").alias("ls"), F.sum("lb").alias("lb"), F.sum("known").alias("known"))
+    rows = got.where("n_tokens IS NOT NULL").select("run", *names, *(f.split(" ")[0] for f in doc.split(", ")))
+    out = rows.join(more, ["run", "text_no"], "left")
 
     def plus(a: str, b: str) -> Column:
-        return (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+        return F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
 
-    return out.select("doc_id", *keep, "n_tokens", plus("n_known", "known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "lb"), plus("score", "ls"))
+    return out.select(*names, "n_tokens", plus("n_known", "known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "lb").alias("base_score"), plus("score", "ls").alias("score"))
 
 
-def held_out_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFrame:
     """Fits on all documents but those of one fold (by crc32 of the id) and scores all."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
     marked = docs.select("doc_id", "text", held.alias("held_out"))
-    model = fit(marked.where("NOT held_out"))
+    model = fit(marked.where("NOT held_out"), **options)
     return score(marked, model, ("held_out",)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
