@@ -53,8 +53,8 @@ def release(*tables: DataFrame) -> None:
     """Removes tables of `save` that nothing reads any more, and lets Spark's cleaner drop the shuffle files of finished stages."""
     for table in tables:
         remove(table.sparkSession, table._saved_in)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    if spark := SparkSession.getActiveSession():
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -15,8 +15,7 @@ word's hash; its totals, a row each, go back to its shards. In a sweep each shar
 that it holds, by a join, and gives back its tables by word. Scoring sends the distinct pairs of texts to the same
 shards. Shards have a bounded number of tokens, and their number grows with the texts.
 
-Broadcast are shortcuts only, which save rows and change no result: the words that make `word_share` of all tokens or
-more, at most 1 / word_share, and the most frequent pairs, at most 1 / pair_share.
+Broadcast are shortcuts only, which save rows and change no result: the most frequent words and pairs, in fixed number.
 
 All draws come from hashes of the dish, the sweep and the step, and totals are whole numbers, so the partitioning of the
 texts changes no seating; scores agree but for the order of sums.
@@ -30,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,8 +42,6 @@ from pyspark.sql import functions as F
 
 from timegrid.llm.common import hashes_of, mixed, release, save, slices, words_of
 
-WORD_SHARE = 1e-6
-PAIR_SHARE = 2e-6
 SWEEPS = 4
 BURN_IN = 2
 #: Dishes of up to so many customers are reseated exactly.
@@ -52,15 +50,28 @@ EXACT = 64
 SHARD_BYTES = 6 << 20
 RUN_TOKENS = 2_500_000
 ASK_TOKENS = 1_000_000
-#: Bytes of text from which the contexts to be dealt over several shards are told; they decide places, not results.
-PROBE_BYTES = 64 << 20
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Bytes of text that tell which contexts to deal over several shards, and which words, at most CODES, get short names.
+#: Both decide places and sizes of what is sent, not results.
+PROBE_BYTES = 16 << 20
+CODES = 400_000
+#: Words whose values are broadcast to be looked up where texts are.
+NEAR_WORDS = 400_000
+#: Pairs whose probabilities are broadcast to be looked up where texts are.
+NEAR_PAIRS = 500_000
+END, START, TOP = np.uint64(0xD851F42D4C957F2D), np.uint64(0x94057B7EF767814F), np.uint64(1 << 63)
 
 
-def _with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, the end token after each text, and tokens per text."""
+def _with_ends(texts: pa.Array, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all tokens, the end token after each text, and tokens per text.
+
+    A word's name is its hash with the top bit set, or for the words in `coded` (such names, sorted) its place there.
+    """
     flat, counts = words_of(texts)
-    return np.insert(hashes_of(flat), np.cumsum(counts), END), counts + 1
+    words = pa.array(flat, pa.binary()).dictionary_encode()
+    names = hashes_of(words.dictionary.to_pylist()) | TOP
+    at, short = _find(coded, names)
+    names = np.where(short, at.astype(np.uint64), names)
+    return np.insert(names[words.indices.to_numpy(zero_copy_only=False)] if flat else np.zeros(0, np.uint64), np.cumsum(counts), END), counts + 1
 
 
 def _contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -83,8 +94,15 @@ def _find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, sorted_[at] == asked
 
 
+def _bytes(values: np.ndarray, kind: str) -> bytes:
+    """The values' bytes, first all lowest ones, then the next and so on: small numbers compress well that way."""
+    values = np.ascontiguousarray(values.astype(kind, copy=False))
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
 def _array(data: bytes | None, kind: str) -> np.ndarray:
-    return np.frombuffer(data or b"", kind)
+    planes = np.frombuffer(data or b"", np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +256,8 @@ class Places:
     shards: int
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Sorted hashes of words that have short names.
+    coded: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         at, split = _find(self.keys, context)
@@ -247,28 +267,34 @@ class Places:
         return (name % np.uint64(self.shards)).astype(np.int64)
 
 
-def places(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Places:
-    """Shards for the texts of docs, and the contexts to split: those of more than a quarter of a shard's tokens."""
+def places(docs: DataFrame, shard_bytes: int = SHARD_BYTES, codes: int = CODES) -> Places:
+    """Shards for the texts of docs, contexts to split (those of more than a quarter of a shard's tokens), short names."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     if shards < 4:
         return Places(shards)
     share = max(1, int(1e6 * min(1.0, PROBE_BYTES / size)))
     probe = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text")
+    none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                k, c = np.unique(_contexts(*_with_ends(part.column("text"))), return_counts=True)
+                tokens, counts = _with_ends(part.column("text"), none)
+                k, c = np.unique(_contexts(tokens, counts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["context", "c"])
 
     counted = save(probe.mapInArrow(run, "context long, c long").groupBy("context").agg(F.sum("c").alias("c")), "probe")
     total = counted.agg(F.sum("c")).first()[0] or 0
-    large = counted.where(F.col("c") >= max(1.0, total * max(1e-5, 0.25 / shards))).toPandas()  # at most 100,000 rows
+    rows = counted.orderBy(F.desc("c"), "context").limit(codes).toArrow()
     release(counted)
-    keys = large["context"].to_numpy(np.int64).view(np.uint64)
+    names, c = rows.column("context").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+    coded = np.unique(names[names != START])
+    large = c >= max(1.0, total * max(1e-5, 0.25 / shards))
+    at, short = _find(coded, names[large])
+    keys = np.where(short, at.astype(np.uint64), names[large])
     up = np.argsort(keys)
-    return Places(shards, keys[up], np.ceil(4 * shards * large["c"].to_numpy(float) / total).astype(np.int64)[up])
+    return Places(shards, keys[up], np.ceil(4 * shards * c[large] / total).astype(np.int64)[up], coded)
 
 
 def _packed(places_: Places, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,12 +304,12 @@ def _packed(places_: Places, context: np.ndarray, word: np.ndarray) -> tuple[np.
     return order, shard[order]
 
 
-def _gatherer(batches: Iterator[pa.RecordBatch], least: int, columns: list[str]) -> Iterator[tuple]:
+def _gatherer(batches: Iterator[pa.RecordBatch], coded: np.ndarray, least: int, columns: list[str]) -> Iterator[tuple]:
     """Runs of texts with about `least` tokens: tokens, counts, and the columns' arrays."""
     held, size = [], 0
     for batch in batches:
         for part in slices(batch):
-            tokens, counts = _with_ends(part.column("text"))
+            tokens, counts = _with_ends(part.column("text"), coded)
             held.append((tokens, counts, [part.column(c) for c in columns]))
             size += len(tokens)
             if size >= least:
@@ -300,12 +326,18 @@ def _joined(held: list[tuple]) -> tuple:
 
 SENT = "shard int, contexts binary, lengths binary, words binary, counts binary"
 #: A shard's restaurants: contexts with customers (n), dishes of one customer (ones) and of more (several); the words
-#: of both kinds of dishes in order of contexts; customers (c) of the second kind, tables (t) and their sum over kept
-#: sweeps (ts), the contexts' tables in the kept sweeps (kept), one sweep after the other.
-BOOK = "contexts binary, n binary, ones binary, several binary, single binary, words binary, c binary, t binary, ts binary, kept binary"
+#: of both kinds of dishes in order of contexts, and customers (c) of the second kind.
+BOOK = "contexts binary, n binary, ones binary, several binary, single binary, words binary, c binary"
+#: Their seating: tables (t) of the dishes of several customers, the sum of these over the kept sweeps (ts), and the
+#: contexts' tables in the kept sweeps, one after the other (kept).
+SEATING = "t binary, ts binary, kept binary"
 COUNTED = f"shard int, {BOOK}, word long, wc long, w1 long, wk long, context long, cn long, ct long, pairs1 long, pairs2 long"
 
 
+def _names(ddl: str) -> list[str]:
+    return [f.split(" ")[0] for f in ddl.split(", ")]
+
+
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (f.strip().split(" ") for f in ddl.split(","))])
@@ -321,18 +353,18 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema(SENT)
-        for tokens, counts, _ in _gatherer(batches, RUN_TOKENS, []):
+        for tokens, counts, _ in _gatherer(batches, places_.coded, RUN_TOKENS, []):
             before = _contexts(tokens, counts)
             _, first, c = np.unique(_named(before, tokens), return_index=True, return_counts=True)
             context, word = before[first], tokens[first]
             del before, tokens
             order, shard = _packed(places_, context, word)
-            context, word, c = context[order], word[order], c[order].astype("<u4")
+            context, word, c = context[order], word[order], c[order]
             starts, lengths = _runs(shard)
             rows = []
             for s, k in zip(starts.tolist(), lengths.tolist(), strict=True):
                 at, sizes = _runs(context[s : s + k])
-                rows.append((int(shard[s]), context[s : s + k][at].tobytes(), sizes.astype("<u4").tobytes(), word[s : s + k].tobytes(), c[s : s + k].tobytes()))
+                rows.append((int(shard[s]), _bytes(context[s : s + k][at], "<u8"), _bytes(sizes, "<u4"), _bytes(word[s : s + k], "<u8"), _bytes(c[s : s + k], "<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def count(table: pa.Table) -> pa.Table:
@@ -351,11 +383,8 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
         one = c == 1
         n, ones = np.add.reduceat(c, starts), np.add.reduceat(one.astype(np.int64), starts)
         many = c[~one]
-        book = {
-            "contexts": context[starts], "n": n, "ones": ones.astype("<u4"), "several": (lengths - ones).astype("<u4"), "single": word[one], "words": word[~one],
-            "c": many, "t": np.ones(len(many), "<u4"), "ts": np.zeros(len(many), "<u4"), "kept": np.zeros(0, np.int64),
-        }
-        out = [_table(schema, 1, shard=[shard], pairs1=[int(one.sum())], pairs2=[int((c == 2).sum())], **{k: [v.tobytes()] for k, v in book.items()})]
+        book = {"contexts": _bytes(context[starts], "<u8"), "n": _bytes(n, "<i8"), "ones": _bytes(ones, "<u4"), "several": _bytes(lengths - ones, "<u4"), "single": _bytes(word[one], "<u8"), "words": _bytes(word[~one], "<u8"), "c": _bytes(c[~one], "<i8")}
+        out = [_table(schema, 1, shard=[shard], pairs1=[int(one.sum())], pairs2=[int((c == 2).sum())], **{k: [v] for k, v in book.items()})]
         order = np.argsort(word)
         w, one, c = word[order], one[order], c[order]
         at, kinds = _runs(w)
@@ -374,7 +403,7 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
 @dataclass
 class Model:
     """What scoring needs. words: word, wc (its customers) and for each kept sweep m and t (parent's customers and tables); books: the
-    shards' restaurants; splits: for each kept sweep the tables of contexts in several shards; split_n: their customers."""
+    shards' restaurants; seating: their tables; held: the counts; splits: for each kept sweep the tables of contexts in several shards; split_n: their customers."""
 
     n: int
     v: int
@@ -384,6 +413,7 @@ class Model:
     places: Places
     words: DataFrame
     books: DataFrame
+    seating: DataFrame
     held: DataFrame
     sizes: list[float]
     shares: list[float]
@@ -396,7 +426,7 @@ class Model:
         return self.d0, np.array(self.sizes), np.array(self.shares)
 
 
-SEATED = f"shard int, {BOOK}, word long, sent long, context long, ct long"
+SEATED = f"place int, {SEATING}, word long, sent long, context long, ct long"
 
 
 def _totals(rows: DataFrame, keys: np.ndarray, column: str) -> np.ndarray:
@@ -419,11 +449,11 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
     n, v, ones, twos, customers = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.sum("m")).first())
     d0, d1, theta, total = discount_of(ones, twos), discount_of(pairs1, pairs2), 1.0, v
     split_n, split_t = _totals(held, where.keys, "cn"), _totals(held, where.keys, "ct")
-    columns = [f.split(" ")[0] for f in BOOK.split(", ")]
-    books = held.where("contexts IS NOT NULL").select("shard", *columns)
-    asked = held.where("wk > 0").select(F.col("shard").alias("place"), "word")
+    books = held.where("contexts IS NOT NULL").select("shard", *_names(BOOK))
+    asked = save(held.where("wk > 0").select(F.col("shard").alias("place"), "word"), "asked")
+    seating: DataFrame | None = None
     sizes, shares, splits, kept = [], [], [], []
-    old_books: list[DataFrame] = []
+    release()
 
     for sweep in range(sweeps):
         size, base, keep = theta + customers, (theta + d0 * total) / (v + 1), sweep >= burn_in
@@ -432,37 +462,47 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             schema = _schema(SEATED)
             if not book.num_rows:
                 return schema.empty_table()
-            row = {k: book.column(k)[0].as_py() for k in ("shard", *columns)}
+            row = book.to_pylist()[0]
             contexts, ones_, several = _array(row["contexts"], "<u8"), _array(row["ones"], "<u4").astype(np.int64), _array(row["several"], "<u4").astype(np.int64)
-            word, c, t, ts = _array(row["words"], "<u8"), _array(row["c"], "<i8"), _array(row["t"], "<u4").astype(np.int64), _array(row["ts"], "<u4")
+            word, c = _array(row["words"], "<u8"), _array(row["c"], "<i8")
+            is_word = pc.is_valid(told.column("word"))
+            last = told.filter(pc.invert(is_word)).to_pylist()
+            now = last[0] if last else {"t": None, "ts": None, "kept": None}
+            t = _array(now["t"], "<u4").astype(np.int64) if last else np.ones(len(c), np.int64)
+            ts = _array(now["ts"], "<u4") if now["ts"] else np.zeros(len(c), np.int64)
             of = np.repeat(np.arange(len(contexts)), several)
             tables = ones_ + np.bincount(of, t, len(contexts)).astype(np.int64)
             at, split = _find(where.keys, contexts)
             tables[split] = split_t[at[split]]
+            told = told.filter(is_word)
             w = told.column("word").to_numpy().view(np.uint64)
             up = np.argsort(w)
             place = up[np.searchsorted(w[up], word)] if len(word) else np.zeros(0, np.int64)
-            m, parent = told.column("m").to_numpy()[place], told.column("t").to_numpy()[place]
+            m, parent = told.column("m").to_numpy()[place], told.column("n").to_numpy()[place]
             rest = (m - t).astype(float)
             tau = np.where(rest > 0, np.maximum(1.0, parent * rest / np.maximum(m, 1)), 0.0)
             prior = Shared((tables[of] - t).astype(float), theta, d1, rest, tau, size, base, d0)
             t = reseated(c, _named(contexts[of], word), prior, d1, sweep, seed)
             tables = ones_ + np.bincount(of, t, len(contexts)).astype(np.int64)
-            row |= {"t": t.astype("<u4").tobytes()}
+            done = {"place": [row["shard"]], "t": [_bytes(t, "<u4")]}
             if keep:
-                row |= {"ts": (ts + t).astype("<u4").tobytes(), "kept": row["kept"] + tables.tobytes()}
+                done |= {"ts": [_bytes(ts + t, "<u4")], "kept": [_bytes(np.concatenate([_array(now["kept"], "<i8"), tables]), "<i8")]}
             order = np.argsort(word)
             starts, _ = _runs(word[order])
             sent = np.add.reduceat(t[order], starts) if len(starts) else np.zeros(0, np.int64)
             return pa.concat_tables([
-                _table(schema, 1, **{k: [x] for k, x in row.items()}),
+                _table(schema, 1, **done),
                 _table(schema, len(starts), word=word[order][starts].view(np.int64), sent=sent),
                 _table(schema, int(split.sum()), context=contexts[split].view(np.int64), ct=tables[split]),
             ])
 
-        told = asked.join(words.select("word", "m", "t"), "word").select("place", "word", "m", "t")
-        seated = save(books.groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(seat, SEATED), "seated")
-        books, split_t = seated.where("contexts IS NOT NULL").select("shard", *columns), _totals(seated, where.keys, "ct")
+        told = asked.join(words.select("word", "m", F.col("t").alias("n")), "word").select("place", "word", "m", "n")
+        if seating is not None:
+            told = told.unionByName(seating.where("t IS NOT NULL").select("place", *_names(SEATING)), allowMissingColumns=True)
+        else:
+            told = told.withColumns({c: F.lit(None).cast("binary") for c in _names(SEATING)})
+        seated = save(books.drop("single").groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(seat, SEATED), "seated")
+        split_t = _totals(seated, where.keys, "ct")
 
         def parents(batches: Iterator[pa.RecordBatch], sweep=sweep, total=total) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -480,15 +520,15 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             k = len(sizes)
             moved = moved.withColumns({f"m{k}": F.col("m"), f"t{k}": F.col("t")})
             kept += [f"m{k}", f"t{k}"]
-        before, words = words, save(moved, "words")
-        release(before, *old_books)
-        old_books = [seated]
+        old, words, seating = [words, *([seating] if seating is not None else [])], save(moved, "words"), seated
+        release(*old)
         customers, total = (int(x or 0) for x in words.agg(F.sum("m"), F.sum("t")).first())
         if keep:
             sizes.append(theta + customers)
             shares.append((theta + d0 * total) / (theta + customers) / (v + 1))
             splits.append(split_t)
-    return Model(n, v, d0, d1, theta, where, words.select("word", F.col("c").alias("wc"), *kept), books, held, sizes, shares, split_n, splits)
+    release(asked)
+    return Model(n, v, d0, d1, theta, where, words.select("word", F.col("c").alias("wc"), *kept), books, seating.where("t IS NOT NULL").select("place", *_names(SEATING)), held, sizes, shares, split_n, splits)
 
 
 # --- scoring
@@ -506,7 +546,7 @@ class Restaurants:
 
     def __init__(self, row: dict | None, scalars: dict):
         self.k, self.theta, self.d1 = len(scalars["sizes"]), scalars["theta"], scalars["d1"]
-        row = row or {}
+        row = row or {}  # a shard's book and seating
         self.contexts = _array(row.get("contexts"), "<u8")
         ones, several = _array(row.get("ones"), "<u4").astype(np.int64), _array(row.get("several"), "<u4").astype(np.int64)
         self.n = _array(row.get("n"), "<i8").copy()
@@ -541,32 +581,46 @@ class Restaurants:
         return mass, back, seen
 
 
-def _near(model: Model, word_share: float) -> dict[str, np.ndarray]:
-    rows = model.words.where(F.col("wc") >= max(1.0, word_share * model.n)).toArrow()
+def _classes(c: np.ndarray) -> np.ndarray:
+    """Classes of counts, eight for each power of two."""
+    return np.floor(8 * np.log2(np.maximum(c, 1))).astype(np.int64)
+
+
+def _least_class(found: list[tuple[int, int]], most: int) -> int:
+    """From (class, how many): the class from which on there are at most `most`."""
+    found = sorted(found, reverse=True)
+    fits = [k for (k, _), below in zip(found, np.cumsum([n for _, n in found]), strict=True) if below <= most]
+    return min(fits) if fits else 1 << 30
+
+
+def _least_count(model: Model, most: int) -> int:
+    """The count from which on there are at most `most` words."""
+    classes = model.words.groupBy(F.floor(8 * F.log2("wc")).alias("k")).count().collect()  # some hundred
+    return math.ceil(2 ** (_least_class([(r["k"], r["count"]) for r in classes], most) / 8)) if classes else 1
+
+
+def _near(model: Model, least: int) -> dict[str, np.ndarray]:
+    rows = model.words.where(F.col("wc") >= least).toArrow()
     keys = rows.column("word").to_numpy().view(np.uint64)
     up = np.argsort(keys)
     c, p = _word_values(model.parent, rows)
     return {"keys": keys[up], "c": c[up], "p": p[up]}
 
 
-def _frequent(model: Model, scalars: dict, near: dict, pair_share: float) -> dict[str, np.ndarray]:
-    """Names and log probabilities of the most frequent pairs of frequent words, at most 1 / pair_share."""
+def _frequent(model: Model, scalars: dict, near: dict, most: int) -> dict[str, np.ndarray]:
+    """Names and log probabilities of the most frequent pairs of frequent words, at most `most`."""
     columns = ("contexts", "n", "ones", "several", "words", "c", "ts", "kept")
 
-    def classes(c: np.ndarray) -> np.ndarray:
-        return np.floor(8 * np.log2(np.maximum(c, 1))).astype(np.int64)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("c").to_pylist():
-                k, n = np.unique(classes(_array(data, "<i8")), return_counts=True)
+                k, n = np.unique(_classes(_array(data, "<i8")), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
-    found = sorted(((r["k"], r["n"]) for r in model.books.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()), reverse=True)
-    fits = [k for (k, _), below in zip(found, np.cumsum([n for _, n in found]), strict=True) if below <= 1 / pair_share]
-    if not fits:
+    found = model.books.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    least, given = _least_class([(r["k"], r["n"]) for r in found], most), model.books.sparkSession.sparkContext.broadcast((scalars, near))
+    if least == 1 << 30:
         return {"names": np.zeros(0, np.uint64), "lp": np.zeros(0)}
-    least, given = min(fits), model.books.sparkSession.sparkContext.broadcast((scalars, near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scalars_, near_ = given.value
@@ -574,18 +628,19 @@ def _frequent(model: Model, scalars: dict, near: dict, pair_share: float) -> dic
             for row in batch.to_pylist():
                 r = Restaurants(row, scalars_)
                 at, known = _find(near_["keys"], r.words)
-                chosen = np.flatnonzero(known & (classes(r.c) >= least))
+                chosen = np.flatnonzero(known & (_classes(r.c) >= least))
                 of = r.of[chosen]
                 p = r.own[chosen] / (r.theta + r.n[of]) + (r.back[of] * near_["p"][at[chosen]]).mean(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(r.names[chosen].view(np.int64)), pa.array(np.log10(p))], ["name", "lp"])
 
-    rows = model.books.select(*columns).mapInArrow(run, "name long, lp double").toArrow()
+    both = model.books.drop("single").join(model.seating, F.col("shard") == F.col("place")).select(*columns)
+    rows = both.mapInArrow(run, "name long, lp double").toArrow()
     names = rows.column("name").to_numpy().view(np.uint64)
     up = np.argsort(names)
     return {"names": names[up], "lp": rows.column("lp").to_numpy()[up]}
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words: int = NEAR_WORDS, near_pairs: int = NEAR_PAIRS) -> DataFrame:
     """Every text's n_tokens, n_known, train_tokens, base_score and score, with the columns `keep` of docs.
 
     A token's probability is the mean over the kept sweeps of (customers - d1 * tables) / (theta1 + size) + back * p.
@@ -595,8 +650,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share:
     """
     spark, k = docs.sparkSession, len(model.sizes)
     scalars = {"theta": model.theta, "d1": model.d1, "sizes": model.sizes, "places": model.places, "split_n": model.split_n, "splits": model.splits}
-    near = _near(model, word_share)
-    given = spark.sparkContext.broadcast({"scalars": scalars, "near": near, "pairs": _frequent(model, scalars, near, pair_share)})
+    least = _least_count(model, near_words)
+    near = _near(model, least)
+    given = spark.sparkContext.broadcast({"scalars": scalars, "near": near, "pairs": _frequent(model, scalars, near, near_pairs)})
     floor, n, where = model.n + 0.5 * (model.v + 1), model.n, model.places
     chunk = "shard int, run long, contexts binary, lengths binary, words binary, times binary, texts binary, counts binary"
     doc = "text_no int, n_tokens long, n_known long, base_score double, score double"
@@ -607,7 +663,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share:
         t, schema, number = given.value, _schema(f"{chunk}, {doc}"), 0
         near_, pairs = t["near"], t["pairs"]
         lb = np.log10((near_["c"] + 0.5) / floor)
-        for tokens, counts, columns in _gatherer(batches, ASK_TOKENS, names):
+        for tokens, counts, columns in _gatherer(batches, where.coded, ASK_TOKENS, names):
             run, number = (TaskContext.get().partitionId() << 32) + number, number + 1
             before, text = _contexts(tokens, counts), np.repeat(np.arange(len(counts)), counts)
             found, first, which = np.unique(_named(before, tokens), return_index=True, return_inverse=True)
@@ -636,7 +692,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share:
             for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
                 runs, sizes = _runs(context[s : s + m])
                 a, b = ends[s], ends[s + m]
-                packed.append((int(shard[s]), run, context[s : s + m][runs].tobytes(), sizes.astype("<u4").tobytes(), word[s : s + m].tobytes(), times[s : s + m].astype("<u4").tobytes(), entry[a:b].astype("<u4").tobytes(), c[a:b].astype("<u4").tobytes()))
+                packed.append((int(shard[s]), run, _bytes(context[s : s + m][runs], "<u8"), _bytes(sizes, "<u4"), _bytes(word[s : s + m], "<u8"), _bytes(times[s : s + m], "<u4"), _bytes(entry[a:b], "<u4"), _bytes(c[a:b], "<u4")))
             if packed:
                 columns_ = dict(zip([f.name for f in _schema(chunk)], zip(*packed, strict=True), strict=True))
                 out.append(_table(whole, len(packed), **columns_))
@@ -657,11 +713,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share:
         chunks = asked.filter(pc.is_null(asked.column("text_no"))).select([f.name for f in _schema(chunk)]).to_pylist()
         if not chunks:
             return kept
-        is_book = pc.is_valid(told.column("contexts"))
-        books = told.filter(is_book).to_pylist()
-        restaurants = Restaurants(books[0] if books else None, t["scalars"])
+        is_word = pc.is_valid(told.column("word"))
+        row: dict = {}
+        for part in told.filter(pc.invert(is_word)).to_pylist():
+            row |= {name: value for name, value in part.items() if value is not None}
+        restaurants = Restaurants(row, t["scalars"])
         restaurants.sort()
-        rare = told.filter(pc.invert(is_book))
+        rare = told.filter(is_word)
         rare_keys = rare.column("word").to_numpy().view(np.uint64)
         up = np.argsort(rare_keys)
         rare_keys = rare_keys[up]
@@ -685,9 +743,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share:
             pair, texts, c = np.repeat(np.arange(len(word)), times), _array(x["texts"], "<u4"), _array(x["counts"], "<u4")
             size, rare_pair = int(texts.max()) + 1, is_rare[pair]
             here, there = np.flatnonzero(np.bincount(texts, minlength=size)), np.flatnonzero(np.bincount(texts[rare_pair], minlength=size))
-            sums = {"texts": here.astype("<u4"), "ls": np.bincount(texts, logs[pair] * c)[here].astype("<f4"), "rare_texts": there.astype("<u4")}
-            sums |= {"lb": np.bincount(texts, lb[pair] * c)[there], "known": np.bincount(texts, rare_pair * c)[there].astype("<u4")}
-            more(1, run=[x["run"]], **{name: [y.tobytes()] for name, y in sums.items()})
+            sums = {"texts": _bytes(here, "<u4"), "ls": _bytes(np.bincount(texts, logs[pair] * c)[here], "<f4"), "rare_texts": _bytes(there, "<u4")}
+            sums |= {"lb": _bytes(np.bincount(texts, lb[pair] * c)[there].astype(float), "<f8"), "known": _bytes(np.bincount(texts, rare_pair * c)[there], "<u4")}
+            more(1, run=[x["run"]], **{name: [y] for name, y in sums.items()})
             open_ = np.flatnonzero(~resolved[pair])
             if len(open_):
                 backs = {f"b{i}": back[pair[open_], i] for i in range(k)}
@@ -696,9 +754,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), word_share:
 
     parent = model.parent
     # the words of a shard's own pairs that aren't broadcast go to it; they are found by a join on the word
-    is_rare = F.col("wc") < max(1.0, word_share * n)
-    rare = model.held.where("word IS NOT NULL").select("shard", "word").join(model.words.where(is_rare), "word")
-    told = model.books.unionByName(rare, allowMissingColumns=True)
+    rare = model.held.where(F.col("word").isNotNull() & (F.col("wc") < least)).select("shard", "word").join(model.words.where(F.col("wc") < least), "word")
+    seats = model.seating.withColumnRenamed("place", "shard")
+    told = model.books.unionByName(seats, allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
     asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
     got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers")
 
