@@ -11,8 +11,9 @@ from timegrid.llm.common import save
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (v, root) for every vertex of an edge; root is one vertex of its component.
 
-    A round points every vertex to the smallest of itself and its neighbours and replaces it by that in all edges;
-    edges within a point vanish. Each round writes the shrunken edges and the pointers as tables. Composing the
+    A round points every vertex to the smallest of itself and its neighbours, in the order of a hash that each round
+    takes anew, and replaces it by that in all edges; edges within a point vanish. A path whose ids rise along it so
+    shrinks like any other. Each round writes the shrunken edges and the pointers as tables. Composing the
     pointers from the last round back gives the roots. Self-loops and repeated edges do no harm.
     """
     spark = edges.sparkSession
@@ -20,7 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "v"), "pointers")
+        salt = F.lit(len(rounds))
+        least = F.least(F.struct(F.xxhash64(salt, "a").alias("h"), F.col("a").alias("v")), F.min(F.struct(F.xxhash64(salt, "b").alias("h"), F.col("b").alias("v"))))
+        to = save(both.groupBy("a").agg(least["v"].alias("to")).withColumnRenamed("a", "v"), "pointers")
         rounds.append(to)
         moved = edges.join(to.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
         edges = save(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
