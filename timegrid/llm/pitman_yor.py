@@ -48,16 +48,16 @@ BURN_IN = 2
 EXACT = 64
 #: Bytes of text for each shard, and tokens that a task sums before it sends them.
 SHARD_BYTES = 6 << 20
-RUN_TOKENS = 2_500_000
-ASK_TOKENS = 1_000_000
+RUN_TOKENS = 1_200_000
+ASK_TOKENS = 500_000
 #: Bytes of text that tell which contexts to deal over several shards, and which words, at most CODES, get short names.
 #: Both decide places and sizes of what is sent, not results.
 PROBE_BYTES = 16 << 20
-CODES = 400_000
+CODES = 200_000
 #: Words whose values are broadcast to be looked up where texts are.
-NEAR_WORDS = 400_000
+NEAR_WORDS = 200_000
 #: Pairs whose probabilities are broadcast to be looked up where texts are.
-NEAR_PAIRS = 500_000
+NEAR_PAIRS = 250_000
 END, START, TOP = np.uint64(0xD851F42D4C957F2D), np.uint64(0x94057B7EF767814F), np.uint64(1 << 63)
 
 
