@@ -3,14 +3,15 @@
 A text's canonical form: NFKC, full case folding, NFKC again, then every run of white space or control characters is
 one blank, none at the ends. Its fingerprint is 128 bits of xxhash as hexadecimal. Texts are grouped by these; inside
 a group of equal fingerprints the canonical bytes are compared, and where they differ (a collision) the fingerprints
-get the texts' SHA-256 appended, so equal fingerprints mean equal canonical texts.
+get the texts' SHA-256 appended, so equal fingerprints mean equal canonical texts. Digests of edited texts are compared
+with all others by the SHA-256 of their canonical forms.
 
 Only DataFrame and SQL functions; normalisation and folding are public static methods of the JVM's Unicode library
 that ships with Spark, called by the SQL function reflect.
 
 Defined cases: null texts count as empty; repeated rows of the same doc_id and text give a row each and stand side by
 side in the order of documents, so that one's next document is that of the last of them; other rows of the same doc_id
-are ordered by a hash of their texts; with a single document the next document is itself; an empty table gives an
+are ordered by a hash of their texts; rows without doc_id come last in descending order; with a single document the next document is itself; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -39,20 +40,20 @@ def wide_hash(text: Column) -> Column:
 
 def group_digests(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document (the general operator)."""
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("_canonical"))
-    rows = save(rows.select("doc_id", wide_hash(F.col("_canonical")).alias("digest"), F.sha2("_canonical", 256).alias("sha")), "digests")
-    bad = collisions(rows.select("doc_id", "digest"), docs)
+    forms = docs.select("doc_id", F.xxhash64("text").alias("name"), canonical(F.col("text")).alias("_canonical"))
+    rows = save(forms.select("doc_id", "name", wide_hash(F.col("_canonical")).alias("digest"), F.sha2("_canonical", 256).alias("sha")), "digests")
+    bad = collisions(rows.select("name", "digest"), docs)
     return _settled(rows, bad, "digest", "sha", "fingerprint").select("doc_id", "fingerprint")
 
 
 def collisions(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The digests (of rows with doc_id, digest) that unlike canonical texts share, by comparing the texts' bytes.
+    """The digests (of rows with name, a hash of the text, and digest) that unlike canonical texts share, by comparing the texts' bytes.
 
     Only documents whose digest occurs again are read again.
     """
     again = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    members = rows.join(again, "digest", "left_semi").select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(members, "doc_id", "left_semi").select(canonical(F.col("text")).alias("_canonical"))
+    members = rows.join(again, "digest", "left_semi").select("name").distinct()
+    texts = docs.select(F.xxhash64("text").alias("name"), "text").join(members, "name", "left_semi").select(canonical(F.col("text")).alias("_canonical"))
     return unlike(texts.select("_canonical", wide_hash(F.col("_canonical")).alias("digest")))
 
 
@@ -97,33 +98,33 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ids = save(text.select("doc_id", "tie", F.length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("digest")), "ids")
+    # a row without id stands as the smallest number; the tie tells it from a row that has that number
+    least, no_id = F.lit(-(1 << 63)), F.col("doc_id").isNull()
+    text = docs.select(F.coalesce("doc_id", least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), no_id.alias("no_id")).withColumn("tie", F.xxhash64("no_id", "text"))
+    forms = text.select("doc_id", "tie", "no_id", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("_canonical"))
+    ids = save(forms.select("doc_id", "tie", "no_id", "n_chars", wide_hash(F.col("_canonical")).alias("digest"), F.sha2("_canonical", 256).alias("sha")), "ids")
     again = ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.lit(True).alias("again"))
-    ids = ids.distinct()
-    near = neighbours(ids.select("doc_id", "tie", "n_chars")).join(ids.join(again, "digest", "left"), ["doc_id", "tie"])
+    once = ids.distinct()
+    near = neighbours(once.select("doc_id", "tie", "n_chars")).join(once.join(again, "digest", "left"), ["doc_id", "tie"])
     near = save(near, "neighbours")
-    placed = text.join(near, ["doc_id", "tie"])
+    placed = text.drop("no_id").join(near, ["doc_id", "tie"])
     starts = placed.select(
         F.col("previous_id").alias("doc_id"), F.col("previous_tie").alias("tie"),
         F.expr("left(text, cast(floor(previous_chars / 3) as int))").alias("start"),
     ).groupBy("doc_id", "tie").agg(F.first("start").alias("start"))
-    both = placed.select("doc_id", "tie", "text", "next_id", "next_tie", "n_chars", "digest", "again").join(starts, ["doc_id", "tie"])
+    known = ["doc_id", "tie", "no_id", "n_chars", "next_id", "next_tie", "digest", "sha"]
+    both = placed.select(*known, "text", "again").join(starts, ["doc_id", "tie"])
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 3) as int)), start)"))
-    forms = both.select("doc_id", "tie", "n_chars", "next_id", "next_tie", "digest", "again", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("a"), canonical(F.col("edited")).alias("b"))
     # the canonical texts of digests that occur again go along, to be compared
-    rows = save(
-        forms.select(
-            "doc_id", "tie", "n_chars", "next_id", "next_tie", "digest", "edited_sha256", wide_hash(F.col("b")).alias("edited_digest"), F.when(F.col("again"), F.col("a")).alias("_canonical"),
-            F.sha2("a", 256).alias("sha"), F.sha2("b", 256).alias("edited_sha"), (F.col("a") == F.col("b")).cast("double").alias("near_edited"),
-        ),
-        "forms",
-    )
-    bad = save(unlike(rows.where("_canonical IS NOT NULL").select("digest", "_canonical")), "collisions")
+    forms = both.select(*known, F.sha2("edited", 256).alias("edited_sha256"), F.when(F.col("again"), canonical(F.col("text"))).alias("_canonical"), canonical(F.col("edited")).alias("_edited"))
+    rows = save(forms.select(*known, "edited_sha256", "_canonical", wide_hash(F.col("_edited")).alias("edited_digest"), F.sha2("_edited", 256).alias("edited_sha")), "forms")
+    bad = unlike(rows.where("_canonical IS NOT NULL").select("digest", "_canonical"))
+    every = rows.select("digest", F.col("sha").alias("_canonical")).unionByName(rows.select(F.col("edited_digest").alias("digest"), F.col("edited_sha").alias("_canonical")))
+    bad = save(bad.unionByName(unlike(every)).distinct(), "collisions")
     rows = _settled(_settled(rows.drop("_canonical"), bad, "digest", "sha", "fingerprint"), bad, "edited_digest", "edited_sha", "edited_fingerprint")
     following = rows.select(F.col("doc_id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("fingerprint").alias("next_fingerprint")).distinct()
     out = rows.join(following, ["next_id", "next_tie"])
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
     )
