@@ -11,8 +11,9 @@ component adds the slices' complements. All sums are of integers, so scores are
 Queries go to the segments in blocks; each block and segment gives k rows a query at most, and a query's rows of all
 segments are ranked again.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do vectors of
-another length than most have; of rows that repeat a query's vec_id the smallest vector asks; a row with a query's own vec_id is not its candidate; rows that repeat a vec_id are
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without
+vec_id; vectors of unlike lengths have no inner product, so a query's candidates are those of its length; components so
+large that a sum could pass 62 bits raise OverflowError; of rows that repeat a query's vec_id the smallest vector asks; a row with a query's own vec_id is not its candidate; rows that repeat a vec_id are
 candidates each; with no queries or no candidates the result is empty; extra columns are ignored.
 """
 
@@ -27,7 +28,9 @@ from timegrid.llm.common import save
 
 SCALE = 1024
 SEGMENT_ROWS = 8192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 128
+#: Tasks of a search at most; beyond, a task has several tiles.
+MAX_TASKS = 20_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -123,18 +126,17 @@ def build(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
 
     segments = max(1, -(-rows.count() // segment_rows))
     dealt = rows.withColumn("segment", F.pmod(F.xxhash64("vec_id"), F.lit(segments)).cast("int"))
-    return save(dealt.groupBy("segment").applyInArrow(run, INDEX), "bitslices")
+    return save(dealt.groupBy("segment", F.size("q")).applyInArrow(run, INDEX), "bitslices")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The k best rows of the index for each query (vec_id, q): query_id, rank, vec_id, score."""
     blocks = max(1, -(-queries.count() // block))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "q"))).alias("queries"))
-    # each block of queries to each segment; a block has a bounded size
-    last = index.agg(F.max("segment")).first()[0]
-    tiles = asked.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
-    tiles = tiles.join(index, "segment").select("queries", "ids", "low", "dims", "digits", "slices")
+    asked = queries.select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.size("q").alias("dims"))
+    asked = asked.groupBy("dims", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "q"))).alias("queries"))
+    # each block of queries to each segment of vectors of its length; a block has a bounded size, and a task a few tiles
+    tasks = max(1, min(MAX_TASKS, blocks * index.count()))
+    tiles = asked.join(index, "dims").select("block", "segment", "queries", "ids", "low", "dims", "digits", "slices").repartition(tasks, "block", "segment")
 
     def run(batches):
         for batch in batches:
@@ -173,7 +175,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY
 
 def top_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by `every`; candidates are all other rows."""
-    rows = quantised(vectors, scale)
-    length = rows.groupBy(F.size("q").alias("length")).count().orderBy(F.desc("count"), "length").limit(1)
-    rows = save(rows.join(F.broadcast(length.select("length")), F.size("q") == F.col("length"), "left_semi"), "quantised")
+    rows = save(quantised(vectors, scale), "quantised")
+    largest, dims = rows.agg(F.max(F.aggregate("q", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))), F.max(F.size("q"))).first()
+    if dims and dims * (2 * largest + 1) ** 2 >= 2.0**62:
+        raise OverflowError("components are too large for sums of 64 bits")
     return search(build(rows), rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q")), k)
