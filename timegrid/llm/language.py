@@ -4,7 +4,7 @@ The posterior of a language is the product of
 - the text's likelihood: byte pairs of its letters, tempered because neighbouring pairs tell the same twice,
 - the chance of the language that the markup declares, given the language,
 - the chance of the address's suffix, given the language,
-- the host's prior, smoothed towards its domain's, that towards its suffix's, and that towards the corpus's.
+- the host's prior, smoothed towards its domain's, and that towards the corpus's.
 The pair table is trained on labelled texts by grouped counts; the other tables are grouped counts of what the texts
 alone say, less the row itself, so a row is no evidence for itself.
 
@@ -33,6 +33,8 @@ TEMPER = 0.2
 MARGIN = 3.0
 QUOTED = 0.1
 SMOOTHING = 4.0
+#: A host's domain: its last two labels, or three where these are two letters after at most three, as in co.uk.
+DOMAIN = r"([^.]+\.[^.]{1,3}\.[a-z]{2}|[^.]+\.[^.]+)$"
 #: A-Z lowered, other ASCII that is no letter as a blank, further bytes as they are.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -144,7 +146,7 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, smoothing: flo
     def log_posterior(i: Column) -> Column:
         lang, whole = F.get(names, i), F.get(number, i)
         prior = F.get(corpus, i)
-        for key in ("suffix", "domain", "host"):  # from the corpus down to the host, each smoothed to the one above
+        for key in ("domain", "host"):  # from the corpus down to the host, each smoothed to the one above
             prior = (of(key, lang) + smoothing * prior) / (n(key) + smoothing)
         declared = F.when(F.col("declared").isNull(), F.lit(0.0)).otherwise(F.log((of("declared", lang) + 0.5) / (whole + 0.5 * (len(outcomes) + 1))))
         suffix = F.when(F.col("suffix").isNull(), F.lit(0.0)).otherwise(F.log((of("suffix", lang) + 0.5) / (whole + 0.5 * (len(outcomes) + 1))))
@@ -161,7 +163,7 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, smoothing: flo
 def page_rows(pages: DataFrame) -> DataFrame:
     """page_id, the page's visible text, and its evidence columns."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-    text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,12};", " ")
+    text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
     declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     host = F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -170,7 +172,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
     return pages.select(
         "page_id", text.alias("text"), none(declared).alias("declared"), none(F.regexp_extract(host, r"\.([a-z]{2,})$", 1)).alias("suffix"),
-        none(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"), none(host).alias("host"),
+        none(F.regexp_extract(host, DOMAIN, 1)).alias("domain"), none(host).alias("host"),
     )
 
 
@@ -191,4 +193,6 @@ def identified_documents(docs: DataFrame) -> DataFrame:
     null, key = F.lit(None).cast("string"), F.xxhash64("doc_id", "text", "lang", "source")
     rows = docs.select(key.alias("_key"), judged.alias("_judged"), "text", F.col("lang").alias("declared"), null.alias("suffix"), null.alias("domain"), F.col("source").alias("host"))
     unknown = save(identify(rows, langs, logs).where("lang = 'und' AND _judged").select("_key").distinct(), "unknown")
-    return docs.withColumn("_key", key).join(unknown, "_key", "left_anti").select(*docs.columns)
+    # the documents' own columns go along in one, so none of their names can clash
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("_key")).join(unknown, "_key", "left_anti")
+    return kept.select("row.*")
