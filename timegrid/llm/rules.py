@@ -130,7 +130,9 @@ def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Data
     """The documents whose score reaches `accept`, with all their columns."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     model = train(docs, labels.where(~held).select("doc_id", F.col("quality").alias("label")))
-    scored = with_statistics(docs, *docs.columns).select(*docs.columns, compiled(model).alias("_score"))
+    # the documents' own columns go along in one, so none of their names can clash
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    scored = with_statistics(own, "row").select("row", compiled(model).alias("_score"))
     # a plain filter would be pushed below the statistics, with a copy of them for every rule; a generator isn't
     once = F.when(F.col("_score") >= accept, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return scored.withColumn("_once", F.explode(once)).select(*docs.columns)
+    return scored.withColumn("_once", F.explode(once)).select("row.*")
