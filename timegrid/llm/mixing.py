@@ -21,7 +21,6 @@ from timegrid.llm.common import save, word_count
 
 BLOCK_WORDS = 32
 SHARD_DOCS = 1024
-MAX_SHARDS = 4096
 ROUNDS = 3
 
 
@@ -79,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     src = targets(per_source, weights, rounds)
     everything = F.sum("target").over(Window.partitionBy(F.lit(0)))
     src = apportion(src, [], "sid", F.col("target"), F.round(everything / block))
-    src = save(src.withColumnRenamed("quota", "source_quota").withColumn("shards", F.least(F.lit(MAX_SHARDS), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("int")), "sources")
+    src = save(src.withColumnRenamed("quota", "source_quota").withColumn("shards", F.ceil(F.col("n_docs") / SHARD_DOCS).cast("long")), "sources")
 
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     placed = sizes.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
@@ -115,5 +114,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     done = mix(docs, carry=(f"{key} AS _key",), **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
     times = done.groupBy("_key").agg(F.min_by(times, F.col("taken")).alias("_times")).where("_times > 0")
-    rows = docs.withColumn("_key", F.expr(key)).join(times, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # the documents' own columns go along in one, so none of their names can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.expr(key).alias("_key")).join(times, "_key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
