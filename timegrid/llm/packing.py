@@ -3,7 +3,8 @@
 Texts are tokenised where they lie; a document longer than a sequence is cut into full pieces and a rest. Pieces that
 fill a sequence alone are done. The others are dealt by hash into groups of bounded size; a group fills one bin at a
 time: its longest piece goes in, a subset-sum over the lengths at hand, held as the bits of an integer, finds the
-fullest feasible combination, and that is taken out. A group leaves its last bins short, and groups are large.
+fullest feasible combination, and that is taken out. A group leaves its last bins short; the pieces of bins with more than
+SLACK free places, of all groups, are dealt anew and packed once more.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are separate documents; an empty table gives
 an empty result; extra columns are ignored.
@@ -26,6 +27,7 @@ from timegrid.llm.common import save, slices
 
 SEQUENCE = 2048
 GROUP = 8192
+SLACK = 32
 KNOWN_WORDS = 900_000
 #: Letters of ASCII and Latin-1, then ASCII marks but the apostrophe: the tokenizer cuts such a word just there.
 SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
@@ -216,11 +218,21 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group: int =
     loose = loose.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
-        bins, offsets = fill(table.column("length").to_numpy(), sequence)
+        lengths = table.column("length").to_numpy()
+        bins, offsets = fill(lengths, sequence)
         ids = bins + table.column("_group").to_numpy() * (1 << 32)
-        return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
+        free = sequence - np.bincount(bins, lengths)[bins].astype(np.int64)
+        out = table.select(_columns).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
+        return out.append_column("_row", table.column("_row")).append_column("_free", pa.array(free))
 
-    schema = f"{PIECES}, sequence_id long, offset long"
+    _columns = [f.split(" ")[0] for f in PIECES.split(", ")]
+    schema = f"{PIECES}, sequence_id long, offset long, _row long, _free long"
     packed = loose.groupBy("_group").applyInArrow(run, schema)
-    full = alone.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(full)
+    full = alone.select(*_columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if groups > 1:
+        packed = save(packed, "packed")
+        short = packed.where(F.col("_free") > SLACK).drop("sequence_id", "offset", "_free")
+        more = max(1, -(-short.count() // group))
+        dealt = short.withColumn("_group", groups + F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(more)))
+        packed = packed.where(F.col("_free") <= SLACK).unionByName(dealt.groupBy("_group").applyInArrow(run, schema))
+    return packed.drop("_row", "_free").unionByName(full)
