@@ -47,9 +47,9 @@ BURN_IN = 2
 #: Dishes of up to so many customers are reseated exactly.
 EXACT = 64
 #: Bytes of text for each shard, and tokens that a task sums before it sends them.
-SHARD_BYTES = 6 << 20
-RUN_TOKENS = 1_200_000
-ASK_TOKENS = 500_000
+SHARD_BYTES = 4 << 20
+RUN_TOKENS = 800_000
+ASK_TOKENS = 300_000
 #: Bytes of text that tell which contexts to deal over several shards, and which words, at most CODES, get short names.
 #: Both decide places and sizes of what is sent, not results.
 PROBE_BYTES = 16 << 20
@@ -308,13 +308,15 @@ def _gatherer(batches: Iterator[pa.RecordBatch], coded: np.ndarray, least: int,
     """Runs of texts with about `least` tokens: tokens, counts, and the columns' arrays."""
     held, size = [], 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=1 << 20):
             tokens, counts = _with_ends(part.column("text"), coded)
             held.append((tokens, counts, [part.column(c) for c in columns]))
             size += len(tokens)
             if size >= least:
-                yield _joined(held)
-                held, size = [], 0
+                whole, held, size = _joined(held), [], 0
+                yield whole
+                del whole
+                pa.default_memory_pool().release_unused()
     if held:
         yield _joined(held)
 
@@ -613,8 +615,8 @@ def _frequent(model: Model, scalars: dict, near: dict, most: int) -> dict[str, n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("c").to_pylist():
-                k, n = np.unique(_classes(_array(data, "<i8")), return_counts=True)
+            for data in batch.column("c"):
+                k, n = np.unique(_classes(_array(data.as_py(), "<i8")), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
     found = model.books.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
@@ -625,8 +627,8 @@ def _frequent(model: Model, scalars: dict, near: dict, most: int) -> dict[str, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scalars_, near_ = given.value
         for batch in batches:
-            for row in batch.to_pylist():
-                r = Restaurants(row, scalars_)
+            for i in range(batch.num_rows):
+                r = Restaurants(batch.slice(i, 1).to_pylist()[0], scalars_)
                 at, known = _find(near_["keys"], r.words)
                 chosen = np.flatnonzero(known & (_classes(r.c) >= least))
                 of = r.of[chosen]
