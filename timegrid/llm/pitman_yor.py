@@ -49,15 +49,15 @@ EXACT = 64
 #: Bytes of text for each shard, and tokens that a task sums before it sends them.
 SHARD_BYTES = 4 << 20
 RUN_TOKENS = 800_000
-ASK_TOKENS = 300_000
+ASK_TOKENS = 500_000
 #: Bytes of text that tell which contexts to deal over several shards, and which words, at most CODES, get short names.
 #: Both decide places and sizes of what is sent, not results.
 PROBE_BYTES = 16 << 20
 CODES = 200_000
 #: Words whose values are broadcast to be looked up where texts are.
-NEAR_WORDS = 200_000
+NEAR_WORDS = 400_000
 #: Pairs whose probabilities are broadcast to be looked up where texts are.
-NEAR_PAIRS = 250_000
+NEAR_PAIRS = 500_000
 END, START, TOP = np.uint64(0xD851F42D4C957F2D), np.uint64(0x94057B7EF767814F), np.uint64(1 << 63)
 
 
@@ -728,30 +728,43 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
         rare_c, rare_p = _word_values(parent, rare)
         rare_c, rare_p = rare_c[up], rare_p[up]
         near_ = t["near"]
-        for x in chunks:
-            word, times = _array(x["words"], "<u8"), _array(x["times"], "<u4")
-            context = np.repeat(_array(x["contexts"], "<u8"), _array(x["lengths"], "<u4"))
-            mass, back, _ = restaurants.of_pairs(context, word)
-            p = np.ones((len(word), k))
-            at, is_near = _find(near_["keys"], word)
-            p[is_near] = near_["p"][at[is_near]]
-            at, is_rare = _find(rare_keys, word)
-            is_rare &= ~is_near
-            p[is_rare] = rare_p[at[is_rare]]
-            resolved = is_near | is_rare
-            logs, lb = np.log10(mass + (back * p).mean(axis=1)), np.zeros(len(word))
-            logs[~resolved] = 0.0
-            lb[is_rare] = np.log10((rare_c[at[is_rare]] + 0.5) / floor)
-            pair, texts, c = np.repeat(np.arange(len(word)), times), _array(x["texts"], "<u4"), _array(x["counts"], "<u4")
-            size, rare_pair = int(texts.max()) + 1, is_rare[pair]
-            here, there = np.flatnonzero(np.bincount(texts, minlength=size)), np.flatnonzero(np.bincount(texts[rare_pair], minlength=size))
-            sums = {"texts": _bytes(here, "<u4"), "ls": _bytes(np.bincount(texts, logs[pair] * c)[here], "<f4"), "rare_texts": _bytes(there, "<u4")}
-            sums |= {"lb": _bytes(np.bincount(texts, lb[pair] * c)[there].astype(float), "<f8"), "known": _bytes(np.bincount(texts, rare_pair * c)[there], "<u4")}
-            more(1, run=[x["run"]], **{name: [y] for name, y in sums.items()})
-            open_ = np.flatnonzero(~resolved[pair])
-            if len(open_):
-                backs = {f"b{i}": back[pair[open_], i] for i in range(k)}
-                more(len(open_), run=np.full(len(open_), x["run"]), text_no=texts[open_].astype(np.int32), word=word[pair[open_]].view(np.int64), times=c[open_].astype(np.int64), **backs)
+        # all chunks of the shard at once: pairs, then entries (a pair in a text), then sums by chunk and text
+        word, times = (np.concatenate([_array(x[c], kind) for x in chunks]) for c, kind in (("words", "<u8"), ("times", "<u4")))
+        context = np.concatenate([np.repeat(_array(x["contexts"], "<u8"), _array(x["lengths"], "<u4")) for x in chunks])
+        texts, c = (np.concatenate([_array(x[name], "<u4") for x in chunks]).astype(np.int64) for name in ("texts", "counts"))
+        sizes = [len(x["texts"]) // 4 for x in chunks]
+        mass, back, _ = restaurants.of_pairs(context, word)
+        p = np.ones((len(word), k))
+        at, is_near = _find(near_["keys"], word)
+        p[is_near] = near_["p"][at[is_near]]
+        at, is_rare = _find(rare_keys, word)
+        is_rare &= ~is_near
+        p[is_rare] = rare_p[at[is_rare]]
+        resolved = is_near | is_rare
+        logs, lb = np.log10(mass + (back * p).mean(axis=1)), np.zeros(len(word))
+        logs[~resolved] = 0.0
+        lb[is_rare] = np.log10((rare_c[at[is_rare]] + 0.5) / floor)
+        pair, wide = np.repeat(np.arange(len(word)), times), int(texts.max()) + 1
+        place = np.repeat(np.arange(len(chunks)), sizes) * wide + texts
+        rare_entry = np.flatnonzero(is_rare[pair])
+        whole_size = len(chunks) * wide
+        here, there = np.unique(place), np.unique(place[rare_entry])
+        ls = np.bincount(place, logs[pair] * c, whole_size)[here]
+        rare_lb, known = (np.bincount(place[rare_entry], y, whole_size)[there] for y in (lb[pair[rare_entry]] * c[rare_entry], c[rare_entry]))
+        edges = np.arange(len(chunks) + 1) * wide
+        cut, rare_cut = np.searchsorted(here, edges), np.searchsorted(there, edges)
+        rows = {name: [] for name in ("run", "texts", "ls", "rare_texts", "lb", "known")}
+        for i, x in enumerate(chunks):
+            one, two = slice(cut[i], cut[i + 1]), slice(rare_cut[i], rare_cut[i + 1])
+            values = (x["run"], _bytes(here[one] - edges[i], "<u4"), _bytes(ls[one], "<f4"), _bytes(there[two] - edges[i], "<u4"), _bytes(rare_lb[two].astype(float), "<f8"), _bytes(known[two], "<u4"))
+            for name, value in zip(rows, values, strict=True):
+                rows[name].append(value)
+        more(len(chunks), **rows)
+        open_ = np.flatnonzero(~resolved[pair])
+        if len(open_):
+            run_of = np.repeat(np.array([x["run"] for x in chunks]), sizes)
+            backs = {f"b{i}": back[pair[open_], i] for i in range(k)}
+            more(len(open_), run=run_of[open_], text_no=texts[open_].astype(np.int32), word=word[pair[open_]].view(np.int64), times=c[open_], **backs)
         return pa.concat_tables(out)
 
     parent = model.parent
@@ -760,8 +773,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
     seats = model.seating.withColumnRenamed("place", "shard")
     told = model.books.unionByName(seats, allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
     asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
+    release()
     got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers")
 
+    release()
+
     def add(table: pa.Table) -> pa.Table:
         texts, rare_texts = (np.concatenate([_array(x, "<u4") for x in table.column(c).to_pylist()]) for c in ("texts", "rare_texts"))
         size = int(texts.max()) + 1
