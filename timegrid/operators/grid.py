@@ -5,6 +5,7 @@ Bars are rows (track_id, bar, start, end); onsets are rows (track_id, t, ...). M
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,17 +139,21 @@ def complete_grid(bars: DataFrame, steps: int = STEPS) -> DataFrame:
     return rows.withColumn("grid_time", F.when(duration > 0, C.grid_time(F.col("start"), duration, F.col("tick"), steps)))
 
 
-def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration: float = 1e12, lengths: tuple[int, ...] = (1, 2, 4), patterns: DataFrame | None = None, steps: int = STEPS) -> DataFrame:
+def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration: float = 1e12, lengths: tuple[int, ...] = (1, 2, 4), patterns: DataFrame | None = None, steps: int = STEPS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """The canonical table: every method's rows on the complete grid, with onset, phase and grid time where present.
 
     patterns: track_id, method, L of detected periods, which are methods beside the fixed lengths. Duplicated ticks keep
     every row. Grid points without an onset have null onset and phase.
+
+    keep: called with each part that several methods need and its name; a function that writes it and reads it again
+    makes each part be worked out once.
     """
-    ranges = snippet_bars(bars, start, duration)
+    bars = keep(bars, "bars")
+    ranges = keep(snippet_bars(bars, start, duration), "ranges")
     inside = clipped(bars, ranges)
     grid = complete_grid(inside, steps).select("track_id", "bar", "tick", "grid_time")
-    ticks = onset_ticks(onsets, inside, steps)
-    refs = snippet_references(bars, ranges, onsets, steps=steps)
+    ticks = keep(onset_ticks(onsets, inside, steps), "ticks")
+    refs = keep(snippet_references(bars, ranges, onsets, steps=steps), "references")
     moved = grid.join(refs.select("track_id", "ref_ms"), "track_id").select("track_id", "bar", "tick", (F.col("grid_time") + F.col("ref_ms") / 1000.0).alias("grid_time"))
 
     def method(name: str, points: DataFrame, phases: DataFrame) -> DataFrame:
@@ -171,8 +176,9 @@ def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration:
         sources.append(starts.join(ends, ["track_id", "method", "L", "bar"]).select("track_id", "L", F.col("bar").alias("loop_bar"), "last_bar", F.col("start").alias("loop_start"), "loop_end", "method"))
     methods = reduce(DataFrame.unionByName, (s.withColumn("L", F.col("L").cast("int")) for s in sources))
     # a length is worked out once, whichever methods use it
+    methods = keep(methods, "loops")
     by_length = methods.select("track_id", "L", "loop_bar", "last_bar", "loop_start", "loop_end").distinct()
-    references = loop_references(by_length, onsets, steps=steps)
+    references = keep(loop_references(by_length, onsets, steps=steps), "loop_references")
     phases, times = loop_phases(references, onsets, steps), loop_grid_times(references, steps)
     users = methods.select("track_id", "method", "L").distinct()
     own_grid = grid.select("track_id", "bar", "tick").join(users, "track_id")

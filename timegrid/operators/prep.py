@@ -71,14 +71,14 @@ def tempo_labels(tempos: DataFrame, bins: int = 300) -> DataFrame:
     return rows.withColumn("label", F.col("w") / F.sum("w").over(Window.partitionBy("track_id"))).drop("w")
 
 
-def interval_tempo(events: DataFrame, fps: float = 100.0, spread: int = 2, longest: int = 2000) -> DataFrame:
+def interval_tempo(events: DataFrame, fps: float = 100.0, spread: int = 2) -> DataFrame:
     """Tempo of the most frequent interval between events: counts of frames, smoothed, with a parabola over the peak.
 
     -1 for tracks without an interval.
     """
     track = Window.partitionBy("track_id")
     d = F.rint((F.col("t") - F.lag("t").over(track.orderBy("t"))) * fps).cast("long")
-    counts = events.withColumn("d", d).where((F.col("d") >= 1) & (F.col("d") <= longest)).groupBy("track_id", "d").agg(F.count(F.lit(1)).alias("c"))
+    counts = events.withColumn("d", d).where(F.col("d") >= 1).groupBy("track_id", "d").agg(F.count(F.lit(1)).alias("c"))
     near = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(spread + 1 - abs(k))).alias("w")) for k in range(-spread, spread + 1))))
     smooth = counts.select("track_id", "d", "c", near.alias("n")).groupBy("track_id", (F.col("d") + F.col("n.k")).alias("bin")).agg(F.sum(F.col("c") * F.col("n.w")).alias("s"))
     best = smooth.groupBy("track_id").agg(F.max_by("bin", F.struct("s", -F.col("bin"))).alias("peak"))

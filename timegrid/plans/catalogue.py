@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from timegrid.functions import cols as C
 from timegrid.operators import asof, bars, evaluate, grid, loops, period, prep, reports, series, stats
 from timegrid.plans import sql as S
+from timegrid.sources import scratch
 from timegrid.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +33,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from timegrid.plans import formats  # noqa: F401  adds its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -73,8 +77,21 @@ def _ticks(spark, d) -> DataFrame:
     return grid.onset_ticks(T.onsets(spark, d), grid.clipped(_bars(spark, d), _ranges(spark, d)))
 
 
-def _long(spark, d) -> DataFrame:
-    return grid.grid_long(_bars(spark, d), T.onsets(spark, d), S.START, S.DURATION)
+def _long(spark, d, patterns: DataFrame | None = None) -> DataFrame:
+    onsets = scratch.written(T.onsets(spark, d).select("track_id", "t"), "onsets")
+    return grid.grid_long(_bars(spark, d), onsets, S.START, S.DURATION, patterns=patterns, keep=scratch.written)
+
+
+def _snippet_long(spark, d, method: str) -> DataFrame:
+    """The long grid of one of the methods without loops."""
+    rows, ranges = _bars(spark, d), _ranges(spark, d)
+    inside = scratch.written(grid.clipped(rows, ranges), "inside")
+    points, ticks = grid.complete_grid(inside).select("track_id", "bar", "tick", "grid_time"), grid.onset_ticks(T.onsets(spark, d), inside)
+    if method == "uncorrected":
+        return points.join(grid.uncorrected_phases(ticks), ["track_id", "bar", "tick"], "left").withColumn("method", F.lit(method))
+    refs = scratch.written(grid.snippet_references(rows, ranges, T.onsets(spark, d)), "references")
+    moved = points.join(refs.select("track_id", "ref_ms"), "track_id").select("track_id", "bar", "tick", (F.col("grid_time") + F.col("ref_ms") / 1000.0).alias("grid_time"))
+    return moved.join(grid.snippet_phases(ticks, refs, False), ["track_id", "bar", "tick"], "left").withColumn("method", F.lit(method))
 
 
 def _windows(spark, d) -> DataFrame:
@@ -271,6 +288,29 @@ def rms_phase(spark, d):
     return rounded(stats.phase_rms(grid.uncorrected_phases(ticks), ["track_id"]), "rms_phase")
 
 
+#: Rows of the detected lengths: those of the standard grid of the same length.
+PATTERNS = f"""{S.CRITERIA}, pat AS (SELECT track_id, 'bic' AS method, arg_min(L, (CASE WHEN sse > 0 THEN n * ln(sse / n) + (L - 1) * ln(n) ELSE '-inf'::DOUBLE END, L)) AS L FROM crit GROUP BY track_id
+UNION ALL SELECT track_id, 'aicc', CAST(CASE WHEN count(*) FILTER (score IS NULL) > 0 THEN 4 ELSE min(L) FILTER (score = best OR score - best < 2) END AS INT) FROM (SELECT *, min(score) OVER (PARTITION BY track_id) AS best FROM (SELECT track_id, L, CASE WHEN n <= L + 1 THEN 'inf'::DOUBLE WHEN sse > 0 THEN n * ln(sse / n) + 2 * L + 2.0 * L * (L + 1) / (n - L - 1) END AS score FROM crit)) GROUP BY track_id)"""
+
+
+def _patterns(spark, d) -> DataFrame:
+    rows = _bars(spark, d)
+    found = period.bic_period(period.bic(rows)).withColumn("method", F.lit("bic")).unionByName(period.aicc_period(period.aicc(rows)).withColumn("method", F.lit("aicc")))
+    return scratch.written(found, "patterns")
+
+
+@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {PATTERNS} SELECT l.track_id, pat.method, pat.L, bar, tick, onset_time, round(phase, 6) AS phase, round(grid_time, 6) AS grid_time FROM long l JOIN pat ON l.track_id = pat.track_id AND l.L = pat.L""")
+def grid_patterns(spark, d):
+    """The long grid of detected lengths, which differ by track."""
+    return rounded(_long(spark, d, _patterns(spark, d)).where("method IN ('bic', 'aicc')"), "phase", "grid_time")
+
+
+@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {PATTERNS}, {S.RMS} SELECT rms.track_id, pat.method, n, round(rms_phase, 6) AS rms_phase, round(rms_ms, 4) AS rms_ms FROM rms JOIN pat ON rms.track_id = pat.track_id AND rms.method = 'standard_L' || pat.L""")
+def rms_patterns(spark, d):
+    rows = stats.rms(_long(spark, d, _patterns(spark, d)).where("method IN ('bic', 'aicc')"))
+    return rounded(rows, "rms_phase").withColumn("rms_ms", F.round("rms_ms", 4))
+
+
 @query(f"{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, n, round(rms_phase, 6) AS rms_phase, round(rms_ms, 4) AS rms_ms FROM rms")
 def rms_ms(spark, d):
     return rounded(stats.rms(_long(spark, d)), "rms_phase").withColumn("rms_ms", F.round("rms_ms", 4))
@@ -310,13 +350,13 @@ def corpus_histogram(spark, d):
 
 @query(f"{S.GRID}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, loop, position, round(dev, 4) AS deviation_ms FROM fold")
 def pattern_fold(spark, d):
-    fold = stats.pattern_fold(_long(spark, d).where("method = 'per_snippet'"), 2)
+    fold = stats.pattern_fold(_snippet_long(spark, d, "per_snippet"), 2)
     return fold.withColumn("deviation_ms", F.round("deviation_ms", 4) + 0.0)
 
 
 @query(f"{S.GRID}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, count(*) AS n, round(sqrt(avg(dev * dev)), 4) AS rms_ms FROM fold GROUP BY track_id")
 def fold_rms(spark, d):
-    return stats.fold_rms(stats.pattern_fold(_long(spark, d).where("method = 'per_snippet'"), 2)).withColumn("rms_ms", F.round("rms_ms", 4))
+    return stats.fold_rms(stats.pattern_fold(_snippet_long(spark, d, "per_snippet"), 2)).withColumn("rms_ms", F.round("rms_ms", 4))
 
 
 # --- periods
@@ -438,7 +478,7 @@ def bar_durations(spark, d):
 @query(f"""{S.GRID}, b AS (SELECT track_id, bar, min(grid_time) AS s FROM points GROUP BY 1, 2), f AS (SELECT track_id, min(onset_time) * 1000 AS o FROM ticks GROUP BY 1), l AS (SELECT track_id, bar, s, (lead(s) OVER (PARTITION BY track_id ORDER BY bar) - s) * 1000 AS len FROM b)
 SELECT bar AS bar_number, CAST(track_id AS VARCHAR) AS song_id, CAST(track_id AS VARCHAR) AS song_info, round(o, 3) AS first_onset_ms, round((s - min(s) OVER w) * 1000, 3) AS begin_ms, round(coalesce(len, median(len) OVER w), 3) AS duration_ms FROM l LEFT JOIN f USING (track_id) WINDOW w AS (PARTITION BY track_id)""")
 def bar_duration_export(spark, d):
-    out = loops.duration_export(_long(spark, d))
+    out = loops.duration_export(_snippet_long(spark, d, "uncorrected"))
     return out.withColumns({c: F.round(c, 3) for c in ("first_onset_ms", "begin_ms", "duration_ms")})
 
 
@@ -548,8 +588,7 @@ def scalar_functions(spark, d):
 @query("""SELECT event_id, CASE WHEN e > 1e-6 THEN round(60.0 / e * 4, 6) ELSE 0 END AS tempo, CAST(least(greatest(round_even(e * 16, 0), 0), 15) AS INT) AS tick, CASE WHEN value > 0 THEN CAST(least(greatest(round_even(log2(value / 440.0) * 12.0 + 69, 0), 0), 127) AS INT) END AS note FROM (SELECT event_id, value, value / 100.0 AS e FROM events)""")
 def sql_functions(spark, d):
     C.register(spark)
-    T.table(spark, d, "events").createOrReplaceTempView("timegrid_events")
-    return spark.sql("SELECT event_id, round(bar_tempo(value / 100D, 4), 6) AS tempo, nearest_tick(value / 100D, 16) AS tick, note_of(value) AS note FROM timegrid_events")
+    return T.table(spark, d, "events").selectExpr("event_id", "round(bar_tempo(value / 100D, 4), 6) AS tempo", "nearest_tick(value / 100D, 16) AS tick", "note_of(value) AS note")
 
 
 # --- lookups and reports
@@ -562,25 +601,11 @@ def lookup_default(spark, d):
     return reports.lookup_with_default(tracks, table, "track_id", "supplier", -1)
 
 
-@query("""WITH n AS (SELECT DISTINCT CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 60 AS VARCHAR) WHEN o_orderkey % 4 = 1 THEN CAST(o_orderkey % 60 AS VARCHAR) || '_take' WHEN o_orderkey % 4 = 2 THEN upper(o_orderpriority) ELSE CAST(o_orderkey % 9 AS VARCHAR) || ' ' || o_orderpriority || ' - live' END AS name FROM orders),
-o AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey / 10.0 AS off FROM customer WHERE c_custkey < 40), p AS (SELECT lower(o_orderpriority) AS nm, min(o_custkey) + 0.5 AS off FROM orders GROUP BY 1)
-SELECT name, CAST(coalesce((SELECT min(off) FROM o WHERE id = name), (SELECT min(off) FROM o WHERE id = split_part(name, '_', 1) AND regexp_full_match(split_part(name, '_', 1), '[0-9]+')), (SELECT min(off) FROM p WHERE nm = lower(name)),
-(SELECT min(off) FROM p WHERE nm = trim(regexp_replace(split_part(lower(name), ' - ', 1), '^[0-9]+[_ ]+', ''))), 0.0) AS DOUBLE) AS "offset" FROM n""")
-def lookup_priority(spark, d):
-    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
-    orders = T.table(spark, d, "orders")
-    number = (key % 60).cast("string")
-    name = F.when(key % 4 == 0, number).when(key % 4 == 1, F.concat(number, F.lit("_take"))).when(key % 4 == 2, F.upper(priority)).otherwise(F.concat((key % 9).cast("string"), F.lit(" "), priority, F.lit(" - live")))
-    by_id = T.table(spark, d, "customer").where("c_custkey < 40").select(F.col("c_custkey").cast("string").alias("song_id"), F.lit(None).cast("string").alias("songname"), (F.col("c_custkey") / 10.0).alias("offset"))
-    by_name = orders.groupBy(F.lower(priority).alias("songname")).agg((F.min("o_custkey") + 0.5).cast("double").alias("offset")).select(F.lit(None).cast("string").alias("song_id"), "songname", "offset")
-    return reports.lookup_by_priority(orders.select(name.alias("name")).distinct(), by_id.unionByName(by_name))
-
-
 @query("""WITH n AS (SELECT DISTINCT unnest([CAST(o_custkey AS VARCHAR), CAST(o_custkey AS VARCHAR) || '_take', upper(o_orderpriority), CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority || ' - live', '-' || CAST(o_custkey AS VARCHAR)]) AS name FROM orders),
 k AS (SELECT name, split_part(name, '_', 1) AS prefix, trim(regexp_replace(split_part(lower(name), ' - ', 1), '^[0-9]+[_ ]+', '')) AS part FROM n),
 o AS (SELECT CAST(c_custkey AS VARCHAR) AS id, min(c_custkey / 10.0) AS off FROM customer GROUP BY 1), p AS (SELECT lower(o_orderpriority) AS nm, min(o_custkey) + 0.5 AS off FROM orders GROUP BY 1)
 SELECT name, CAST(coalesce(a.off, b.off, c.off, d.off, 0.0) AS DOUBLE) AS "offset" FROM k LEFT JOIN o a ON a.id = name LEFT JOIN o b ON b.id = prefix AND regexp_full_match(prefix, '[0-9]+') LEFT JOIN p c ON c.nm = lower(name) LEFT JOIN p d ON d.nm = part""")
-def lookup_priority_all(spark, d):
+def lookup_priority(spark, d):
     """Names from the whole keys of all orders, looked up in all customers; those with a leading '-' have no match."""
     customer, priority = F.col("o_custkey").cast("string"), F.col("o_orderpriority")
     orders = T.table(spark, d, "orders")
@@ -590,6 +615,9 @@ def lookup_priority_all(spark, d):
     return reports.lookup_by_priority(orders.select(F.explode(names).alias("name")).distinct(), by_id.unionByName(by_name))
 
 
+_queries["lookup_priority_all"], _sql["lookup_priority_all"] = lookup_priority, _sql["lookup_priority"]
+
+
 @query("""WITH r AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT user_id AS track_id, count(*) AS events, CAST(sum(k) AS BIGINT) AS total, count(*) FILTER (k % 2 = 0) AS even, count(*) FILTER (k IS NULL) AS missing FROM r GROUP BY user_id""")
 def json_summary(spark, d):
     rows = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.from_json("props", "k INT")["k"].alias("k"))
@@ -681,12 +709,15 @@ def tempo_label(spark, d):
 
 @query()
 def stem_mix(spark, d):
-    rows = T.table(spark, d, "embeddings").select("vec_id", *(F.transform(F.slice("embedding", 12 * i + 1, 12), lambda x: x.cast("double")).alias(f"c{i}") for i in range(5)))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    padded = F.concat(x, F.array_repeat(F.lit(0.0), F.pmod(-F.size(x), F.lit(5))))  # five channels of equal length
+    width = (F.size("x") / 5).cast("int")
+    rows = T.table(spark, d, "embeddings").select("vec_id", padded.alias("x")).select("vec_id", *(F.slice("x", F.lit(1) + i * width, width).alias(f"c{i}") for i in range(5)))
     mixed = prep.mixed_channels(rows, "vec_id", [f"c{i}" for i in range(5)])
     return mixed.select("vec_id", F.size("mix").alias("channels"), r6(F.aggregate(F.flatten("mix"), F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query(f"""{S.BARS}, n AS (SELECT track_id, CAST(round_even((t - lag(t) OVER (PARTITION BY track_id ORDER BY t)) * 1.0, 0) AS BIGINT) AS d FROM downs), c AS (SELECT track_id, d, count(*) AS c FROM n WHERE d BETWEEN 1 AND 2000 GROUP BY 1, 2),
+@query(f"""{S.BARS}, n AS (SELECT track_id, CAST(round_even((t - lag(t) OVER (PARTITION BY track_id ORDER BY t)) * 1.0, 0) AS BIGINT) AS d FROM downs), c AS (SELECT track_id, d, count(*) AS c FROM n WHERE d >= 1 GROUP BY 1, 2),
 s AS (SELECT track_id, d + k AS bin, sum(c * w) AS s FROM c, (VALUES (-2, 1.0), (-1, 2.0), (0, 3.0), (1, 2.0), (2, 1.0)) x(k, w) GROUP BY 1, 2), p AS (SELECT track_id, arg_max(bin, (s, -bin)) AS peak FROM s GROUP BY 1),
 q AS (SELECT p.track_id, peak, coalesce(max(s) FILTER (bin = peak - 1), 0) AS a, coalesce(max(s) FILTER (bin = peak), 0) AS b, coalesce(max(s) FILTER (bin = peak + 1), 0) AS c FROM p JOIN s USING (track_id) GROUP BY 1, 2),
 z AS (SELECT track_id, peak + CASE WHEN a - 2 * b + c <> 0 THEN 0.5 * (a - c) / (a - 2 * b + c) ELSE 0 END AS place FROM q)

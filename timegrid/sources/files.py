@@ -14,13 +14,25 @@ def track_of(path: Column | str = "_metadata.file_path", ending: str = "") -> Co
     return F.url_decode(F.regexp_extract(F.col(path) if isinstance(path, str) else path, rf"([^/]+?)(?:{ending})?\.[^./]*$", 1))
 
 
+def _track(rows: DataFrame) -> Column:
+    """The track of a row: a folder track_id=..., else the file's name."""
+    return F.col("track_id").cast("string") if "track_id" in rows.columns else track_of()
+
+
+def _cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The lines of CSV files as arrays of cells, with file and track: for files whose headers aren't alike."""
+    rows = spark.read.text(path)
+    cells = F.transform(F.split("value", sep, -1), lambda x: F.regexp_replace(x, r'^\s*"?|"?\s*$', ""))
+    return rows.select(F.col("_metadata.file_path").alias("file"), _track(rows).alias("track_id"), cells.alias("cells"))
+
+
 def read_beats(spark: SparkSession, path: str) -> DataFrame:
     """Beat tables with a header line, one file per track. Missing bar_num or beat_pos is an error."""
     header = spark.read.csv(path, sep="\t", header=True).columns
     if missing := {"bar_num", "beat_pos"} - set(header):
         raise ValueError(f"beat table without {sorted(missing)}")
     rows = spark.read.csv(path, sep="\t", header=True, schema=BEATS, enforceSchema=False)
-    return rows.select(track_of().alias("track_id"), F.col("`beat_time(s)`").alias("beat_time"), F.col("`downbeat_time(s)`").alias("downbeat_time"), "beat_pos", "global_beat", "bar_num")
+    return rows.select(_track(rows).alias("track_id"), F.col("`beat_time(s)`").alias("beat_time"), F.col("`downbeat_time(s)`").alias("downbeat_time"), "beat_pos", "global_beat", "bar_num")
 
 
 CORRECTED = "corrected_bar_num INT, bar_num STRING, start DOUBLE, next DOUBLE, duration_s DOUBLE, tempo_bpm DOUBLE, usable INT, bpm_threshold STRING, action STRING, removed STRING, inserted STRING"
@@ -31,10 +43,11 @@ def read_corrected(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rows = spark.read.csv(path, sep="\t", header=True, comment="#", schema=CORRECTED)
     number = F.col("bar_num")
     bars = rows.select(
-        track_of().alias("track_id"), "corrected_bar_num", F.transform(F.split(number, r"\|"), lambda x: x.cast("int")).alias("bar_num"), "start", F.col("next").alias("end"), "duration_s", "tempo_bpm",
+        _track(rows).alias("track_id"), "corrected_bar_num", F.transform(F.split(number, r"\|"), lambda x: x.cast("int")).alias("bar_num"), "start", F.col("next").alias("end"), "duration_s", "tempo_bpm",
         (F.col("usable") == 1).alias("usable"), "bpm_threshold", "action", F.col("removed").try_cast("double").alias("removed"), F.col("inserted").try_cast("double").alias("inserted"),
     )
-    lines = spark.read.text(path).select(track_of().alias("track_id"), F.regexp_extract("value", r"^#\s*(\w+)\s*=", 1).alias("key"), F.trim(F.regexp_extract("value", r"^#\s*\w+\s*=(.*)$", 1)).alias("v"))
+    text = spark.read.text(path)
+    lines = text.select(_track(text).alias("track_id"), F.regexp_extract("value", r"^#\s*(\w+)\s*=", 1).alias("key"), F.trim(F.regexp_extract("value", r"^#\s*\w+\s*=(.*)$", 1)).alias("v"))
     entries = lines.where("key <> ''").groupBy("track_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("key", "v")))).alias("meta"))
     meta = bars.select("track_id").distinct().join(entries, "track_id", "left")
     return bars, meta.select("track_id", F.coalesce(F.try_element_at("meta", F.lit("time_signature")).try_cast("int"), F.lit(4)).alias("time_signature"), "meta")
@@ -59,10 +72,13 @@ def text_of_corrected(fixed: DataFrame) -> DataFrame:
 
 
 def read_onsets(spark: SparkSession, path: str) -> DataFrame:
-    """Onset lists: the column onset_times or onset_time, else the first; what is no number is dropped."""
-    rows = spark.read.csv(path, header=True)
-    column = next((c for c in ("onset_times", "onset_time") if c in rows.columns), rows.columns[0])
-    return rows.select(track_of().alias("track_id"), F.col(f"`{column}`").try_cast("double").alias("t")).where("t IS NOT NULL")
+    """Onset lists: each file's column onset_times or onset_time, else its first; what is no number is dropped."""
+    rows = _cells(spark, path)
+    names = ("onset_times", "onset_time")
+    at = F.coalesce(*(F.nullif(F.array_position("cells", n), F.lit(0)) for n in names))
+    headers = rows.withColumn("at", at).where("at IS NOT NULL").groupBy("file").agg(F.min("at").alias("at"))
+    cell = F.get("cells", (F.coalesce("at", F.lit(1)) - 1).cast("int"))
+    return rows.join(headers, "file", "left").select("track_id", cell.try_cast("double").alias("t")).where("t IS NOT NULL")
 
 
 def write_onsets(onsets: DataFrame, path: str) -> None:
@@ -107,13 +123,25 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT)
     return rows.withColumn("track_id", F.coalesce("track_id", track_of())).where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.json(path)
+def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """Rows as JSON; with `by`, a folder for each of its values, so rows that differ in it are files of their own."""
+    (rows.write.partitionBy(by) if by else rows.write).json(path)
 
 
 def read_wide(spark: SparkSession, path: str, keys: tuple[str, ...] = ("bar_number", "bar_number_global", "tick_16th", "onset_time_uncorrected")) -> DataFrame:
-    """A wide grid (columns phase_<method>, grid_time_<method>, the length in the name as L=n) in long form."""
-    return wide_to_long(spark.read.csv(path, header=True, inferSchema=True).withColumn("track_id", track_of()), ("track_id", *keys))
+    """A wide grid (columns phase_<method>, grid_time_<method>, the length in the name as L=n) in long form.
+
+    Files may have unlike columns: each is read by its own header, the line that names a phase or grid time. Keys that a
+    file lacks are null.
+    """
+    rows = _cells(spark, path)
+    is_header = F.exists("cells", lambda x: x.startswith("phase_") | x.startswith("grid_time_"))
+    headers = rows.where(is_header).groupBy("file").agg(F.min("cells").alias("names"))
+    line = rows.where(~is_header).join(headers, "file").withColumn("m", F.map_from_arrays("names", F.slice("cells", 1, F.size("names"))))
+    own = [F.try_element_at("m", F.lit(k)).try_cast("double").alias(k) for k in keys]
+    cells = line.where("size(cells) >= size(names)").select("track_id", *own, F.explode("m").alias("name", "text"))
+    cells = cells.where(F.col("name").startswith("phase_") | F.col("name").startswith("grid_time_"))
+    return _methods(cells.select("track_id", *keys, "name", F.col("text").try_cast("double").alias("v")), ["track_id", *keys])
 
 
 def wide_to_long(wide: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -121,6 +149,11 @@ def wide_to_long(wide: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     quoted = [F.col(f"`{c}`").cast("double").alias(c) for c in names]
     kept = [k for k in keys if k in wide.columns]
     long = wide.select(*kept, *quoted).unpivot([F.col(k) for k in kept], [F.col(f"`{c}`") for c in names], "name", "v")
+    return _methods(long, kept)
+
+
+def _methods(long: DataFrame, kept: list[str]) -> DataFrame:
+    """Cells (keys, name, v) as rows by method and length."""
     kind = F.when(F.col("name").startswith("phase_"), "phase").otherwise("grid_time")
     long = long.withColumn("kind", kind).withColumn("method", F.regexp_replace(F.regexp_replace("name", r"^(phase|grid_time)_", ""), r"\(.*$", ""))
     long = long.withColumn("L", F.nullif(F.regexp_extract("name", r"L=(\d+)", 1), F.lit("")).cast("int"))
@@ -131,17 +164,17 @@ def wide_to_long(wide: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def read_values(spark: SparkSession, path: str, low: float, high: float) -> DataFrame:
     """Value series (time, f0_hz), voiced and inside [low, high): the filter is pushed to the scan."""
     rows = spark.read.csv(path, header=True, schema="time DOUBLE, f0_hz DOUBLE")
-    return rows.where((F.col("time") >= low) & (F.col("time") < high) & (F.col("f0_hz") > 0)).select(track_of().alias("track_id"), F.col("time").alias("t"), F.col("f0_hz").alias("value"))
+    return rows.where((F.col("time") >= low) & (F.col("time") < high) & (F.col("f0_hz") > 0)).select(_track(rows).alias("track_id"), F.col("time").alias("t"), F.col("f0_hz").alias("value"))
 
 
-def discover(spark: SparkSession, path: str, pattern: str, low: int | None = None, high: int | None = None, glob: str = "*") -> DataFrame:
+def discover(spark: SparkSession, path: str, pattern: str, low: int | None = None, high: int | None = None, glob: str = "*", folders: bool = False) -> DataFrame:
     """Files whose name matches a regular expression with one group, the id; `._` files and empty ones are skipped.
 
-    With a range, ids must be numbers inside it.
+    With a range, ids must be numbers inside it. folders: the whole path is matched instead of the name.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
     name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
-    rows = files.withColumn("name", name).where(~F.col("name").startswith("._")).withColumn("id", F.regexp_extract("name", pattern, 1)).where("id <> ''")
+    rows = files.withColumn("name", name).where(~F.col("name").startswith("._")).withColumn("id", F.regexp_extract(F.url_decode("path") if folders else F.col("name"), pattern, 1)).where("id <> ''")
     if low is not None and high is not None:
         rows = rows.where(F.coalesce(F.col("id").try_cast("int").between(low, high), F.lit(False)))
     return rows
