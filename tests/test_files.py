@@ -68,3 +68,16 @@ def test_corrected_writer(spark, tmp_path):
     files.write_corrected(fixed, bars.correction_statistics(rows, fixed), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/bars").count() == fixed.count()
     assert files.text_of_corrected(fixed).first().start == "0.000000"
+
+
+def test_files_of_unlike_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("bar_number,tick_16th,phase_drum(L=4),grid_time_drum(L=4)\n1,0,0.25,2.0\n")
+    (tmp_path / "b.csv").write_text("tick_16th,phase_drum(L=2),bar_number\n3,0.5,7\n")
+    got = {(r.track_id, r.method, r.L, r.bar_number, r.tick_16th, r.phase, r.grid_time) for r in files.read_wide(spark, f"{tmp_path}/*.csv", ("bar_number", "tick_16th")).collect()}
+    assert got == {("a", "drum", 4, 1.0, 0.0, 0.25, 2.0), ("b", "drum", 2, 7.0, 3.0, 0.5, None)}
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "x.csv").write_text("n,onset_times\n1,0.5\n2,1.5\n")
+    (tmp_path / "o" / "y.csv").write_text("onset_time,n\n2.5,9\n")
+    (tmp_path / "o" / "z.csv").write_text("time\n3.5\n")
+    got = {(r.track_id, r.t) for r in files.read_onsets(spark, f"{tmp_path}/o/*.csv").collect()}
+    assert got == {("x", 0.5), ("x", 1.5), ("y", 2.5), ("z", 3.5)}

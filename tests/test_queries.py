@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["bars_from_boundaries", "correct_bars", "beats_to_bars", "reference_offset", "rms_phase", "period_bic", "lag_profile", "min_spacing", "lookup_priority", "beat_fmeasure", "chunks", "loop_reference"]
+QUICK = ["bars_from_boundaries", "correct_bars", "beats_to_bars", "reference_offset", "rms_phase", "period_bic", "lag_profile", "min_spacing", "lookup_priority", "beat_fmeasure", "chunks", "loop_reference", "corrected_text", "length_files", "versioned_table", "stream_arrivals", "rms_patterns"]
 
 
 def rows(columns, data):
