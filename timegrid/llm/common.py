@@ -39,11 +39,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: the lineage ends there, so a lost executor costs no more than a reread."""
+def save(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder, read again: the lineage ends there, so a lost executor costs no more than a reread.
+
+    options: those of the Parquet writer.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_in = path.rpartition("/")[0]
     return out

@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ ASK_TOKENS = 500_000
 #: Both decide places and sizes of what is sent, not results.
 PROBE_BYTES = 16 << 20
 CODES = 200_000
+#: Bytes from which on packed values are compressed.
+LEAST_FRAME = 256
 #: Words whose values are broadcast to be looked up where texts are.
 NEAR_WORDS = 200_000
 #: Pairs whose probabilities are broadcast to be looked up where texts are.
@@ -94,14 +97,26 @@ def _find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, sorted_[at] == asked
 
 
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _bytes(values: np.ndarray, kind: str) -> bytes:
-    """The values' bytes, first all lowest ones, then the next and so on: small numbers compress well that way."""
+    """The values' bytes, first all lowest ones, then the next and so on, which compress well that way.
+
+    A leading byte tells whether the rest is a zstd frame; short ones stay as they are.
+    """
     values = np.ascontiguousarray(values.astype(kind, copy=False))
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return b"\1" + _codec()[0].compress(planes) if len(planes) >= LEAST_FRAME else b"\0" + planes
 
 
 def _array(data: bytes | None, kind: str) -> np.ndarray:
-    planes = np.frombuffer(data or b"", np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = data[1:] if data else b""
+    if data and data[0]:
+        planes = _codec()[1].decompress(planes)
+    planes = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
@@ -396,7 +411,7 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
         out.append(_table(schema, int(split.sum()), context=context[starts][split].view(np.int64), cn=n[split], ct=lengths[split]))
         return pa.concat_tables(out)
 
-    return save(docs.select("text").mapInArrow(run, SENT).groupBy("shard").applyInArrow(count, COUNTED), "counts")
+    return save(docs.select("text").mapInArrow(run, SENT).groupBy("shard").applyInArrow(count, COUNTED), "counts", compression="zstd")
 
 
 # --- fitting
@@ -447,7 +462,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
     held = gather(docs, where)
     pairs1, pairs2 = (int(x or 0) for x in held.agg(F.sum("pairs1"), F.sum("pairs2")).first())
     words = held.where("word IS NOT NULL").groupBy("word").agg(F.sum("wc").alias("c"), F.sum("w1").alias("w1"), F.sum("wk").alias("wk"))
-    words = save(words.select("word", "c", "w1", (F.col("w1") + F.col("wk")).alias("m"), F.lit(1).cast("long").alias("t")), "words")
+    words = save(words.select("word", "c", "w1", (F.col("w1") + F.col("wk")).alias("m"), F.lit(1).cast("long").alias("t")), "words", compression="zstd")
     n, v, ones, twos, customers = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.sum("m")).first())
     d0, d1, theta, total = discount_of(ones, twos), discount_of(pairs1, pairs2), 1.0, v
     split_n, split_t = _totals(held, where.keys, "cn"), _totals(held, where.keys, "ct")
@@ -503,7 +518,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             told = told.unionByName(seating.where("t IS NOT NULL").select("place", *_names(SEATING)), allowMissingColumns=True)
         else:
             told = told.withColumns({c: F.lit(None).cast("binary") for c in _names(SEATING)})
-        seated = save(books.drop("single").groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(seat, SEATED), "seated")
+        seated = save(books.drop("single").groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(seat, SEATED), "seated", compression="zstd")
         split_t = _totals(seated, where.keys, "ct")
 
         def parents(batches: Iterator[pa.RecordBatch], sweep=sweep, total=total) -> Iterator[pa.RecordBatch]:
@@ -522,7 +537,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             k = len(sizes)
             moved = moved.withColumns({f"m{k}": F.col("m"), f"t{k}": F.col("t")})
             kept += [f"m{k}", f"t{k}"]
-        old, words, seating = [words, *([seating] if seating is not None else [])], save(moved, "words"), seated
+        old, words, seating = [words, *([seating] if seating is not None else [])], save(moved, "words", compression="zstd"), seated
         release(*old)
         customers, total = (int(x or 0) for x in words.agg(F.sum("m"), F.sum("t")).first())
         if keep:
@@ -731,8 +746,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
         # all chunks of the shard at once: pairs, then entries (a pair in a text), then sums by chunk and text
         word, times = (np.concatenate([_array(x[c], kind) for x in chunks]) for c, kind in (("words", "<u8"), ("times", "<u4")))
         context = np.concatenate([np.repeat(_array(x["contexts"], "<u8"), _array(x["lengths"], "<u4")) for x in chunks])
-        texts, c = (np.concatenate([_array(x[name], "<u4") for x in chunks]).astype(np.int64) for name in ("texts", "counts"))
-        sizes = [len(x["texts"]) // 4 for x in chunks]
+        by_chunk = [_array(x["texts"], "<u4") for x in chunks]
+        texts, sizes = np.concatenate(by_chunk).astype(np.int64), [len(x) for x in by_chunk]
+        c = np.concatenate([_array(x["counts"], "<u4") for x in chunks]).astype(np.int64)
         mass, back, _ = restaurants.of_pairs(context, word)
         p = np.ones((len(word), k))
         at, is_near = _find(near_["keys"], word)
@@ -774,7 +790,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
     told = model.books.unionByName(seats, allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
     asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
     release()
-    got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers")
+    got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers", compression="zstd")
 
     release()
 
