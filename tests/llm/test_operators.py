@@ -695,3 +695,17 @@ def test_empty_tables(spark):
     assert rules.quality(none, labels).count() == rules.accepted(none, labels).count() == language.identified_documents(none).count() == 0
     assert archive.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert bitslices.top_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_words_by_bytes():
+    """Words cut by arrays of bytes are those cut one by one, in any slice of the array."""
+    draw = random.Random(5)
+    letters = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "a", "B", "Z", "é", "İ", "\x1c", "\x85", "\u2003", "x"]
+    for trial in range(500):
+        texts = [None if draw.random() < 0.1 else "".join(draw.choices(letters, k=draw.randint(0, 8))) for _ in range(draw.randint(0, 6))]
+        rows = pa.array(texts, pa.string())[trial % 3 :]
+        flat, per = common.words_of(rows)
+        words, counts = common.word_array(rows)
+        assert words.to_pylist() == flat and counts.tolist() == per.tolist()
+        hashes, which, again = common.coded_words(rows)
+        assert hashes[which].tolist() == common.hashes_of(flat).tolist() and again.tolist() == per.tolist()

@@ -110,6 +110,36 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
     return flat, counts
 
 
+_IS_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+_LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def word_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of words_of as one Arrow array, cut by arrays of bytes without a Python object for each word."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and held.size else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    solid = ~_IS_BLANK[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[firsts] = solid[firsts]  # the end of a text ends its last word
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+    letters = _LOWERED[data[solid]]
+    cuts = np.append(np.flatnonzero(begins[solid]), len(letters)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(letters)]), counts
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' distinct words, the place among these of each word, and how many words each text has."""
+    words, counts = word_array(texts)
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), coded.indices.to_numpy(zero_copy_only=False), counts
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """64-bit hash of every word; a word that repeats is hashed once."""
     if not words:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import hashes_of, mixed, release, save, slices, words_of
+from timegrid.llm.common import coded_words, mixed, release, save, slices
 
 SWEEPS = 4
 BURN_IN = 2
@@ -69,12 +69,11 @@ def _with_ends(texts: pa.Array, coded: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     A word's name is its hash with the top bit set, or for the words in `coded` (such names, sorted) its place there.
     """
-    flat, counts = words_of(texts)
-    words = pa.array(flat, pa.binary()).dictionary_encode()
-    names = hashes_of(words.dictionary.to_pylist()) | TOP
+    hashes, which, counts = coded_words(texts)
+    names = hashes | TOP
     at, short = _find(coded, names)
     names = np.where(short, at.astype(np.uint64), names)
-    return np.insert(names[words.indices.to_numpy(zero_copy_only=False)] if flat else np.zeros(0, np.uint64), np.cumsum(counts), END), counts + 1
+    return np.insert(names[which], np.cumsum(counts), END), counts + 1
 
 
 def _contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
