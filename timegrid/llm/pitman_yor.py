@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import coded_words, mixed, release, save, slices
+from timegrid.llm.common import coded_words, mixed, release, save, short_batches, slices
 
 SWEEPS = 4
 BURN_IN = 2
@@ -51,6 +51,8 @@ EXACT = 64
 SHARD_BYTES = 4 << 20
 RUN_TOKENS = 800_000
 ASK_TOKENS = 500_000
+#: Rows of texts that are sent to a Python worker at a time.
+BATCH_ROWS = 2_000
 #: Bytes of text that tell which contexts to deal over several shards, and which words, at most CODES, get short names.
 #: Both decide places and sizes of what is sent, not results.
 PROBE_BYTES = 16 << 20
@@ -410,7 +412,8 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
         out.append(_table(schema, int(split.sum()), context=context[starts][split].view(np.int64), cn=n[split], ct=lengths[split]))
         return pa.concat_tables(out)
 
-    return save(docs.select("text").mapInArrow(run, SENT).groupBy("shard").applyInArrow(count, COUNTED), "counts", compression="zstd")
+    with short_batches(docs.sparkSession, BATCH_ROWS):
+        return save(docs.select("text").mapInArrow(run, SENT).groupBy("shard").applyInArrow(count, COUNTED), "counts", compression="zstd")
 
 
 # --- fitting
@@ -684,6 +687,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
             before, text = _contexts(tokens, counts), np.repeat(np.arange(len(counts)), counts)
             found, first, which = np.unique(_named(before, tokens), return_index=True, return_inverse=True)
             context, word = before[first], tokens[first]
+            del before, tokens, first
             at, known = _find(near_["keys"], word)
             place, short = _find(pairs["names"], found)
             base, logs = np.zeros(len(found)), np.zeros(len(found))
@@ -789,7 +793,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
     told = model.books.unionByName(seats, allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
     asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
     release()
-    got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers", compression="zstd")
+    with short_batches(spark, BATCH_ROWS):
+        got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers", compression="zstd")
 
     release()
 
