@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +60,6 @@ def release(*tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-@contextmanager
-def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within the block, queries that run send Python workers batches of at most so many rows, so that texts in flight stay few."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
