@@ -81,6 +81,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.manifest import tamper_check
+
+    return tamper_check(_table(spark, sf_dir, "documents"))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lm_score": op2_lm_score,
     "op6_language": op6_language,
+    "op11_manifest": op11_manifest,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -108,4 +114,19 @@ n AS (SELECT doc_id, len(s) AS n FROM g), u AS (SELECT doc_id, unnest(s) AS x FR
 e0 AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)), e AS MATERIALIZED (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
 SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(m.least, n.doc_id)) AS component_id FROM n LEFT JOIN m ON m.a = n.doc_id""",
+    "op11_manifest": r"""WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+coalesce(octet_length(encode(text)) || ':' || text, '-') AS z, octet_length(encode(CAST(doc_id AS VARCHAR))) AS w FROM documents),
+d AS (SELECT doc_id, lang, sha256(a || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || z) AS leaf, sha256(a || coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') || z) AS changed,
+xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, w + 1), lambda i: [CAST(-1 - ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)] || list_transform(range(8), lambda j: CAST(0 AS BIGINT))))), lambda c, x: CASE WHEN x < 0 THEN xor(c, -1 - x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 7 = 0 AS hit FROM f),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT 0 AS k, lang, p, n, leaf AS x FROM l UNION ALL SELECT k + 1, lang, p // 2, (any_value(n) + 1) // 2, sha256(string_agg(x, '' ORDER BY p)) FROM t WHERE n > 1 GROUP BY k, lang, p // 2),
+s AS MATERIALIZED (SELECT lang, x AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS m FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, g, m, subroot AS x FROM s UNION ALL SELECT k + 1, g // 2, (any_value(m) + 1) // 2, sha256(string_agg(x, '' ORDER BY g)) FROM u WHERE m > 1 GROUP BY k, g // 2),
+e AS (SELECT l.doc_id, t.k, CASE WHEN o.x IS NULL THEN 0 WHEN o.p < t.p THEN 1 ELSE 2 END AS side, o.x FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.p = l.p >> t.k AND t.n > 1 LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM t.lang AND o.k = t.k AND o.p = xor(t.p, 1)
+UNION ALL SELECT l.doc_id, 1000 + u.k, CASE WHEN o.x IS NULL THEN 0 WHEN o.g < u.g THEN 1 ELSE 2 END, o.x FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN u ON u.g = s.g >> u.k AND u.m > 1 LEFT JOIN u o ON o.k = u.k AND o.g = xor(u.g, 1)),
+q AS (SELECT doc_id, list(struct_pack(side := side, x := coalesce(x, '')) ORDER BY k) AS way, string_agg(x, '' ORDER BY k) AS joined FROM e GROUP BY doc_id),
+v AS (SELECT l.doc_id, l.leaf, s.subroot, (SELECT x FROM u WHERE m = 1) AS root, sha256(coalesce(q.joined, '')) AS proof_sha256,
+list_reduce(list_prepend(struct_pack(side := 0, x := CASE WHEN l.hit THEN l.changed ELSE l.leaf END), coalesce(q.way, [])), lambda a, b: struct_pack(side := 0, x := CASE b.side WHEN 0 THEN sha256(a.x) WHEN 1 THEN sha256(b.x || a.x) ELSE sha256(a.x || b.x) END)).x AS folded_root
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN q ON q.doc_id = l.doc_id)
+SELECT *, folded_root = root AS verified FROM v""",
 }
