@@ -91,6 +91,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return filter_audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timegrid.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op11_manifest": op11_manifest,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -137,7 +143,8 @@ FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN q ON q.doc_id = l.
 SELECT *, folded_root = root AS verified FROM v""",
     "op12_filter_audit": r"""WITH RECURSIVE o AS (SELECT '' AS filter_order, 0 AS k UNION ALL SELECT filter_order || c, k + 1 FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE k < 5 AND NOT contains(filter_order, c)),
 s AS (SELECT filter_order, CAST(step AS INT) AS step, CAST(1 << (ascii(filter_order[step]) - 65) AS BIGINT) AS own, CAST(coalesce(list_sum(list_transform(range(1, step), lambda j: 1 << (ascii(filter_order[j]) - 65))), 0) AS BIGINT) AS before FROM o, range(1, 6) r(step) WHERE k = 5),
-w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
 l AS (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY 1),
 m AS (SELECT part, coalesce(quality = 1, FALSE) AS good, coalesce(toxic = 1, FALSE) AS toxic, CAST((len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, FALSE)::INT AS BIGINT) AS mask FROM w LEFT JOIN l USING (doc_id)),
 c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL)
