@@ -11,7 +11,9 @@ negative ones, are written by batch, in a folder of the batch's number, so a bat
 
 Scale: a text is a 32-byte digest from the scan on, so no text is shuffled. Of each run of rows only those with the
 smallest id of a text go to that text's state; all others are copies for certain and are summed up at once, so a text
-that fills a third of the table sends a row for each run. State lies in Spark's state store, spread by digest.
+that fills a third of the table sends a row for each run. State lies in Spark's state store. A key of it costs
+milliseconds in Python whatever it holds, so the states of the texts whose digests fall into the same of many buckets
+lie under one key, packed; there is a bucket for every BUCKET_BYTES of files, so none grows with the table.
 
 Defined cases: null texts are empty, and empty texts are equal texts; documents without an id neither are copies nor
 make any; rows of equal id and text aren't copies of each other; null sources are the part ''; a document's label is
@@ -20,9 +22,9 @@ the smallest of its labels, and one without counts as neither good nor toxic; an
 
 from __future__ import annotations
 
-import json
+import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import pandas as pd
@@ -36,8 +38,12 @@ FILTERS = "ABCDE"
 COPY = 16
 #: Micro-batches that the table's files are dealt over.
 BATCHES = 6
-_DIGEST = 32
+#: Bytes of the table's files for each bucket of texts.
+BUCKET_BYTES = 8 << 20
+BUCKETS = 48
 _COUNTS = "part string, good int, toxic int, mask int, n long"
+_WHO = ["part", "good", "toxic"]
+_HELD = ["digest", "doc_id", *_WHO, "mask", "n"]
 
 
 def mask(text: Column, words: Column) -> Column:
@@ -62,56 +68,56 @@ def facts(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "part", mask(F.col("t"), F.col("w")).alias("mask"), F.unhex(F.sha2("t", 256)).alias("digest"))
 
 
-def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each run of rows: candidates under their text's digest, and sums of all that is settled under their own key."""
-    for rows in frames:
-        least = rows.groupby("digest", sort=False)["doc_id"].transform("min")
-        free = rows["doc_id"].isna()
-        first = ~free & (rows["doc_id"] == least)
-        rows["mask"] += (COPY * (~free & ~first)).astype("int32")
-        rows["doc_id"] = rows["doc_id"].where(first)
-        rest = rows["part"].str.cat([rows[c].astype(str) for c in ("good", "toxic", "mask")], sep="/").str.encode("utf-8")
-        # one byte more than a digest at least, so that the two kinds of key can't meet
-        rows["key"] = rows["digest"].where(first, b"-" * (_DIGEST + 1) + rest)
-        sums = rows.groupby(["key", "doc_id", "part", "good", "toxic", "mask"], sort=False, dropna=False).size()
-        out = sums.rename("n").reset_index()
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+def _settled(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each run of rows: candidates with their text's digest, and sums of all that is settled, without."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            least = rows.groupby("digest", sort=False)["doc_id"].transform("min")
+            free = rows["doc_id"].isna()
+            first = ~free & (rows["doc_id"] == least)
+            rows["mask"] += (COPY * (~free & ~first)).astype("int32")
+            rows["bucket"] = rows["digest"].map(lambda d: int.from_bytes(d[:6], "little") % buckets).astype("int64")
+            gone = ["digest", "doc_id"]
+            rows[gone] = rows[gone].where(first)
+            # sums go where the first of their rows would have gone
+            rows["bucket"] = rows["bucket"].where(first, rows.groupby([*_WHO, "mask"], sort=False)["bucket"].transform("first"))
+            out = rows.groupby(["bucket", *gone, *_WHO, "mask"], sort=False, dropna=False).size().rename("n").reset_index()
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return work
+
+
+def _summed(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    return rows.groupby(by, sort=False)["n"].sum().reset_index()
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes of the counts by what has arrived for a text; for a key of settled sums their total."""
-    rows = pd.concat(list(frames)) if len(key[0]) > _DIGEST else None
-    if rows is not None:
-        one = rows.iloc[0]
-        yield pd.DataFrame({"part": [one["part"]], "good": [one["good"]], "toxic": [one["toxic"]], "mask": [one["mask"]], "n": [int(rows["n"].sum())]})
-        return
-    changes: dict[tuple, int] = {}
-
-    def count(who: tuple, bits: int, n: int) -> None:
-        changes[*who, bits] = changes.get((*who, bits), 0) + n
-
-    least, bits, holders = state.get if state.exists else (None, None, None)
-    held = {tuple(h[:3]): h[3] for h in json.loads(holders)} if holders else {}
-    changed = False
-    for frame in frames:
-        for i, part, good, toxic, own, n in zip(*(frame[c].tolist() for c in ("doc_id", "part", "good", "toxic", "mask", "n")), strict=True):
-            who, bits = (part, good, toxic), own
-            if least is not None and i > least:
-                count(who, own | COPY, n)
-                continue
-            if least is None or i < least:
-                for other, k in held.items():  # retract what was counted for the larger id
-                    count(other, own, -k)
-                    count(other, own | COPY, k)
-                least, held = i, {}
-            count(who, own, n)
-            held[who] = held.get(who, 0) + n
-            changed = True
-    if changed:
-        state.update((int(least), int(bits), json.dumps([[*who, n] for who, n in held.items()])))
-    found = [(*k, n) for k, n in changes.items() if n]
-    yield pd.DataFrame(found, columns=["part", "good", "toxic", "mask", "n"])
+    """The changes of the counts by what has arrived for a bucket's texts."""
+    rows = pd.concat(list(frames))
+    settled = rows[rows["digest"].isna()]
+    new = rows[rows["digest"].notna()]
+    new = new.assign(doc_id=new["doc_id"].astype("int64"))[_HELD]
+    old = pd.read_feather(io.BytesIO(state.get[0])) if state.exists else new.iloc[:0]
+    both = pd.concat([old, new], ignore_index=True)
+    least = both.groupby("digest", sort=False)["doc_id"].transform("min")
+    first = both["doc_id"] == least
+    copies = both.assign(mask=both["mask"] + (COPY * ~first).astype("int32"))
+    # rows of before that are first no more: taken back, and counted as copies
+    lost = both.iloc[: len(old)][~first.iloc[: len(old)]]
+    changes = [settled, copies.iloc[len(old) :], lost.assign(n=-lost["n"]), copies.loc[lost.index]]
+    if len(new):
+        kept, held = both[first], io.BytesIO()
+        _summed(kept, _HELD[:-1]).to_feather(held, compression="zstd")
+        state.update((held.getvalue(),))
+    yield _summed(pd.concat(changes), [*_WHO, "mask"])
+
+
+def _length(spark: SparkSession, path: str) -> int:
+    """Bytes of a table's files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
 def _source(path: str, files: list[str]) -> str:
@@ -128,6 +134,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     known = save(known.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).cast("int").alias("good"), (F.col("toxic") == 1).cast("int").alias("toxic"), F.lit(0).alias("_salt")), "labels")
     files = table.inputFiles()
+    buckets = max(BUCKETS, _length(spark, path) // BUCKET_BYTES)
     each = max(1, math.ceil(len(files) / batches))
     arriving = facts(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", each).parquet(_source(path, files)))
     # rows without an id have no label and shall not meet in one task
@@ -135,8 +142,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     labelled = salted.join(known, (F.col("doc_id") == F.col("_id")) & (F.col("salt") == F.col("_salt")), "left")
     zero = F.lit(0)
     rows = labelled.select("digest", "doc_id", "part", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"), "mask")
-    candidates = rows.mapInPandas(_settled, f"key binary, doc_id long, {_COUNTS}")
-    changes = candidates.groupBy("key").applyInPandasWithState(_step, _COUNTS, "least long, mask int, holders string", "append", GroupStateTimeout.NoTimeout)
+    candidates = rows.mapInPandas(_settled(buckets), f"bucket long, digest binary, doc_id long, {_COUNTS}")
+    changes = candidates.groupBy("bucket").applyInPandasWithState(_step, _COUNTS, "texts binary", "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "good", "toxic", "mask").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{work}/counts/batch={number}")
