@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timegrid.functions import cols as C
 from timegrid.functions.cols import by_track
+from timegrid.operators.ranges import Cuts
 
 MANY = 135.0
 
@@ -16,10 +17,13 @@ def strict_downbeats(beats: DataFrame) -> DataFrame:
     return beats.where("bar_num >= 1 AND beat_pos = 1").select("track_id", F.col("downbeat_time").alias("t")).distinct()
 
 
-def bars(boundaries: DataFrame) -> DataFrame:
+def bars(boundaries: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """Consecutive boundaries as bars: track_id, bar (from 0), start, end; times that repeat count once."""
     order = by_track().orderBy("t")
     rows = boundaries.select("track_id", "t").distinct()
+    if cuts:
+        rows = cuts.numbered(cuts.lead(cuts.placed(rows, "t"), "t", ["t"], "end"), ["t"], "bar")
+        return rows.where("end IS NOT NULL").select("track_id", (F.col("bar") - 1).cast("int").alias("bar"), F.col("t").alias("start"), "end")
     rows = rows.select("track_id", (F.row_number().over(order) - 1).alias("bar"), F.col("t").alias("start"), F.lead("t").over(order).alias("end"))
     return rows.where("end IS NOT NULL")
 

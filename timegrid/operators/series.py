@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.functions.cols import by_track
+from timegrid.operators.ranges import RANGE, Cuts
+from timegrid.sources import scratch
 
 
 def differences(rows: DataFrame, value: str, order: str) -> DataFrame:
@@ -62,6 +64,37 @@ def min_spacing(points: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def min_spacing_in_ranges(points: DataFrame, least: float, cuts: Cuts, keep: Callable[[DataFrame, str], DataFrame] = scratch.written) -> DataFrame:
+    """As min_spacing for `least` above 0, over any number of tasks for a track.
+
+    Every point jumps to the first one at least `least` later. Joining the jumps with themselves doubles their length;
+    from the first point on, the longest jumps and then ever shorter ones reach all that stay. So there are about
+    2 log2(n) joins by track and number, for chains of n points.
+    """
+    rows = cuts.placed(points.select("track_id", F.col("t").cast("double").alias("t")).where("t IS NOT NULL").distinct(), "t")
+    numbered = keep(cuts.lead(cuts.numbered(rows, ["t"], "i"), "t", ["t"], "after").drop(RANGE), "points")
+    there = F.struct(F.col("i").cast("long").alias("i"), "t", "after")
+    ahead = numbered.select("track_id", F.col("t").alias("_t"), F.lit(1).alias("_kind"), there.alias("_to"), F.lit(None).cast("struct<i: bigint, t: double, after: double>").alias("_from"))
+    # looked for a little early, then tested as the scan does, by the difference
+    early = F.col("t") + least - F.abs(F.col("t") + least) * 1e-12
+    wanted = numbered.select("track_id", early.alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("struct<i: bigint, t: double, after: double>").alias("_to"), there.alias("_from"))
+    found = cuts.first(cuts.placed(ahead.unionByName(wanted), "_t"), "_to", ["_t", "_kind"], "_next").where("_kind = 0 AND _next IS NOT NULL")
+    far = F.col("_next.t") - F.col("_from.t") >= least
+    place = F.when(far, F.col("_next.i")).when(F.col("_next.after").isNotNull(), F.col("_next.i") + 1)
+    jumps = keep(found.select("track_id", F.col("_from.i").alias("i"), place.alias("j")).where("j IS NOT NULL"), "jumps")
+    steps = [jumps]
+    while True:
+        then = steps[-1].select("track_id", F.col("i").alias("j"), F.col("j").alias("_j"))
+        longer = keep(steps[-1].join(then, ["track_id", "j"]).select("track_id", "i", F.col("_j").alias("j")), "jumps")
+        if longer.isEmpty():
+            break
+        steps.append(longer)
+    reached = numbered.where("i = 1").select("track_id", F.col("i").cast("long").alias("i"))
+    for step in reversed(steps):
+        reached = keep(reached.unionByName(reached.join(step, ["track_id", "i"]).select("track_id", F.col("j").alias("i"))), "reached")
+    return numbered.join(reached, ["track_id", "i"]).select("track_id", "t")
+
+
 def peak_normalised(values: DataFrame) -> DataFrame:
     """value over the track's largest absolute value; unchanged where that is 0."""
     top = F.max(F.abs("value")).over(by_track())
