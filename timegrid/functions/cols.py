@@ -58,18 +58,19 @@ def phase(onset: Column, start: Column, duration: Column, reference: Column | fl
     return F.when(duration > 0, (onset - (start + lit(reference))) / duration)
 
 
-def shifted(p: Column, steps: int = STEPS) -> Column:
+def shifted(p: Column, steps: int | Column = STEPS) -> Column:
     """The phase as it is stored, one step later."""
-    return p + 1.0 / steps
+    return p + F.lit(1.0) / lit(steps)
 
 
-def grid_time(start: Column, duration: Column, tick: Column, steps: int = STEPS) -> Column:
-    return start + tick * (duration / float(steps))
+def grid_time(start: Column, duration: Column, tick: Column, steps: int | Column = STEPS) -> Column:
+    return start + tick * (duration / lit(steps).cast("double"))
 
 
-def nearest_fraction(p: Column, steps: int = STEPS) -> Column:
+def nearest_fraction(p: Column, steps: int | Column = STEPS) -> Column:
     """The nearest of 0/steps .. (steps-1)/steps; the lower one of two."""
-    return F.least(F.greatest(F.ceil(p * float(steps) - 0.5), F.lit(0)), F.lit(steps - 1)) / float(steps)
+    n = lit(steps).cast("double")
+    return F.least(F.greatest(F.ceil(p * n - 0.5), F.lit(0)), lit(steps) - 1) / n
 
 
 def deviation_ms(onset: Column, grid: Column) -> Column:
@@ -131,15 +132,6 @@ def circular_correlation(a: Column, b: Column, step: int = 1) -> Column:
     return F.when(scale > 0, F.array_max(F.transform(shifts, dot)) / F.nullif(scale, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def min_spacing(times: Column, least: float) -> Column:
-    """Greedy choice from an array of sorted times: a time stays if it is at least `least` after the last that stayed."""
-
-    def step(kept: Column, t: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= least), F.concat(kept, F.array(t))).otherwise(kept)
-
-    return F.aggregate(times, F.array().cast("array<double>"), step)
-
-
 def register(spark: SparkSession) -> None:
     """SQL names for the scalar functions, as SQL functions that Catalyst inlines."""
     for name, args, body in (

@@ -1,6 +1,9 @@
 """The metric grid: ticks, phases and grid times, uncorrected and under reference offsets, in long form.
 
 Bars are rows (track_id, bar, start, end); onsets are rows (track_id, t, ...). Methods are rows too, not columns.
+
+`steps`, the steps of a bar, is a number for all tracks or the name of a column of the bars that says it for each track
+(`with_steps` derives that from time signatures). It then goes along through ticks, loops, phases and grids.
 """
 
 from __future__ import annotations
@@ -15,10 +18,29 @@ from timegrid.functions import cols as C
 from timegrid.operators import asof
 
 STEPS = C.STEPS
+SUBDIVISIONS = 4
+#: Ticks that are tried as references, in this order, whatever the metre.
 PRIORITY = (0, 8, 4, 12)
+Steps = int | str
 LONG = ["track_id", "method", "L", "bar", "tick", "onset_time", "phase", "grid_time"]
 
 
+def _n(steps: Steps) -> Column:
+    return F.col(steps) if isinstance(steps, str) else F.lit(steps)
+
+
+def _along(steps: Steps) -> list[str]:
+    """The columns that a table has to keep for its steps."""
+    return [steps] if isinstance(steps, str) else []
+
+
+def with_steps(bars: DataFrame, signatures: DataFrame, name: str = "steps", default: int = 4) -> DataFrame:
+    """bars with the steps of their track: SUBDIVISIONS for each beat of its signature (track_id, time_signature)."""
+    found = signatures.select("track_id", F.col("time_signature").alias("_beats"))
+    rows = bars.join(found, "track_id", "left")
+    return rows.withColumn(name, (F.coalesce("_beats", F.lit(default)) * SUBDIVISIONS).cast("int")).drop("_beats")
+
+
 def snippet_bars(bars: DataFrame, start: float, duration: float) -> DataFrame:
     """Per track the first bar that starts at or after `start` (else 0) and the last before its end (else the last)."""
     return bars.groupBy("track_id").agg(
@@ -32,28 +54,25 @@ def clipped(bars: DataFrame, ranges: DataFrame) -> DataFrame:
     return bars.join(ranges, "track_id").where("bar BETWEEN first_bar AND last_bar")
 
 
-def onset_ticks(onsets: DataFrame, bars: DataFrame, steps: int = STEPS) -> DataFrame:
+def onset_ticks(onsets: DataFrame, bars: DataFrame, steps: Steps = STEPS) -> DataFrame:
     """The first onset of each bar and tick: track_id, bar, start, end, tick, onset_time."""
-    placed = asof.in_bars(onsets.select("track_id", "t"), bars.select("track_id", "bar", "start", "end"))
-    tick = C.nearest_tick(C.phase(F.col("t"), F.col("start"), F.col("end") - F.col("start")), steps)
-    return placed.withColumn("tick", tick).groupBy("track_id", "bar", "start", "end", "tick").agg(F.min("t").alias("onset_time"))
+    own = ["bar", "start", "end", *_along(steps)]
+    placed = asof.in_bars(onsets.select("track_id", "t"), bars.select("track_id", *own))
+    tick = C.nearest_tick(C.phase(F.col("t"), F.col("start"), F.col("end") - F.col("start")), _n(steps))
+    return placed.withColumn("tick", tick).groupBy("track_id", *own, "tick").agg(F.min("t").alias("onset_time"))
 
 
-def uncorrected_phases(ticks: DataFrame, steps: int = STEPS) -> DataFrame:
+def uncorrected_phases(ticks: DataFrame, steps: Steps = STEPS) -> DataFrame:
     p = C.phase(F.col("onset_time"), F.col("start"), F.col("end") - F.col("start"))
-    return ticks.select("track_id", "bar", "tick", "onset_time", C.shifted(p, steps).alias("phase"))
+    return ticks.select("track_id", "bar", "tick", "onset_time", C.shifted(p, _n(steps)).alias("phase"), *_along(steps))
 
 
-def snippet_phases(ticks: DataFrame, references: DataFrame, remap: bool, steps: int = STEPS) -> DataFrame:
+def snippet_phases(ticks: DataFrame, references: DataFrame, remap: bool, steps: Steps = STEPS) -> DataFrame:
     """Phases against a grid that is shifted by the track's reference (ref_ms); remap: ticks are assigned anew."""
     p = C.phase(F.col("onset_time"), F.col("start"), F.col("end") - F.col("start"), F.col("ref_ms") / 1000.0)
     joined = ticks.join(references.select("track_id", "ref_ms"), "track_id").withColumn("_p", p)
-    tick = C.nearest_tick(F.col("_p"), steps) if remap else F.col("tick")
-    return joined.select("track_id", "bar", tick.alias("tick"), "onset_time", C.shifted(F.col("_p"), steps).alias("phase"))
-
-
-def _priority(steps: int) -> list[int]:
-    return [p * steps // STEPS for p in PRIORITY]
+    tick = C.nearest_tick(F.col("_p"), _n(steps)) if remap else F.col("tick")
+    return joined.select("track_id", "bar", tick.alias("tick"), "onset_time", C.shifted(F.col("_p"), _n(steps)).alias("phase"), *_along(steps))
 
 
 def _first_match(candidates: DataFrame, onsets: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -66,11 +85,15 @@ def _first_match(candidates: DataFrame, onsets: DataFrame, keys: list[str], shar
     return near.groupBy(*keys).agg(F.min_by(ref, F.struct("rank", "bar")).alias("ref"))
 
 
-def snippet_references(bars: DataFrame, ranges: DataFrame, onsets: DataFrame, num_bars: int = 1, share: float = 0.5, steps: int = STEPS) -> DataFrame:
-    """One reference per track, from the first bars of its range: the bar's start, half, then quarters; else none, 0."""
+def _candidates() -> Column:
+    return F.posexplode(F.array(*map(F.lit, PRIORITY))).alias("rank", "tick")
+
+
+def snippet_references(bars: DataFrame, ranges: DataFrame, onsets: DataFrame, num_bars: int = 1, share: float = 0.5, steps: Steps = STEPS) -> DataFrame:
+    """One reference per track, from the first bars of its range: the ticks of PRIORITY in their order; else none, 0."""
     first = bars.join(ranges, "track_id").where((F.col("bar") >= F.col("first_bar")) & (F.col("bar") < F.col("first_bar") + num_bars) & (F.col("end") > F.col("start")))
-    step = (F.col("end") - F.col("start")) / float(steps)
-    candidates = first.select("track_id", "bar", F.col("start").alias("bar_start"), (F.col("end") - F.col("start")).alias("bar_length"), step.alias("step"), F.posexplode(F.array(*map(F.lit, _priority(steps)))).alias("rank", "tick"))
+    step = (F.col("end") - F.col("start")) / _n(steps).cast("double")
+    candidates = first.select("track_id", "bar", F.col("start").alias("bar_start"), (F.col("end") - F.col("start")).alias("bar_length"), step.alias("step"), _candidates())
     candidates = candidates.withColumn("g", F.col("bar_start") + F.col("tick") * F.col("step")).drop("tick")
     found = _first_match(candidates, onsets, ["track_id"], share)
     zero = F.lit(0.0)
@@ -80,110 +103,126 @@ def snippet_references(bars: DataFrame, ranges: DataFrame, onsets: DataFrame, nu
     )
 
 
-def loops(bars: DataFrame, ranges: DataFrame, length: int | Column) -> DataFrame:
+LOOP = ["loop_bar", "last_bar", "loop_start", "loop_end"]
+
+
+def _looped(starts: DataFrame, bars: DataFrame, keys: list[str], steps: Steps) -> DataFrame:
+    """Loops from rows of their first bars, with the end of their last; one without an end is dropped."""
+    ends = bars.select(*keys, (F.col("bar") + 1 - F.col("L")).alias("bar"), F.col("end").alias("loop_end"))
+    return starts.join(ends, [*keys, "bar"]).select(*keys, F.col("bar").alias("loop_bar"), "last_bar", F.col("start").alias("loop_start"), "loop_end", *_along(steps))
+
+
+def loops(bars: DataFrame, ranges: DataFrame, length: int | Column, steps: Steps = STEPS) -> DataFrame:
     """Loops of `length` bars from each range's first bar on; one that the track's boundaries don't complete is dropped.
 
     length: a number, a column, or an explode of several numbers.
     """
-    length = C.lit(length)
-    rows = bars.join(ranges, "track_id").withColumn("L", length)
-    starts = rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0")
-    ends = rows.select("track_id", "L", (F.col("bar") + 1 - F.col("L")).alias("bar"), F.col("end").alias("loop_end"))
-    return starts.join(ends, ["track_id", "L", "bar"]).select("track_id", "L", F.col("bar").alias("loop_bar"), "last_bar", F.col("start").alias("loop_start"), "loop_end")
+    rows = bars.join(ranges, "track_id").withColumn("L", C.lit(length))
+    return _looped(rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0"), rows, ["track_id", "L"], steps)
 
 
-def loop_bars(loop_rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def loop_bars(loop_rows: DataFrame, steps: Steps = STEPS) -> DataFrame:
     """The equally long bars of each loop, as far as the range goes."""
-    sixteenth = (F.col("loop_end") - F.col("loop_start")) / (F.col("L") * steps)
+    n = _n(steps)
+    sixteenth = (F.col("loop_end") - F.col("loop_start")) / (F.col("L") * n)
     rows = loop_rows.withColumn("step", sixteenth).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("L").cast("int") - 1)))
     rows = rows.withColumn("bar", F.col("loop_bar") + F.col("offset")).where("bar <= last_bar")
-    start = F.col("loop_start") + (F.col("offset") * steps) * F.col("step")
-    return rows.withColumn("bar_start", start).withColumn("bar_length", F.lit(float(steps)) * F.col("step"))
+    start = F.col("loop_start") + (F.col("offset") * n) * F.col("step")
+    return rows.withColumn("bar_start", start).withColumn("bar_length", n.cast("double") * F.col("step"))
 
 
-def loop_references(loop_rows: DataFrame, onsets: DataFrame, share: float = 0.5, steps: int = STEPS) -> DataFrame:
+def loop_references(loop_rows: DataFrame, onsets: DataFrame, share: float = 0.5, steps: Steps = STEPS) -> DataFrame:
     """One reference per loop, on its equidistant grid over all its bars; none: 0 at the loop's first bar."""
     whole = loop_bars(loop_rows.withColumn("last_bar", F.col("loop_bar") + F.col("L") - 1), steps)
-    candidates = whole.select("track_id", "L", "loop_bar", "bar", "bar_start", "bar_length", "step", "loop_start", "offset", F.posexplode(F.array(*map(F.lit, _priority(steps)))).alias("rank", "tick"))
-    candidates = candidates.withColumn("g", F.col("loop_start") + (F.col("offset") * steps + F.col("tick")) * F.col("step")).drop("tick", "loop_start", "offset")
+    candidates = whole.select("track_id", "L", "loop_bar", "bar", "bar_start", "bar_length", "step", "loop_start", "offset", *_along(steps), _candidates())
+    candidates = candidates.withColumn("g", F.col("loop_start") + (F.col("offset") * _n(steps) + F.col("tick")) * F.col("step")).drop("tick", "loop_start", "offset", *_along(steps))
     found = _first_match(candidates, onsets, ["track_id", "L", "loop_bar"], share)
     zero = F.lit(0.0)
     return loop_rows.join(found, ["track_id", "L", "loop_bar"], "left").select(
-        "track_id", "L", "loop_bar", "last_bar", "loop_start", "loop_end", F.coalesce("ref.ref_ms", zero).alias("ref_ms"), F.coalesce("ref.ref_bar", "loop_bar").alias("ref_bar"),
+        "track_id", "L", *LOOP, *_along(steps), F.coalesce("ref.ref_ms", zero).alias("ref_ms"), F.coalesce("ref.ref_bar", "loop_bar").alias("ref_bar"),
         F.coalesce("ref.ref_phase", zero).alias("ref_phase"), F.coalesce("ref.grid_phase", zero).alias("grid_phase"),
     )
 
 
-def loop_phases(references: DataFrame, onsets: DataFrame, steps: int = STEPS) -> DataFrame:
+def loop_phases(references: DataFrame, onsets: DataFrame, steps: Steps = STEPS) -> DataFrame:
     """Phases of all onsets in the loops' equidistant bars, less the loop's reference; several may share a tick."""
     rows = loop_bars(references, steps).withColumn("key", F.struct("track_id", "L"))
-    spans = rows.select("key", "bar", F.col("bar_start").alias("start"), (F.col("bar_start") + F.col("bar_length")).alias("end"), "bar_length", "ref_ms")
+    spans = rows.select("key", "bar", F.col("bar_start").alias("start"), (F.col("bar_start") + F.col("bar_length")).alias("end"), "bar_length", "ref_ms", *_along(steps))
     lengths = spans.select("key", F.col("key.track_id").alias("track_id")).distinct()
     points = onsets.select("track_id", "t").join(lengths, "track_id").select("key", "t")
     placed = asof.in_bars(points, spans, key="key")
     p = C.phase(F.col("t"), F.col("start"), F.col("bar_length"), F.col("ref_ms") / 1000.0)
     placed = placed.withColumn("_p", p)
-    return placed.select(F.col("key.track_id").alias("track_id"), F.col("key.L").alias("L"), "bar", C.nearest_tick(F.col("_p"), steps).alias("tick"), F.col("t").alias("onset_time"), C.shifted(F.col("_p"), steps).alias("phase"))
+    return placed.select(F.col("key.track_id").alias("track_id"), F.col("key.L").alias("L"), "bar", C.nearest_tick(F.col("_p"), _n(steps)).alias("tick"), F.col("t").alias("onset_time"), C.shifted(F.col("_p"), _n(steps)).alias("phase"))
 
 
-def loop_grid_times(references: DataFrame, steps: int = STEPS) -> DataFrame:
-    rows = loop_bars(references, steps).withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    g = F.col("loop_start") + (F.col("offset") * steps + F.col("tick")) * F.col("step") + F.col("ref_ms") / 1000.0
+def loop_grid_times(references: DataFrame, steps: Steps = STEPS) -> DataFrame:
+    rows = loop_bars(references, steps).withColumn("tick", F.explode(F.sequence(F.lit(0), _n(steps) - 1)))
+    g = F.col("loop_start") + (F.col("offset") * _n(steps) + F.col("tick")) * F.col("step") + F.col("ref_ms") / 1000.0
     return rows.select("track_id", "L", "bar", "tick", g.alias("grid_time"))
 
 
-def complete_grid(bars: DataFrame, steps: int = STEPS) -> DataFrame:
+def complete_grid(bars: DataFrame, steps: Steps = STEPS) -> DataFrame:
     """All bars times all ticks, with the bar's uncorrected grid time; bars without length have none."""
-    rows = bars.withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    rows = bars.withColumn("tick", F.explode(F.sequence(F.lit(0), _n(steps) - 1)))
     duration = F.col("end") - F.col("start")
-    return rows.withColumn("grid_time", F.when(duration > 0, C.grid_time(F.col("start"), duration, F.col("tick"), steps)))
+    return rows.withColumn("grid_time", F.when(duration > 0, C.grid_time(F.col("start"), duration, F.col("tick"), _n(steps))))
 
 
-def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration: float = 1e12, lengths: tuple[int, ...] = (1, 2, 4), patterns: DataFrame | None = None, steps: int = STEPS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration: float = 1e12, lengths: tuple[int, ...] = (1, 2, 4), patterns: DataFrame | None = None, steps: Steps = STEPS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, methods: tuple[str, ...] | None = None) -> DataFrame:
     """The canonical table: every method's rows on the complete grid, with onset, phase and grid time where present.
 
     patterns: track_id, method, L of detected periods, which are methods beside the fixed lengths. Duplicated ticks keep
-    every row. Grid points without an onset have null onset and phase.
+    every row. Grid points without an onset have null onset and phase. A column of steps goes along as the last one.
+
+    methods: those that are wanted (default: all); only their parts are worked out.
 
     keep: called with each part that several methods need and its name; a function that writes it and reads it again
     makes each part be worked out once.
     """
+    def wanted(*names: str) -> bool:
+        return methods is None or any(n in methods for n in names)
+
+    long = [*LONG, *_along(steps)]
+    lengths = tuple(n for n in lengths if wanted(f"standard_L{n}"))
+    if patterns is not None and methods is not None:
+        patterns = patterns.where(F.col("method").isin(*methods))
     bars = keep(bars, "bars")
     ranges = keep(snippet_bars(bars, start, duration), "ranges")
     inside = clipped(bars, ranges)
-    grid = complete_grid(inside, steps).select("track_id", "bar", "tick", "grid_time")
-    ticks = keep(onset_ticks(onsets, inside, steps), "ticks")
-    refs = keep(snippet_references(bars, ranges, onsets, steps=steps), "references")
-    moved = grid.join(refs.select("track_id", "ref_ms"), "track_id").select("track_id", "bar", "tick", (F.col("grid_time") + F.col("ref_ms") / 1000.0).alias("grid_time"))
+    grid = complete_grid(inside, steps).select("track_id", "bar", "tick", "grid_time", *_along(steps))
 
     def method(name: str, points: DataFrame, phases: DataFrame) -> DataFrame:
-        rows = points.join(phases, ["track_id", "bar", "tick"], "left")
-        return rows.select("track_id", F.lit(name).alias("method"), F.lit(None).cast("int").alias("L"), "bar", "tick", "onset_time", "phase", "grid_time")
-
-    parts = [
-        method("uncorrected", grid, uncorrected_phases(ticks, steps)),
-        method("per_snippet", moved, snippet_phases(ticks, refs, False, steps)),
-        method("per_snippet_remapped", moved, snippet_phases(ticks, refs, True, steps)),
-    ]
+        rows = points.join(phases.drop(*_along(steps)), ["track_id", "bar", "tick"], "left")
+        return rows.withColumns({"method": F.lit(name), "L": F.lit(None).cast("int")}).select(*long)
+
+    parts: list[DataFrame] = []
+    if wanted("uncorrected", "per_snippet", "per_snippet_remapped"):
+        ticks = keep(onset_ticks(onsets, inside, steps), "ticks")
+        if wanted("uncorrected"):
+            parts.append(method("uncorrected", grid, uncorrected_phases(ticks, steps)))
+        if wanted("per_snippet", "per_snippet_remapped"):
+            refs = keep(snippet_references(bars, ranges, onsets, steps=steps), "references")
+            moved = grid.join(refs.select("track_id", "ref_ms"), "track_id").withColumn("grid_time", F.col("grid_time") + F.col("ref_ms") / 1000.0).drop("ref_ms")
+            parts += [method(name, moved, snippet_phases(ticks, refs, remap, steps)) for name, remap in (("per_snippet", False), ("per_snippet_remapped", True)) if wanted(name)]
     # all lengths at once: one join of the bars with themselves, not one for each length
-    standard = loops(bars, ranges, F.explode(F.array(*map(F.lit, lengths))))
-    sources = [standard.withColumn("method", F.concat(F.lit("standard_L"), F.col("L").cast("string")))]
+    sources = []
+    if lengths:
+        standard = loops(bars, ranges, F.explode(F.array(*map(F.lit, lengths))), steps)
+        sources.append(standard.withColumn("method", F.concat(F.lit("standard_L"), F.col("L").cast("string"))))
     if patterns is not None:
-        long = bars.join(patterns, "track_id")
-        rows = long.join(ranges, "track_id")
-        starts = rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0")
-        ends = rows.select("track_id", "method", "L", (F.col("bar") + 1 - F.col("L")).alias("bar"), F.col("end").alias("loop_end"))
-        sources.append(starts.join(ends, ["track_id", "method", "L", "bar"]).select("track_id", "L", F.col("bar").alias("loop_bar"), "last_bar", F.col("start").alias("loop_start"), "loop_end", "method"))
-    methods = reduce(DataFrame.unionByName, (s.withColumn("L", F.col("L").cast("int")) for s in sources))
-    # a length is worked out once, whichever methods use it
-    methods = keep(methods, "loops")
-    by_length = methods.select("track_id", "L", "loop_bar", "last_bar", "loop_start", "loop_end").distinct()
-    references = keep(loop_references(by_length, onsets, steps=steps), "loop_references")
-    phases, times = loop_phases(references, onsets, steps), loop_grid_times(references, steps)
-    users = methods.select("track_id", "method", "L").distinct()
-    own_grid = grid.select("track_id", "bar", "tick").join(users, "track_id")
-    looped = own_grid.join(times, ["track_id", "L", "bar", "tick"], "left").join(phases, ["track_id", "L", "bar", "tick"], "left").select(*LONG)
-    return reduce(DataFrame.unionByName, [p.select(*LONG) for p in parts] + [looped])
+        rows = bars.join(patterns, "track_id").join(ranges, "track_id")
+        sources.append(_looped(rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0"), rows, ["track_id", "method", "L"], steps))
+    if sources:
+        # a length is worked out once, whichever methods use it
+        looped = keep(reduce(DataFrame.unionByName, (s.withColumn("L", F.col("L").cast("int")) for s in sources)), "loops")
+        by_length = looped.select("track_id", "L", *LOOP, *_along(steps)).distinct()
+        references = keep(loop_references(by_length, onsets, steps=steps), "loop_references")
+        phases, times = loop_phases(references, onsets, steps), loop_grid_times(references, steps)
+        users = looped.select("track_id", "method", "L").distinct()
+        own_grid = grid.drop("grid_time").join(users, "track_id")
+        parts.append(own_grid.join(times, ["track_id", "L", "bar", "tick"], "left").join(phases, ["track_id", "L", "bar", "tick"], "left").select(*long))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def grid_wide(long: DataFrame, methods: list[str]) -> DataFrame:

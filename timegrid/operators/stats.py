@@ -10,7 +10,12 @@ from timegrid.functions import cols as C
 STEPS = C.STEPS
 
 
-def rms(long: DataFrame, steps: int = STEPS) -> DataFrame:
+def _n(steps: int | str) -> Column:
+    """The steps of a bar: a number for all, or a row's column of that name."""
+    return F.col(steps) if isinstance(steps, str) else F.lit(steps)
+
+
+def rms(long: DataFrame, steps: int | str = STEPS) -> DataFrame:
     """RMS deviation by track and method, as a phase and in ms.
 
     A row's deviation is that of its stored phase from the nearest fraction of the bar. In ms it is taken times the
@@ -18,7 +23,9 @@ def rms(long: DataFrame, steps: int = STEPS) -> DataFrame:
     0 where there are no onsets.
     """
     bar = Window.partitionBy("track_id", "method", "bar")
-    span = (F.max("grid_time").over(bar) - F.min("grid_time").over(bar)) * (steps / (steps - 1))
+    n = _n(steps)
+    span = (F.max("grid_time").over(bar) - F.min("grid_time").over(bar)) * (n / F.nullif(n - 1, F.lit(0)))
+    steps = n
     rows = long.withColumn("dur", F.when(F.count("grid_time").over(bar) >= 2, span).otherwise(F.lit(2.0)))
     dev = F.col("phase") - C.nearest_fraction(F.col("phase"), steps)
     rows = rows.withColumn("dev", F.when(F.col("onset_time").isNotNull(), dev))
@@ -28,8 +35,8 @@ def rms(long: DataFrame, steps: int = STEPS) -> DataFrame:
     )
 
 
-def phase_rms(phases: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    dev = F.col("phase") - C.nearest_fraction(F.col("phase"), steps)
+def phase_rms(phases: DataFrame, keys: list[str], steps: int | str = STEPS) -> DataFrame:
+    dev = F.col("phase") - C.nearest_fraction(F.col("phase"), _n(steps))
     return phases.groupBy(*keys).agg(F.count("phase").alias("n"), F.coalesce(F.sqrt(F.avg(dev * dev)), F.lit(0.0)).alias("rms_phase"))
 
 

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from timegrid.plans import formats  # noqa: F401  adds its queries
+    from timegrid.plans import evaluation, formats, tracks  # noqa: F401  add their queries
 
     return dict(_queries)
 
@@ -73,18 +73,23 @@ def _ranges(spark, d) -> DataFrame:
     return grid.snippet_bars(_bars(spark, d), S.START, S.DURATION)
 
 
-def _ticks(spark, d) -> DataFrame:
-    return grid.onset_ticks(T.onsets(spark, d), grid.clipped(_bars(spark, d), _ranges(spark, d)))
+def _all_ranges(spark, d) -> DataFrame:
+    return grid.snippet_bars(_bars(spark, d), S.ALL_START, S.ALL_DURATION)
 
 
-def _long(spark, d, patterns: DataFrame | None = None) -> DataFrame:
+def _ticks(spark, d, ranges=_ranges) -> DataFrame:
+    return grid.onset_ticks(T.onsets(spark, d), grid.clipped(_bars(spark, d), ranges(spark, d)))
+
+
+def _long(spark, d, patterns: DataFrame | None = None, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """The long grid over all hours."""
     onsets = scratch.written(T.onsets(spark, d).select("track_id", "t"), "onsets")
-    return grid.grid_long(_bars(spark, d), onsets, S.START, S.DURATION, patterns=patterns, keep=scratch.written)
+    return grid.grid_long(_bars(spark, d), onsets, S.ALL_START, S.ALL_DURATION, patterns=patterns, keep=scratch.written, methods=methods)
 
 
-def _snippet_long(spark, d, method: str) -> DataFrame:
+def _snippet_long(spark, d, method: str, ranges=_ranges) -> DataFrame:
     """The long grid of one of the methods without loops."""
-    rows, ranges = _bars(spark, d), _ranges(spark, d)
+    rows, ranges = _bars(spark, d), ranges(spark, d)
     inside = scratch.written(grid.clipped(rows, ranges), "inside")
     points, ticks = grid.complete_grid(inside).select("track_id", "bar", "tick", "grid_time"), grid.onset_ticks(T.onsets(spark, d), inside)
     if method == "uncorrected":
@@ -261,7 +266,7 @@ for _length in (1, 2, 4):
     _loop_query(_length)
 
 
-@query(f"{S.GRID}, {S.LOOPS}, {S.LONG} SELECT track_id, method, L, bar, tick, onset_time, round(phase, 6) AS phase, round(grid_time, 6) AS grid_time FROM long")
+@query(f"{S.ALL}, {S.LOOPS}, {S.LONG} SELECT track_id, method, L, bar, tick, onset_time, round(phase, 6) AS phase, round(grid_time, 6) AS grid_time FROM long")
 def grid_long(spark, d):
     return rounded(_long(spark, d), "phase", "grid_time")
 
@@ -269,10 +274,10 @@ def grid_long(spark, d):
 WIDE = ["uncorrected", "per_snippet", "standard_L2"]
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG} SELECT track_id, bar, tick, {', '.join(f"round(arg_min(phase, onset_time) FILTER (method = '{m}'), 6) AS {m}_phase, round(min(grid_time) FILTER (method = '{m}'), 6) AS {m}_grid_time" for m in WIDE)}
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG} SELECT track_id, bar, tick, {', '.join(f"round(arg_min(phase, onset_time) FILTER (method = '{m}'), 6) AS {m}_phase, round(min(grid_time) FILTER (method = '{m}'), 6) AS {m}_grid_time" for m in WIDE)}
 FROM long GROUP BY track_id, bar, tick""")
 def grid_wide(spark, d):
-    wide = grid.grid_wide(_long(spark, d), WIDE)
+    wide = grid.grid_wide(_long(spark, d, methods=WIDE), WIDE)
     return rounded(wide, *[c for c in wide.columns if c.endswith(("_phase", "_grid_time"))])
 
 
@@ -299,64 +304,64 @@ def _patterns(spark, d) -> DataFrame:
     return scratch.written(found, "patterns")
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {PATTERNS} SELECT l.track_id, pat.method, pat.L, bar, tick, onset_time, round(phase, 6) AS phase, round(grid_time, 6) AS grid_time FROM long l JOIN pat ON l.track_id = pat.track_id AND l.L = pat.L""")
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {PATTERNS} SELECT l.track_id, pat.method, pat.L, bar, tick, onset_time, round(phase, 6) AS phase, round(grid_time, 6) AS grid_time FROM long l JOIN pat ON l.track_id = pat.track_id AND l.L = pat.L""")
 def grid_patterns(spark, d):
     """The long grid of detected lengths, which differ by track."""
-    return rounded(_long(spark, d, _patterns(spark, d)).where("method IN ('bic', 'aicc')"), "phase", "grid_time")
+    return rounded(_long(spark, d, _patterns(spark, d), ("bic", "aicc")), "phase", "grid_time")
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {PATTERNS}, {S.RMS} SELECT rms.track_id, pat.method, n, round(rms_phase, 6) AS rms_phase, round(rms_ms, 4) AS rms_ms FROM rms JOIN pat ON rms.track_id = pat.track_id AND rms.method = 'standard_L' || pat.L""")
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {PATTERNS}, {S.RMS} SELECT rms.track_id, pat.method, n, round(rms_phase, 6) AS rms_phase, round(rms_ms, 4) AS rms_ms FROM rms JOIN pat ON rms.track_id = pat.track_id AND rms.method = 'standard_L' || pat.L""")
 def rms_patterns(spark, d):
-    rows = stats.rms(_long(spark, d, _patterns(spark, d)).where("method IN ('bic', 'aicc')"))
+    rows = stats.rms(_long(spark, d, _patterns(spark, d), ("bic", "aicc")))
     return rounded(rows, "rms_phase").withColumn("rms_ms", F.round("rms_ms", 4))
 
 
-@query(f"{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, n, round(rms_phase, 6) AS rms_phase, round(rms_ms, 4) AS rms_ms FROM rms")
+@query(f"{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, n, round(rms_phase, 6) AS rms_phase, round(rms_ms, 4) AS rms_ms FROM rms")
 def rms_ms(spark, d):
     return rounded(stats.rms(_long(spark, d)), "rms_phase").withColumn("rms_ms", F.round("rms_ms", 4))
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, {', '.join(f"round(max(rms_ms) FILTER (method = '{m}'), 4) AS {m}_ms" for m in WIDE)},
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, {', '.join(f"round(max(rms_ms) FILTER (method = '{m}'), 4) AS {m}_ms" for m in WIDE)},
 arg_min(method, (round(rms_ms, 9), list_position({WIDE!r}, method))) AS best FROM rms WHERE method IN ({', '.join(map(repr, WIDE))}) GROUP BY track_id""")
 def rms_summary_best(spark, d):
-    summary = stats.rms_summary(stats.rms(_long(spark, d)).withColumn("rms_ms", F.round("rms_ms", 9)), WIDE)
+    summary = stats.rms_summary(stats.rms(_long(spark, d, methods=WIDE)).withColumn("rms_ms", F.round("rms_ms", 9)), WIDE)
     return summary.select("track_id", *(F.round(f"{m}_ms", 4).alias(f"{m}_ms") for m in WIDE), "best")
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, {', '.join(f"round(coalesce(max(rms_ms) FILTER (method = '{m}'), 0), 4) AS {m}" for m in WIDE)} FROM rms GROUP BY track_id""")
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, {', '.join(f"round(coalesce(max(rms_ms) FILTER (method = '{m}'), 0), 4) AS {m}" for m in WIDE)} FROM rms GROUP BY track_id""")
 def rms_comparison(spark, d):
-    series_ = stats.comparison_series(stats.rms(_long(spark, d)), WIDE)
+    series_ = stats.comparison_series(stats.rms(_long(spark, d, methods=WIDE)), WIDE)
     return series_.select("track_id", *(F.round(m, 4).alias(m) for m in WIDE))
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, round(CASE WHEN base = 0 THEN 0 ELSE (base - rms_ms) / base * 100 END, 3) AS gain FROM (SELECT *, max(rms_ms) FILTER (method = 'uncorrected') OVER (PARTITION BY track_id) AS base FROM rms)""")
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, round(CASE WHEN base = 0 THEN 0 ELSE (base - rms_ms) / base * 100 END, 3) AS gain FROM (SELECT *, max(rms_ms) FILTER (method = 'uncorrected') OVER (PARTITION BY track_id) AS base FROM rms)""")
 def rms_improvement(spark, d):
     base = F.max(F.when(F.col("method") == "uncorrected", F.col("rms_ms"))).over(C.by_track())
     rows = stats.rms(_long(spark, d)).withColumn("base", base)
     return rows.select("track_id", "method", (F.round(C.improvement(F.col("base"), F.col("rms_ms")), 3) + 0.0).alias("gain"))
 
 
-@query(f"""{S.GRID}, h AS (SELECT track_id, CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1, 2)
+@query(f"""{S.ALL}, h AS (SELECT track_id, CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1, 2)
 SELECT track_id, position, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT track_id FROM ticks), (SELECT CAST(unnest(range(1, 65)) AS INT) AS position)) LEFT JOIN h USING (track_id, position)""")
 def rhythm_histogram(spark, d):
     return stats.rhythm_histogram(_ticks(spark, d), 4)
 
 
-@query(f"""{S.GRID}, h AS (SELECT CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1), f AS (SELECT position, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1, 65)) AS INT) AS position) LEFT JOIN h USING (position))
+@query(f"""{S.ALL}, h AS (SELECT CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1), f AS (SELECT position, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1, 65)) AS INT) AS position) LEFT JOIN h USING (position))
 SELECT position, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER () AS BIGINT) AS total, count(*) FILTER (n > 0) OVER () AS occupied, max(n) OVER () AS largest FROM f""")
 def corpus_histogram(spark, d):
     return stats.corpus_histogram(stats.rhythm_histogram(_ticks(spark, d), 4))
 
 
-@query(f"{S.GRID}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, loop, position, round(dev, 4) AS deviation_ms FROM fold")
+@query(f"{S.ALL}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, loop, position, round(dev, 4) AS deviation_ms FROM fold")
 def pattern_fold(spark, d):
-    fold = stats.pattern_fold(_snippet_long(spark, d, "per_snippet"), 2)
+    fold = stats.pattern_fold(_snippet_long(spark, d, "per_snippet", _all_ranges), 2)
     return fold.withColumn("deviation_ms", F.round("deviation_ms", 4) + 0.0)
 
 
-@query(f"{S.GRID}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, count(*) AS n, round(sqrt(avg(dev * dev)), 4) AS rms_ms FROM fold GROUP BY track_id")
+@query(f"{S.ALL}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, count(*) AS n, round(sqrt(avg(dev * dev)), 4) AS rms_ms FROM fold GROUP BY track_id")
 def fold_rms(spark, d):
-    return stats.fold_rms(stats.pattern_fold(_snippet_long(spark, d, "per_snippet"), 2)).withColumn("rms_ms", F.round("rms_ms", 4))
+    return stats.fold_rms(stats.pattern_fold(_snippet_long(spark, d, "per_snippet", _all_ranges), 2)).withColumn("rms_ms", F.round("rms_ms", 4))
 
 
 # --- periods
@@ -482,7 +487,7 @@ def bar_duration_export(spark, d):
     return out.withColumns({c: F.round(c, 3) for c in ("first_onset_ms", "begin_ms", "duration_ms")})
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, b AS (SELECT *, bar - min(bar) OVER (PARTITION BY track_id, method) AS b FROM long)
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, b AS (SELECT *, bar - min(bar) OVER (PARTITION BY track_id, method) AS b FROM long)
 SELECT * FROM (SELECT track_id, method, round(min(grid_time) FILTER (b = 0), 6) AS loop_start, round(min(grid_time) FILTER (b = 4), 6) AS loop_end FROM b WHERE tick = 0 GROUP BY 1, 2) WHERE loop_start IS NOT NULL AND loop_end IS NOT NULL""")
 def loop_bounds(spark, d):
     return rounded(loops.loop_bounds(_long(spark, d), 4), "loop_start", "loop_end")
@@ -615,9 +620,6 @@ def lookup_priority(spark, d):
     return reports.lookup_by_priority(orders.select(F.explode(names).alias("name")).distinct(), by_id.unionByName(by_name))
 
 
-_queries["lookup_priority_all"], _sql["lookup_priority_all"] = lookup_priority, _sql["lookup_priority"]
-
-
 @query("""WITH r AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT user_id AS track_id, count(*) AS events, CAST(sum(k) AS BIGINT) AS total, count(*) FILTER (k % 2 = 0) AS even, count(*) FILTER (k IS NULL) AS missing FROM r GROUP BY user_id""")
 def json_summary(spark, d):
     rows = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.from_json("props", "k INT")["k"].alias("k"))

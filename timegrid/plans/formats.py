@@ -107,7 +107,7 @@ def summary_file(spark, d):
     return back.select(F.col("track_id").cast("int"), F.col("raw_bars").cast("int"), F.col("ok").cast("boolean"), "errors")
 
 
-@query(f"""{S.GRID}, {S.LOOPS}, {S.LONG}, w AS (SELECT track_id, bar, tick, method, L, arg_min(phase, onset_time) AS phase, min(grid_time) AS grid_time FROM long WHERE method IN ('uncorrected', 'per_snippet', 'standard_L2') GROUP BY ALL)
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, w AS (SELECT track_id, bar, tick, method, L, arg_min(phase, onset_time) AS phase, min(grid_time) AS grid_time FROM long WHERE method IN ('uncorrected', 'per_snippet', 'standard_L2') GROUP BY ALL)
 SELECT CAST(bar AS INT) AS bar, tick, CAST(track_id AS VARCHAR) AS track_id, CASE method WHEN 'standard_L2' THEN 'standard' ELSE method END AS method, L, round(phase, 4) AS phase, round(grid_time, 4) AS grid_time FROM w""")
 def wide_files(spark, d):
     """The wide grid in two folders of files whose columns aren't alike, read back into rows by method."""

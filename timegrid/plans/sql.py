@@ -1,5 +1,7 @@
 """Common table expressions of the SQL equivalents (DuckDB), by name; each builds on the ones before."""
 
+import re
+
 START, DURATION = 100.0, 400.0
 STOP = START + DURATION
 
@@ -57,6 +59,9 @@ rbest AS (SELECT track_id, arg_min({{'ms': (nearest - g) * 1000, 'bar': bar, 'rp
 refs AS (SELECT ranges.track_id, coalesce(r.ms, 0) AS ref_ms, coalesce(r.bar, first_bar) AS ref_bar, coalesce(r.rp, 0) AS ref_phase, coalesce(r.gp, 0) AS grid_phase FROM ranges LEFT JOIN rbest USING (track_id)),
 snip AS (SELECT track_id, bar, tick, onset_time, (onset_time - (bstart + ref_ms / 1000)) / (bend - bstart) AS p FROM ticks JOIN refs USING (track_id)),
 snippet_same AS (SELECT track_id, bar, tick, onset_time, round(p + 1.0 / 16, 6) AS phase FROM snip), snippet_new AS (SELECT track_id, bar, CAST(least(greatest(round_even(p * 16, 0), 0), 15) AS INT) AS tick, onset_time, round(p + 1.0 / 16, 6) AS phase FROM snip)"""
+#: The same over all hours.
+ALL_START, ALL_DURATION = -1.0, 1e12
+ALL = GRID.replace(f">= {START})", f">= {ALL_START})").replace(f"< {STOP})", f"< {ALL_DURATION})")
 LOOPS = f"""lp AS (SELECT b.track_id, x.L, b.bar AS loop_bar, r.last_bar, b.bstart AS loop_start, e.bend AS loop_end FROM bars b JOIN ranges r USING (track_id), (SELECT CAST(unnest([1, 2, 4]) AS INT) AS L) x, bars e WHERE e.track_id = b.track_id AND e.bar = b.bar + x.L - 1 AND b.bar BETWEEN r.first_bar AND r.last_bar AND (b.bar - r.first_bar) % x.L = 0),
 lb AS (SELECT lp.*, off, loop_bar + off AS bar, (loop_end - loop_start) / (L * 16) AS step FROM lp, (SELECT unnest(range(4)) AS off) WHERE off < L),
 lbars AS (SELECT *, loop_start + (off * 16) * step AS bar_start, 16.0::DOUBLE * step AS bar_length FROM lb),
@@ -92,3 +97,8 @@ power AS (SELECT track_id, CAST(coalesce(arg_max(lag, (value, -lag)) FILTER (pea
 CRITERIA = """q0 AS (SELECT track_id, row_number() OVER w AS i, (bend - bstart) * 1000.0 - lag((bend - bstart) * 1000.0) OVER w AS d FROM bars WINDOW w AS (PARTITION BY track_id ORDER BY bar)),
 q1 AS (SELECT track_id, d, x.L, i % x.L AS r FROM q0, (SELECT CAST(unnest([1, 2, 4]) AS INT) AS L) x WHERE d IS NOT NULL), q2 AS (SELECT track_id, L, r, avg(d) AS mu FROM q1 GROUP BY 1, 2, 3), q3 AS (SELECT track_id, L, sum(mu) / L AS m FROM q2 GROUP BY 1, 2),
 crit AS (SELECT track_id, L, count(*) AS n, sum(power(d - (mu - m), 2)) AS sse FROM q1 JOIN q2 USING (track_id, L, r) JOIN q3 USING (track_id, L) GROUP BY 1, 2)"""
+
+
+def in_steps(sql: str, steps: int) -> str:
+    """SQL of the grid for bars of other than 16 steps."""
+    return re.sub(r"\b15\b", str(steps - 1), re.sub(r"\b16\b", str(steps), sql))
