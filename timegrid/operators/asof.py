@@ -44,8 +44,8 @@ def in_bars(points: DataFrame, bars: DataFrame, time: str = "t", key: str = "tra
     return matched.select(key, *own, *(F.col(f"bound.{c}").alias(c) for c in bars.columns if c != key))
 
 
-def nearest(targets: DataFrame, points: DataFrame, target: str = "g", time: str = "t", key: str = "track_id", cuts: Cuts | None = None) -> DataFrame:
-    """Each target with `nearest` and `distance` of the nearest point; the earlier of two; null if there is none."""
+def nearest(targets: DataFrame, points: DataFrame, target: str = "g", time: str = "t", key: str = "track_id", cuts: Cuts | None = None, later: bool = False) -> DataFrame:
+    """Each target with `nearest` and `distance` of the nearest point; the earlier (or later) of two; null if there is none."""
     spots = points.select(key, F.col(time).alias("_spot"))
     both, own, _ = _united(targets, spots, target, "_spot", key, cuts)
     sides = ["_t", "_kind"]
@@ -56,7 +56,8 @@ def nearest(targets: DataFrame, points: DataFrame, target: str = "g", time: str
         both = both.withColumn("_last", F.last("_bound", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.first("_bound", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     rows = both.where("_kind = 1").select(key, *(F.col(f"_point.{c}").alias(c) for c in own), F.col("_last._spot").alias("_before"), F.col("_next._spot").alias("_after"))
     g = F.col(target)
-    pick = F.when(F.col("_after").isNull() | ((g - F.col("_before")) <= (F.col("_after") - g)), F.col("_before")).otherwise(F.col("_after"))
+    first, second = g - F.col("_before"), F.col("_after") - g
+    pick = F.when(F.col("_after").isNull() | (first < second if later else first <= second), F.col("_before")).otherwise(F.col("_after"))
     return rows.withColumn("nearest", pick).withColumn("distance", F.abs(F.col("nearest") - g)).drop("_before", "_after")
 
 

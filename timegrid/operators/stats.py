@@ -93,6 +93,15 @@ def spread(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("largest"))
 
 
+#: Fixed value: data sets whose downbeats aren't annotated.
+WITHOUT_DOWNBEATS = ("smc",)
+
+
+def with_downbeats(rows: DataFrame, dataset: str = "dataset", kind: str = "kind", without: tuple = WITHOUT_DOWNBEATS) -> DataFrame:
+    """Scores (dataset, kind of beat or downbeat) less those of downbeats in data sets that have none."""
+    return rows.where((F.col(kind) != "downbeat") | ~F.col(dataset).cast("string").isin([str(x) for x in without]))
+
+
 def weighted_means(rows: DataFrame, keys: list[str], value: str = "value", weight: str = "n") -> DataFrame:
     """Running means by key put together: sum of value times n over sum of n; null where that is 0."""
     total = F.sum(weight)

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from timegrid.plans import evaluation, formats, tracks  # noqa: F401  add their queries
+    from timegrid.plans import formats, tracks  # noqa: F401  add their queries
 
     return dict(_queries)
 
@@ -344,13 +344,13 @@ def rms_improvement(spark, d):
 @query(f"""{S.ALL}, h AS (SELECT track_id, CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1, 2)
 SELECT track_id, position, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT track_id FROM ticks), (SELECT CAST(unnest(range(1, 65)) AS INT) AS position)) LEFT JOIN h USING (track_id, position)""")
 def rhythm_histogram(spark, d):
-    return stats.rhythm_histogram(_ticks(spark, d), 4)
+    return stats.rhythm_histogram(_ticks(spark, d, _all_ranges), 4)
 
 
 @query(f"""{S.ALL}, h AS (SELECT CAST((bar % 4) * 16 + tick + 1 AS INT) AS position, count(*) AS n FROM ticks GROUP BY 1), f AS (SELECT position, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1, 65)) AS INT) AS position) LEFT JOIN h USING (position))
 SELECT position, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER () AS BIGINT) AS total, count(*) FILTER (n > 0) OVER () AS occupied, max(n) OVER () AS largest FROM f""")
 def corpus_histogram(spark, d):
-    return stats.corpus_histogram(stats.rhythm_histogram(_ticks(spark, d), 4))
+    return stats.corpus_histogram(stats.rhythm_histogram(_ticks(spark, d, _all_ranges), 4))
 
 
 @query(f"{S.ALL}, {S.LOOPS}, {S.LONG}, {S.FOLD} SELECT track_id, loop, position, round(dev, 4) AS deviation_ms FROM fold")
@@ -728,30 +728,41 @@ def interval_tempo(spark, d):
     return rounded(prep.interval_tempo(T.downbeats(spark, d), fps=1.0), "bpm")
 
 
-MATCHED = f"""{S.ONSETS}, tr AS (SELECT DISTINCT track_id, t FROM onsets WHERE event_type = 'view'), pp AS (SELECT track_id, t AS g FROM downs), aa AS (SELECT track_id, t AS g FROM tr), {S.nearest('pp', 'tr', ['g'])}, {S.nearest('aa', 'downs', ['g'])},
-m AS (SELECT x.track_id, x.g AS p, x.nearest AS a FROM near_pp x JOIN near_aa y ON x.track_id = y.track_id AND x.nearest = y.g AND y.nearest = x.g WHERE x.distance <= 12.0 AND y.distance <= 12.0)"""
+#: Pairs by a scan of both sides' sorted lists, one step at a time.
+MATCHED = f"""{S.ONSETS.replace('WITH ', 'WITH RECURSIVE ', 1)}, tr AS (SELECT DISTINCT track_id, t FROM onsets WHERE event_type = 'view'), li AS MATERIALIZED (SELECT track_id, a, b FROM (SELECT track_id, list(t ORDER BY t) AS a FROM downs GROUP BY 1) JOIN (SELECT track_id, list(t ORDER BY t) AS b FROM tr GROUP BY 1) USING (track_id)),
+sc AS (SELECT track_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS tp FROM li UNION ALL SELECT track_id, i + (abs(a[i] - b[j]) <= 12.0 OR a[i] < b[j])::INT, j + (abs(a[i] - b[j]) <= 12.0 OR a[i] > b[j])::INT, tp + (abs(a[i] - b[j]) <= 12.0)::INT FROM sc JOIN li USING (track_id) WHERE i <= len(a) AND j <= len(b)),
+k AS (SELECT track_id, max(tp) AS tp FROM sc GROUP BY 1), a AS (SELECT track_id, count(*) AS n_true FROM tr GROUP BY 1), b AS (SELECT track_id, count(*) AS n_predicted FROM downs GROUP BY 1)"""
 
 
-@query(f"""{MATCHED}, k AS (SELECT track_id, count(*) AS tp FROM m GROUP BY 1), a AS (SELECT track_id, count(*) AS n_true FROM tr GROUP BY 1), b AS (SELECT track_id, count(*) AS n_predicted FROM downs GROUP BY 1)
-SELECT track_id, n_true, coalesce(n_predicted, 0) AS n_predicted, coalesce(tp, 0) AS tp, round(2.0 * coalesce(tp, 0) / (n_true + coalesce(n_predicted, 0)), 6) AS f FROM a LEFT JOIN b USING (track_id) LEFT JOIN k USING (track_id) WHERE n_true >= 2""")
+@query(f"""{MATCHED} SELECT track_id, n_true, coalesce(n_predicted, 0) AS n_predicted, coalesce(tp, 0) AS tp, round(2.0 * coalesce(tp, 0) / (n_true + coalesce(n_predicted, 0)), 6) AS f FROM a LEFT JOIN b USING (track_id) LEFT JOIN k USING (track_id) WHERE n_true >= 2""")
 def beat_fmeasure(spark, d):
     return rounded(evaluate.f_measure(T.downbeats(spark, d), T.downbeats(spark, d, "view"), 12.0), "f")
 
 
-@query()
+@query(f"""{S.ONSETS}, tr AS (SELECT DISTINCT track_id, t FROM onsets WHERE event_type = 'view'), v0 AS (SELECT *, row_number() OVER w - 1 AS k, lead(t) OVER w - t AS d FROM tr WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+v1 AS (SELECT track_id, unnest([{{'v': 'same', 't': t}}, {{'v': 'off', 't': t + d * 0.5}}, {{'v': 'double', 't': t}}, {{'v': 'double', 't': t + d * 0.5}}, {{'v': 'triple', 't': t}}, {{'v': 'triple', 't': t + d / 3.0}}, {{'v': 'triple', 't': t + d * 2.0 / 3.0}}, {{'v': '2' || (k % 2), 't': t}}, {{'v': '3' || (k % 3), 't': t}}]) AS x FROM v0),
+av AS (SELECT track_id || '/' || x.v AS key, track_id, x.v AS v, x.t AS t FROM v1 WHERE x.t IS NOT NULL), an AS (SELECT *, coalesce(t - lag(t) OVER w, lead(t) OVER w - t) AS step, count(*) OVER (PARTITION BY key) AS n FROM av WINDOW w AS (PARTITION BY key ORDER BY t)),
+pn AS (SELECT *, row_number() OVER w AS j, coalesce(t - lag(t) OVER w, lead(t) OVER w - t) AS step, count(*) OVER (PARTITION BY track_id) AS n FROM downs WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+pv AS (SELECT DISTINCT key, av.track_id, v, j, pn.t AS t, step, n FROM av JOIN pn USING (track_id)),
+nr AS (SELECT p.*, CASE WHEN y.t IS NULL OR p.t - x.t < y.t - p.t THEN x.t ELSE y.t END AS near FROM pv p ASOF LEFT JOIN an x ON p.key = x.key AND p.t >= x.t ASOF LEFT JOIN an y ON p.key = y.key AND p.t <= y.t),
+ok AS (SELECT nr.key, j, j - row_number() OVER (PARTITION BY nr.key ORDER BY j) AS run FROM nr JOIN an ON nr.key = an.key AND nr.near = an.t WHERE abs(nr.t - near) <= an.step * 0.4 AND abs(1 - nr.step / an.step) <= 0.4),
+ru AS (SELECT key, max(c) AS longest, sum(c) AS total FROM (SELECT key, run, count(*) AS c FROM ok GROUP BY 1, 2) GROUP BY 1), na AS (SELECT key, track_id, v, any_value(n) AS n FROM an GROUP BY 1, 2, 3), np AS (SELECT track_id, any_value(n) AS m FROM pn GROUP BY 1),
+sc AS (SELECT track_id, v, CASE WHEN n > 1 AND coalesce(m, 0) > 1 THEN coalesce(longest, 0) / greatest(n, m) ELSE 0 END AS c, CASE WHEN n > 1 AND coalesce(m, 0) > 1 THEN coalesce(total, 0) / greatest(n, m) ELSE 0 END AS t FROM na LEFT JOIN np USING (track_id) LEFT JOIN ru USING (key)),
+f AS (SELECT track_id, max(c) FILTER (v = 'same') AS c1, max(t) FILTER (v = 'same') AS t1, max(c) AS c2, max(t) AS t2 FROM sc GROUP BY 1)
+SELECT track_id, round(c1, 6) AS cmlc, round(t1, 6) AS cmlt, round(CASE WHEN c1 > 0.5 THEN c1 ELSE c2 END, 6) AS amlc, round(CASE WHEN c1 > 0.5 THEN t1 ELSE t2 END, 6) AS amlt FROM f""")
 def beat_continuity(spark, d):
     predicted, truth = T.downbeats(spark, d), T.downbeats(spark, d, "view")
-    same = evaluate.continuity(predicted, truth, 0.4).withColumnRenamed("score", "cmlt")
-    return rounded(same.join(evaluate.any_level_continuity(predicted, truth, 0.4).withColumnRenamed("score", "amlt"), "track_id", "left"), "cmlt", "amlt")
+    return rounded(evaluate.levels(predicted, truth, 0.4), "cmlc", "cmlt", "amlc", "amlt")
 
 
-@query(f"""{MATCHED}, k AS (SELECT track_id, count(*) AS tp FROM m GROUP BY 1), a AS (SELECT track_id, count(*) AS n_true FROM tr GROUP BY 1), b AS (SELECT track_id, count(*) AS n_predicted FROM downs GROUP BY 1),
-f AS (SELECT track_id % 5 AS dataset, n_true AS n, 2.0 * coalesce(tp, 0) / (n_true + coalesce(n_predicted, 0)) AS value FROM a LEFT JOIN b USING (track_id) LEFT JOIN k USING (track_id) WHERE n_true >= 2)
-SELECT dataset, round(sum(value * n) / sum(n), 6) AS mean, CAST(sum(n) AS BIGINT) AS weight FROM f GROUP BY dataset""")
+@query(f"""{MATCHED}, f AS (SELECT track_id % 5 AS dataset, CASE WHEN track_id % 2 = 0 THEN 'downbeat' ELSE 'beat' END AS kind, n_true AS n, 2.0 * coalesce(tp, 0) / (n_true + coalesce(n_predicted, 0)) AS value FROM a LEFT JOIN b USING (track_id) LEFT JOIN k USING (track_id) WHERE n_true >= 2)
+SELECT dataset, kind, round(sum(value * n) / sum(n), 6) AS mean, CAST(sum(n) AS BIGINT) AS weight FROM f WHERE kind = 'beat' OR dataset <> 3 GROUP BY dataset, kind""")
 def score_means(spark, d):
+    """Means by data set and kind of beat; data set 3 has no downbeats."""
     scores = evaluate.f_measure(T.downbeats(spark, d), T.downbeats(spark, d, "view"), 12.0)
-    rows = scores.select((F.col("track_id") % 5).alias("dataset"), F.col("f").alias("value"), F.col("n_true").alias("n"))
-    return rounded(stats.weighted_means(rows, ["dataset"]), "mean")
+    kind = F.when(F.col("track_id") % 2 == 0, "downbeat").otherwise("beat")
+    rows = scores.select((F.col("track_id") % 5).alias("dataset"), kind.alias("kind"), F.col("n_true").alias("n"), F.col("f").alias("value"))
+    return rounded(stats.weighted_means(stats.with_downbeats(rows, without=(3,)), ["dataset", "kind"]), "mean")
 
 
 @query("""WITH r AS (SELECT user_id AS track_id, value - 15 AS logit, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.5 WHEN 'purchase' THEN -1.0 ELSE 0.0 END AS truth FROM events)
