@@ -304,7 +304,7 @@ def places(docs: DataFrame, shard_bytes: int = SHARD_BYTES, codes: int = CODES)
     release(counted)
     names, c = rows.column("context").to_numpy().view(np.uint64), rows.column("c").to_numpy()
     coded = np.unique(names[names != START])
-    large = c >= max(1.0, total * max(1e-5, 0.25 / shards))
+    large = c >= max(1.0, total * 0.25 / shards)
     at, short = _find(coded, names[large])
     keys = np.where(short, at.astype(np.uint64), names[large])
     up = np.argsort(keys)
@@ -634,9 +634,10 @@ def _frequent(model: Model, scalars: dict, near: dict, most: int) -> dict[str, n
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
     found = model.books.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    least, given = _least_class([(r["k"], r["n"]) for r in found], most), model.books.sparkSession.sparkContext.broadcast((scalars, near))
+    least = _least_class([(r["k"], r["n"]) for r in found], most)
     if least == 1 << 30:
         return {"names": np.zeros(0, np.uint64), "lp": np.zeros(0)}
+    given = model.books.sparkSession.sparkContext.broadcast((scalars, near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scalars_, near_ = given.value
@@ -651,6 +652,7 @@ def _frequent(model: Model, scalars: dict, near: dict, most: int) -> dict[str, n
 
     both = model.books.drop("single").join(model.seating, F.col("shard") == F.col("place")).select(*columns)
     rows = both.mapInArrow(run, "name long, lp double").toArrow()
+    given.destroy()
     names = rows.column("name").to_numpy().view(np.uint64)
     up = np.argsort(names)
     return {"names": names[up], "lp": rows.column("lp").to_numpy()[up]}
@@ -790,7 +792,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
     asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
     release()
     got = save(asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, ", ".join([answers, *fields])), "answers", compression="zstd")
-
+    # what was broadcast has been used: executors and their Python workers let it go
+    given.destroy()
     release()
 
     def add(table: pa.Table) -> pa.Table:
