@@ -148,6 +148,14 @@ def fold(text):
     return " ".join("".join(blank).split())
 
 
+def test_mixes_of_repeated_ids_agree(spark):
+    rng = random.Random(9)
+    rows = [(i % 40, f"{'abcdefghij'[k]} " * 37 + f"{i % 40}", "s") for k in range(10) for i in range(40)]
+    rows += [(rng.randrange(1000), "other words " * rng.randrange(1, 60), rng.choice(["t", "u", None])) for _ in range(300)]
+    seen = [sorted((r.doc_id, r.text) for r in mixing.mixed_documents(table(spark, rng.sample(rows, len(rows))).repartition(n)).collect()) for n in (2, 9)]
+    assert seen[0] == seen[1]
+
+
 def test_fingerprints(spark, rows):
     single = {}
     for i, t, _ in rows:

@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, ["sid"], "shard", F.col("shard_size"), F.col("source_quota")).select("sid", "shard", "quota")
 
-    run = Window.partitionBy("sid", "shard").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("sid", "shard").orderBy(order, "doc_id", "size", *kept).rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("at", F.coalesce(F.sum("size").over(run), F.lit(0))).withColumn("ring", F.sum("size").over(Window.partitionBy("sid", "shard")))
     laid = laid.join(shards, ["sid", "shard"])
     words = F.least(F.col("quota") * block, F.col("ring") * rounds)
