@@ -1,7 +1,8 @@
 """Language identification by Bayesian fusion of evidence.
 
 The posterior of a language is the product of
-- the text's likelihood: byte pairs of its letters, tempered because neighbouring pairs tell the same twice,
+- the text's likelihood: byte pairs of its letters, each language's chances mixed with the pool's, the more so the less
+  there is of it; tempered because neighbouring pairs tell the same twice,
 - the chance of the language that the markup declares, given the language,
 - the chance of the address's suffix, given the language,
 - the host's prior, smoothed towards its domain's, and that towards the corpus's.
@@ -10,6 +11,10 @@ alone say, less the row itself, so a row is no evidence for itself.
 
 A further outcome, `und`, has a likelihood a fixed margin below what texts of their own language have on average.
 
+Every language that labels a row has a model. A pair that a language doesn't have adds the same for all, the pool's
+chance, so a model is a list of its own pairs. Lists of at most PART_CELLS pairs in all are sent out at a time; languages
+beyond that are scored in further passes over the texts.
+
 Defined cases: null, empty and letterless texts have no likelihood to add; if there is no other evidence either they
 are `und`. A null declaration, suffix or host is a value of its own without effect. Repeated rows count each. An empty
 table gives an empty result; extra columns are ignored.
@@ -18,17 +23,20 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.llm.common import save, slices
 
 CELLS = 1 << 16
-#: So many training rows make a model of a language, at any corpus size; a model costs 0.5 MB.
-LEAST_ROWS = 3
+#: Pairs of the languages that one pass scores, 12 bytes each.
+PART_CELLS = 2_000_000
+#: A language's chances count as those of so many pairs of the pool more.
+POOLED = 200.0
 TEMPER = 0.2
 MARGIN = 3.0
 QUOTED = 0.1
@@ -52,74 +60,130 @@ def _pairs(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int32), *cells]), counts
 
 
-def train(texts: DataFrame, least_rows: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log chances (language and at last `und`, by cell) from rows of text and lang."""
+@dataclass
+class Model:
+    """counts: lang, cell, c, n. own: mean log chance of a training pair in its language.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
-        for batch in batches:
-            for part in slices(batch):
-                langs = np.array(part.column("lang").to_pylist(), object)
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                for lang in set(langs):
-                    chosen = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                    cells, _ = _pairs(chosen)
-                    tables.setdefault(lang, np.zeros(CELLS, np.int64))
-                    tables[lang] += np.bincount(cells, minlength=CELLS)
-                    rows[lang] = rows.get(lang, 0) + len(chosen)
-        for lang, table in tables.items():
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(table[at], rows[lang]))], ["lang", "cell", "c"])
+    log_pool: of each cell. n: pairs by language, in the order of langs. parts: the languages of each pass.
+    """
 
-    counts = texts.where("lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
-    counts = save(counts, "pairs")
-    number = counts.where("cell = -1")
-    langs = sorted(r["lang"] for r in number.where(F.col("c") >= least_rows).select("lang").collect())
-    table = np.zeros((len(langs), CELLS))
-    for r in counts.where((F.col("cell") >= 0) & F.col("lang").isin(langs)).collect() if langs else []:  # bounded: cells times languages
-        table[langs.index(r["lang"]), r["cell"]] = r["c"]
-    used = max(1, int((table.sum(axis=0) > 0).sum()))
-    whole = table.sum(axis=0)
-    pooled = (whole + 0.5) / (whole.sum() + 0.5 * (used + 1))
-    # texts quote other languages: a share of each language's chances is the pool's
-    logs = np.log((1 - QUOTED) * (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * (used + 1)) + QUOTED * pooled)
-    own = float((table * logs).sum() / max(1.0, table.sum()))
-    return langs, np.vstack([logs, np.full(CELLS, own - MARGIN)])
-
-
-def likelihoods(rows: DataFrame, logs: np.ndarray, temper: float = TEMPER) -> DataFrame:
-    """rows (id columns and text) without text, with n_pairs and ll, the tempered log likelihood by language."""
-    table = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
-    keep = [c for c in rows.columns if c != "text"]
+    langs: list[str]
+    n: np.ndarray
+    log_pool: np.ndarray
+    own: float
+    counts: DataFrame
+    parts: list[range]
+
+    def shares(self) -> np.ndarray:
+        """The pool's share in each language's chances."""
+        return (POOLED + QUOTED * self.n) / (POOLED + self.n)
+
+    def part(self, langs: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By cell where its entries begin, and of each entry the language and what it adds to the log chance."""
+        names = self.langs[langs.start : langs.stop]
+        own = self.counts.where(F.col("lang").isin(names)).select("lang", "cell", "c").toArrow()
+        number = {x: langs.start + i for i, x in enumerate(names)}
+        lang = np.array([number[x] for x in own.column("lang").to_pylist()], np.int32)
+        cell, c = own.column("cell").to_numpy(), own.column("c").to_numpy().astype(float)
+        up = np.lexsort((lang, cell))
+        lang, cell, c = lang[up], cell[up], c[up]
+        q = self.shares()[lang]
+        gain = np.log1p((1 - q) * c / self.n[lang] / (q * np.exp(self.log_pool[cell])))
+        return np.searchsorted(cell, np.arange(CELLS + 1)), lang, gain.astype(np.float32)
+
+
+def train(texts: DataFrame, part_cells: int = PART_CELLS) -> Model:
+    """The model of rows of text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
+            for part in slices(batch):
+                langs = part.column("lang").dictionary_encode()
                 cells, counts = _pairs(part.column("text").cast(pa.binary()).to_pylist())
-                sums = np.zeros((len(counts), logs.shape[0]))
-                full = np.flatnonzero(counts)
-                if len(full):
-                    starts = (np.cumsum(counts) - counts)[full]
-                    sums[full] = np.add.reduceat(table.value[cells], starts, axis=0) * temper
-                offsets = np.arange(len(counts) + 1, dtype=np.int32) * logs.shape[0]
-                ll = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts), ll], [*keep, "n_pairs", "ll"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), "n_pairs long", "ll array<double>"])
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+                of = np.repeat(langs.indices.to_numpy().astype(np.int64), counts)
+                found, c = np.unique(of * CELLS + cells, return_counts=True)
+                # a row without pairs still makes its language known
+                names = langs.dictionary
+                lang = pa.concat_arrays([names.take(pa.array(found // CELLS)), names])
+                yield pa.record_batch({"lang": lang, "cell": pa.array(np.append(found % CELLS, np.full(len(names), -1)), pa.int32()), "c": pa.array(np.append(c, np.zeros(len(names), np.int64)))})
 
-
-def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, smoothing: float = SMOOTHING) -> DataFrame:
+    counts = texts.where("lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
+    counts = save(counts, "pairs")
+    sizes = sorted(((r["lang"], r["n"], r["cells"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("n"), F.count_if(F.col("cell") >= 0).alias("cells")).collect()))
+    whole = np.zeros(CELLS)
+    for r in counts.where("cell >= 0").groupBy("cell").agg(F.sum("c").alias("c")).collect():  # 65,536 at most
+        whole[r["cell"]] = r["c"]
+    used = int((whole > 0).sum())
+    log_pool = np.log((whole + 0.5) / (whole.sum() + 0.5 * (used + 1)))
+    counts = counts.where("cell >= 0")
+    model = Model([x for x, _, _ in sizes], np.array([max(1, n) for _, n, _ in sizes], float), log_pool, 0.0, counts, [])
+    start = cells = 0
+    for i, (_, _, more) in enumerate(sizes):
+        if i > start and cells + more > part_cells:
+            model.parts.append(range(start, i))
+            start, cells = i, 0
+        cells += more
+    model.parts.append(range(start, len(sizes)))
+    n = F.sum("c").over(Window.partitionBy("lang"))
+    q = (POOLED + QUOTED * n) / (POOLED + n)
+    pool = F.sum("c").over(Window.partitionBy("cell"))
+    chance = (1 - q) * F.col("c") / n + q * (pool + 0.5) / (float(whole.sum()) + 0.5 * (used + 1))
+    model.own = counts.select("c", F.log(chance).alias("l")).agg(F.try_divide(F.sum(F.col("c") * F.col("l")), F.sum("c"))).first()[0] or 0.0
+    return model
+
+
+def likelihoods(rows: DataFrame, model: Model, temper: float = TEMPER) -> DataFrame:
+    """rows (id columns and text) without text, with n_pairs and ll, the tempered log likelihood by language, `und` last."""
+    spark, keep = rows.sparkSession, [c for c in rows.columns if c != "text"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | {"_before": "array<double>"}
+    log_pool, log_share, end = model.log_pool, np.log(model.shares()), model.own - MARGIN
+
+    def scorer(langs: range, given, carried: list[str], last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, lang, gain = given.value
+            width = len(langs) + last
+            for batch in batches:
+                for part in slices(batch, most=1 << 20):
+                    cells, counts = _pairs(part.column("text").cast(pa.binary()).to_pylist())
+                    pairs, times = np.unique(np.repeat(np.arange(len(counts)), counts) * CELLS + cells, return_counts=True)
+                    text, cell = pairs // CELLS, pairs % CELLS
+                    base = np.bincount(text, log_pool[cell] * times, len(counts))
+                    # all entries of each pair: its place in the lists is first[cell], first[cell] + 1, ...
+                    many = first[cell + 1] - first[cell]
+                    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first[cell], many)
+                    place = np.repeat(text, many) * width + lang[at] - langs.start
+                    sums = np.bincount(place, gain[at] * np.repeat(times, many), len(counts) * width).astype(float).reshape(-1, width)
+                    sums[:, : len(langs)] += base[:, None] + counts[:, None] * log_share[langs.start : langs.stop]
+                    if last:
+                        sums[:, -1] = counts * end
+                    ll = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * width), pa.array(sums.ravel() * temper))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(counts), ll], [*carried, "n_pairs", "ll"])
+
+        return run
+
+    for i, langs in enumerate(model.parts):
+        last = i == len(model.parts) - 1
+        carried = [*keep, *(["_before"] if i else []), *([] if last else ["text"])]
+        given = spark.sparkContext.broadcast(model.part(langs))
+        schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "n_pairs long, ll array<double>"])
+        found = rows.select(*keep, *(["_before"] if i else []), "text").mapInArrow(scorer(langs, given, carried, last), schema)
+        ll = F.concat("_before", "ll") if i else F.col("ll")
+        if last:
+            return found.select(*keep, "n_pairs", ll.alias("ll"))
+        rows = save(found.select(*keep, "text", ll.alias("_before")), "part")
+        given.destroy()
+
+
+def identify(rows: DataFrame, model: Model, smoothing: float = SMOOTHING) -> DataFrame:
     """rows (id columns, text, declared, suffix, domain, host) -> id columns, lang, confidence, text_lang, n_pairs.
 
     Counts by host are summed before they are shuffled, and joined back by value: hosts that hold a large part of the
     rows are skewed keys of plain joins, which adaptive execution splits.
     """
-    outcomes = [*langs, "und"]
+    outcomes = [*model.langs, "und"]
     names = F.array(*map(F.lit, outcomes))
     ids = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host")]
-    ll = save(likelihoods(rows, logs), "likelihoods")
+    ll = save(likelihoods(rows, model), "likelihoods")
     best = F.array_position("ll", F.array_max("ll")).cast("int")
     ll = ll.withColumn("text_lang", F.when(F.col("n_pairs") > 0, F.element_at(names, best)).otherwise(F.lit(None).cast("string")))
     sure = ll.where("text_lang IS NOT NULL")
@@ -178,21 +242,17 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """page_id, lang, confidence, text_lang, n_pairs of every page; labelled: texts with lang to train on."""
-    langs, logs = train(labelled)
-    return identify(page_rows(pages), langs, logs)
+    return identify(page_rows(pages), train(labelled))
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is known: their `lang` counts as the declaration, their source as the host.
 
-    Rejected are those whose most likely outcome is `und`, unless they declare a language without a model: their texts
-    can't speak against it. The columns stay as they are.
+    Rejected are those whose most likely outcome is `und`. The columns stay as they are.
     """
-    langs, logs = train(docs)
-    judged = F.col("lang").isNull() | F.col("lang").isin(langs)
     null, key = F.lit(None).cast("string"), F.xxhash64("doc_id", "text", "lang", "source")
-    rows = docs.select(key.alias("_key"), judged.alias("_judged"), "text", F.col("lang").alias("declared"), null.alias("suffix"), null.alias("domain"), F.col("source").alias("host"))
-    unknown = save(identify(rows, langs, logs).where("lang = 'und' AND _judged").select("_key").distinct(), "unknown")
+    rows = docs.select(key.alias("_key"), "text", F.col("lang").alias("declared"), null.alias("suffix"), null.alias("domain"), F.col("source").alias("host"))
+    unknown = save(identify(rows, train(docs)).where("lang = 'und'").select("_key").distinct(), "unknown")
     # the documents' own columns go along in one, so none of their names can clash
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("_key")).join(unknown, "_key", "left_anti")
     return kept.select("row.*")
