@@ -81,3 +81,39 @@ def test_files_of_unlike_headers(spark, tmp_path):
     (tmp_path / "o" / "z.csv").write_text("time\n3.5\n")
     got = {(r.track_id, r.t) for r in files.read_onsets(spark, f"{tmp_path}/o/*.csv").collect()}
     assert got == {("x", 0.5), ("x", 1.5), ("y", 2.5), ("z", 3.5)}
+
+
+def test_quoted_cells_short_lines_and_unlike_headers(spark, tmp_path):
+    """A row with a separator or line end inside quotes stays one row, and its numbers stay."""
+    (tmp_path / "on").mkdir()
+    (tmp_path / "on" / "a.csv").write_text('note,onset_times\n"a,b",1.5\n"two\nlines",2.5\nx\n')
+    (tmp_path / "on" / "b.csv").write_text('onset_time,"x, y"\n3.5,"q ""r"""\n')
+    (tmp_path / "on" / "c.csv").write_text("4.5\n5.5,z\n")
+    assert sorted((r.track_id, r.t) for r in files.read_onsets(spark, f"{tmp_path}/on").collect()) == [("a", 1.5), ("a", 2.5), ("b", 3.5), ("c", 4.5), ("c", 5.5)]
+    (tmp_path / "ov").mkdir()
+    (tmp_path / "ov" / "a.csv").write_text('Song ID;Song Name;Offset (ms)\n1;"A; B";1500\n2\n')
+    (tmp_path / "ov" / "b.csv").write_text(" offset ; note ; song_id \n2,5;x;3\n")
+    assert sorted(map(tuple, files.read_overview(spark, f"{tmp_path}/ov").collect())) == [("1", "A; B", 1.5), ("2", None, None), ("3", None, 0.0025)]
+    (tmp_path / "le").mkdir()
+    (tmp_path / "le" / "a.csv").write_text('name,L\n"x,1",4\ny,-\n')
+    (tmp_path / "le" / "b.csv").write_text("track,bars,more\nz,2,9\nw\n")
+    assert sorted(map(tuple, files.read_lengths(spark, f"{tmp_path}/le").collect())) == [("x,1", 4), ("z", 2)]
+    (tmp_path / "wi").mkdir()
+    (tmp_path / "wi" / "a.csv").write_text("bar_number,tick_16th,phase_drum(L=2),grid_time_drum(L=2)\n0,1,0.5,1.5\n0,2,0.25\n")
+    (tmp_path / "wi" / "b.csv").write_text('"grid_time_mel(L=4)",bar_number\n7.5,3\n')
+    got = sorted(((r.track_id, r.bar_number, r.tick_16th, r.method, r.L, r.phase, r.grid_time) for r in files.read_wide(spark, f"{tmp_path}/wi", ("bar_number", "tick_16th")).collect()), key=str)
+    assert got == [("a", 0.0, 1.0, "drum", 2, 0.5, 1.5), ("a", 0.0, 2.0, "drum", 2, 0.25, None), ("b", 3.0, None, "mel", 4, None, 7.5)]
+
+
+def test_repeated_keys_of_metadata(spark, tmp_path):
+    head = "corrected_bar_num\tbar_num\tstart\tnext\tduration_s\ttempo_bpm\tusable\tbpm_threshold\taction\tremoved\tinserted\n"
+    (tmp_path / "a.txt").write_text("# time_signature=3\n# time_signature=5\n# other = x=y\n" + head + "1\t1\t0.0\t2.0\t2.0\t120.00\t1\tnone\tunchanged\t\t\n")
+    _, meta = files.read_corrected(spark, str(tmp_path / "a.txt"))
+    assert (meta.first().time_signature, meta.first().meta) == (3, {"time_signature": "3", "other": "x=y"})
+
+
+def test_one_scan_and_no_join(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("bar_number,phase_x\n0,0.5\n")
+    for rows in (files.read_wide(spark, str(tmp_path)), files.read_onsets(spark, str(tmp_path))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan text") == 1 and "Join" not in plan

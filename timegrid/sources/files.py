@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +24,25 @@ def _track(rows: DataFrame) -> Column:
     return F.col("track_id").cast("string") if "track_id" in rows.columns else track_of()
 
 
-def _cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The lines of CSV files as arrays of cells, with file and track: for files whose headers aren't alike."""
-    rows = spark.read.text(path)
-    cells = F.transform(F.split("value", sep, -1), lambda x: F.regexp_replace(x, r'^\s*"?|"?\s*$', ""))
-    return rows.select(F.col("_metadata.file_path").alias("file"), _track(rows).alias("track_id"), cells.alias("cells"))
+def _parsed(spark: SparkSession, path: str, find: Callable[[list[str]], list[int] | None], columns: list[str], sep: str = ",", default: list[int] | None = None) -> DataFrame:
+    """CSV files with headers of their own, each parsed whole: track_id and the columns as text, by one scan.
+
+    find: called with a row's cells, gives the places of the columns if the row is the header. A file without one has
+    the places `default`, or no rows. Quoted cells may hold separators and line ends; cells that a line lacks are null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for track, text in zip(batch.column("track_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                rows = [[c.strip() for c in row] for row in csv.reader(io.StringIO((text or "").lstrip("\ufeff"), newline=""), delimiter=sep, skipinitialspace=True) if row]
+                header, places = next(((i, at) for i, row in enumerate(rows) if (at := find(row)) is not None), (-1, default))
+                lines = [row for i, row in enumerate(rows) if i != header] if places is not None else []
+                cells = {c: pa.array([row[at] if 0 <= at < len(row) else None for row in lines], pa.string()) for c, at in zip(columns, places or [], strict=bool(places))}
+                if lines:
+                    yield pa.record_batch({"track_id": pa.array([track] * len(lines), pa.string())} | cells)
+
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(_track(rows).alias("track_id"), "value").mapInArrow(run, ", ".join(f"`{c}` string" for c in ["track_id", *columns]))
 
 
 def read_beats(spark: SparkSession, path: str) -> DataFrame:
@@ -46,9 +65,11 @@ def read_corrected(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         _track(rows).alias("track_id"), "corrected_bar_num", F.transform(F.split(number, r"\|"), lambda x: x.cast("int")).alias("bar_num"), "start", F.col("next").alias("end"), "duration_s", "tempo_bpm",
         (F.col("usable") == 1).alias("usable"), "bpm_threshold", "action", F.col("removed").try_cast("double").alias("removed"), F.col("inserted").try_cast("double").alias("inserted"),
     )
-    text = spark.read.text(path)
-    lines = text.select(_track(text).alias("track_id"), F.regexp_extract("value", r"^#\s*(\w+)\s*=", 1).alias("key"), F.trim(F.regexp_extract("value", r"^#\s*\w+\s*=(.*)$", 1)).alias("v"))
-    entries = lines.where("key <> ''").groupBy("track_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("key", "v")))).alias("meta"))
+    text = spark.read.text(path, wholetext=True)
+    text = text.select(_track(text).alias("track_id"), F.posexplode(F.split("value", r"\r?\n")).alias("number", "line")).where("line LIKE '#%'")
+    lines = text.select("track_id", "number", F.regexp_extract("line", r"^#\s*(\w+)\s*=", 1).alias("key"), F.trim(F.regexp_extract("line", r"^#\s*\w+\s*=(.*)$", 1)).alias("v"))
+    first = lines.where("key <> ''").groupBy("track_id", "key").agg(F.min_by("v", "number").alias("v"))  # of a repeated key the first
+    entries = first.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("meta"))
     meta = bars.select("track_id").distinct().join(entries, "track_id", "left")
     return bars, meta.select("track_id", F.coalesce(F.try_element_at("meta", F.lit("time_signature")).try_cast("int"), F.lit(4)).alias("time_signature"), "meta")
 
@@ -73,12 +94,11 @@ def text_of_corrected(fixed: DataFrame) -> DataFrame:
 
 def read_onsets(spark: SparkSession, path: str) -> DataFrame:
     """Onset lists: each file's column onset_times or onset_time, else its first; what is no number is dropped."""
-    rows = _cells(spark, path)
-    names = ("onset_times", "onset_time")
-    at = F.coalesce(*(F.nullif(F.array_position("cells", n), F.lit(0)) for n in names))
-    headers = rows.withColumn("at", at).where("at IS NOT NULL").groupBy("file").agg(F.min("at").alias("at"))
-    cell = F.get("cells", (F.coalesce("at", F.lit(1)) - 1).cast("int"))
-    return rows.join(headers, "file", "left").select("track_id", cell.try_cast("double").alias("t")).where("t IS NOT NULL")
+
+    def find(row: list[str]) -> list[int] | None:
+        return next(([row.index(n)] for n in ("onset_times", "onset_time") if n in row), None)
+
+    return _parsed(spark, path, find, ["t"], default=[0]).select("track_id", F.col("t").try_cast("double").alias("t")).where("t IS NOT NULL")
 
 
 def write_onsets(onsets: DataFrame, path: str) -> None:
@@ -86,24 +106,25 @@ def write_onsets(onsets: DataFrame, path: str) -> None:
 
 
 def read_overview(spark: SparkSession, path: str) -> DataFrame:
-    """A ;-separated overview with messy headers: song_id, songname, offset (ms in the file, seconds here)."""
-    rows = spark.read.csv(path, sep=";", header=True)
-    rows = rows.toDF(*[c.strip().lower() for c in rows.columns])
+    """;-separated overviews with messy headers, each file by its own: song_id, songname, offset (ms in the file, seconds here)."""
 
-    def pick(*parts: str) -> str | None:
-        return next((c for c in rows.columns if all(p in c for p in parts)), None)
+    def find(row: list[str]) -> list[int]:
+        names = [c.lower() for c in row]
+        places = [next((i for i, c in enumerate(names) if part in c), -1) for part in ("id", "name", "offset")]
+        if places[0] < 0 or places[2] < 0:
+            raise ValueError("overview without an id or offset column")
+        return places
 
-    number, name, offset = pick("id"), pick("name"), pick("offset")
-    if offset is None or number is None:
-        raise ValueError("overview without an id or offset column")
-    ms = F.regexp_replace(F.col(f"`{offset}`"), ",", ".").try_cast("double")
-    return rows.select(F.trim(F.col(f"`{number}`")).alias("song_id"), (F.trim(F.col(f"`{name}`")) if name else F.lit(None).cast("string")).alias("songname"), (ms / 1000.0).alias("offset"))
+    rows = _parsed(spark, path, find, ["song_id", "songname", "offset"], ";")
+    ms = F.regexp_replace("offset", ",", ".").try_cast("double")
+    empty = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("song_id", "songname")]
+    return rows.select(*empty, (ms / 1000.0).alias("offset"))
 
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
-    """Pattern lengths by track: a CSV whose first column is the track and whose second the length."""
-    rows = spark.read.csv(path, header=True)
-    return rows.select(F.col(f"`{rows.columns[0]}`").alias("track_id"), F.col(f"`{rows.columns[1]}`").try_cast("int").alias("L")).where("L IS NOT NULL")
+    """Pattern lengths by track: CSV files whose first column is the track and whose second the length, under a header."""
+    rows = _parsed(spark, path, lambda row: [0, 1], ["name", "L"])
+    return rows.select(F.col("name").alias("track_id"), F.col("L").try_cast("int").alias("L")).where("L IS NOT NULL")
 
 
 RESULT = T.StructType([
@@ -132,15 +153,26 @@ def read_wide(spark: SparkSession, path: str, keys: tuple[str, ...] = ("bar_numb
     """A wide grid (columns phase_<method>, grid_time_<method>, the length in the name as L=n) in long form.
 
     Files may have unlike columns: each is read by its own header, the line that names a phase or grid time. Keys that a
-    file lacks are null.
+    file lacks are null, and so are cells that a line lacks.
     """
-    rows = _cells(spark, path)
-    is_header = F.exists("cells", lambda x: x.startswith("phase_") | x.startswith("grid_time_"))
-    headers = rows.where(is_header).groupBy("file").agg(F.min("cells").alias("names"))
-    line = rows.where(~is_header).join(headers, "file").withColumn("m", F.map_from_arrays("names", F.slice("cells", 1, F.size("names"))))
-    own = [F.try_element_at("m", F.lit(k)).try_cast("double").alias(k) for k in keys]
-    cells = line.where("size(cells) >= size(names)").select("track_id", *own, F.explode("m").alias("name", "text"))
-    cells = cells.where(F.col("name").startswith("phase_") | F.col("name").startswith("grid_time_"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for track, text in zip(batch.column("track_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                rows = [[c.strip() for c in row] for row in csv.reader(io.StringIO(text or "", newline=""), skipinitialspace=True) if row]
+                header = next((i for i, row in enumerate(rows) if any(c.startswith(("phase_", "grid_time_")) for c in row)), None)
+                if header is None:
+                    continue
+                names, lines = rows[header], [row + [None] * (len(rows[header]) - len(row)) for i, row in enumerate(rows) if i != header]
+                own = {k: pa.array([row[names.index(k)] if k in names else None for row in lines], pa.string()) for k in keys}
+                places = [i for i, c in enumerate(names) if c.startswith(("phase_", "grid_time_"))]
+                cells = pa.array([[(names[i], row[i]) for i in places] for row in lines], pa.map_(pa.string(), pa.string()))
+                yield pa.record_batch({"track_id": pa.array([track] * len(lines), pa.string())} | own | {"m": cells})
+
+    text = spark.read.text(path, wholetext=True)
+    types = ", ".join(f"`{k}` string" for k in ("track_id", *keys))
+    rows = text.select(_track(text).alias("track_id"), "value").mapInArrow(run, f"{types}, m map<string, string>")
+    cells = rows.select("track_id", *(F.col(k).try_cast("double").alias(k) for k in keys), F.explode("m").alias("name", "text"))
     return _methods(cells.select("track_id", *keys, "name", F.col("text").try_cast("double").alias("v")), ["track_id", *keys])
 
 
@@ -186,8 +218,9 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows if "beat_pos" in rows.columns else rows.withColumn("beat_pos", F.lit(None).cast("int"))
 
 
-def write_wide(wide: DataFrame, path: str) -> None:
-    wide.write.csv(path, header=True)
+def write_wide(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A wide grid (track_id, keys, columns by method) as CSV with headers, in a folder for each track."""
+    wide.repartition("track_id").write.mode(mode).partitionBy("track_id").csv(path, header=True)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
