@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timegrid.operators import asof, bars, evaluate, grid, loops, period, prep, reports, series, stats  # noqa: F401
 from timegrid.plans import sql as S
-from timegrid.plans.catalogue import LABELS, MATCHED, WIDE, _bars, _beats, _long, _ranges, _tempos, query, r6, rounded
+from timegrid.plans.catalogue import LABELS, WIDE, _bars, _beats, _long, _ranges, _tempos, query, r6, rounded
 from timegrid.sources import files, scratch
 from timegrid.sources import tables as T
 from timegrid.streaming import streams
@@ -249,21 +250,29 @@ def combined_activation(spark, d):
 
 @query(f"{S.ONSETS} SELECT track_id, t, t - lag(t) OVER (PARTITION BY track_id ORDER BY t) AS gap FROM downs")
 def time_differences(spark, d):
-    from pyspark.sql import Window
+    return series.differences(T.downbeats(spark, d), "t", "t").withColumnRenamed("difference", "gap")
+
 
-    rows = T.downbeats(spark, d)
-    return rows.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("track_id").orderBy("t")))
+# --- streams: the table of events arrives as files, one in each micro-batch
 
+FILES = 3
+#: Events come up to so many seconds early or late, by a hash; streams wait for 600.
+JITTER = 290
 
-# --- streams: the table of events arrives as files
 
+def _clicks(spark, d) -> DataFrame:
+    return T.table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts")).distinct()
 
-def _arriving(spark, d) -> tuple[str, object]:
-    """Clicks of all users as files of a folder, and their schema."""
+
+def _arriving(spark, rows: DataFrame) -> DataFrame:
+    """Rows with ts as a stream of FILES files, by about their time."""
     path = scratch.folder(spark, "arriving")
-    rows = T.table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts")).distinct()
-    rows.coalesce(1).sortWithinPartitions("ts").write.parquet(path)
-    return path, rows.schema
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    late = F.unix_micros("ts") + (F.pmod(F.xxhash64(*rows.columns), F.lit(2 * JITTER + 1)) - JITTER) * 1_000_000
+    file = F.least(F.greatest(F.floor((late - F.lit(low)) * FILES / F.lit(max(1, high - low + 1))), F.lit(0)), F.lit(FILES - 1))
+    for k in range(FILES):  # one after the other: a stream takes files in the order of their times
+        rows.where(file == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _finished(stream, spark, name: str):
@@ -274,31 +283,49 @@ def _finished(stream, spark, name: str):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+#: Where the watermark stands at the end: ten minutes before the last event, in whole milliseconds.
+PASSED = "(max(epoch_us(ts)) // 1000 - 600000) * 1000"
+
+
 @query("SELECT user_id AS track_id, count(DISTINCT ts) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def stream_arrivals(spark, d):
-    path, schema = _arriving(spark, d)
-    target = scratch.folder(spark, "arrived")
-    streams.incremental(spark, path, schema, target, scratch.folder(spark, "progress"), lambda b: b.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))).awaitTermination()
+    path = scratch.folder(spark, "files")
+    rows = _clicks(spark, d)
+    for k in range(FILES):
+        rows.where(F.pmod(F.xxhash64("ts"), F.lit(FILES)) == k).coalesce(1).write.mode("append").parquet(path)
+    target, progress = scratch.folder(spark, "arrived"), scratch.folder(spark, "progress")
+    for _ in range(2):  # what has been taken isn't taken again
+        streams.incremental(spark, path, rows.schema, target, progress, lambda b: b.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))).awaitTermination()
     return spark.read.parquet(target).groupBy("track_id").agg(F.sum("n").alias("n"))
 
 
-STREAM_SPACED = f"""WITH RECURSIVE downs AS MATERIALIZED (SELECT DISTINCT track_id, t FROM ({S.ONSET_SELECT}) WHERE event_type = 'click'), k AS (SELECT track_id, min(t) AS t FROM downs GROUP BY 1 UNION ALL SELECT k.track_id, (SELECT min(o.t) FROM downs o WHERE o.track_id = k.track_id AND o.t - k.t >= 24.0) FROM k WHERE k.t IS NOT NULL)
-SELECT track_id, round(t, 6) AS t FROM k WHERE t IS NOT NULL"""
+STREAM_SPACED = f"""WITH RECURSIVE downs AS MATERIALIZED (SELECT DISTINCT user_id AS track_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click'), k AS (SELECT track_id, min(us) AS us FROM downs GROUP BY 1 UNION ALL SELECT k.track_id, (SELECT min(o.us) FROM downs o WHERE o.track_id = k.track_id AND o.us - k.us >= 86400000000) FROM k WHERE k.us IS NOT NULL)
+SELECT track_id, us FROM k WHERE us <= (SELECT {PASSED} FROM events WHERE event_type = 'click')"""
 
 
 @query(STREAM_SPACED)
 def stream_spacing(spark, d):
-    path, schema = _arriving(spark, d)
-    kept = _finished(streams.spaced(spark.readStream.schema(schema).parquet(path), 24 * 3600.0), spark, "spaced")
-    hours = (F.unix_micros("ts") - F.unix_micros(F.to_timestamp(F.lit("2024-01-01 00:00:00")))) / 3.6e9
-    return kept.select("track_id", r6(hours).alias("t"))
+    """Clicks a day apart, of those that the watermark has passed."""
+    kept = _finished(streams.spaced(_arriving(spark, _clicks(spark, d)), 24 * 3600.0), spark, "spaced")
+    return kept.select("track_id", F.unix_micros("ts").alias("us"))
+
+
+@query(f"""WITH e AS (SELECT user_id AS track_id, event_id AS id, epoch_us(ts) AS us FROM events), d AS (SELECT DISTINCT user_id AS track_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click'),
+b AS (SELECT track_id, us AS start_us, lead(us) OVER (PARTITION BY track_id ORDER BY us) AS end_us FROM d)
+SELECT e.track_id, e.id, e.us, start_us, end_us FROM e ASOF JOIN b ON e.track_id = b.track_id AND e.us >= b.start_us WHERE e.us < end_us AND end_us <= (SELECT {PASSED} FROM events)""")
+def stream_bars(spark, d):
+    """All events in the bars of clicks, both from one stream, as far as the watermark has closed them."""
+    events = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "click").alias("click"))
+    arriving = _arriving(spark, events)
+    both = streams.placed(arriving, arriving.where("click"))
+    return _finished(both, spark, "placed").select("track_id", "id", *(F.unix_micros(c).alias(n) for c, n in (("ts", "us"), ("start", "start_us"), ("end", "end_us"))))
 
 
-@query("""WITH c AS (SELECT DISTINCT user_id AS track_id, ts FROM events WHERE event_type = 'click'), w AS (SELECT track_id, epoch_us(ts) // 86400000000 AS day FROM c), g AS (SELECT track_id, day, count(*) AS n_bars FROM w GROUP BY 1, 2)
-SELECT track_id, day, n_bars, 120.0::DOUBLE AS mean_bpm FROM g WHERE (day + 1) * 86400000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM c)""")
+@query("""WITH c AS (SELECT DISTINCT user_id AS track_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click'), b AS (SELECT track_id, us, 240.0 / ((lead(us) OVER (PARTITION BY track_id ORDER BY us) - us) / 3.6e9) AS bpm FROM c), g AS (SELECT track_id, us // 86400000000 AS day, count(*) AS n_bars, round(avg(bpm), 6) AS mean_bpm FROM b WHERE bpm IS NOT NULL GROUP BY 1, 2)
+SELECT track_id, day, n_bars, mean_bpm FROM g WHERE (day + 1) * 86400000000 <= (SELECT (max(us) // 1000 - 600000) * 1000 FROM b WHERE bpm IS NOT NULL)""")
 def stream_tempo(spark, d):
-    """Windows of a day that the watermark has closed."""
-    path, schema = _arriving(spark, d)
-    rows = spark.readStream.schema(schema).parquet(path).withColumn("tempo_bpm", F.lit(120.0))
-    closed = _finished(streams.window_tempo(rows, "1 day"), spark, "tempo")
-    return closed.select("track_id", F.floor(F.unix_micros("start") / 86400000000).alias("day"), "n_bars", "mean_bpm")
+    """Mean tempo of the bars that begin in a day, for days that the watermark has closed."""
+    length = F.unix_micros(F.lead("ts").over(Window.partitionBy("track_id").orderBy("ts"))) - F.unix_micros("ts")
+    rows = _clicks(spark, d).withColumn("tempo_bpm", 240.0 / (length / 3.6e9)).where("tempo_bpm IS NOT NULL")
+    closed = _finished(streams.window_tempo(_arriving(spark, rows), "1 day"), spark, "tempo")
+    return closed.select("track_id", F.floor(F.unix_micros("start") / 86400000000).alias("day"), "n_bars", r6("mean_bpm").alias("mean_bpm"))

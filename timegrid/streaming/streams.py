@@ -1,4 +1,4 @@
-"""Streaming forms: incremental arrival, minimum spacing with one value of state per track, tempo over windows."""
+"""Streaming forms: incremental arrival, minimum spacing, as-of assignment to bars, tempo over windows."""
 
 from __future__ import annotations
 
@@ -24,29 +24,87 @@ def incremental(spark: SparkSession, source: str, schema: str, target: str, chec
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def spaced(events: DataFrame, least: float, watermark: str = "10 minutes") -> DataFrame:
-    """Greedy minimum spacing on a stream (track_id, ts): keeps events `least` seconds after the last kept one.
+Fold = Callable[[list, int, int, int], list[tuple]]
+
 
-    State is the last kept time of each track. Rows of a batch are taken in time order; rows older than the watermark,
-    or not after the last kept one, are dropped.
+def in_order(events: DataFrame, fold: Fold, output: str, keep: Callable[[list, int], bool], watermark: str) -> DataFrame:
+    """Folds each track's events (track_id, us, kind, id, and ts with the same instants) in order of time, however they arrive.
+
+    An event waits in state until the watermark has passed it, so no earlier one can follow, and is then given to fold
+    with the track's memory, a list of numbers; what fold returns are rows of `output` after track_id. Equal times go by
+    kind, then id. A timer wakes a track when the watermark reaches its next event. Its state is removed once nothing
+    waits and keep(memory, watermark in microseconds) says that the memory isn't needed any more.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        late = state.getCurrentWatermarkMs() / 1000.0
-        times = pd.concat([f["ts"] for f in frames] or [pd.Series([], dtype="datetime64[ns]")]).sort_values()
-        kept = []
-        for ts in times:
-            t = ts.timestamp()
-            if t >= late and (last is None or t - last >= least):
-                kept.append(ts)
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"track_id": [key[0]] * len(kept), "ts": pd.Series(kept, dtype="datetime64[ns]")})
+        memory, waiting = (list(state.get[0]), [tuple(x) for x in zip(*state.get[1:], strict=True)]) if state.exists else ([], [])
+        for frame in frames:
+            waiting += zip(*(frame[c].tolist() for c in ("us", "kind", "id")), strict=True)
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        out, n = [], 0
+        while n < len(waiting) and waiting[n][0] <= passed:
+            out += fold(memory, *waiting[n])
+            n += 1
+        waiting = waiting[n:]
+        if not waiting and not keep(memory, passed):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((memory, *([x[i] for x in waiting] for i in range(3))))
+            # the timer must lie after the watermark, in milliseconds
+            state.setTimeoutTimestamp(max(passed // 1000 + 1, (waiting[0][0] if waiting else memory[-1]) // 1000 + 1))
+        names = [c.split()[0] for c in output.split(", ")]
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=["track_id", *names])
 
     rows = events.withWatermark("ts", watermark).groupBy("track_id")
-    return rows.applyInPandasWithState(step, "track_id long, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return rows.applyInPandasWithState(step, f"track_id long, {output}", "memory array<bigint>, us array<bigint>, kind array<bigint>, id array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def spaced(events: DataFrame, least: float, watermark: str = "10 minutes") -> DataFrame:
+    """Greedy minimum spacing on a stream (track_id, ts): keeps events `least` seconds after the last kept one.
+
+    Events are taken once the watermark has passed them; older ones that come then are dropped by Spark. Times are
+    instants, whatever the session's time zone. A track's memory is the last kept time, until it hinders no event more.
+    """
+    gap = round(least * 1e6)
+
+    def fold(memory: list, us: int, kind: int, number: int) -> list[tuple]:
+        if memory and us - memory[0] < gap:
+            return []
+        memory[:] = [us]
+        return [(us,)]
+
+    def keep(memory: list, passed: int) -> bool:
+        return bool(memory) and passed < memory[0] + gap
+
+    rows = events.select("track_id", "ts", F.unix_micros("ts").alias("us"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("id"))
+    return in_order(rows, fold, "us long", keep, watermark).select("track_id", F.timestamp_micros("us").alias("ts"))
+
+
+def placed(points: DataFrame, boundaries: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """As-of assignment on streams: points (track_id, ts, id) in the bars that boundaries (track_id, ts) make.
+
+    Both may come late and in any order within the watermark. A point is given out with its bar's start and end when the
+    boundary after it is passed; until then the points of the open bar are a track's memory.
+    """
+
+    def fold(memory: list, us: int, kind: int, number: int) -> list[tuple]:
+        if kind:
+            if memory:
+                memory.extend((number, us))
+            return []
+        out = [(i, at, memory[0], us) for i, at in zip(memory[1::2], memory[2::2], strict=True)] if memory and us > memory[0] else []
+        if not memory or us > memory[0]:
+            memory[:] = [us]
+        return out
+
+    def of(df: DataFrame, kind: int, number) -> DataFrame:
+        return df.select("track_id", "ts", F.unix_micros("ts").alias("us"), F.lit(kind).cast("long").alias("kind"), number.cast("long").alias("id"))
+
+    both = of(boundaries, 0, F.lit(0)).unionByName(of(points, 1, F.col("id")))
+    rows = in_order(both, fold, "id long, us long, start_us long, end_us long", lambda memory, passed: bool(memory), watermark)
+    return rows.select("track_id", "id", *(F.timestamp_micros(f"{c}us").alias(name) for c, name in (("", "ts"), ("start_", "start"), ("end_", "end"))))
 
 
 def window_tempo(bars: DataFrame, length: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
