@@ -334,7 +334,7 @@ def rms_comparison(spark, d):
     return series_.select("track_id", *(F.round(m, 4).alias(m) for m in WIDE))
 
 
-@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, round(CASE WHEN base = 0 THEN 0 ELSE (base - rms_ms) / base * 100 END, 3) AS gain FROM (SELECT *, max(rms_ms) FILTER (method = 'uncorrected') OVER (PARTITION BY track_id) AS base FROM rms)""")
+@query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, method, round(CASE WHEN base = 0 THEN 0 ELSE (base - rms_ms) / base * 100 END, 3) + 0.0 AS gain FROM (SELECT *, max(rms_ms) FILTER (method = 'uncorrected') OVER (PARTITION BY track_id) AS base FROM rms)""")
 def rms_improvement(spark, d):
     base = F.max(F.when(F.col("method") == "uncorrected", F.col("rms_ms"))).over(C.by_track())
     rows = stats.rms(_long(spark, d)).withColumn("base", base)

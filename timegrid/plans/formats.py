@@ -197,7 +197,7 @@ def masked_labels(spark, d):
     return prep.masked(prep.frame_labels(events, 10.0).join(counted, "track_id"), F.col("c") >= 12).select("track_id", "frame", "label")
 
 
-@query(f"""{MATCHED}, a AS (SELECT track_id, count(*) AS n FROM tr GROUP BY 1), t AS (SELECT DISTINCT track_id FROM onsets) SELECT track_id % 5 AS dataset, count(*) AS tracks, count(*) FILTER (n IS NULL OR n < 12) AS errors FROM t LEFT JOIN a USING (track_id) GROUP BY 1""")
+@query(f"""{S.ONSETS}, tr AS (SELECT DISTINCT track_id, t FROM onsets WHERE event_type = 'view'), a AS (SELECT track_id, count(*) AS n FROM tr GROUP BY 1), t AS (SELECT DISTINCT track_id FROM onsets) SELECT track_id % 5 AS dataset, count(*) AS tracks, count(*) FILTER (n IS NULL OR n < 12) AS errors FROM t LEFT JOIN a USING (track_id) GROUP BY 1""")
 def error_counts(spark, d):
     scores = evaluate.f_measure(T.downbeats(spark, d), T.downbeats(spark, d, "view"), 12.0, least=12)
     every = T.onsets(spark, d).select("track_id").distinct().join(scores.select("track_id", "f"), "track_id", "left")
