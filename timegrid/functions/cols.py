@@ -117,6 +117,22 @@ def combined_activation(beat: Column, down: Column) -> tuple[Column, Column]:
     return F.greatest(beat - down, F.lit(0.0)), down
 
 
+def equal_frames(frames: Column, n: int) -> Column:
+    """An array of any length at n places, from its first on and without the end, by linear interpolation; empty: zeros.
+
+    Places after the last element have its value.
+    """
+    size = F.size(frames)
+
+    def one(i: Column) -> Column:
+        at = i * size / F.lit(float(n))
+        k = F.floor(at).cast("int")
+        here = F.get(frames, k)
+        return here + (F.get(frames, F.least(k + 1, size - 1)) - here) * (at - k)
+
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)).otherwise(F.array_repeat(F.lit(0.0), n))
+
+
 def circular_correlation(a: Column, b: Column, step: int = 1) -> Column:
     """Largest normalised circular correlation of two arrays over shifts 0, step, ...; 0 if one of them is all zero."""
 

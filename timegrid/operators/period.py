@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,9 @@ from timegrid.operators import asof
 
 #: Lags 1, 2, 4, 8 are chosen from; a lag's neighbours tell whether it is a maximum.
 MAX_LAG = 9
+#: Frames of a bar that several channels are compared at, and the norm below which a channel is silent.
+FRAMES = 64
+SILENT = 1e-9
 
 
 def bar_vectors(onsets: DataFrame, bars: DataFrame, bins: int = 16) -> DataFrame:
@@ -89,47 +95,52 @@ def contour_period(values: DataFrame, bars: DataFrame, beats: int = 4, n: int =
     return power_of_two(lag_profile(lag_pairs(vectors), similarity))
 
 
+def _correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest normalised circular correlation of stacked bars (bars, channels, frames), by one transform of all.
+
+    The channels' correlations add up, and so do their norms. Channels whose norm is next to nothing in either bar are
+    left out.
+    """
+    n, m = np.linalg.norm(a, axis=2), np.linalg.norm(b, axis=2)
+    used = (n >= SILENT) & (m >= SILENT)
+    product = (np.fft.rfft(a, axis=2) * np.conj(np.fft.rfft(b, axis=2)) * used[:, :, None]).sum(axis=1)
+    scale = (n * m * used).sum(axis=1)
+    return np.fft.irfft(product, n=a.shape[2], axis=1).max(axis=1) / np.where(scale > 0, scale, 1.0)
+
+
+def _by_shape(a: pd.Series, b: pd.Series, cells) -> pd.Series:
+    """Correlations of pairs of arrays; pairs of one shape are stacked, those of unlike or no shape are 0."""
+    out, shapes = np.zeros(len(a)), {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = cells(x), cells(y)
+        if x is not None and y is not None:
+            m = min(len(x), len(y))
+            if m and x.shape[1] and x.shape[1] == y.shape[1]:
+                shapes.setdefault((m, x.shape[1]), []).append((i, x[:m], y[:m]))
+    for pairs in shapes.values():
+        at, left, right = zip(*pairs, strict=True)
+        out[list(at)] = _correlations(np.stack(left), np.stack(right))
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.DoubleType())
 def fourier_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
     """Largest normalised circular correlation of long arrays of equal length, by Fourier transforms."""
-
-    def one(x, y) -> float:
-        if x is None or y is None:
-            return 0.0
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        scale = np.linalg.norm(x) * np.linalg.norm(y)
-        if len(x) != len(y) or scale < 1e-18:
-            return 0.0
-        return float(np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), n=len(x)).max() / scale)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return _by_shape(a, b, lambda x: None if x is None else np.asarray(x, float)[None, :])
 
 
 @F.pandas_udf(T.DoubleType())
 def channel_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same over several channels (arrays of arrays): the channels' correlations add up, and so do their norms.
+    """The same over several channels (arrays of arrays of equal length)."""
+    return _by_shape(a, b, lambda x: None if x is None or not len(x) or len({len(c) for c in x}) > 1 else np.stack([np.asarray(c, float) for c in x]))
 
-    Channels whose norm is next to nothing in either bar are left out.
-    """
-
-    def one(x, y) -> float:
-        if x is None or y is None:
-            return 0.0
-        total, scale = 0.0, 0.0
-        for p, q in zip(x, y, strict=False):
-            p, q = np.asarray(p, float), np.asarray(q, float)
-            n, m = np.linalg.norm(p), np.linalg.norm(q)
-            if len(p) == len(q) and n >= 1e-9 and m >= 1e-9:
-                total = total + np.fft.irfft(np.fft.rfft(p) * np.conj(np.fft.rfft(q)), n=len(p))
-                scale += n * m
-        return float(np.max(total) / scale) if scale else 0.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
+def multichannel_period(frames: DataFrame, n: int = FRAMES) -> DataFrame:
+    """Period of frames in several channels (track_id, bar, channel, frames); a bar's channels are one array.
 
-def multichannel_period(frames: DataFrame) -> DataFrame:
-    """Period of frames in several channels (track_id, bar, channel, frames); a bar's channels are one array."""
-    order = F.array_sort(F.collect_list(F.struct("channel", "frames")))
+    Bars may have any number of frames: each is interpolated to n of them.
+    """
+    order = F.array_sort(F.collect_list(F.struct("channel", C.equal_frames(F.col("frames"), n).alias("frames"))))
     bars = frames.groupBy("track_id", "bar").agg(F.transform(order, lambda x: x["frames"]).alias("v"))
     return power_of_two(lag_profile(lag_pairs(bars), channel_correlation("a", "b")))
 
@@ -183,16 +194,22 @@ def aicc_period(scores: DataFrame, tolerance: float = 2.0, default: int = 4) ->
     return rows.groupBy("track_id").agg(F.when(F.max("undefined"), F.lit(default)).otherwise(F.min(F.when(F.col("near"), F.col("L")))).cast("int").alias("L"))
 
 
-def all_methods(onsets: DataFrame, values: DataFrame, bars: DataFrame, default: int = 4) -> DataFrame:
-    """Every method's length for every track that has bars: track_id, method, L; the default where one finds none."""
-    found = (
-        onset_period(onsets, bars).withColumn("method", F.lit("onset"))
-        .unionByName(contour_period(values, bars).withColumn("method", F.lit("contour")))
-        .unionByName(bic_period(bic(bars)).withColumn("method", F.lit("bic")))
-        .unionByName(aicc_period(aicc(bars)).withColumn("method", F.lit("aicc")))
-    )
-    every = bars.select("track_id").distinct().withColumn("method", F.explode(F.array(*map(F.lit, ("onset", "contour", "bic", "aicc")))))
-    return every.join(found, ["track_id", "method"], "left").select("track_id", "method", F.coalesce("L", F.lit(default)).alias("L"))
+def all_methods(onsets: DataFrame, values: DataFrame, bars: DataFrame, default: int = 4, frames: DataFrame | None = None, n_frames: int = FRAMES, pitch: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """Every method's length for every track that has bars: track_id, method, L; the default where one finds none.
+
+    frames: those of multichannel_period, for the method mel. pitch: a second value series, for the method pitch.
+    keep: called with the bars, which every method reads, and with the lengths; a function that writes and reads them
+    again makes each be worked out once.
+    """
+    bars = keep(bars, "bars")
+    found = {"onset": onset_period(onsets, bars), "contour": contour_period(values, bars), "bic": bic_period(bic(bars)), "aicc": aicc_period(aicc(bars))}
+    if frames is not None:
+        found["mel"] = multichannel_period(frames, n_frames)
+    if pitch is not None:
+        found["pitch"] = contour_period(pitch, bars)
+    rows = reduce(DataFrame.unionByName, (df.select("track_id", "L").withColumn("method", F.lit(m)) for m, df in found.items()))
+    every = bars.select("track_id").distinct().withColumn("method", F.explode(F.array(*map(F.lit, found))))
+    return keep(every.join(rows, ["track_id", "method"], "left").select("track_id", "method", F.coalesce("L", F.lit(default)).alias("L")), "lengths")
 
 
 def consensus(patterns: DataFrame, default: int = 4) -> DataFrame:

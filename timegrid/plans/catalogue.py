@@ -388,7 +388,10 @@ def _voiced(spark, d) -> DataFrame:
     return T.values(spark, d).withColumn("value", F.col("value") - 15.0)
 
 
-@query()
+VOICED = "vo AS (SELECT track_id, t, value - 15.0 AS value FROM onsets)"
+
+
+@query(f"{S.BARS}, {VOICED}, {S.contour('vo', 'ct')} SELECT track_id, L FROM ct")
 def period_contour(spark, d):
     return period.contour_period(_voiced(spark, d), _bars(spark, d))
 
@@ -405,29 +408,66 @@ def period_aicc(spark, d):
     return period.aicc_period(period.aicc(_bars(spark, d)))
 
 
-@query()
+CHANNELS = ("click", "error", "purchase", "view")
+#: Values of each kind of event in each bar, in order: as many frames as there are events, at 16 places.
+FRAMES = f"""fr0 AS (SELECT o.track_id, b.bar, o.event_type AS channel, list(o.value ORDER BY o.t, o.event_id) AS f FROM onsets o ASOF JOIN bars b ON o.track_id = b.track_id AND o.t >= b.bstart WHERE o.t < b.bend GROUP BY 1, 2, 3),
+fr1 AS (SELECT track_id, bar, channel, coalesce(f, [0.0::DOUBLE]) AS f FROM (SELECT track_id, bar, channel FROM bars, (SELECT unnest({list(CHANNELS)}) AS channel)) LEFT JOIN fr0 USING (track_id, bar, channel)),
+fr2 AS (SELECT track_id, bar, channel, list_transform(range(16), lambda i: f[1 + CAST(floor(i * len(f) / 16.0::DOUBLE) AS INT)] + (f[least(2 + CAST(floor(i * len(f) / 16.0::DOUBLE) AS INT), len(f))] - f[1 + CAST(floor(i * len(f) / 16.0::DOUBLE) AS INT)]) * (i * len(f) / 16.0::DOUBLE - floor(i * len(f) / 16.0::DOUBLE))) AS v FROM fr1),
+fr AS (SELECT track_id, bar, list(v ORDER BY channel) AS v FROM fr2 GROUP BY 1, 2)"""
+
+
+def _frames(spark, d) -> DataFrame:
+    """Frames of four channels, of unequal length by bar; a channel without events in a bar is one frame of 0."""
+    rows = _bars(spark, d)
+    events = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), "event_id", F.expr(T.HOURS).alias("t"), "value", F.col("event_type").alias("channel"))
+    placed = asof.in_bars(events, rows).groupBy("track_id", "bar", "channel").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))).alias("f"))
+    every = rows.select("track_id", "bar", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel")).join(placed, ["track_id", "bar", "channel"], "left")
+    return every.select("track_id", "bar", "channel", F.coalesce(F.transform("f", lambda x: x["value"]), F.array(F.lit(0.0))).alias("frames"))
+
+
+def _methods(spark, d) -> DataFrame:
+    """Six methods: onsets, the contour of all values, bar lengths by two criteria, frames of four channels, and the contour of views alone."""
+    pitch = T.table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("track_id"), F.expr(T.HOURS).alias("t"), "value")
+    return period.all_methods(T.onsets(spark, d), _voiced(spark, d), _bars(spark, d), frames=_frames(spark, d), n_frames=16, pitch=pitch, keep=scratch.written)
+
+
+METHODS = f"""{S.BARS}, {S.VECTORS}, {S.PROFILE}, {S.POWER}, {PATTERNS}, {VOICED}, {S.contour('vo', 'ct')}, vv AS (SELECT track_id, t, value FROM onsets WHERE event_type = 'view'), {S.contour('vv', 'pt')}, {FRAMES}, {S.channels('fr', 'ml', 16)},
+found AS (SELECT track_id, 'onset' AS method, L FROM power UNION ALL SELECT track_id, 'contour', L FROM ct UNION ALL SELECT track_id, 'pitch', L FROM pt UNION ALL SELECT track_id, 'mel', L FROM ml UNION ALL SELECT track_id, method, L FROM pat),
+lengths AS (SELECT track_id, method, CAST(coalesce(L, 4) AS INT) AS L FROM (SELECT DISTINCT track_id, unnest(['onset', 'contour', 'pitch', 'mel', 'bic', 'aicc']) AS method FROM bars) LEFT JOIN found USING (track_id, method))"""
+
+
+@query(f"{METHODS} SELECT track_id, method, L FROM lengths")
 def period_methods(spark, d):
-    return period.all_methods(T.onsets(spark, d), _voiced(spark, d), _bars(spark, d))
+    return _methods(spark, d)
 
 
-@query()
+@query(f"{METHODS}, c AS (SELECT track_id, L, count(*) AS c FROM lengths GROUP BY 1, 2) SELECT track_id, arg_max(L, (c, -L)) AS L FROM c GROUP BY track_id")
 def period_consensus(spark, d):
-    return period.consensus(period.all_methods(T.onsets(spark, d), _voiced(spark, d), _bars(spark, d)))
+    return period.consensus(_methods(spark, d))
 
 
-@query()
+EMBEDDED = "em AS (SELECT label AS track_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS bar, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), ec AS (SELECT track_id, bar, [v] AS v FROM em), e4 AS (SELECT track_id, bar, [v[1:16], v[17:32], v[33:48], v[49:64]] AS v FROM em)"
+
+
+@query(f"WITH {EMBEDDED}, {S.channels('ec', 'ch', 64)} SELECT track_id, L FROM ch")
 def period_channels(spark, d):
     return period.channel_period(T.frames(spark, d))
 
 
-@query()
+@query(f"WITH {EMBEDDED}, {S.channels('e4', 'ch', 16)} SELECT track_id, L FROM ch")
 def period_multichannel(spark, d):
     parts = F.array(*(F.struct(F.lit(i).alias("channel"), F.slice("frames", 16 * i + 1, 16).alias("frames")) for i in range(4)))
     rows = T.frames(spark, d).select("track_id", "bar", F.explode(parts).alias("p")).select("track_id", "bar", "p.*")
-    return period.multichannel_period(rows)
+    return period.multichannel_period(rows, 16)
 
 
-@query()
+@query(f"{S.BARS}, {FRAMES}, {S.channels('fr', 'ml', 16)} SELECT track_id, L FROM ml")
+def period_ragged(spark, d):
+    """Period of bars with unequal numbers of frames."""
+    return period.multichannel_period(_frames(spark, d), 16)
+
+
+@query(f"WITH {EMBEDDED}, {S.channels('ec', 'ch', 64)} SELECT track_id, lag, round(value, 6) AS value FROM ch_p")
 def channel_profile(spark, d):
     return rounded(period.channel_profile(T.frames(spark, d)), "value")
 

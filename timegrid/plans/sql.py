@@ -99,6 +99,32 @@ q1 AS (SELECT track_id, d, x.L, i % x.L AS r FROM q0, (SELECT CAST(unnest([1, 2,
 crit AS (SELECT track_id, L, count(*) AS n, sum(power(d - (mu - m), 2)) AS sse FROM q1 JOIN q2 USING (track_id, L, r) JOIN q3 USING (track_id, L) GROUP BY 1, 2)"""
 
 
+def contour(table: str, name: str) -> str:
+    """Lengths (name: track_id, L) by contours of the voiced values (track_id, t, value) of a table."""
+    n = name
+    return f"""{n}0 AS (SELECT o.track_id, b.bar, o.t, o.value FROM (SELECT * FROM {table} WHERE value > 0) o ASOF JOIN bars b ON o.track_id = b.track_id AND o.t >= b.bstart WHERE o.t < b.bend),
+{n}1 AS (SELECT track_id, bar, CAST(i AS INT) AS i, CASE WHEN i = 15 THEN t1 ELSE t0 + i * ((t1 - t0) / 15.0::DOUBLE) END AS g FROM (SELECT track_id, bar, min(t) AS t0, max(t) AS t1 FROM {n}0 GROUP BY 1, 2), (SELECT unnest(range(16)) AS i)),
+{n}2 AS (SELECT p.track_id, p.bar, i, CASE WHEN y.t > x.t THEN x.value + (y.value - x.value) * ((g - x.t) / (y.t - x.t)) ELSE x.value END AS y FROM {n}1 p ASOF JOIN {n}0 x ON p.track_id = x.track_id AND p.bar = x.bar AND p.g >= x.t ASOF JOIN {n}0 y ON p.track_id = y.track_id AND p.bar = y.bar AND p.g <= y.t),
+{n}3 AS (SELECT track_id, bar, coalesce(v, list_transform(range(16), lambda i: 0.0::DOUBLE)) AS v FROM bars LEFT JOIN (SELECT track_id, bar, list(y ORDER BY i) AS v FROM {n}2 GROUP BY 1, 2) USING (track_id, bar)),
+{n}4 AS (SELECT track_id, bar, list_transform(v, lambda x: round((x - m) / (sqrt(list_avg(list_transform(v, lambda z: (z - m) * (z - m)))) + 1e-9), 9)) AS v FROM (SELECT *, list_avg(v) AS m FROM {n}3)),
+{n}5 AS (SELECT a.track_id, CAST(b.bar - a.bar AS INT) AS lag, sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) AS scale, list_max(list_transform([0, 4, 8, 12], lambda s: list_dot_product(a.v, list_concat(b.v[17 - s:16], b.v[1:16 - s])))) AS top FROM {n}4 a JOIN {n}4 b ON a.track_id = b.track_id AND b.bar - a.bar BETWEEN 1 AND 9),
+{power(f"SELECT track_id, lag, greatest(0, CASE WHEN scale > 0 THEN top / scale ELSE 0 END) AS s FROM {n}5", n)}"""
+
+
+def channels(table: str, name: str, n: int, shifts: int | None = None) -> str:
+    """Lengths (name) by bars (track_id, bar, v: a list of channels of n frames each) of a table."""
+    rolled = f"list_concat(b.v[c][{n + 1} - s:{n}], b.v[c][1:{n} - s])"
+    return f"""{name}5 AS (SELECT a.track_id, CAST(b.bar - a.bar AS INT) AS lag, list_sum(list_transform(range(1, len(a.v) + 1), lambda c: sqrt(list_dot_product(a.v[c], a.v[c])) * sqrt(list_dot_product(b.v[c], b.v[c])))) AS scale,
+list_max(list_transform(range({n}), lambda s: list_sum(list_transform(range(1, len(a.v) + 1), lambda c: list_dot_product(a.v[c], {rolled}))))) AS top FROM {table} a JOIN {table} b ON a.track_id = b.track_id AND b.bar - a.bar BETWEEN 1 AND 9),
+{power(f"SELECT track_id, lag, CASE WHEN scale > 0 THEN top / scale ELSE 0 END AS s FROM {name}5", name)}"""
+
+
+def power(similarities: str, name: str) -> str:
+    """Lengths (name) from similarities (track_id, lag, s), by way of the profile name_p."""
+    own = POWER.replace("profile", f"{name}_p").replace("pk", f"{name}_k").replace("pm", f"{name}_m").replace("power", name)
+    return f"{name}_p AS (SELECT track_id, lag, round(median(s), 9) AS value FROM ({similarities}) GROUP BY 1, 2), {own}"
+
+
 def in_steps(sql: str, steps: int) -> str:
     """SQL of the grid for bars of other than 16 steps."""
     return re.sub(r"\b15\b", str(steps - 1), re.sub(r"\b16\b", str(steps), sql))
