@@ -30,6 +30,8 @@ SCALE = 1024
 SEGMENT_ROWS = 8192
 QUERY_BLOCK = 128
 #: Tasks of a search at most; beyond, a task has several tiles.
+#: Tasks that a search has at least, if there are so many pairs of blocks and segments.
+LEAST_TASKS = 64
 MAX_TASKS = 20_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -134,9 +136,16 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY
     blocks = max(1, -(-queries.count() // block))
     asked = queries.select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.size("q").alias("dims"))
     asked = asked.groupBy("dims", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "q"))).alias("queries"))
-    # each block of queries to each segment of vectors of its length; a block has a bounded size, and a task a few tiles
-    tasks = max(1, min(MAX_TASKS, blocks * index.count()))
-    tiles = asked.join(index, "dims").select("block", "segment", "queries", "ids", "low", "dims", "digits", "slices").repartition(tasks, "block", "segment")
+    # each block of queries to each segment of vectors of its length. What is sent about are the blocks, which have a
+    # bounded size; a segment moves once, or `parts` times where there are fewer segments than tasks could be
+    segments = index.groupBy("dims").agg(F.collect_list("segment").alias("segments"))  # a number for every SEGMENT_ROWS rows
+    number = index.count()
+    parts = max(1, min(blocks, -(-LEAST_TASKS // max(1, number))))
+    tasks = max(1, min(MAX_TASKS, number * parts))
+    sent = asked.join(F.broadcast(segments), "dims").withColumn("segment", F.explode("segments")).withColumn("part", F.col("block") % parts)
+    sent = sent.select("dims", "segment", "part", "block", "queries").repartition(tasks, "dims", "segment", "part")
+    held = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "dims", "segment", "part")
+    tiles = sent.join(held.hint("merge"), ["dims", "segment", "part"]).select("block", "segment", "queries", "ids", "low", "dims", "digits", "slices")
 
     def run(batches):
         for batch in batches:
