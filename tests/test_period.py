@@ -55,7 +55,7 @@ def test_period_of_ragged_bars(spark):
     rng = np.random.default_rng(5)
     shapes = rng.normal(size=(4, 3, 64))
     rows = []
-    for bar in range(40):
+    for bar in range(8):
         size = int(rng.integers(30, 120))
         for c in range(3):
             at = np.arange(size) / size * 64
