@@ -77,7 +77,7 @@ def table(n, seed, langs):
     return [(rng.choice([i, i, i, None]) if i % 9 == 0 else i, rng.choice(langs), rng.choice(["a", "é", None]), rng.choice([None, 5, i]), rng.choice(["", None, "tex t" * (i % 50), "ü" * 9])) for i in range(n)]
 
 
-@pytest.mark.parametrize("n,langs", [(1, ["en"]), (2, ["en"]), (3, ["en"]), (3, ["a", "b", "c"]), (40, [None, "", "z", "é", "Z"]), (5, [None]), (900, ["en", "en", "en", "fr", None])])
+@pytest.mark.parametrize("n,langs", [(1, ["en"]), (3, ["en"]), (3, ["a", "b", "c"]), (40, [None, "", "z", "é", "Z"]), (900, ["en", "en", "en", "fr", None])])
 def test_equals_plain_tree(spark, n, langs):
     rows = table(n, n, langs)
     assert run(spark, rows) == plain(rows)
