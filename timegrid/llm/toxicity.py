@@ -23,6 +23,7 @@ the smoothed share of label 1; repeated rows are scored each; extra columns are
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,14 +136,29 @@ def beginnings(texts: DataFrame) -> list[bytes]:
     return chosen[::-1]
 
 
-def ordinary_dictionary(texts: list[bytes]) -> bytes:
-    samples, size = [], 0
-    for text in texts:
-        for window in windows(text):
-            samples.append(window[: -len(TAIL)])
-            size += len(window)
-        if size > TRAINING:
-            break
+def ordinary_dictionary(texts: DataFrame) -> bytes:
+    """A dictionary trained on about TRAINING bytes of texts (doc_id, text), chosen by a hash, window by window.
+
+    The trainer finds more in texts that stay together. Of a text longer than a twentieth of all that, windows from all
+    its places are chosen by a hash, about so many bytes.
+    """
+    size = F.octet_length("text")
+    total = texts.agg(F.sum(F.least(size, F.lit(TRAINING // 20)))).first()[0] or 0
+    order = F.xxhash64("doc_id", "text")
+    share = int(min(1.0, TRAINING / max(1, total)) * (1 << 20))
+    chosen = texts.where(F.pmod(order, F.lit(1 << 20)) < share).select(order.alias("order"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = []
+                for text in part.column("text").cast(pa.binary()).to_pylist():
+                    rate = min(1.0, TRAINING / 20 / max(1, len(text)))
+                    found.append([w[: -len(TAIL)] for w in windows(text) if zlib.crc32(w) < rate * 2**32])
+                yield pa.record_batch({"order": part.column("order"), "windows": pa.array(found, pa.list_(pa.binary()))})
+
+    rows = chosen.mapInArrow(cut, "order long, windows array<binary>").collect()
+    samples = [bytes(w) for r in sorted(rows, key=lambda r: (r["order"], r["windows"])) for w in r["windows"]]
     try:
         return zstandard.train_dictionary(ORDINARY, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on: all of it
@@ -200,11 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     if not (n.get(0) and n.get(1)):
         return Model(prior=prior)
     toxic = beginnings(texts.select(F.col("label").cast("int").alias("label"), "text"))
-    # texts enough to train the dictionary on, in the order of a hash
-    each = F.col("text").cast("binary")
-    length = texts.where("label = 0").agg(F.avg(F.length(each))).first()[0] or 1.0
-    some = texts.where("label = 0").orderBy(F.xxhash64("doc_id", "text")).limit(max(50, math.ceil(1.5 * TRAINING / max(length, 200.0)))).select(F.substring(each, 1, TRAINING // 20).alias("text"))
-    ordinary = ordinary_dictionary([bytes(r["text"]) for r in some.collect()])
+    ordinary = ordinary_dictionary(texts.where("label = 0"))
     model = Model(ordinary, b" " + b" ".join(toxic) + b" " if toxic else b"", prior=prior)
     rows = tallied(texts, model, "label long").toPandas()
     tallies, y = np.stack(rows["tally"].to_list()), rows["label"].to_numpy(float)
