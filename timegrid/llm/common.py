@@ -23,9 +23,13 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: spark.checkpoint.dir.
 
-    Where that is unset, a folder in the warehouse, which the executors share too.
+    Where that is unset, in local mode only, a folder in the warehouse.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return path.rstrip("/")
 
 
