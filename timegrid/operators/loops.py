@@ -18,8 +18,22 @@ def windows(tracks: DataFrame, overview: DataFrame | None = None, start: float |
     return rows.select("track_id", w.alias("w_start"), (w + F.coalesce(F.lit(duration).cast("double"), F.lit(default_duration))).alias("w_end"))
 
 
-def overlapping(bars: DataFrame, windows_: DataFrame) -> DataFrame:
-    return bars.join(windows_, "track_id").where("start < w_end AND end > w_start")
+def overlapping(bars: DataFrame, windows_: DataFrame, width: float | None = None) -> DataFrame:
+    """Pairs of a bar and a window of its track that overlap.
+
+    width: for many windows a track, the length of the time bins that both sides are dealt over. A pair is found in the
+    bin of the later of its starts, so once, and no track's bars meet all its windows.
+    """
+    meet = "start < w_end AND end > w_start"
+    if width is None:
+        return bars.join(windows_, "track_id").where(meet)
+
+    def dealt(df: DataFrame, low: str, high: str) -> DataFrame:
+        first, last = (F.floor(F.col(c) / width) for c in (low, high))
+        return df.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(first, last)))
+
+    pairs = dealt(bars, "start", "end").join(dealt(windows_, "w_start", "w_end"), ["track_id", "_bin"])
+    return pairs.where(meet).where(F.col("_bin") == F.floor(F.greatest("start", "w_start") / width)).drop("_bin")
 
 
 def starting_inside(bars: DataFrame, windows_: DataFrame) -> DataFrame:

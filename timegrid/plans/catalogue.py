@@ -379,6 +379,37 @@ def lag_profile(spark, d):
     return period.lag_profile(pairs, C.circular_correlation(F.col("a"), F.col("b"), 4))
 
 
+@query(f"""{S.BARS}, w AS (SELECT track_id, event_id, t - 12.0 AS w_start, t + 12.0 AS w_end FROM onsets WHERE event_type <> 'click')
+SELECT track_id, event_id, bar FROM bars JOIN w USING (track_id) WHERE bstart < w_end AND bend > w_start""")
+def overlap_many(spark, d):
+    """Bars that overlap a day around each other event: many windows a track."""
+    rows = T.table(spark, d, "events").where("event_type <> 'click'").select(F.col("user_id").alias("track_id"), "event_id", F.expr(T.HOURS).alias("t"))
+    windows = rows.select("track_id", "event_id", (F.col("t") - 12.0).alias("w_start"), (F.col("t") + 12.0).alias("w_end"))
+    return loops.overlapping(_bars(spark, d), windows, 24.0).select("track_id", "event_id", "bar")
+
+
+@query(f"""{S.BARS}, e AS (SELECT min(tempo_bpm) lo, max(tempo_bpm) hi FROM bars), c AS (SELECT track_id, CAST(least(floor((tempo_bpm - lo) / ((hi - lo) / 20.0)), 19) AS INT) AS bin, count(*) AS n FROM bars, e GROUP BY 1, 2)
+SELECT track_id, bin, n, round(n * 100.0 / sum(n) OVER (PARTITION BY track_id), 6) AS percent FROM c""")
+def tempo_histogram_tracks(spark, d):
+    """Histograms of all tracks over the same edges."""
+    return rounded(bars.equal_width_histogram(_tempos(spark, d), "tempo_bpm", group=["track_id"]), "percent")
+
+
+@query(f"{S.BARS}, {S.VECTORS}, {S.PROFILE.replace('median(', 'avg(')} SELECT track_id, lag, round(value, 6) AS value FROM profile")
+def lag_profile_mean(spark, d):
+    pairs = period.lag_pairs(period.bar_vectors(T.onsets(spark, d), _bars(spark, d)))
+    return rounded(period.lag_profile(pairs, C.circular_correlation(F.col("a"), F.col("b"), 4), mean=True), "value")
+
+
+@query(f"""{S.BARS}, ov AS (SELECT c_custkey AS track_id, c_acctbal / 20.0 AS offset_s FROM customer), w AS (SELECT track_id, coalesce(offset_s, 24.0) AS w_start, coalesce(offset_s, 24.0) + 200.0 AS w_end FROM (SELECT DISTINCT track_id FROM bars) LEFT JOIN ov USING (track_id))
+SELECT track_id, count(*) AS n_bars, round(avg(tempo_bpm), 6) AS mean_bpm FROM bars JOIN w USING (track_id) WHERE bstart < w_end AND bend > w_start GROUP BY track_id""")
+def overview_tempo(spark, d):
+    """Tempos in windows that begin where an overview says, or by default, where it has no such track."""
+    overview = T.table(spark, d, "customer").select(F.col("c_custkey").alias("track_id"), (F.col("c_acctbal").cast("double") / 20.0).alias("offset_s"))
+    rows = _tempos(spark, d)
+    return rounded(loops.snippet_tempo(rows, loops.windows(rows, overview, duration=200.0, default_start=24.0)), "mean_bpm")
+
+
 @query(f"{S.BARS}, {S.VECTORS}, {S.PROFILE}, {S.POWER} SELECT track_id, L FROM power")
 def period_onset(spark, d):
     return period.onset_period(T.onsets(spark, d), _bars(spark, d))
@@ -660,6 +691,9 @@ def lookup_priority(spark, d):
     return reports.lookup_by_priority(orders.select(F.explode(names).alias("name")).distinct(), by_id.unionByName(by_name))
 
 
+_queries["lookup_priority_all"], _sql["lookup_priority_all"] = lookup_priority, _sql["lookup_priority"]
+
+
 @query("""WITH r AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT user_id AS track_id, count(*) AS events, CAST(sum(k) AS BIGINT) AS total, count(*) FILTER (k % 2 = 0) AS even, count(*) FILTER (k IS NULL) AS missing FROM r GROUP BY user_id""")
 def json_summary(spark, d):
     rows = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.from_json("props", "k INT")["k"].alias("k"))
