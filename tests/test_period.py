@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timegrid.functions import cols as C
-from timegrid.operators import period
+from timegrid.operators import period, stats
 
 
 def interpolated(row, n):
@@ -63,3 +63,16 @@ def test_period_of_ragged_bars(spark):
     frames = spark.createDataFrame(pd.DataFrame(rows, columns=["track_id", "bar", "channel", "frames"]))
     assert [(r.track_id, r.L) for r in period.multichannel_period(frames).collect()] == [(1, 4)]
     assert period.multichannel_period(frames.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.5, 0.1, 0.99])
+def test_exact_percentile(spark, q):
+    """Against numpy, with a coarse sketch: groups of one to thousands of rows, repeats, nulls."""
+    rng = np.random.default_rng(4)
+    groups = {k: rng.normal(size=n).round(r) for k, (n, r) in enumerate([(1, 9), (2, 9), (3, 9), (7, 0), (100, 1), (101, 9), (4000, 9), (4001, 1), (2000, 0)])}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [(3, None)], "k long, x double").repartition(5)
+    got = {r.k: (r.n, r.x) for r in stats.exact_percentile(rows, ["k"], "x", q, accuracy=50).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        assert got[k] == (len(xs), pytest.approx(np.quantile(xs, q), abs=1e-12)), k
+    assert stats.exact_percentile(rows, [], "x", q, 50).first().x == pytest.approx(np.quantile(np.concatenate(list(groups.values())), q), abs=1e-12)

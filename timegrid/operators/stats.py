@@ -93,6 +93,40 @@ def spread(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("largest"))
 
 
+def exact_percentile(rows: DataFrame, keys: list[str], value: str, q: float = 0.5, accuracy: int = 10_000) -> DataFrame:
+    """The q-th percentile of a value by keys, exact and interpolated, for groups of any size: keys, n, value.
+
+    `percentile` holds all distinct values of a group in one buffer. Here a sketch of bounded size gives values on both
+    sides of the rank first. A second pass counts what lies below, and counts by value what lies between, some
+    thousandths of a group at most but for repeats; only these are put in order.
+    """
+    data = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    margin = 2.0 / accuracy
+    ends = F.percentile_approx("_v", [max(0.0, q - margin), min(1.0, q + margin)], accuracy)
+    bounds = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ends.alias("_ends")).select(*keys, "n", F.get("_ends", F.lit(0)).alias("_low"), F.get("_ends", F.lit(1)).alias("_high"))
+    known = data.join(bounds, keys) if keys else data.join(F.broadcast(bounds))  # one row
+    v = F.col("_v")
+    around = known.groupBy(*keys).agg(F.count_if(v < F.col("_low")).alias("_below"), F.max(F.when(v < F.col("_low"), v)).alias("_before"), F.min(F.when(v > F.col("_high"), v)).alias("_after"))
+    inside = known.where(v.between(F.col("_low"), F.col("_high"))).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.withColumn("_end", F.sum("_c").over(order))
+
+    def with_keys(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, keys) if keys else a.join(F.broadcast(b))
+
+    ranked = with_keys(with_keys(placed, bounds.select(*keys, "n")), around)
+    start = F.col("_below") + F.col("_end") - F.col("_c")
+    rank = F.floor((F.col("n") - 1) * q)
+
+    def at(r: Column) -> Column:
+        here = F.max(F.when((start <= r) & (r < F.col("_below") + F.col("_end")), v))
+        return F.coalesce(here, F.max(F.when(r < F.col("_below"), F.col("_before"))), F.max("_after"))
+
+    found = ranked.groupBy(*keys, "n").agg(at(rank).alias("_a"), at(rank + 1).alias("_b"))
+    share = (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    return found.select(*keys, "n", F.when(share > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * share).otherwise(F.col("_a")).alias(value))
+
+
 #: Fixed value: data sets whose downbeats aren't annotated.
 WITHOUT_DOWNBEATS = ("smc",)
 

@@ -57,6 +57,14 @@ def one_track_spacing(spark, d):
     return series.min_spacing_in_ranges(onsets, 0.5, cuts)
 
 
+@query(f"""{S.BARS}, d AS (SELECT track_id, bend - bstart AS d FROM bars) SELECT CAST(-1 AS BIGINT) AS track_id, count(*) AS n, round(median(d), 9) AS duration FROM d UNION ALL SELECT track_id, count(*), round(median(d), 9) FROM d GROUP BY track_id""")
+def median_durations(spark, d):
+    """Median duration of the bars of all tracks together (-1), and of each."""
+    rows = bars.bars(T.downbeats(spark, d)).select("track_id", (F.col("end") - F.col("start")).alias("duration"))
+    whole = stats.exact_percentile(rows, [], "duration").select(F.lit(-1).cast("long").alias("track_id"), "n", "duration")
+    return whole.unionByName(stats.exact_percentile(rows, ["track_id"], "duration")).withColumn("duration", F.round("duration", 9))
+
+
 # --- metres by track: 3 beats where the most frequent number of beats in a bar is odd, else 4
 
 METRES = f"WITH metre AS (SELECT track_id, CASE WHEN n % 2 = 1 THEN 12 ELSE 16 END AS steps FROM ({S.BEATS}, {S.signature('btable')} SELECT track_id, coalesce(n, 4) AS n FROM (SELECT DISTINCT track_id FROM btable) LEFT JOIN best USING (track_id)))"
