@@ -44,6 +44,14 @@ def in_bars(points: DataFrame, bars: DataFrame, time: str = "t", key: str = "tra
     return matched.select(key, *own, *(F.col(f"bound.{c}").alias(c) for c in bars.columns if c != key))
 
 
+def with_bars(points: DataFrame, bars: DataFrame, time: str = "t", key: str = "track_id") -> DataFrame:
+    """As in_bars, and a row for each bar with nulls in place of a point, so that bars without points stay."""
+    both, own, other = _united(points, bars, time, "start", key)
+    running = Window.partitionBy(key).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_bound", F.last("_bound", ignorenulls=True).over(running)).where((F.col("_kind") == 0) | (F.col("_t") < F.col("_bound.end")))
+    return found.select(key, *(F.col(f"_point.{c}").alias(c) for c in own), *(F.col(f"_bound.{c}").alias(c) for c in other))
+
+
 def nearest(targets: DataFrame, points: DataFrame, target: str = "g", time: str = "t", key: str = "track_id", cuts: Cuts | None = None, later: bool = False) -> DataFrame:
     """Each target with `nearest` and `distance` of the nearest point; the earlier (or later) of two; null if there is none."""
     spots = points.select(key, F.col(time).alias("_spot"))

@@ -34,10 +34,15 @@ def _along(steps: Steps) -> list[str]:
     return [steps] if isinstance(steps, str) else []
 
 
+def _by_key(df: DataFrame) -> DataFrame:
+    """df for joins by key with both sides in order: a table with rows for each track isn't sent to all, as the size of its compressed file tells nothing of its rows."""
+    return df.hint("merge")
+
+
 def with_steps(bars: DataFrame, signatures: DataFrame, name: str = "steps", default: int = 4) -> DataFrame:
     """bars with the steps of their track: SUBDIVISIONS for each beat of its signature (track_id, time_signature)."""
     found = signatures.select("track_id", F.col("time_signature").alias("_beats"))
-    rows = bars.join(found, "track_id", "left")
+    rows = bars.join(_by_key(found), "track_id", "left")
     return rows.withColumn(name, (F.coalesce("_beats", F.lit(default)) * SUBDIVISIONS).cast("int")).drop("_beats")
 
 
@@ -51,7 +56,7 @@ def snippet_bars(bars: DataFrame, start: float, duration: float) -> DataFrame:
 
 def clipped(bars: DataFrame, ranges: DataFrame) -> DataFrame:
     """The bars of each track's range, by a join on the track before anything is exploded."""
-    return bars.join(ranges, "track_id").where("bar BETWEEN first_bar AND last_bar")
+    return bars.join(_by_key(ranges), "track_id").where("bar BETWEEN first_bar AND last_bar")
 
 
 def onset_ticks(onsets: DataFrame, bars: DataFrame, steps: Steps = STEPS) -> DataFrame:
@@ -76,13 +81,14 @@ def snippet_phases(ticks: DataFrame, references: DataFrame, remap: bool, steps:
 
 
 def _first_match(candidates: DataFrame, onsets: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """For each key the candidate of the lowest (rank, bar) whose nearest onset is within share of a step."""
-    near = asof.nearest_within(candidates, onsets, F.col("step") * share)
+    """For each key, as `ref`, the candidate of the lowest (rank, bar) whose nearest onset is within share of a step; else null."""
+    near = asof.nearest(candidates, onsets)
     ref = F.struct(
         ((F.col("nearest") - F.col("g")) * 1000.0).alias("ref_ms"), F.col("bar").alias("ref_bar"),
         ((F.col("nearest") - F.col("bar_start")) / F.col("bar_length")).alias("ref_phase"), ((F.col("g") - F.col("bar_start")) / F.col("bar_length")).alias("grid_phase"),
     )
-    return near.groupBy(*keys).agg(F.min_by(ref, F.struct("rank", "bar")).alias("ref"))
+    close = F.when(F.col("distance") <= F.col("step") * share, F.struct("rank", "bar"))
+    return near.groupBy(*keys).agg(F.min_by(ref, close).alias("ref"))
 
 
 def _candidates() -> Column:
@@ -91,13 +97,13 @@ def _candidates() -> Column:
 
 def snippet_references(bars: DataFrame, ranges: DataFrame, onsets: DataFrame, num_bars: int = 1, share: float = 0.5, steps: Steps = STEPS) -> DataFrame:
     """One reference per track, from the first bars of its range: the ticks of PRIORITY in their order; else none, 0."""
-    first = bars.join(ranges, "track_id").where((F.col("bar") >= F.col("first_bar")) & (F.col("bar") < F.col("first_bar") + num_bars) & (F.col("end") > F.col("start")))
+    first = bars.join(_by_key(ranges), "track_id").where((F.col("bar") >= F.col("first_bar")) & (F.col("bar") < F.col("first_bar") + num_bars) & (F.col("end") > F.col("start")))
     step = (F.col("end") - F.col("start")) / _n(steps).cast("double")
     candidates = first.select("track_id", "bar", F.col("start").alias("bar_start"), (F.col("end") - F.col("start")).alias("bar_length"), step.alias("step"), _candidates())
     candidates = candidates.withColumn("g", F.col("bar_start") + F.col("tick") * F.col("step")).drop("tick")
     found = _first_match(candidates, onsets, ["track_id"], share)
     zero = F.lit(0.0)
-    return ranges.join(found, "track_id", "left").select(
+    return ranges.join(_by_key(found), "track_id", "left").select(
         "track_id", F.coalesce("ref.ref_ms", zero).alias("ref_ms"), F.coalesce("ref.ref_bar", "first_bar").alias("ref_bar"),
         F.coalesce("ref.ref_phase", zero).alias("ref_phase"), F.coalesce("ref.grid_phase", zero).alias("grid_phase"),
     )
@@ -109,7 +115,7 @@ LOOP = ["loop_bar", "last_bar", "loop_start", "loop_end"]
 def _looped(starts: DataFrame, bars: DataFrame, keys: list[str], steps: Steps) -> DataFrame:
     """Loops from rows of their first bars, with the end of their last; one without an end is dropped."""
     ends = bars.select(*keys, (F.col("bar") + 1 - F.col("L")).alias("bar"), F.col("end").alias("loop_end"))
-    return starts.join(ends, [*keys, "bar"]).select(*keys, F.col("bar").alias("loop_bar"), "last_bar", F.col("start").alias("loop_start"), "loop_end", *_along(steps))
+    return starts.join(_by_key(ends), [*keys, "bar"]).select(*keys, F.col("bar").alias("loop_bar"), "last_bar", F.col("start").alias("loop_start"), "loop_end", *_along(steps))
 
 
 def loops(bars: DataFrame, ranges: DataFrame, length: int | Column, steps: Steps = STEPS) -> DataFrame:
@@ -117,7 +123,7 @@ def loops(bars: DataFrame, ranges: DataFrame, length: int | Column, steps: Steps
 
     length: a number, a column, or an explode of several numbers.
     """
-    rows = bars.join(ranges, "track_id").withColumn("L", C.lit(length))
+    rows = bars.join(_by_key(ranges), "track_id").withColumn("L", C.lit(length))
     return _looped(rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0"), rows, ["track_id", "L"], steps)
 
 
@@ -133,27 +139,34 @@ def loop_bars(loop_rows: DataFrame, steps: Steps = STEPS) -> DataFrame:
 
 def loop_references(loop_rows: DataFrame, onsets: DataFrame, share: float = 0.5, steps: Steps = STEPS) -> DataFrame:
     """One reference per loop, on its equidistant grid over all its bars; none: 0 at the loop's first bar."""
-    whole = loop_bars(loop_rows.withColumn("last_bar", F.col("loop_bar") + F.col("L") - 1), steps)
-    candidates = whole.select("track_id", "L", "loop_bar", "bar", "bar_start", "bar_length", "step", "loop_start", "offset", *_along(steps), _candidates())
-    candidates = candidates.withColumn("g", F.col("loop_start") + (F.col("offset") * _n(steps) + F.col("tick")) * F.col("step")).drop("tick", "loop_start", "offset", *_along(steps))
-    found = _first_match(candidates, onsets, ["track_id", "L", "loop_bar"], share)
+    keys = ["track_id", "L", *LOOP, *_along(steps)]
+    whole = loop_bars(loop_rows.withColumn("_last", F.col("last_bar")).withColumn("last_bar", F.col("loop_bar") + F.col("L") - 1), steps).withColumn("last_bar", F.col("_last"))
+    candidates = whole.select(*keys, "bar", "bar_start", "bar_length", "step", "offset", _candidates())
+    candidates = candidates.withColumn("g", F.col("loop_start") + (F.col("offset") * _n(steps) + F.col("tick")) * F.col("step")).drop("tick", "offset")
+    found = _first_match(candidates, onsets, keys, share)  # every loop has candidates
     zero = F.lit(0.0)
-    return loop_rows.join(found, ["track_id", "L", "loop_bar"], "left").select(
-        "track_id", "L", *LOOP, *_along(steps), F.coalesce("ref.ref_ms", zero).alias("ref_ms"), F.coalesce("ref.ref_bar", "loop_bar").alias("ref_bar"),
+    return found.select(
+        *keys, F.coalesce("ref.ref_ms", zero).alias("ref_ms"), F.coalesce("ref.ref_bar", "loop_bar").alias("ref_bar"),
         F.coalesce("ref.ref_phase", zero).alias("ref_phase"), F.coalesce("ref.grid_phase", zero).alias("grid_phase"),
     )
 
 
+def _loop_onsets(references: DataFrame, onsets: DataFrame, steps: Steps) -> DataFrame:
+    """All onsets (t) in the loops' equidistant bars, and a row without t for each of these bars."""
+    own = ["bar", "loop_start", "offset", "step", "bar_length", "ref_ms", *_along(steps)]
+    rows = loop_bars(references, steps).withColumn("key", F.struct("track_id", "L"))
+    spans = rows.select("key", F.col("bar_start").alias("start"), (F.col("bar_start") + F.col("bar_length")).alias("end"), *own)
+    lengths = references.select("track_id", "L").distinct()
+    points = onsets.select("track_id", "t").join(_by_key(lengths), "track_id").select(F.struct("track_id", "L").alias("key"), "t")
+    return asof.with_bars(points, spans, key="key").select(F.col("key.track_id").alias("track_id"), F.col("key.L").alias("L"), "t", "start", *own)
+
+
 def loop_phases(references: DataFrame, onsets: DataFrame, steps: Steps = STEPS) -> DataFrame:
     """Phases of all onsets in the loops' equidistant bars, less the loop's reference; several may share a tick."""
-    rows = loop_bars(references, steps).withColumn("key", F.struct("track_id", "L"))
-    spans = rows.select("key", "bar", F.col("bar_start").alias("start"), (F.col("bar_start") + F.col("bar_length")).alias("end"), "bar_length", "ref_ms", *_along(steps))
-    lengths = spans.select("key", F.col("key.track_id").alias("track_id")).distinct()
-    points = onsets.select("track_id", "t").join(lengths, "track_id").select("key", "t")
-    placed = asof.in_bars(points, spans, key="key")
+    placed = _loop_onsets(references, onsets, steps).where("t IS NOT NULL")
     p = C.phase(F.col("t"), F.col("start"), F.col("bar_length"), F.col("ref_ms") / 1000.0)
     placed = placed.withColumn("_p", p)
-    return placed.select(F.col("key.track_id").alias("track_id"), F.col("key.L").alias("L"), "bar", C.nearest_tick(F.col("_p"), _n(steps)).alias("tick"), F.col("t").alias("onset_time"), C.shifted(F.col("_p"), _n(steps)).alias("phase"))
+    return placed.select("track_id", "L", "bar", C.nearest_tick(F.col("_p"), _n(steps)).alias("tick"), F.col("t").alias("onset_time"), C.shifted(F.col("_p"), _n(steps)).alias("phase"))
 
 
 def loop_grid_times(references: DataFrame, steps: Steps = STEPS) -> DataFrame:
@@ -190,42 +203,86 @@ def grid_long(bars: DataFrame, onsets: DataFrame, start: float = 0.0, duration:
     bars = keep(bars, "bars")
     ranges = keep(snippet_bars(bars, start, duration), "ranges")
     inside = clipped(bars, ranges)
-    grid = complete_grid(inside, steps).select("track_id", "bar", "tick", "grid_time", *_along(steps))
-
-    def method(name: str, points: DataFrame, phases: DataFrame) -> DataFrame:
-        rows = points.join(phases.drop(*_along(steps)), ["track_id", "bar", "tick"], "left")
-        return rows.withColumns({"method": F.lit(name), "L": F.lit(None).cast("int")}).select(*long)
-
     parts: list[DataFrame] = []
-    if wanted("uncorrected", "per_snippet", "per_snippet_remapped"):
-        ticks = keep(onset_ticks(onsets, inside, steps), "ticks")
-        if wanted("uncorrected"):
-            parts.append(method("uncorrected", grid, uncorrected_phases(ticks, steps)))
-        if wanted("per_snippet", "per_snippet_remapped"):
-            refs = keep(snippet_references(bars, ranges, onsets, steps=steps), "references")
-            moved = grid.join(refs.select("track_id", "ref_ms"), "track_id").withColumn("grid_time", F.col("grid_time") + F.col("ref_ms") / 1000.0).drop("ref_ms")
-            parts += [method(name, moved, snippet_phases(ticks, refs, remap, steps)) for name, remap in (("per_snippet", False), ("per_snippet_remapped", True)) if wanted(name)]
+    plain = [m for m in ("uncorrected", "per_snippet", "per_snippet_remapped") if wanted(m)]
+    if plain:
+        refs = keep(snippet_references(bars, ranges, onsets, steps=steps), "references") if plain != ["uncorrected"] else None
+        parts.append(_plain_methods(inside, onsets, refs, plain, steps).select(*long))
     # all lengths at once: one join of the bars with themselves, not one for each length
     sources = []
     if lengths:
         standard = loops(bars, ranges, F.explode(F.array(*map(F.lit, lengths))), steps)
         sources.append(standard.withColumn("method", F.concat(F.lit("standard_L"), F.col("L").cast("string"))))
     if patterns is not None:
-        rows = bars.join(patterns, "track_id").join(ranges, "track_id")
+        rows = bars.join(_by_key(patterns), "track_id").join(_by_key(ranges), "track_id")
         sources.append(_looped(rows.where("bar BETWEEN first_bar AND last_bar AND (bar - first_bar) % L = 0"), rows, ["track_id", "method", "L"], steps))
     if sources:
         # a length is worked out once, whichever methods use it
         looped = keep(reduce(DataFrame.unionByName, (s.withColumn("L", F.col("L").cast("int")) for s in sources)), "loops")
         by_length = looped.select("track_id", "L", *LOOP, *_along(steps)).distinct()
         references = keep(loop_references(by_length, onsets, steps=steps), "loop_references")
-        phases, times = loop_phases(references, onsets, steps), loop_grid_times(references, steps)
-        users = looped.select("track_id", "method", "L").distinct()
-        own_grid = grid.drop("grid_time").join(users, "track_id")
-        parts.append(own_grid.join(times, ["track_id", "L", "bar", "tick"], "left").join(phases, ["track_id", "L", "bar", "tick"], "left").select(*long))
+        users = keep(looped.select("track_id", "method", "L").distinct(), "users")
+        parts.append(_loop_methods(inside, onsets, references, users, steps).select(*long))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _empty_ticks(taken: Column, steps: Steps) -> Column:
+    """The ticks of a bar that an array of ticks lacks."""
+    return F.array_except(F.sequence(F.lit(0), _n(steps) - 1), taken)
+
+
+def _plain_methods(inside: DataFrame, onsets: DataFrame, refs: DataFrame | None, methods: list[str], steps: Steps) -> DataFrame:
+    """The methods without loops: a bar is one row with its first onsets by tick until its grid points are told.
+
+    Bars without onsets come along as bounds of the as-of join, so that no grid point has to be joined.
+    """
+    own = ["bar", "start", "end", *_along(steps)]
+    duration = F.col("end") - F.col("start")
+    placed = asof.with_bars(onsets.select("track_id", "t"), inside.select("track_id", *own))
+    tick = C.nearest_tick(C.phase(F.col("t"), F.col("start"), duration), _n(steps))
+    first = placed.withColumn("tick", F.when(F.col("t").isNotNull(), tick)).groupBy("track_id", *own, "tick").agg(F.min("t").alias("onset_time"))
+    rows = first.groupBy("track_id", *own).agg(F.collect_list(F.when(F.col("tick").isNotNull(), F.struct("tick", "onset_time"))).alias("ticks"))  # at most `steps` members
+    if refs is not None:
+        rows = rows.join(_by_key(refs.select("track_id", (F.col("ref_ms") / 1000.0).alias("shift"))), "track_id", "left" if "uncorrected" in methods else "inner")
+    else:
+        rows = rows.withColumn("shift", F.lit(0.0))
+    remapped = F.transform("ticks", lambda x: F.struct(C.nearest_tick(C.phase(x["onset_time"], F.col("start"), duration, F.col("shift")), _n(steps)).alias("tick"), x["onset_time"].alias("onset_time")))
+    kinds = [F.struct(F.lit(m).alias("method"), (F.lit(0.0) if m == "uncorrected" else F.col("shift")).alias("shift"), (remapped if m == "per_snippet_remapped" else F.col("ticks")).alias("ticks")) for m in methods]
+    rows = rows.withColumn("m", F.explode(F.array(*kinds))).select("track_id", *own, "m.method", "m.shift", "m.ticks")
+    silent = F.transform(_empty_ticks(F.col("ticks.tick"), steps), lambda i: F.struct(i.alias("tick"), F.lit(None).cast("double").alias("onset_time")))
+    rows = rows.where("shift IS NOT NULL").withColumn("p", F.explode(F.concat("ticks", silent))).select("track_id", *own, "method", "shift", "p.tick", "p.onset_time")
+    p = C.phase(F.col("onset_time"), F.col("start"), duration, F.col("shift"))
+    grid_time = F.when(duration > 0, C.grid_time(F.col("start"), duration, F.col("tick"), _n(steps))) + F.col("shift")
+    return rows.withColumns({"phase": C.shifted(p, _n(steps)), "grid_time": grid_time, "L": F.lit(None).cast("int")})
+
+
+def _loop_methods(inside: DataFrame, onsets: DataFrame, references: DataFrame, users: DataFrame, steps: Steps) -> DataFrame:
+    """The methods by loops: onsets tell their own grid points, and a row for each bar those without onsets."""
+    along = _along(steps)
+    placed = _loop_onsets(references, onsets, steps)
+    n = _n(steps)
+    p = C.phase(F.col("t"), F.col("start"), F.col("bar_length"), F.col("ref_ms") / 1000.0)
+    placed = placed.withColumn("tick", F.when(F.col("t").isNotNull(), C.nearest_tick(p, n)))
+
+    def grid_time(tick: Column) -> Column:
+        return F.col("loop_start") + (F.col("offset") * n + tick) * F.col("step") + F.col("ref_ms") / 1000.0
+
+    sounding = placed.where("t IS NOT NULL").select("track_id", "L", "bar", "tick", F.col("t").alias("onset_time"), C.shifted(p, n).alias("phase"), grid_time(F.col("tick")).alias("grid_time"), *along)
+    sounding = sounding.join(_by_key(users), ["track_id", "L"])
+    place = ["loop_start", "offset", "step", "ref_ms"]
+    taken = placed.groupBy("track_id", "L", "bar", *place).agg(F.collect_set("tick").alias("taken"))  # at most `steps` members
+    every = inside.select("track_id", "bar", *along).join(_by_key(users), "track_id").join(_by_key(taken), ["track_id", "L", "bar"], "left")
+    silent = every.withColumn("tick", F.explode(_empty_ticks(F.coalesce("taken", F.array().cast("array<int>")), steps)))
+    silent = silent.withColumns({"grid_time": grid_time(F.col("tick")), "onset_time": F.lit(None).cast("double"), "phase": F.lit(None).cast("double")})
+    own = ["track_id", "method", "L", "bar", "tick", "onset_time", "phase", "grid_time", *along]
+    return sounding.select(*own).unionByName(silent.select(*own))
+
+
 def grid_wide(long: DataFrame, methods: list[str]) -> DataFrame:
     """One row per bar and tick; a phase and a grid-time column per method, the earliest onset where several share a tick."""
-    first = long.groupBy("track_id", "bar", "tick", "method").agg(F.min_by("phase", "onset_time").alias("phase"), F.min("grid_time").alias("grid_time"))
-    return first.groupBy("track_id", "bar", "tick").pivot("method", methods).agg(F.first("phase", ignorenulls=True).alias("phase"), F.first("grid_time", ignorenulls=True).alias("grid_time"))
+
+    def of(m: str, c: str) -> Column:
+        return F.when(F.col("method") == m, F.col(c))
+
+    cells = [x for m in methods for x in (F.min_by("phase", of(m, "onset_time")).alias(f"{m}_phase"), F.min(of(m, "grid_time")).alias(f"{m}_grid_time"))]
+    return long.groupBy("track_id", "bar", "tick").agg(*cells)
