@@ -22,16 +22,15 @@ def rms(long: DataFrame, steps: int | str = STEPS) -> DataFrame:
     bar's duration, as its grid times tell: (largest - smallest) * steps / (steps - 1), or 2 s with less than two rows.
     0 where there are no onsets.
     """
-    bar = Window.partitionBy("track_id", "method", "bar")
     n = _n(steps)
-    span = (F.max("grid_time").over(bar) - F.min("grid_time").over(bar)) * (n / F.nullif(n - 1, F.lit(0)))
-    steps = n
-    rows = long.withColumn("dur", F.when(F.count("grid_time").over(bar) >= 2, span).otherwise(F.lit(2.0)))
-    dev = F.col("phase") - C.nearest_fraction(F.col("phase"), steps)
-    rows = rows.withColumn("dev", F.when(F.col("onset_time").isNotNull(), dev))
-    ms = F.col("dev") * F.col("dur") * 1000.0
-    return rows.groupBy("track_id", "method").agg(
-        F.count("dev").alias("n"), F.coalesce(F.sqrt(F.avg(F.col("dev") * F.col("dev"))), F.lit(0.0)).alias("rms_phase"), F.coalesce(F.sqrt(F.avg(ms * ms)), F.lit(0.0)).alias("rms_ms")
+    dev = F.when(F.col("onset_time").isNotNull(), F.col("phase") - C.nearest_fraction(F.col("phase"), n))
+    span = (F.max("grid_time") - F.min("grid_time")) * (F.first(n) / F.nullif(F.first(n) - 1, F.lit(0)))
+    # sums by bar: its rows are added up where they are made, and one for each goes on
+    bars = long.groupBy("track_id", "method", "bar").agg(F.count(dev).alias("n"), F.sum(dev * dev).alias("s"), F.when(F.count("grid_time") >= 2, span).otherwise(F.lit(2.0)).alias("dur"))
+    ms = F.col("s") * (F.col("dur") * 1000.0) * (F.col("dur") * 1000.0)
+    total = F.nullif(F.sum("n"), F.lit(0))
+    return bars.groupBy("track_id", "method").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sqrt(F.sum("s") / total), F.lit(0.0)).alias("rms_phase"), F.coalesce(F.sqrt(F.sum(ms) / total), F.lit(0.0)).alias("rms_ms")
     )
 
 
