@@ -108,8 +108,9 @@ def duration_export(long: DataFrame, method: str = "uncorrected") -> DataFrame:
 def loop_bounds(long: DataFrame, length: int, steps: int = C.STEPS) -> DataFrame:
     """Per track and method: grid time of the first bar's first tick, and of the bar's `length` later; both must exist."""
     track = Window.partitionBy("track_id", "method")
-    rows = long.withColumn("b", F.col("bar") - F.min("bar").over(track)).where("tick = 0")
-    rows = rows.groupBy("track_id", "method").agg(F.min(F.when(F.col("b") == 0, F.col("grid_time"))).alias("loop_start"), F.min(F.when(F.col("b") == length, F.col("grid_time"))).alias("loop_end"))
+    starts = long.groupBy("track_id", "method", "bar").agg(F.min(F.when(F.col("tick") == 0, F.col("grid_time"))).alias("start"))
+    rows = starts.withColumn("b", F.col("bar") - F.min("bar").over(track))
+    rows = rows.groupBy("track_id", "method").agg(F.min(F.when(F.col("b") == 0, F.col("start"))).alias("loop_start"), F.min(F.when(F.col("b") == length, F.col("start"))).alias("loop_end"))
     return rows.where("loop_start IS NOT NULL AND loop_end IS NOT NULL")
 
 
