@@ -7,7 +7,7 @@ import io
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,16 +19,35 @@ def track_of(path: Column | str = "_metadata.file_path", ending: str = "") -> Co
     return F.url_decode(F.regexp_extract(F.col(path) if isinstance(path, str) else path, rf"([^/]+?)(?:{ending})?\.[^./]*$", 1))
 
 
+#: Lines of a file that holds many tracks, at most.
+LINES = 100_000
+
+
+def packed(rows: DataFrame, lines: int = LINES) -> DataFrameWriter:
+    """A writer of text formats in which a file holds many tracks: their lines have a column track_id.
+
+    So the number of files goes with the rows and not with the tracks, and a file of bounded size can be parsed whole.
+    """
+    return rows.write.option("maxRecordsPerFile", lines).option("header", True)
+
+
 def _track(rows: DataFrame) -> Column:
-    """The track of a row: a folder track_id=..., else the file's name."""
+    """The track of a row: a folder track_id=... or a column of that name, else the file's name."""
     return F.col("track_id").cast("string") if "track_id" in rows.columns else track_of()
 
 
+def _tracks(header: list[str], lines: list[list[str]], track: str) -> pa.Array:
+    """The track of each line: its cell under track_id, or that of the file."""
+    at = header.index("track_id") if "track_id" in header else None
+    return pa.array([track if at is None else row[at] if at < len(row) else None for row in lines], pa.string())
+
+
 def _parsed(spark: SparkSession, path: str, find: Callable[[list[str]], list[int] | None], columns: list[str], sep: str = ",", default: list[int] | None = None) -> DataFrame:
     """CSV files with headers of their own, each parsed whole: track_id and the columns as text, by one scan.
 
     find: called with a row's cells, gives the places of the columns if the row is the header. A file without one has
     the places `default`, or no rows. Quoted cells may hold separators and line ends; cells that a line lacks are null.
+    A header with a column track_id says the track of each line.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,18 +58,19 @@ def _parsed(spark: SparkSession, path: str, find: Callable[[list[str]], list[int
                 lines = [row for i, row in enumerate(rows) if i != header] if places is not None else []
                 cells = {c: pa.array([row[at] if 0 <= at < len(row) else None for row in lines], pa.string()) for c, at in zip(columns, places or [], strict=bool(places))}
                 if lines:
-                    yield pa.record_batch({"track_id": pa.array([track] * len(lines), pa.string())} | cells)
+                    yield pa.record_batch({"track_id": _tracks(rows[header] if header >= 0 else [], lines, track)} | cells)
 
     rows = spark.read.text(path, wholetext=True)
     return rows.select(_track(rows).alias("track_id"), "value").mapInArrow(run, ", ".join(f"`{c}` string" for c in ["track_id", *columns]))
 
 
 def read_beats(spark: SparkSession, path: str) -> DataFrame:
-    """Beat tables with a header line, one file per track. Missing bar_num or beat_pos is an error."""
+    """Beat tables with a header line, one file per track or with a first column track_id. Missing bar_num or beat_pos is an error."""
     header = spark.read.csv(path, sep="\t", header=True).columns
     if missing := {"bar_num", "beat_pos"} - set(header):
         raise ValueError(f"beat table without {sorted(missing)}")
-    rows = spark.read.csv(path, sep="\t", header=True, schema=BEATS, enforceSchema=False)
+    many = "track_id STRING, " if header[:1] == ["track_id"] else ""
+    rows = spark.read.csv(path, sep="\t", header=True, schema=many + BEATS, enforceSchema=False)
     return rows.select(_track(rows).alias("track_id"), F.col("`beat_time(s)`").alias("beat_time"), F.col("`downbeat_time(s)`").alias("downbeat_time"), "beat_pos", "global_beat", "bar_num")
 
 
@@ -58,19 +78,28 @@ CORRECTED = "corrected_bar_num INT, bar_num STRING, start DOUBLE, next DOUBLE, d
 
 
 def read_corrected(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Corrected-bar tables with '# key=value' lines: the bars, and a row of metadata per track (time_signature: 4 if absent)."""
-    rows = spark.read.csv(path, sep="\t", header=True, comment="#", schema=CORRECTED)
+    """Corrected-bar tables with '# key=value' lines: the bars, and a row of metadata per track (time_signature: 4 if absent).
+
+    A file holds a track, or many: lines then begin with a cell track_id, and those of metadata are '# track_id<TAB>key=value'.
+    """
+    first = spark.read.text(path).where("value LIKE 'corrected_bar_num\t%' OR value LIKE 'track_id\t%'").first()
+    many = first is not None and first.value.startswith("track_id")
+    rows = spark.read.csv(path, sep="\t", header=True, comment="#", schema=("track_id STRING, " if many else "") + CORRECTED)
     number = F.col("bar_num")
     bars = rows.select(
         _track(rows).alias("track_id"), "corrected_bar_num", F.transform(F.split(number, r"\|"), lambda x: x.cast("int")).alias("bar_num"), "start", F.col("next").alias("end"), "duration_s", "tempo_bpm",
         (F.col("usable") == 1).alias("usable"), "bpm_threshold", "action", F.col("removed").try_cast("double").alias("removed"), F.col("inserted").try_cast("double").alias("inserted"),
     )
-    text = spark.read.text(path, wholetext=True)
-    text = text.select(_track(text).alias("track_id"), F.posexplode(F.split("value", r"\r?\n")).alias("number", "line")).where("line LIKE '#%'")
+    if many:
+        text = spark.read.text(path).where("value LIKE '#%'").select(F.regexp_extract("value", r"^#\s*([^\t]*)\t", 1).alias("track_id"), F.regexp_replace("value", r"^#[^\t]*\t", "# ").alias("line"))
+        text = text.withColumn("number", F.monotonically_increasing_id())  # in the order of a file's lines
+    else:
+        text = spark.read.text(path, wholetext=True)
+        text = text.select(_track(text).alias("track_id"), F.posexplode(F.split("value", r"\r?\n")).alias("number", "line")).where("line LIKE '#%'")
     lines = text.select("track_id", "number", F.regexp_extract("line", r"^#\s*(\w+)\s*=", 1).alias("key"), F.trim(F.regexp_extract("line", r"^#\s*\w+\s*=(.*)$", 1)).alias("v"))
     first = lines.where("key <> ''").groupBy("track_id", "key").agg(F.min_by("v", "number").alias("v"))  # of a repeated key the first
     entries = first.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("meta"))
-    meta = bars.select("track_id").distinct().join(entries, "track_id", "left")
+    meta = bars.select("track_id").distinct().join(entries.hint("merge"), "track_id", "left")
     return bars, meta.select("track_id", F.coalesce(F.try_element_at("meta", F.lit("time_signature")).try_cast("int"), F.lit(4)).alias("time_signature"), "meta")
 
 
@@ -101,8 +130,14 @@ def read_onsets(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(spark, path, find, ["t"], default=[0]).select("track_id", F.col("t").try_cast("double").alias("t")).where("t IS NOT NULL")
 
 
-def write_onsets(onsets: DataFrame, path: str) -> None:
-    onsets.select("track_id", F.col("t").alias("onset_times")).write.partitionBy("track_id").csv(path, header=True)
+def write_onsets(onsets: DataFrame, path: str, by_track: bool = False) -> None:
+    """Onset lists in files that hold many tracks, or in a folder for each track."""
+    rows = onsets.select("track_id", F.col("t").alias("onset_times"))
+    if by_track:
+        # files are moved by the tasks that write them, not one after the other by the driver
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("track_id").csv(path, header=True)
+    else:
+        packed(rows).csv(path)
 
 
 def read_overview(spark: SparkSession, path: str) -> DataFrame:
@@ -137,10 +172,10 @@ RESULT = T.StructType([
 ])
 
 
-def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT) -> DataFrame:
-    """Result files (one JSON document each) under a folder tree; broken files are left out."""
+def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT, lines: bool = False) -> DataFrame:
+    """Result files (one JSON document each, or one in each line) under a folder tree; broken ones are left out."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(full).option("multiLine", not lines).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     return rows.withColumn("track_id", F.coalesce("track_id", track_of())).where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
@@ -167,7 +202,7 @@ def read_wide(spark: SparkSession, path: str, keys: tuple[str, ...] = ("bar_numb
                 own = {k: pa.array([row[names.index(k)] if k in names else None for row in lines], pa.string()) for k in keys}
                 places = [i for i, c in enumerate(names) if c.startswith(("phase_", "grid_time_"))]
                 cells = pa.array([[(names[i], row[i]) for i in places] for row in lines], pa.map_(pa.string(), pa.string()))
-                yield pa.record_batch({"track_id": pa.array([track] * len(lines), pa.string())} | own | {"m": cells})
+                yield pa.record_batch({"track_id": _tracks(names, lines, track)} | own | {"m": cells})
 
     text = spark.read.text(path, wholetext=True)
     types = ", ".join(f"`{k}` string" for k in ("track_id", *keys))
@@ -195,7 +230,8 @@ def _methods(long: DataFrame, kept: list[str]) -> DataFrame:
 
 def read_values(spark: SparkSession, path: str, low: float, high: float) -> DataFrame:
     """Value series (time, f0_hz), voiced and inside [low, high): the filter is pushed to the scan."""
-    rows = spark.read.csv(path, header=True, schema="time DOUBLE, f0_hz DOUBLE")
+    many = "track_id STRING, " if spark.read.csv(path, header=True).columns[:1] == ["track_id"] else ""
+    rows = spark.read.csv(path, header=True, schema=many + "time DOUBLE, f0_hz DOUBLE")
     return rows.where((F.col("time") >= low) & (F.col("time") < high) & (F.col("f0_hz") > 0)).select(_track(rows).alias("track_id"), F.col("time").alias("t"), F.col("f0_hz").alias("value"))
 
 
@@ -219,8 +255,8 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_wide(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A wide grid (track_id, keys, columns by method) as CSV with headers, in a folder for each track."""
-    wide.repartition("track_id").write.mode(mode).partitionBy("track_id").csv(path, header=True)
+    """A wide grid (track_id, keys, columns by method) as CSV with headers, in files that hold many tracks."""
+    packed(wide).mode(mode).csv(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
