@@ -39,16 +39,21 @@ def phase_rms(phases: DataFrame, keys: list[str], steps: int | str = STEPS) -> D
     return phases.groupBy(*keys).agg(F.count("phase").alias("n"), F.coalesce(F.sqrt(F.avg(dev * dev)), F.lit(0.0)).alias("rms_phase"))
 
 
-def rms_summary(by_method: DataFrame, methods: list[str], base: str = "uncorrected") -> DataFrame:
-    """Per track the methods' RMS in ms, their improvement over the base, and the best (the first of equals)."""
+def rms_summary(by_method: DataFrame, methods: list[str], base: str = "uncorrected", equal: float = 1e-9) -> DataFrame:
+    """Per track the methods' RMS in ms, their improvement over the base, and the best (the first of equals).
+
+    Equal to the least are those at most `equal` above it: the same deviations added up in another order differ in the
+    last digits, and rounding would still tell apart two sums on either side of a rounding edge.
+    """
 
     def of(m: str) -> Column:
         return F.max(F.when(F.col("method") == m, F.col("rms_ms")))
 
-    rank = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
-    rows = by_method.where(F.col("method").isin(methods)).groupBy("track_id").agg(*(of(m).alias(f"{m}_ms") for m in methods), F.min_by("method", F.struct("rms_ms", rank)).alias("best"))
+    rows = by_method.where(F.col("method").isin(methods)).groupBy("track_id").agg(*(of(m).alias(f"{m}_ms") for m in methods))
+    least = F.array_min(F.array(*(F.col(f"{m}_ms") for m in methods)))
+    best = F.coalesce(*(F.when(F.col(f"{m}_ms") - least <= equal, m) for m in methods))
     gains = [C.improvement(F.col(f"{base}_ms"), F.col(f"{m}_ms")).alias(f"{m}_gain") for m in methods if m != base]
-    return rows.select("*", *gains)
+    return rows.withColumn("best", best).select("*", *gains)
 
 
 def rhythm_histogram(ticks: DataFrame, length: int, steps: int = STEPS) -> DataFrame:

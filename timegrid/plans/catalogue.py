@@ -322,9 +322,9 @@ def rms_ms(spark, d):
 
 
 @query(f"""{S.ALL}, {S.LOOPS}, {S.LONG}, {S.RMS} SELECT track_id, {', '.join(f"round(max(rms_ms) FILTER (method = '{m}'), 4) AS {m}_ms" for m in WIDE)},
-arg_min(method, (round(rms_ms, 9), list_position({WIDE!r}, method))) AS best FROM rms WHERE method IN ({', '.join(map(repr, WIDE))}) GROUP BY track_id""")
+arg_min(method, list_position({WIDE!r}, method)) FILTER (rms_ms - least <= 1e-9) AS best FROM (SELECT *, min(rms_ms) OVER (PARTITION BY track_id) AS least FROM rms WHERE method IN ({', '.join(map(repr, WIDE))})) GROUP BY track_id""")
 def rms_summary_best(spark, d):
-    summary = stats.rms_summary(stats.rms(_long(spark, d, methods=WIDE)).withColumn("rms_ms", F.round("rms_ms", 9)), WIDE)
+    summary = stats.rms_summary(stats.rms(_long(spark, d, methods=WIDE)), WIDE)
     return summary.select("track_id", *(F.round(f"{m}_ms", 4).alias(f"{m}_ms") for m in WIDE), "best")
 
 
