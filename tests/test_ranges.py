@@ -65,6 +65,22 @@ def test_spacing_of_equal_steps(spark):
         assert rows(series.min_spacing_in_ranges(points, least, cuts)) == rows(series.min_spacing(points, least))
 
 
+def test_tables_of_jumps_shrink(spark):
+    """Chains of a hundred points and more: the tables of all widths together are no more than a few times the points."""
+    rng = random.Random(6)
+    points = spark.createDataFrame([(k, rng.uniform(-40, 60)) for k in (1, 2) for _ in range(1000)] + [(3, 1e6), (3, -1e6), (4, 0.0)], "track_id long, t double")
+    sizes = []
+
+    def keep(df, name):
+        df = df.localCheckpoint()
+        sizes.append((name, df.count()))
+        return df
+
+    got = series.min_spacing_in_ranges(points, 0.5, ranges.cuts([(points, "t")], rows=200), keep)
+    assert rows(got) == rows(series.min_spacing(points, 0.5))
+    assert sum(n for name, n in sizes if name == "jumps") < 3 * 2003
+
+
 def test_no_long_track_and_empty_tables(spark, sides):
     points, bounds, _ = sides
     none = ranges.cuts([(points, "t"), (bounds, "t")], rows=10_000)

@@ -67,32 +67,45 @@ def min_spacing(points: DataFrame, least: float) -> DataFrame:
 def min_spacing_in_ranges(points: DataFrame, least: float, cuts: Cuts, keep: Callable[[DataFrame, str], DataFrame] = scratch.written) -> DataFrame:
     """As min_spacing for `least` above 0, over any number of tasks for a track.
 
-    Every point jumps to the first one at least `least` later. Joining the jumps with themselves doubles their length;
-    from the first point on, the longest jumps and then ever shorter ones reach all that stay. So there are about
-    2 log2(n) joins by track and number, for chains of n points.
+    Every point jumps to the first one at least `least` later, and so into another cell of time, as cells are half as
+    wide. Two neighbouring blocks of cells make a block twice as wide, and jumps that stay in it are joined with the
+    next ones: then each leaves its block. Only points at which jumps enter a block are needed further on, and these lie
+    in its first `least`, so tables shrink about as blocks grow. From the first point of a track, the jumps of the widest
+    blocks and then of ever narrower ones reach all that stay. There are two joins by track and time for each width, about
+    2 log2(n) for chains of n points.
     """
     rows = cuts.placed(points.select("track_id", F.col("t").cast("double").alias("t")).where("t IS NOT NULL").distinct(), "t")
-    numbered = keep(cuts.lead(cuts.numbered(rows, ["t"], "i"), "t", ["t"], "after").drop(RANGE), "points")
-    there = F.struct(F.col("i").cast("long").alias("i"), "t", "after")
-    ahead = numbered.select("track_id", F.col("t").alias("_t"), F.lit(1).alias("_kind"), there.alias("_to"), F.lit(None).cast("struct<i: bigint, t: double, after: double>").alias("_from"))
+    followed = keep(cuts.lead(rows, "t", ["t"], "after").drop(RANGE), "points")
+    there, none = F.struct("t", "after"), F.lit(None).cast("struct<t: double, after: double>")
+    ahead = followed.select("track_id", F.col("t").alias("_t"), F.lit(1).alias("_kind"), there.alias("_to"), none.alias("_from"))
     # looked for a little early, then tested as the scan does, by the difference
     early = F.col("t") + least - F.abs(F.col("t") + least) * 1e-12
-    wanted = numbered.select("track_id", early.alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("struct<i: bigint, t: double, after: double>").alias("_to"), there.alias("_from"))
+    wanted = followed.select("track_id", early.alias("_t"), F.lit(0).alias("_kind"), none.alias("_to"), there.alias("_from"))
     found = cuts.first(cuts.placed(ahead.unionByName(wanted), "_t"), "_to", ["_t", "_kind"], "_next").where("_kind = 0 AND _next IS NOT NULL")
-    far = F.col("_next.t") - F.col("_from.t") >= least
-    place = F.when(far, F.col("_next.i")).when(F.col("_next.after").isNotNull(), F.col("_next.i") + 1)
-    jumps = keep(found.select("track_id", F.col("_from.i").alias("i"), place.alias("j")).where("j IS NOT NULL"), "jumps")
-    steps = [jumps]
-    while True:
-        then = steps[-1].select("track_id", F.col("i").alias("j"), F.col("j").alias("_j"))
-        longer = keep(steps[-1].join(then, ["track_id", "j"]).select("track_id", "i", F.col("_j").alias("j")), "jumps")
-        if longer.isEmpty():
-            break
-        steps.append(longer)
-    reached = numbered.where("i = 1").select("track_id", F.col("i").cast("long").alias("i"))
+    place = F.when(F.col("_next.t") - F.col("_from.t") >= least, F.col("_next.t")).otherwise(F.col("_next.after"))
+    lowest = followed.agg(F.min("t")).first()[0]
+
+    def bits(a: str, b: str):
+        """Blocks of 2 ** bits cells are the narrowest that hold both times."""
+        first, second = (F.floor((F.col(c) - F.lit(lowest)) / (least / 2)) for c in (a, b))
+        return F.length(F.bin(first.bitwiseXOR(second))).alias("bits")
+
+    first = keep(followed.groupBy("track_id").agg(F.min("t").alias("t")), "first")
+    jumps = found.select("track_id", F.col("_from.t").alias("t"), place.alias("to")).where("to IS NOT NULL")
+    jumps = keep(jumps.select("*", bits("t", "to")), "jumps")
+    steps = []
+    while (width := jumps.agg(F.min("bits")).first()[0]) is not None:
+        inside = jumps.where(F.col("bits") == width)
+        steps.append(inside.select("track_id", "t", "to"))
+        entered = jumps.where(F.col("bits") > width).select("track_id", F.col("to").alias("t")).unionByName(first).distinct()
+        then = jumps.select("track_id", F.col("t").alias("to"), F.col("to").alias("_to"))
+        own = jumps.join(entered, ["track_id", "t"], "left_semi")
+        longer = own.where(F.col("bits") == width).join(then, ["track_id", "to"]).select("track_id", "t", F.col("_to").alias("to"))
+        jumps = keep(own.where(F.col("bits") > width).unionByName(longer.select("*", bits("t", "to"))), "jumps")
+    reached = first
     for step in reversed(steps):
-        reached = keep(reached.unionByName(reached.join(step, ["track_id", "i"]).select("track_id", F.col("j").alias("i"))), "reached")
-    return numbered.join(reached, ["track_id", "i"]).select("track_id", "t")
+        reached = keep(reached.unionByName(reached.join(step, ["track_id", "t"]).select("track_id", F.col("to").alias("t"))), "reached")
+    return reached
 
 
 def peak_normalised(values: DataFrame) -> DataFrame:
