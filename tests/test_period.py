@@ -76,3 +76,20 @@ def test_exact_percentile(spark, q):
     for k, xs in groups.items():
         assert got[k] == (len(xs), pytest.approx(np.quantile(xs, q), abs=1e-12)), k
     assert stats.exact_percentile(rows, [], "x", q, 50).first().x == pytest.approx(np.quantile(np.concatenate(list(groups.values())), q), abs=1e-12)
+
+
+def test_contours_are_shuffled_once(spark):
+    """Values and bars meet once by track; pairs of bars, medians and the choice need no other exchange."""
+    rng = random.Random(8)
+    values = spark.createDataFrame([(k, rng.uniform(0, 40), rng.uniform(-1, 5)) for k in range(4) for _ in range(200)], "track_id long, t double, value double")
+    bars = spark.createDataFrame([(k, i, float(i), i + 1.0) for k in range(4) for i in range(40) if i % 7], "track_id long, bar int, start double, end double")
+    found = period.contour_period(values, bars)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    # bars that are left out don't bring others nearer
+    pairs = period.lag_pairs(period.resampled(values, bars))
+    assert {(r.track_id, r.bar, r.other, r.lag) for r in pairs.collect()} == {(k, i, i + n, n) for k in range(4) for i in range(40) for n in range(1, 10) if i % 7 and i + n < 40 and (i + n) % 7}
+    for r in period.resampled(values, bars).join(bars, ["track_id", "bar"]).collect():
+        own = sorted((x.t, x.value) for x in values.where(f"track_id = {r.track_id} AND value > 0 AND t >= {r.start} AND t < {r.end}").collect()) if r.track_id == 0 else []
+        if own:
+            t, y = map(np.array, zip(*own))
+            assert np.allclose(r.v, np.interp(np.linspace(t[0], t[-1], 16), t, y), atol=1e-9)

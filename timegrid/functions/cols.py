@@ -5,6 +5,8 @@ Nulls give null unless a function says otherwise. ANSI mode is assumed: every di
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -133,6 +135,11 @@ def equal_frames(frames: Column, n: int) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)).otherwise(F.array_repeat(F.lit(0.0), n))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it; expressions named in a lambda are worked out anew at each call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def circular_correlation(a: Column, b: Column, step: int = 1) -> Column:
     """Largest normalised circular correlation of two arrays over shifts 0, step, ...; 0 if one of them is all zero."""
 
@@ -144,8 +151,7 @@ def circular_correlation(a: Column, b: Column, step: int = 1) -> Column:
         return F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
 
     shifts = F.sequence(F.lit(0), F.size(a) - 1, F.lit(step))
-    scale = norm(a) * norm(b)
-    return F.when(scale > 0, F.array_max(F.transform(shifts, dot)) / F.nullif(scale, F.lit(0.0))).otherwise(F.lit(0.0))
+    return let(norm(a) * norm(b), lambda scale: F.when(scale > 0, F.array_max(F.transform(shifts, dot)) / F.nullif(scale, F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
 def register(spark: SparkSession) -> None:

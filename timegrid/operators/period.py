@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,19 +24,20 @@ SILENT = 1e-9
 
 def bar_vectors(onsets: DataFrame, bars: DataFrame, bins: int = 16) -> DataFrame:
     """Per bar an array of 0 and 1: whether an onset falls into each of `bins` equal parts; silent bars are all 0."""
-    placed = asof.in_bars(onsets.select("track_id", "t"), bars.select("track_id", "bar", "start", "end")).where("end > start")
-    part = F.least(F.floor((F.col("t") - F.col("start")) / (F.col("end") - F.col("start")) * bins), F.lit(bins - 1)).cast("int")
+    placed = asof.with_bars(onsets.select("track_id", "t"), bars.select("track_id", "bar", "start", "end"))
+    length = F.col("end") - F.col("start")
+    part = F.when((length > 0) & F.col("t").isNotNull(), F.least(F.floor((F.col("t") - F.col("start")) / length * bins), F.lit(bins - 1)).cast("int"))
     found = placed.groupBy("track_id", "bar").agg(F.collect_set(part).alias("parts"))  # at most `bins` members
-    full = bars.select("track_id", "bar").join(found, ["track_id", "bar"], "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<int>")))
     vector = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.array_contains(F.col("parts"), i).cast("double"))
-    return full.select("track_id", "bar", vector.alias("v"))
+    return found.select("track_id", "bar", vector.alias("v"))
 
 
 def lag_pairs(vectors: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """Pairs of bars of a track that are 1 to max_lag apart: an equi-join on the later bar's number."""
-    first = vectors.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("other", F.col("bar") + F.col("lag")).withColumnRenamed("v", "a")
-    second = vectors.select("track_id", F.col("bar").alias("other"), F.col("v").alias("b"))
-    return first.join(second, ["track_id", "other"])
+    """Pairs of bars of a track that are 1 to max_lag apart: each bar goes once into a window of its track by number."""
+    ahead = Window.partitionBy("track_id").orderBy(F.col("bar").cast("long")).rangeBetween(1, max_lag)
+    later = F.collect_list(F.struct(F.col("bar").alias("other"), F.col("v").alias("b"))).over(ahead)
+    rows = vectors.withColumn("_later", later).withColumnRenamed("v", "a").select("*", F.explode("_later").alias("_pair"))
+    return rows.select("*", "_pair.*", (F.col("_pair.other") - F.col("bar")).cast("int").alias("lag")).drop("_later", "_pair")
 
 
 def lag_profile(pairs: DataFrame, similarity: Column, mean: bool = False) -> DataFrame:
@@ -66,26 +67,28 @@ def resampled(values: DataFrame, bars: DataFrame, n: int = 16, closed: bool = Tr
 
     closed: the last place is the last value's; otherwise the end is left out. Bars without voiced values are all 0.
     """
-    inside = asof.in_bars(values.where("value > 0").select("track_id", "t", "value"), bars.select("track_id", "bar", "start", "end"))
-    inside = inside.withColumn("key", F.struct("track_id", "bar"))
-    ends = inside.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    step = (F.col("t1") - F.col("t0")) / float(n - 1 if closed else n)
-    places = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("g", F.when(F.col("i") == n - 1, F.col("t1") if closed else F.col("t0") + F.col("i") * step).otherwise(F.col("t0") + F.col("i") * step))
-    points = inside.select("key", "t", "value")
-    low = asof.last_before(places.select("key", "i", "g"), points, "g", "t", "key")
-    flipped = asof.last_before(low.select("key", "i", (-F.col("g")).alias("h"), "g", F.col("bound.t").alias("ta"), F.col("bound.value").alias("va")), points.withColumn("h", -F.col("t")), "h", "h", "key")
-    tb, vb = F.col("bound.t"), F.col("bound.value")
-    value = F.when(tb > F.col("ta"), F.col("va") + (vb - F.col("va")) * ((F.col("g") - F.col("ta")) / F.nullif(tb - F.col("ta"), F.lit(0.0)))).otherwise(F.col("va"))
-    rows = flipped.withColumn("y", value).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda x: x["y"]).alias("v"))
-    full = bars.select("track_id", "bar").join(rows.select("key.track_id", "key.bar", "v"), ["track_id", "bar"], "left")
-    return full.withColumn("v", F.coalesce("v", F.array_repeat(F.lit(0.0), n)))
+    inside = asof.with_bars(values.where("value > 0").select("track_id", "t", "value"), bars.select("track_id", "bar", "start", "end"))
+    # a bar's own row has no time; it comes first
+    order = Window.partitionBy("track_id", "bar").orderBy("t", "value")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t, y, after, next_y, t0, t1 = map(F.col, ("t", "value", "_after", "_next", "_t0", "_t1"))
+    spans = inside.select("track_id", "bar", "t", "value", F.lead("t").over(order).alias("_after"), F.lead("value").over(order).alias("_next"), F.min("t").over(whole).alias("_t0"), F.max("t").over(whole).alias("_t1"))
+    step = (t1 - t0) / float(n - 1 if closed else n)
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), (F.when(i == n - 1, t1).otherwise(t0 + i * step) if closed else t0 + i * step).alias("g")))
+    # a point answers for the places from its time up to the next one's
+    own = F.filter(places, lambda p: (p["g"] >= t) & (after.isNull() | (p["g"] < after)))
+    value = F.transform(own, lambda p: F.struct(p["i"].alias("i"), F.when((p["g"] > t) & after.isNotNull(), y + (next_y - y) * ((p["g"] - t) / F.nullif(after - t, F.lit(0.0)))).otherwise(y).alias("y")))
+    rows = spans.select("track_id", "bar", value.alias("own")).groupBy("track_id", "bar").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("own"))  # n members
+    return rows.select("track_id", "bar", F.when(F.size("own") == 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform("own", lambda x: x["y"])).alias("v"))
 
 
 def standardised(v: Column) -> Column:
     """Less the mean, over the population deviation (never 0)."""
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    variance = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v)
-    return F.transform(v, lambda x: (x - mean) / (F.sqrt(variance) + 1e-9))
+    def about(v: Column, mean: Column) -> Column:
+        variance = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v)
+        return C.let(F.sqrt(variance) + 1e-9, lambda deviation: F.transform(v, lambda x: (x - mean) / deviation))
+
+    return C.let(v, lambda v: C.let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v), lambda mean: about(v, mean)))
 
 
 def contour_period(values: DataFrame, bars: DataFrame, beats: int = 4, n: int = 16) -> DataFrame:
