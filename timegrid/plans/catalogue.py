@@ -451,9 +451,12 @@ def _frames(spark, d) -> DataFrame:
     """Frames of four channels, of unequal length by bar; a channel without events in a bar is one frame of 0."""
     rows = _bars(spark, d)
     events = T.table(spark, d, "events").select(F.col("user_id").alias("track_id"), "event_id", F.expr(T.HOURS).alias("t"), "value", F.col("event_type").alias("channel"))
-    placed = asof.in_bars(events, rows).groupBy("track_id", "bar", "channel").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))).alias("f"))
-    every = rows.select("track_id", "bar", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel")).join(placed, ["track_id", "bar", "channel"], "left")
-    return every.select("track_id", "bar", "channel", F.coalesce(F.transform("f", lambda x: x["value"]), F.array(F.lit(0.0))).alias("frames"))
+    placed = asof.with_bars(events.where(F.col("channel").isin(*CHANNELS)), rows.select("track_id", "bar", "start", "end"))
+    # a bar's own row stands for all channels
+    channel = F.explode(F.when(F.col("channel").isNull(), F.array(*map(F.lit, CHANNELS))).otherwise(F.array("channel")))
+    found = placed.select("track_id", "bar", "t", "event_id", "value", channel.alias("channel")).groupBy("track_id", "bar", "channel")
+    f = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "event_id", "value"))))
+    return found.agg(f.alias("f")).select("track_id", "bar", "channel", F.when(F.size("f") == 0, F.array(F.lit(0.0))).otherwise(F.transform("f", lambda x: x["value"])).alias("frames"))
 
 
 def _methods(spark, d) -> DataFrame:
