@@ -52,6 +52,15 @@ def test_spacing_equals_batch(spark, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_tracks_share_keys_of_state(spark, tmp_path):
+    """Many tracks are a few keys of state; each is still spaced by itself."""
+    times = [(float(t), k) for t in (0, 10, 50, 70) for k in range(300)] + [(9000.0, 0)]
+    rows = streams.in_order(arriving(spark, f"{tmp_path}/in", times, 3, "track_id long").select("track_id", "ts", F.unix_micros("ts").alias("us"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("id")), lambda memory, us, kind, number: [(us,)], "us long", lambda memory, passed: False, "10 minutes", buckets=8)
+    query = finished(rows, tmp_path, "shared")
+    assert spark.table("shared").groupBy("track_id").count().where("count = 4").count() == 300
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 8
+
+
 def test_placed_equals_batch_from_files_out_of_order(spark, tmp_path):
     rng = random.Random(8)
     points = [(round(rng.uniform(0, 3000), 1), rng.randrange(2), i) for i in range(200)]

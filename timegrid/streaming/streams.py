@@ -27,38 +27,57 @@ def incremental(spark: SparkSession, source: str, schema: str, target: str, chec
 Fold = Callable[[list, int, int, int], list[tuple]]
 
 
-def in_order(events: DataFrame, fold: Fold, output: str, keep: Callable[[list, int], bool], watermark: str) -> DataFrame:
+#: Keys of state that tracks are dealt over by hash: a key costs milliseconds in Python, however little it holds.
+BUCKETS = 1024
+
+
+def in_order(events: DataFrame, fold: Fold, output: str, keep: Callable[[list, int], bool], watermark: str, buckets: int = BUCKETS) -> DataFrame:
     """Folds each track's events (track_id, us, kind, id, and ts with the same instants) in order of time, however they arrive.
 
     An event waits in state until the watermark has passed it, so no earlier one can follow, and is then given to fold
     with the track's memory, a list of numbers; what fold returns are rows of `output` after track_id. Equal times go by
-    kind, then id. A timer wakes a track when the watermark reaches its next event. Its state is removed once nothing
-    waits and keep(memory, watermark in microseconds) says that the memory isn't needed any more.
+    kind, then id. A track's state is removed once nothing waits and keep(memory, watermark in microseconds) says that the
+    memory isn't needed any more. A key of state is a bucket of tracks; a timer wakes it when the watermark reaches the
+    next event of one of them. A task holds one bucket at a time, so more tracks than millions want more buckets.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, waiting = (list(state.get[0]), [tuple(x) for x in zip(*state.get[1:], strict=True)]) if state.exists else ([], [])
+        memories: dict[int, list[int]] = {}
+        waiting: dict[int, list[tuple]] = {}
+        if state.exists:
+            owners, numbers, *old = state.get
+            for track, number in zip(owners, numbers, strict=True):
+                memories.setdefault(track, []).append(number)
+            for track, *event in zip(*old, strict=True):
+                waiting.setdefault(track, []).append(tuple(event))
         for frame in frames:
-            waiting += zip(*(frame[c].tolist() for c in ("us", "kind", "id")), strict=True)
-        waiting.sort()
+            for track, *event in zip(*(frame[c].tolist() for c in ("track_id", "us", "kind", "id")), strict=True):
+                waiting.setdefault(track, []).append(tuple(event))
         passed = state.getCurrentWatermarkMs() * 1000
-        out, n = [], 0
-        while n < len(waiting) and waiting[n][0] <= passed:
-            out += fold(memory, *waiting[n])
-            n += 1
-        waiting = waiting[n:]
-        if not waiting and not keep(memory, passed):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((memory, *([x[i] for x in waiting] for i in range(3))))
+        out, wakes = [], []
+        held: list[tuple] = []
+        later: list[tuple] = []
+        for track in memories.keys() | waiting.keys():
+            memory, own, n = memories.get(track, []), sorted(waiting.get(track, [])), 0
+            while n < len(own) and own[n][0] <= passed:
+                out += ((track, *row) for row in fold(memory, *own[n]))
+                n += 1
+            if n < len(own) or keep(memory, passed):
+                held += ((track, x) for x in memory)
+                later += ((track, *x) for x in own[n:])
+                wakes.append(own[n][0] if n < len(own) else memory[-1])
+        if wakes:
+            state.update((*([x[i] for x in held] for i in range(2)), *([x[i] for x in later] for i in range(4))))
             # the timer must lie after the watermark, in milliseconds
-            state.setTimeoutTimestamp(max(passed // 1000 + 1, (waiting[0][0] if waiting else memory[-1]) // 1000 + 1))
+            state.setTimeoutTimestamp(max(passed // 1000 + 1, min(wakes) // 1000 + 1))
+        elif state.exists:
+            state.remove()
         names = [c.split()[0] for c in output.split(", ")]
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=["track_id", *names])
+        yield pd.DataFrame(out, columns=["track_id", *names])
 
-    rows = events.withWatermark("ts", watermark).groupBy("track_id")
-    return rows.applyInPandasWithState(step, f"track_id long, {output}", "memory array<bigint>, us array<bigint>, kind array<bigint>, id array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withWatermark("ts", watermark).withColumn("bucket", F.pmod(F.xxhash64("track_id"), F.lit(buckets))).groupBy("bucket")
+    types = ", ".join(f"{c} array<bigint>" for c in ("owner", "memory", "track", "us", "kind", "id"))
+    return rows.applyInPandasWithState(step, f"track_id long, {output}", types, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def spaced(events: DataFrame, least: float, watermark: str = "10 minutes") -> DataFrame:
