@@ -31,3 +31,18 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in seen.select("doc_id").collect()}
     assert packed.where("piece = 0").count() == seen.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_worker_keeps_a_bounded_number_of_words():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from timegrid.llm.packing import WordIds
+
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join("".join("abcdefghij"[int(d)] for d in str(i)) for i in range(k, k + 50_000)) for k in range(0, 700_000, 50_000)]
+    first = words.ids(pa.array(texts[:1]))[0].tolist()
+    for text in texts[1:]:
+        words.ids(pa.array([text]))
+        assert len(words.known) <= 360_000
+    assert words.ids(pa.array(texts[:1]))[0].tolist() == first

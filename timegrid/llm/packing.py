@@ -28,7 +28,9 @@ from timegrid.llm.common import save, slices
 SEQUENCE = 2048
 GROUP = 8192
 SLACK = 32
-KNOWN_WORDS = 900_000
+#: Words whose ids a worker keeps, and bytes of text that it takes at a time: three workers share an executor's memory.
+KNOWN_WORDS = 300_000
+TEXT_BYTES = 4 << 20
 #: Letters of ASCII and Latin-1, then ASCII marks but the apostrophe: the tokenizer cuts such a word just there.
 SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 #: How byte-level vocabularies write the bytes of letters: most as the character of that number, the rest after 255.
@@ -146,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             _by_path[tokenizer, end_id] = WordIds(tokenizer, end_id)
         words = _by_path[tokenizer, end_id]
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=TEXT_BYTES):
                 ids, counts = words.ids(part.column("text").cast(pa.string()).fill_null(""))
                 rows, at, data = [], 0, memoryview(ids.astype("<u4")).cast("B")
                 for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
