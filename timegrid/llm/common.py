@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,31 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = stop
 
 
+def trim() -> None:
+    """Gives memory that freed arrays have left back to the system: workers of an executor keep it otherwise, also idle ones."""
+    pa.default_memory_pool().release_unused()
+    if given_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # in glibc only
+        given_back(0)
+
+
+def trimmed(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of a group (or two) that calls trim once its arrays are gone."""
+
+    @functools.wraps(run)
+    def with_one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    @functools.wraps(run)
+    def with_two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        trim()
+        return out
+
+    return with_one if run.__code__.co_argcount == 1 else with_two  # Spark asks how many tables a function takes
+
+
 def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """All words of the texts, A-Z lowered, one after the other, and how many each text has.
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import coded_words, mixed, release, save, slices
+from timegrid.llm.common import coded_words, mixed, release, save, slices, trim, trimmed
 
 SWEEPS = 4
 BURN_IN = 2
@@ -321,6 +321,7 @@ def _packed(places_: Places, context: np.ndarray, word: np.ndarray) -> tuple[np.
 def _gatherer(batches: Iterator[pa.RecordBatch], coded: np.ndarray, least: int, columns: list[str]) -> Iterator[tuple]:
     """Runs of texts with about `least` tokens: tokens, counts, and the columns' arrays."""
     held, size = [], 0
+    batch = part = tokens = counts = None
     for batch in batches:
         for part in slices(batch, most=1 << 20):
             tokens, counts = _with_ends(part.column("text"), coded)
@@ -330,9 +331,13 @@ def _gatherer(batches: Iterator[pa.RecordBatch], coded: np.ndarray, least: int,
                 whole, held, size = _joined(held), [], 0
                 yield whole
                 del whole
-                pa.default_memory_pool().release_unused()
+                trim()
+    del batch, part, tokens, counts
     if held:
-        yield _joined(held)
+        whole, held = _joined(held), []
+        yield whole
+        del whole
+    trim()
 
 
 def _joined(held: list[tuple]) -> tuple:
@@ -381,8 +386,11 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
             for s, k in zip(starts.tolist(), lengths.tolist(), strict=True):
                 at, sizes = _runs(context[s : s + k])
                 rows.append((int(shard[s]), _bytes(context[s : s + k][at], "<u8"), _bytes(sizes, "<u4"), _bytes(word[s : s + k], "<u8"), _bytes(c[s : s + k], "<u4")))
+            del context, word, c, order, shard, starts, lengths, first, counts
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            del rows
 
+    @trimmed
     def count(table: pa.Table) -> pa.Table:
         schema, sent = _schema(COUNTED), {k: table.column(k).to_pylist() for k in ("contexts", "lengths", "words", "counts")}
         context = np.concatenate([np.repeat(_array(x, "<u8"), _array(k, "<u4")) for x, k in zip(sent["contexts"], sent["lengths"], strict=True)])
@@ -474,6 +482,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
     for sweep in range(sweeps):
         size, base, keep = theta + customers, (theta + d0 * total) / (v + 1), sweep >= burn_in
 
+        @trimmed
         def seat(book: pa.Table, told: pa.Table, *, sweep=sweep, size=size, base=base, keep=keep, split_t=split_t) -> pa.Table:
             schema = _schema(SEATED)
             if not book.num_rows:
@@ -677,47 +686,54 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
     names = ["doc_id", *keep]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in names for f in docs.schema.fields if f.name == c]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, schema, number = given.value, _schema(f"{chunk}, {doc}"), 0
+    def asked_of(run: int, tokens: np.ndarray, counts: np.ndarray, columns: list[pa.Array]) -> pa.Table:
+        """Rows of a run of texts: what is known of each, and the other pairs for the shards."""
+        t, schema = given.value, _schema(f"{chunk}, {doc}")
         near_, pairs = t["near"], t["pairs"]
         lb = np.log10((near_["c"] + 0.5) / floor)
-        for tokens, counts, columns in _gatherer(batches, where.coded, ASK_TOKENS, names):
-            run, number = (TaskContext.get().partitionId() << 32) + number, number + 1
-            before, text = _contexts(tokens, counts), np.repeat(np.arange(len(counts)), counts)
-            found, first, which = np.unique(_named(before, tokens), return_index=True, return_inverse=True)
-            context, word = before[first], tokens[first]
-            at, known = _find(near_["keys"], word)
-            place, short = _find(pairs["names"], found)
-            base, logs = np.zeros(len(found)), np.zeros(len(found))
-            base[known], logs[short] = lb[at[known]], pairs["lp"][place[short]]
-            own = {"n_known": np.bincount(text, known[which], len(counts)).astype(np.int64), "base_score": np.bincount(text, base[which], len(counts)), "score": np.bincount(text, logs[which], len(counts))}
-            whole = pa.schema([*schema, *(pa.field(c, x.type) for c, x in zip(names, columns, strict=True))])
-            rows = _table(whole, len(counts), **dict(zip(names, columns, strict=True)), shard=np.full(len(counts), run % where.shards, np.int32), run=np.full(len(counts), run), text_no=np.arange(len(counts), dtype=np.int32), n_tokens=counts, **own)
-            out = [rows]
-            # the other pairs by shard and context; of each the texts and how often they have it
-            left = np.flatnonzero(~short)
-            order, shard = _packed(where, context[left], word[left])
-            rank = np.full(len(found), -1)
-            rank[left[order]] = np.arange(len(order))
-            context, word = context[left[order]], word[left[order]]
-            mine = np.flatnonzero(rank[which] >= 0)
-            entry, c = np.unique(rank[which[mine]] * len(counts) + text[mine], return_counts=True)
-            pair, entry = entry // len(counts), entry % len(counts)
-            times = np.bincount(pair, minlength=len(order))
-            ends = np.concatenate([[0], np.cumsum(times)])
-            starts, lengths = _runs(shard)
-            packed = []
-            for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
-                runs, sizes = _runs(context[s : s + m])
-                a, b = ends[s], ends[s + m]
-                packed.append((int(shard[s]), run, _bytes(context[s : s + m][runs], "<u8"), _bytes(sizes, "<u4"), _bytes(word[s : s + m], "<u8"), _bytes(times[s : s + m], "<u4"), _bytes(entry[a:b], "<u4"), _bytes(c[a:b], "<u4")))
-            if packed:
-                columns_ = dict(zip([f.name for f in _schema(chunk)], zip(*packed, strict=True), strict=True))
-                out.append(_table(whole, len(packed), **columns_))
-            yield from pa.concat_tables(out).to_batches()
+        before, text = _contexts(tokens, counts), np.repeat(np.arange(len(counts)), counts)
+        found, first, which = np.unique(_named(before, tokens), return_index=True, return_inverse=True)
+        context, word = before[first], tokens[first]
+        del before, tokens, first
+        at, known = _find(near_["keys"], word)
+        place, short = _find(pairs["names"], found)
+        base, logs = np.zeros(len(found)), np.zeros(len(found))
+        base[known], logs[short] = lb[at[known]], pairs["lp"][place[short]]
+        own = {"n_known": np.bincount(text, known[which], len(counts)).astype(np.int64), "base_score": np.bincount(text, base[which], len(counts)), "score": np.bincount(text, logs[which], len(counts))}
+        whole = pa.schema([*schema, *(pa.field(c, x.type) for c, x in zip(names, columns, strict=True))])
+        rows = _table(whole, len(counts), **dict(zip(names, columns, strict=True)), shard=np.full(len(counts), run % where.shards, np.int32), run=np.full(len(counts), run), text_no=np.arange(len(counts), dtype=np.int32), n_tokens=counts, **own)
+        out = [rows]
+        del found, at, known, place, base, logs
+        # the other pairs by shard and context; of each the texts and how often they have it
+        left = np.flatnonzero(~short)
+        order, shard = _packed(where, context[left], word[left])
+        rank = np.full(len(short), -1)
+        rank[left[order]] = np.arange(len(order))
+        context, word = context[left[order]], word[left[order]]
+        mine = np.flatnonzero(rank[which] >= 0)
+        entry, c = np.unique(rank[which[mine]] * len(counts) + text[mine], return_counts=True)
+        pair, entry = entry // len(counts), entry % len(counts)
+        times = np.bincount(pair, minlength=len(order))
+        del which, text, mine, pair, rank, left, order
+        ends = np.concatenate([[0], np.cumsum(times)])
+        starts, lengths = _runs(shard)
+        packed = []
+        for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
+            runs, sizes = _runs(context[s : s + m])
+            a, b = ends[s], ends[s + m]
+            packed.append((int(shard[s]), run, _bytes(context[s : s + m][runs], "<u8"), _bytes(sizes, "<u4"), _bytes(word[s : s + m], "<u8"), _bytes(times[s : s + m], "<u4"), _bytes(entry[a:b], "<u4"), _bytes(c[a:b], "<u4")))
+        if packed:
+            columns_ = dict(zip([f.name for f in _schema(chunk)], zip(*packed, strict=True), strict=True))
+            out.append(_table(whole, len(packed), **columns_))
+        return pa.concat_tables(out)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (tokens, counts, columns) in enumerate(_gatherer(batches, where.coded, ASK_TOKENS, names)):
+            yield from asked_of((TaskContext.get().partitionId() << 32) + number, tokens, counts, columns).to_batches()
 
     answers = f"run long, {doc}, texts binary, ls binary, rare_texts binary, lb binary, known binary, word long, times long, {', '.join(f'b{i} double' for i in range(k))}"
 
+    @trimmed
     def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
         t, schema = given.value, _schema(answers)
         docs_ = asked.filter(pc.is_valid(asked.column("text_no")))
@@ -796,6 +812,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
     given.destroy()
     release()
 
+    @trimmed
     def add(table: pa.Table) -> pa.Table:
         texts, rare_texts = (np.concatenate([_array(x, "<u4") for x in table.column(c).to_pylist()]) for c in ("texts", "rare_texts"))
         size = int(texts.max()) + 1
