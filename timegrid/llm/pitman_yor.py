@@ -11,9 +11,11 @@ probabilities of the sweeps after the first ones are averaged.
 How it is dealt: every pair (context, word) of the training texts is counted, none is dropped. Tasks sum the pairs of a
 run of texts and send them, packed, to shards by the context's hash, so that a restaurant's customers, tables and
 dishes lie in one task. A context that holds more than a shard's part of the tokens is dealt over several shards by the
-word's hash; its totals, a row each, go back to its shards. In a sweep each shard asks the table of words for the words
-that it holds, by a join, and gives back its tables by word. Scoring sends the distinct pairs of texts to the same
-shards. Shards have a bounded number of tokens, and their number grows with the texts.
+word's hash; its totals, a row each, go back to its shards. The words lie in buckets by their hash. A bucket and a shard
+exchange packed arrays, a row for each two of them: the bucket tells the parent's customers and tables of the words that
+the shard holds, in the order of the words' places, and the shard gives back its tables by word in that order, so that no
+row for a word is joined. Scoring sends the distinct pairs of texts to the same shards. Shards have a bounded number of
+tokens, and their number grows with the texts; so does that of the buckets.
 
 Broadcast are shortcuts only, which save rows and change no result: the most frequent words and pairs, in fixed number.
 
@@ -47,6 +49,9 @@ SWEEPS = 4
 BURN_IN = 2
 #: Dishes of up to so many customers are reseated exactly.
 EXACT = 64
+#: Buckets of words: one for so many shards, but at least LEAST_BUCKETS, or the shards' number.
+BUCKET_SHARDS = 4
+LEAST_BUCKETS = 24
 #: Bytes of text for each shard, and tokens that a task sums before it sends them.
 SHARD_BYTES = 4 << 20
 RUN_TOKENS = 800_000
@@ -96,6 +101,30 @@ def _find(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, sorted_[at] == asked
 
 
+def _argsort(keys: np.ndarray) -> np.ndarray:
+    """np.argsort(keys, kind="stable") for 64-bit hashes: one sort of their upper bits with the places below these.
+
+    Where upper bits of unequal keys agree, which is rare among hashes, the usual way is taken.
+    """
+    keys = keys.view(np.uint64)
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    both = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    del both
+    there = keys[order]
+    return order if (there[1:] >= there[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of 64-bit hashes, starts of the runs of equal ones in it, and the run of each."""
+    order = _argsort(keys)
+    starts, lengths = _runs(keys[order])
+    run = np.empty(len(keys), np.int64)
+    run[order] = np.repeat(np.arange(len(starts)), lengths)
+    return order, starts, run
+
+
 @functools.cache
 def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -280,6 +309,19 @@ class Places:
             name = np.where(split, mixed(name + mixed(word, 4) % np.maximum(1, self.parts[at]).astype(np.uint64), 5), name)
         return (name % np.uint64(self.shards)).astype(np.int64)
 
+    @property
+    def buckets(self) -> int:
+        return max(min(self.shards, LEAST_BUCKETS), self.shards // BUCKET_SHARDS)
+
+    def bucket(self, rank: np.ndarray) -> np.ndarray:
+        """Buckets of words by their ranks (_rank); they rise with the ranks."""
+        return ((rank >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _rank(word: np.ndarray) -> np.ndarray:
+    """What orders words in shards and buckets alike."""
+    return mixed(word, 7)
+
 
 def places(docs: DataFrame, shard_bytes: int = SHARD_BYTES, codes: int = CODES) -> Places:
     """Shards for the texts of docs, contexts to split (those of more than a quarter of a shard's tokens), short names."""
@@ -314,7 +356,14 @@ def places(docs: DataFrame, shard_bytes: int = SHARD_BYTES, codes: int = CODES)
 def _packed(places_: Places, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct pairs by shard and context, and their shards in that order."""
     shard = places_.of(context, word)
-    order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | (context >> np.uint64(24)), kind="stable")
+    # 30 bits that keep a context's pairs together: a short name, or the upper bits of a hash
+    near, bits = np.where(context >= TOP, context >> np.uint64(34), context), len(context).bit_length()
+    if places_.shards.bit_length() + 30 + bits > 64:
+        order = np.lexsort((near, shard))
+    else:
+        both = (((shard.astype(np.uint64) << np.uint64(30)) | near) << np.uint64(bits)) | np.arange(len(context), dtype=np.uint64)
+        both.sort()
+        order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
     return order, shard[order]
 
 
@@ -352,7 +401,14 @@ BOOK = "contexts binary, n binary, ones binary, several binary, single binary, w
 #: Their seating: tables (t) of the dishes of several customers, the sum of these over the kept sweeps (ts), and the
 #: contexts' tables in the kept sweeps, one after the other (kept).
 SEATING = "t binary, ts binary, kept binary"
-COUNTED = f"shard int, {BOOK}, word long, wc long, w1 long, wk long, context long, cn long, ct long, pairs1 long, pairs2 long"
+COUNTED = f"shard int, {BOOK}, bucket int, word binary, wc binary, w1 binary, wk binary, context long, cn long, ct long, pairs1 long, pairs2 long"
+#: The words of a bucket, in order of their ranks: customers (c) of their pairs, dishes of one customer (w1), the
+#: parent's customers (m) and tables (t), and these two in the kept sweeps, one after the other (ms, ts); sums of these.
+WORDS = "bucket int, word binary, c binary, w1 binary, m binary, t binary, ms binary, ts binary, n long, v long, c1 long, c2 long, customers long, total long"
+#: For a shard, places of its words in a bucket: of those that have dishes of several customers (several), and of the others.
+DEALT = "shard int, several binary, others binary"
+#: What a bucket tells a shard of the first kind of words: m and t of each.
+TOLD = "told_m binary, told_t binary"
 
 
 def _names(ddl: str) -> list[str]:
@@ -367,18 +423,21 @@ def _schema(ddl: str) -> pa.Schema:
 def gather(docs: DataFrame, places_: Places) -> DataFrame:
     """The restaurants of docs' texts: a row per shard (BOOK), and rows of counts.
 
-    word, wc, w1, wk: of each word of a shard its customers, its dishes of one customer and of more. context, cn, ct:
-    of each context that is dealt over several shards its customers and dishes here. pairs1, pairs2: how many dishes
-    of one and two customers the shard has.
+    word, wc, w1, wk: the words that a shard has of a bucket, in order of their ranks, and of each its customers, its
+    dishes of one customer and of more. context, cn, ct: of each context that is dealt over several shards its customers
+    and dishes here. pairs1, pairs2: how many dishes of one and two customers the shard has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema(SENT)
         for tokens, counts, _ in _gatherer(batches, places_.coded, RUN_TOKENS, []):
             before = _contexts(tokens, counts)
-            _, first, c = np.unique(_named(before, tokens), return_index=True, return_counts=True)
+            names = _named(before, tokens)
+            first = _argsort(names)
+            starts, c = _runs(names[first])
+            first = first[starts]
             context, word = before[first], tokens[first]
-            del before, tokens
+            del before, tokens, names
             order, shard = _packed(places_, context, word)
             context, word, c = context[order], word[order], c[order]
             starts, lengths = _runs(shard)
@@ -397,7 +456,7 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
         word = np.concatenate([_array(x, "<u8") for x in sent["words"]])
         c = np.concatenate([_array(x, "<u4") for x in sent["counts"]]).astype(np.int64)
         shard = table.column("shard")[0].as_py()
-        order = np.argsort(_named(context, word))
+        order = _argsort(_named(context, word))
         context, word, c = context[order], word[order], c[order]
         starts = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
         context, word, c = context[starts], word[starts], np.add.reduceat(c, starts)
@@ -409,11 +468,16 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
         many = c[~one]
         book = {"contexts": _bytes(context[starts], "<u8"), "n": _bytes(n, "<i8"), "ones": _bytes(ones, "<u4"), "several": _bytes(lengths - ones, "<u4"), "single": _bytes(word[one], "<u8"), "words": _bytes(word[~one], "<u8"), "c": _bytes(c[~one], "<i8")}
         out = [_table(schema, 1, shard=[shard], pairs1=[int(one.sum())], pairs2=[int((c == 2).sum())], **{k: [v] for k, v in book.items()})]
-        order = np.argsort(word)
-        w, one, c = word[order], one[order], c[order]
-        at, kinds = _runs(w)
-        w1 = np.add.reduceat(one.astype(np.int64), at)
-        out.append(_table(schema, len(at), shard=np.full(len(at), shard, np.int32), word=w[at].view(np.int64), wc=np.add.reduceat(c, at), w1=w1, wk=kinds - w1))
+        ranks = _rank(word)
+        order = _argsort(ranks)
+        at, kinds = _runs(ranks[order])
+        w1 = np.add.reduceat(one[order].astype(np.int64), at)
+        wc, w, bucket = np.add.reduceat(c[order], at), word[order[at]], places_.bucket(ranks[order[at]])
+        del order, ranks
+        begins, sizes = _runs(bucket)
+        cut = [slice(b, b + k) for b, k in zip(begins.tolist(), sizes.tolist(), strict=True)]
+        sent = {name: [_bytes(x[i], kind) for i in cut] for name, x, kind in (("word", w, "<u8"), ("wc", wc, "<u8"), ("w1", w1, "<u4"), ("wk", kinds - w1, "<u4"))}
+        out.append(_table(schema, len(cut), shard=np.full(len(cut), shard, np.int32), bucket=bucket[begins].astype(np.int32), **sent))
         _, split = _find(places_.keys, context[starts])
         out.append(_table(schema, int(split.sum()), context=context[starts][split].view(np.int64), cn=n[split], ct=lengths[split]))
         return pa.concat_tables(out)
@@ -421,13 +485,54 @@ def gather(docs: DataFrame, places_: Places) -> DataFrame:
     return save(docs.select("text").mapInArrow(run, SENT).groupBy("shard").applyInArrow(count, COUNTED), "counts", compression="zstd")
 
 
+def _told(schema: pa.Schema, bucket: int, shards: list[int], several: list[np.ndarray], m: np.ndarray, t: np.ndarray) -> pa.Table:
+    """A row of the parent's customers and tables for each shard that has dishes of several customers in the bucket."""
+    rows = [(shard, _bytes(m[at], "<u8"), _bytes(t[at], "<u8")) for shard, at in zip(shards, several, strict=True) if len(at)]
+    columns = dict(zip(("shard", "told_m", "told_t"), zip(*rows, strict=True), strict=True)) if rows else {}
+    return _table(schema, len(rows), bucket=np.full(len(rows), bucket, np.int32), **columns)
+
+
+def bucketed(held: DataFrame) -> DataFrame:
+    """The words of what gather gave: a row per bucket (WORDS), where each pair is one customer of its word, and a row
+    per bucket and shard (DEALT, TOLD)."""
+    ddl = f"{WORDS}, {DEALT}, {TOLD}"
+
+    @trimmed
+    def run(table: pa.Table) -> pa.Table:
+        schema, bucket, shards = _schema(ddl), table.column("bucket")[0].as_py(), table.column("shard").to_pylist()
+        words = [_array(x, "<u8") for x in table.column("word").to_pylist()]
+        ends = np.cumsum([len(x) for x in words])[:-1]
+        word = np.concatenate(words)
+        order, starts, run_ = _ranked(_rank(word))
+        word = word[order[starts]]
+        del order, words
+
+        def summed(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+            values = np.concatenate([_array(x, kind) for x in table.column(name).to_pylist()])
+            return values, np.bincount(run_, values, len(word)).astype(np.int64)
+
+        (_, c), (_, w1), (wk, sums) = summed("wc", "<u8"), summed("w1", "<u4"), summed("wk", "<u4")
+        m, t = w1 + sums, np.ones(len(word), np.int64)
+        parts = [(at[k > 0], at[k == 0]) for at, k in zip(np.split(run_, ends), np.split(wk, ends), strict=True)]
+        counts = {"n": c.sum(), "v": len(c), "c1": (c == 1).sum(), "c2": (c == 2).sum(), "customers": m.sum(), "total": t.sum()}
+        arrays = {"word": word, "c": c, "w1": w1, "m": m, "t": t}
+        return pa.concat_tables([
+            _table(schema, 1, bucket=[bucket], **{k: [_bytes(x, "<u8")] for k, x in arrays.items()}, ms=[_bytes(c[:0], "<u8")], ts=[_bytes(c[:0], "<u8")], **{k: [int(x)] for k, x in counts.items()}),
+            _table(schema, len(parts), bucket=np.full(len(parts), bucket, np.int32), shard=pa.array(shards, pa.int32()), several=[_bytes(a, "<u4") for a, _ in parts], others=[_bytes(b, "<u4") for _, b in parts]),
+            _told(schema, bucket, shards, [a for a, _ in parts], m, t),
+        ])
+
+    rows = held.where("word IS NOT NULL").select("bucket", "shard", "word", "wc", "w1", "wk")
+    return save(rows.groupBy("bucket").applyInArrow(run, ddl), "buckets", compression="zstd")
+
+
 # --- fitting
 
 
 @dataclass
 class Model:
-    """What scoring needs. words: word, wc (its customers) and for each kept sweep m and t (parent's customers and tables); books: the
-    shards' restaurants; seating: their tables; held: the counts; splits: for each kept sweep the tables of contexts in several shards; split_n: their customers."""
+    """What scoring needs. known: the words in buckets; dealt: which of them the shards have; books: the shards' restaurants; seating: their
+    tables; splits: for each kept sweep the tables of contexts in several shards; split_n: their customers."""
 
     n: int
     v: int
@@ -435,10 +540,10 @@ class Model:
     d1: float
     theta: float
     places: Places
-    words: DataFrame
+    known: DataFrame
+    dealt: DataFrame
     books: DataFrame
     seating: DataFrame
-    held: DataFrame
     sizes: list[float]
     shares: list[float]
     split_n: np.ndarray
@@ -449,8 +554,29 @@ class Model:
         """What turns a word's customers and tables into its probabilities: (m - d0 * t) / size + share."""
         return self.d0, np.array(self.sizes), np.array(self.shares)
 
+    @property
+    def words(self) -> DataFrame:
+        """A row for each word: word, wc (its customers) and for each kept sweep m and t (the parent's customers and tables)."""
+        return self.words_of(1)
+
+    def words_of(self, least: int) -> DataFrame:
+        """The words of at least so many customers."""
+        k = len(self.sizes)
+        kept = [f"{x}{i}" for x in "mt" for i in range(k)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    c = _array(row["c"], "<u8")
+                    chosen = np.flatnonzero(c >= least)
+                    m, t = (_array(row[x], "<u8").reshape(k, -1)[:, chosen] for x in ("ms", "ts"))
+                    columns = [_array(row["word"], "<u8")[chosen], c[chosen], *m, *t]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["word", "wc", *kept])
+
+        return self.known.select("word", "c", "ms", "ts").mapInArrow(run, ", ".join(f"{c} long" for c in ("word", "wc", *kept)))
+
 
-SEATED = f"place int, {SEATING}, word long, sent long, context long, ct long"
+SEATED = f"place int, {SEATING}, bucket int, sent binary, context long, ct long"
 
 
 def _totals(rows: DataFrame, keys: np.ndarray, column: str) -> np.ndarray:
@@ -468,15 +594,15 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
     where = places(docs, shard_bytes)
     held = gather(docs, where)
     pairs1, pairs2 = (int(x or 0) for x in held.agg(F.sum("pairs1"), F.sum("pairs2")).first())
-    words = held.where("word IS NOT NULL").groupBy("word").agg(F.sum("wc").alias("c"), F.sum("w1").alias("w1"), F.sum("wk").alias("wk"))
-    words = save(words.select("word", "c", "w1", (F.col("w1") + F.col("wk")).alias("m"), F.lit(1).cast("long").alias("t")), "words", compression="zstd")
-    n, v, ones, twos, customers = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.sum("m")).first())
+    found = bucketed(held)
+    n, v, ones, twos, customers = (int(x or 0) for x in found.agg(*(F.sum(x) for x in ("n", "v", "c1", "c2", "customers"))).first())
     d0, d1, theta, total = discount_of(ones, twos), discount_of(pairs1, pairs2), 1.0, v
     split_n, split_t = _totals(held, where.keys, "cn"), _totals(held, where.keys, "ct")
     books = held.where("contexts IS NOT NULL").select("shard", *_names(BOOK))
-    asked = save(held.where("wk > 0").select(F.col("shard").alias("place"), "word"), "asked")
+    dealt = found.where("several IS NOT NULL").select("bucket", *_names(DEALT))
+    known = found
     seating: DataFrame | None = None
-    sizes, shares, splits, kept = [], [], [], []
+    sizes, shares, splits = [], [], []
     release()
 
     for sweep in range(sweeps):
@@ -490,8 +616,8 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             row = book.to_pylist()[0]
             contexts, ones_, several = _array(row["contexts"], "<u8"), _array(row["ones"], "<u4").astype(np.int64), _array(row["several"], "<u4").astype(np.int64)
             word, c = _array(row["words"], "<u8"), _array(row["c"], "<i8")
-            is_word = pc.is_valid(told.column("word"))
-            last = told.filter(pc.invert(is_word)).to_pylist()
+            parts = told.to_pylist()
+            last = [x for x in parts if x["t"] is not None]
             now = last[0] if last else {"t": None, "ts": None, "kept": None}
             t = _array(now["t"], "<u4").astype(np.int64) if last else np.ones(len(c), np.int64)
             ts = _array(now["ts"], "<u4") if now["ts"] else np.zeros(len(c), np.int64)
@@ -499,11 +625,12 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             tables = ones_ + np.bincount(of, t, len(contexts)).astype(np.int64)
             at, split = _find(where.keys, contexts)
             tables[split] = split_t[at[split]]
-            told = told.filter(is_word)
-            w = told.column("word").to_numpy().view(np.uint64)
-            up = np.argsort(w)
-            place = up[np.searchsorted(w[up], word)] if len(word) else np.zeros(0, np.int64)
-            m, parent = told.column("m").to_numpy()[place], told.column("n").to_numpy()[place]
+            ranks = _rank(word)
+            order, starts, place = _ranked(ranks)
+            bucket = where.bucket(ranks[order[starts]])
+            parts = sorted((x for x in parts if x["told_m"] is not None), key=lambda x: x["bucket"])
+            m, parent = (np.concatenate([_array(x[name], "<u8").view(np.int64) for x in parts] or [np.zeros(0, np.int64)])[place] for name in ("told_m", "told_t"))
+            del ranks, place, parts
             rest = (m - t).astype(float)
             tau = np.where(rest > 0, np.maximum(1.0, parent * rest / np.maximum(m, 1)), 0.0)
             prior = Shared((tables[of] - t).astype(float), theta, d1, rest, tau, size, base, d0)
@@ -512,16 +639,16 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
             done = {"place": [row["shard"]], "t": [_bytes(t, "<u4")]}
             if keep:
                 done |= {"ts": [_bytes(ts + t, "<u4")], "kept": [_bytes(np.concatenate([_array(now["kept"], "<i8"), tables]), "<i8")]}
-            order = np.argsort(word)
-            starts, _ = _runs(word[order])
             sent = np.add.reduceat(t[order], starts) if len(starts) else np.zeros(0, np.int64)
+            begins, lengths = _runs(bucket)
+            given = [_bytes(sent[i : i + k], "<u8") for i, k in zip(begins.tolist(), lengths.tolist(), strict=True)]
             return pa.concat_tables([
                 _table(schema, 1, **done),
-                _table(schema, len(starts), word=word[order][starts].view(np.int64), sent=sent),
+                _table(schema, len(given), place=np.full(len(given), row["shard"], np.int32), bucket=bucket[begins].astype(np.int32), sent=given),
                 _table(schema, int(split.sum()), context=contexts[split].view(np.int64), ct=tables[split]),
             ])
 
-        told = asked.join(words.select("word", "m", F.col("t").alias("n")), "word").select("place", "word", "m", "n")
+        told = known.where("told_m IS NOT NULL").select(F.col("shard").alias("place"), "bucket", *_names(TOLD))
         if seating is not None:
             told = told.unionByName(seating.where("t IS NOT NULL").select("place", *_names(SEATING)), allowMissingColumns=True)
         else:
@@ -529,31 +656,37 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int
         seated = save(books.drop("single").groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(seat, SEATED), "seated", compression="zstd")
         split_t = _totals(seated, where.keys, "ct")
 
-        def parents(batches: Iterator[pa.RecordBatch], sweep=sweep, total=total) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    m, t = batch.column("m").to_numpy(), batch.column("t").to_numpy()
-                    names = mixed(batch.column("word").to_numpy().view(np.uint64), 3)
-                    now = reseated(m, names, Own((total - t).astype(float), theta, d0, v), d0, sweep, seed)
-                    yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(now))
-
-        sums = seated.where("word IS NOT NULL").groupBy("word").agg(F.sum("sent").alias("sent"))
-        moved = words.join(sums, "word", "left").select("word", "c", "w1", (F.col("w1") + F.coalesce("sent", F.lit(0))).alias("m"), "t", *kept)
-        schema = ", ".join(f"{c} long" for c in moved.columns)
-        moved = moved.mapInArrow(parents, schema)
-        if keep:
-            k = len(sizes)
-            moved = moved.withColumns({f"m{k}": F.col("m"), f"t{k}": F.col("t")})
-            kept += [f"m{k}", f"t{k}"]
-        old, words, seating = [words, *([seating] if seating is not None else [])], save(moved, "words", compression="zstd"), seated
-        release(*old)
-        customers, total = (int(x or 0) for x in words.agg(F.sum("m"), F.sum("t")).first())
+        @trimmed
+        def move(bucket: pa.Table, sent: pa.Table, *, sweep=sweep, total=total, keep=keep) -> pa.Table:
+            rows, given = bucket.to_pylist(), {x["place"]: x["sent"] for x in sent.to_pylist()}
+            row, shards = next(x for x in rows if x["word"] is not None), [x for x in rows if x["shard"] is not None]
+            word, w1, t = _array(row["word"], "<u8"), _array(row["w1"], "<u8").view(np.int64), _array(row["t"], "<u8").view(np.int64)
+            m = w1.copy()
+            places_ = [_array(x["several"], "<u4") for x in shards]
+            for x, at in zip(shards, places_, strict=True):
+                if len(at):
+                    m[at] += _array(given[x["shard"]], "<u8").view(np.int64)
+            t = reseated(m, mixed(word, 3), Own((total - t).astype(float), theta, d0, v), d0, sweep, seed)
+            row |= {"m": _bytes(m, "<u8"), "t": _bytes(t, "<u8"), "customers": int(m.sum()), "total": int(t.sum())}
+            if keep:
+                row |= {name: _bytes(np.concatenate([_array(row[name], "<u8"), x.view(np.uint64)]), "<u8") for name, x in (("ms", m), ("ts", t))}
+            out = _table(_schema(f"{WORDS}, shard int, {TOLD}"), 1, **{name: [row[name]] for name in _names(WORDS)})
+            if sweep + 1 == sweeps:
+                return out
+            return pa.concat_tables([out, _told(out.schema, row["bucket"], [x["shard"] for x in shards], places_, m, t)])
+
+        left = known.where("word IS NOT NULL").select(*_names(WORDS)).unionByName(dealt, allowMissingColumns=True)
+        sent = seated.where("sent IS NOT NULL").select("bucket", "place", "sent")
+        moved = save(left.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(move, f"{WORDS}, shard int, {TOLD}"), "words", compression="zstd")
+        release(*([known] if sweep else []), *([seating] if seating is not None else []))
+        known, seating = moved, seated
+        customers, total = (int(x or 0) for x in known.agg(F.sum("customers"), F.sum("total")).first())
         if keep:
             sizes.append(theta + customers)
             shares.append((theta + d0 * total) / (theta + customers) / (v + 1))
             splits.append(split_t)
-    release(asked)
-    return Model(n, v, d0, d1, theta, where, words.select("word", F.col("c").alias("wc"), *kept), books, seating.where("t IS NOT NULL").select("place", *_names(SEATING)), held, sizes, shares, split_n, splits)
+    known = known.where("word IS NOT NULL").select(*_names(WORDS))
+    return Model(n, v, d0, d1, theta, where, known, dealt, books, seating.where("t IS NOT NULL").select("place", *_names(SEATING)), sizes, shares, split_n, splits)
 
 
 # --- scoring
@@ -566,6 +699,31 @@ def _word_values(parent: tuple[float, np.ndarray, np.ndarray], rows: pa.Table) -
     return rows.column("wc").to_numpy(), (m - discount * t) / sizes + shares
 
 
+def _rare(model: Model, least: int) -> DataFrame:
+    """For each bucket and shard the words of the shard that have less than `least` customers, with these and for the kept
+    sweeps, one after the other, what the parent has of them: shard, rare_word, rare_c, rare_m, rare_t."""
+    k, ddl = len(model.sizes), "shard int, rare_word binary, rare_c binary, rare_m binary, rare_t binary"
+
+    @trimmed
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = next(x for x in rows if x["word"] is not None)
+        word, c = _array(row["word"], "<u8"), _array(row["c"], "<u8")
+        m, t = (_array(row[x], "<u8").reshape(k, -1) for x in ("ms", "ts"))
+        out = []
+        for x in rows:
+            if x["shard"] is not None:
+                at = np.concatenate([_array(x["several"], "<u4"), _array(x["others"], "<u4")])
+                at = at[c[at] < least]
+                if len(at):
+                    out.append((x["shard"], _bytes(word[at], "<u8"), _bytes(c[at], "<u8"), _bytes(m[:, at].reshape(-1), "<u8"), _bytes(t[:, at].reshape(-1), "<u8")))
+        schema = _schema(ddl)
+        return _table(schema, len(out), **dict(zip(schema.names, zip(*out, strict=True), strict=True))) if out else schema.empty_table()
+
+    words = model.known.select("bucket", "word", "c", "ms", "ts")
+    return words.unionByName(model.dealt, allowMissingColumns=True).groupBy("bucket").applyInArrow(run, ddl)
+
+
 class Restaurants:
     """The contexts of one shard, as a shard's row has them, with what a pair's probability needs."""
 
@@ -590,7 +748,7 @@ class Restaurants:
         self.mass = np.concatenate([self.own, np.full(len(single), 1.0 - self.d1)])
 
     def sort(self) -> None:
-        up = np.argsort(self.names)
+        up = _argsort(self.names)
         self.names, self.mass = self.names[up], self.mass[up]
 
     def of_pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -618,14 +776,27 @@ def _least_class(found: list[tuple[int, int]], most: int) -> int:
     return min(fits) if fits else 1 << 30
 
 
+def _class_sizes(rows: DataFrame) -> list[tuple[int, int]]:
+    """Classes of the counts that are packed in the column c, some hundred, and how many counts each has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("c"):
+                k, n = np.unique(_classes(_array(data.as_py(), "<i8")), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    found = rows.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    return [(r["k"], r["n"]) for r in found]
+
+
 def _least_count(model: Model, most: int) -> int:
     """The count from which on there are at most `most` words."""
-    classes = model.words.groupBy(F.floor(8 * F.log2("wc")).alias("k")).count().collect()  # some hundred
-    return math.ceil(2 ** (_least_class([(r["k"], r["count"]) for r in classes], most) / 8)) if classes else 1
+    classes = _class_sizes(model.known)
+    return math.ceil(2 ** (_least_class(classes, most) / 8)) if classes else 1
 
 
 def _near(model: Model, least: int) -> dict[str, np.ndarray]:
-    rows = model.words.where(F.col("wc") >= least).toArrow()
+    rows = model.words_of(least).toArrow()
     keys = rows.column("word").to_numpy().view(np.uint64)
     up = np.argsort(keys)
     c, p = _word_values(model.parent, rows)
@@ -635,15 +806,7 @@ def _near(model: Model, least: int) -> dict[str, np.ndarray]:
 def _frequent(model: Model, scalars: dict, near: dict, most: int) -> dict[str, np.ndarray]:
     """Names and log probabilities of the most frequent pairs of frequent words, at most `most`."""
     columns = ("contexts", "n", "ones", "several", "words", "c", "ts", "kept")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("c"):
-                k, n = np.unique(_classes(_array(data.as_py(), "<i8")), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
-
-    found = model.books.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    least = _least_class([(r["k"], r["n"]) for r in found], most)
+    least = _least_class(_class_sizes(model.books), most)
     if least == 1 << 30:
         return {"names": np.zeros(0, np.uint64), "lp": np.zeros(0)}
     given = model.books.sparkSession.sparkContext.broadcast((scalars, near))
@@ -692,9 +855,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
         near_, pairs = t["near"], t["pairs"]
         lb = np.log10((near_["c"] + 0.5) / floor)
         before, text = _contexts(tokens, counts), np.repeat(np.arange(len(counts)), counts)
-        found, first, which = np.unique(_named(before, tokens), return_index=True, return_inverse=True)
-        context, word = before[first], tokens[first]
-        del before, tokens, first
+        found = _named(before, tokens)
+        first, starts, which = _ranked(found)
+        first = first[starts]
+        found, context, word = found[first], before[first], tokens[first]
+        del before, tokens, first, starts
         at, known = _find(near_["keys"], word)
         place, short = _find(pairs["names"], found)
         base, logs = np.zeros(len(found)), np.zeros(len(found))
@@ -747,18 +912,19 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
         chunks = asked.filter(pc.is_null(asked.column("text_no"))).select([f.name for f in _schema(chunk)]).to_pylist()
         if not chunks:
             return kept
-        is_word = pc.is_valid(told.column("word"))
-        row: dict = {}
-        for part in told.filter(pc.invert(is_word)).to_pylist():
-            row |= {name: value for name, value in part.items() if value is not None}
+        row, rare = {}, []
+        for part in told.to_pylist():
+            if part["rare_word"] is None:
+                row |= {name: value for name, value in part.items() if value is not None}
+            else:
+                rare.append(part)
         restaurants = Restaurants(row, t["scalars"])
         restaurants.sort()
-        rare = told.filter(is_word)
-        rare_keys = rare.column("word").to_numpy().view(np.uint64)
+        rare_keys, rare_c = (np.concatenate([_array(x[name], "<u8") for x in rare] or [np.zeros(0, np.uint64)]) for name in ("rare_word", "rare_c"))
+        rare_m, rare_t = (np.concatenate([_array(x[name], "<u8").reshape(k, -1) for x in rare] or [np.zeros((k, 0), np.uint64)], axis=1).T.astype(float) for name in ("rare_m", "rare_t"))
         up = np.argsort(rare_keys)
-        rare_keys = rare_keys[up]
-        rare_c, rare_p = _word_values(parent, rare)
-        rare_c, rare_p = rare_c[up], rare_p[up]
+        rare_keys, rare_c, rare_p = rare_keys[up], rare_c[up], ((rare_m - discount * rare_t) / sizes_ + shares)[up]
+        del row, rare, rare_m, rare_t, up
         near_ = t["near"]
         # all chunks of the shard at once: pairs, then entries (a pair in a text), then sums by chunk and text
         word, times = (np.concatenate([_array(x[c], kind) for x in chunks]) for c, kind in (("words", "<u8"), ("times", "<u4")))
@@ -800,9 +966,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), near_words:
             more(len(open_), run=run_of[open_], text_no=texts[open_].astype(np.int32), word=word[pair[open_]].view(np.int64), times=c[open_], **backs)
         return pa.concat_tables(out)
 
-    parent = model.parent
-    # the words of a shard's own pairs that aren't broadcast go to it; they are found by a join on the word
-    rare = model.held.where(F.col("word").isNotNull() & (F.col("wc") < least)).select("shard", "word").join(model.words.where(F.col("wc") < least), "word")
+    discount, sizes_, shares = model.parent
+    # the words of a shard's own pairs that aren't broadcast go to it
+    rare = _rare(model, least)
     seats = model.seating.withColumnRenamed("place", "shard")
     told = model.books.unionByName(seats, allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
     asked = docs.select("doc_id", *keep, "text").mapInArrow(ask, ", ".join([chunk, doc, *fields]))
