@@ -25,3 +25,17 @@ def test_wide_files_round_as_sql(spark, tmp_path):
     want = con.execute(f"SELECT {', '.join(names)} FROM ({catalogue.oracle_sql()['wide_files']})").fetchall()
     got = catalogue.queries()["wide_files"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_wide_files_of_few_bars_equal_sql(spark, tmp_path):
+    """Tracks of one bar, which have no loops of two, beside one without bars and one of three."""
+    rows = [(1, 600), (1, 4200), (2, 60), (3, 0), (3, 3600), (3, 9000), (3, 9900), (4, 7), (4, 11)]
+    con = duckdb.connect()
+    values = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL {s} SECOND, {u}, 'click', 1.0)" for i, (u, s) in enumerate(rows))
+    con.execute(f"CREATE TABLE events AS SELECT CAST(id AS BIGINT) AS event_id, ts, CAST(u AS BIGINT) AS user_id, kind AS event_type, CAST(v AS DOUBLE) AS value FROM (VALUES {values}) x(id, ts, u, kind, v)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    names = ["track_id", "bar", "tick", "method", "L", "phase", "grid_time"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({catalogue.oracle_sql()['wide_files']})").fetchall()
+    got = catalogue.queries()["wide_files"](spark, str(tmp_path)).select(*names).collect()
+    assert {(r.track_id, r.method) for r in got if r.track_id != "3"} == {(k, m) for k in "14" for m in ("uncorrected", "per_snippet")}
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

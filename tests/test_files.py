@@ -117,3 +117,16 @@ def test_one_scan_and_no_join(spark, tmp_path):
     for rows in (files.read_wide(spark, str(tmp_path)), files.read_onsets(spark, str(tmp_path))):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan text") == 1 and "Join" not in plan
+
+
+def test_wide_rows_keep_their_methods(spark, tmp_path):
+    """Rows without cells, rows that lack a method, and an empty grid."""
+    wide = spark.createDataFrame(
+        [("a", 0, 0.5, None, None, ["x", "y(L=2)"]), ("b", 0, 0.25, None, None, ["x"]), ("c", 0, None, None, 2.0, ["y(L=2)"])],
+        "track_id string, bar_number int, phase_x double, `phase_y(L=2)` double, `grid_time_y(L=2)` double, held array<string>",
+    )
+    files.write_wide(wide, f"{tmp_path}/w", present="held")
+    got = sorted((r.track_id, r.method, r.L or 0, r.phase, r.grid_time) for r in files.read_wide(spark, f"{tmp_path}/w", ("bar_number",)).collect())
+    assert got == [("a", "x", 0, 0.5, None), ("a", "y", 2, None, None), ("b", "x", 0, 0.25, None), ("c", "y", 2, None, 2.0)]
+    files.write_wide(wide.limit(0), f"{tmp_path}/e", present="held")
+    assert files.read_wide(spark, f"{tmp_path}/e", ("bar_number",)).count() == 0

@@ -278,11 +278,16 @@ def _loop_methods(inside: DataFrame, onsets: DataFrame, references: DataFrame, u
     return sounding.select(*own).unionByName(silent.select(*own))
 
 
-def grid_wide(long: DataFrame, methods: list[str]) -> DataFrame:
-    """One row per bar and tick; a phase and a grid-time column per method, the earliest onset where several share a tick."""
+def grid_wide(long: DataFrame, methods: list[str], present: str | None = None) -> DataFrame:
+    """One row per bar and tick; a phase and a grid-time column per method, the earliest onset where several share a tick.
+
+    present: a column of that name tells the methods that have a row there, be it without phase and grid time.
+    """
 
     def of(m: str, c: str) -> Column:
         return F.when(F.col("method") == m, F.col(c))
 
     cells = [x for m in methods for x in (F.min_by("phase", of(m, "onset_time")).alias(f"{m}_phase"), F.min(of(m, "grid_time")).alias(f"{m}_grid_time"))]
+    if present is not None:
+        cells.append(F.array_compact(F.array(*(F.when(F.max(F.col("method") == m), m) for m in methods))).alias(present))
     return long.groupBy("track_id", "bar", "tick").agg(*cells)

@@ -254,9 +254,22 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows if "beat_pos" in rows.columns else rows.withColumn("beat_pos", F.lit(None).cast("int"))
 
 
-def write_wide(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A wide grid (track_id, keys, columns by method) as CSV with headers, in files that hold many tracks."""
-    packed(wide).mode(mode).csv(path)
+def write_wide(wide: DataFrame, path: str, mode: str = "errorifexists", present: str | None = None) -> None:
+    """A wide grid (track_id, keys, columns by method) as CSV with headers, in files that hold many tracks.
+
+    present: a column with the methods that a row has, named as in the columns of cells. A line is read back as a row for
+    every method of its file, so rows lie in files without the columns of methods that they lack: one pass for each set of
+    methods that occurs.
+    """
+    if present is None:
+        packed(wide).mode(mode).csv(path)
+        return
+    cells = {c: c.removeprefix("phase_").removeprefix("grid_time_") for c in wide.columns if c.startswith(("phase_", "grid_time_"))}
+    held = F.array_sort(present)
+    for names in wide.agg(F.collect_set(held)).first()[0] or [list(cells.values())]:
+        kept = [f"`{c}`" for c in wide.columns if c != present and (c not in cells or cells[c] in names)]
+        packed(wide.where(held == F.array(*map(F.lit, names)).cast("array<string>")).select(*kept)).mode(mode).csv(path)
+        mode = "append"
 
 
 def write_table(rows: DataFrame, path: str) -> None:
