@@ -95,3 +95,20 @@ def test_larger_tables_of_cuts_are_joined_by_key(sides, monkeypatch):
     monkeypatch.setattr(ranges, "BROADCAST_ROWS", -1)
     cuts = ranges.cuts([(points, "t"), (bounds, "t")], rows=100)
     assert rows(asof.last_before(points, bounds, cuts=cuts)) == rows(asof.last_before(points, bounds))
+
+
+def test_no_window_looks_to_its_end(sides):
+    """Spark works such a frame out anew for each row, so a task's work grows with the square of its rows."""
+    points, bounds, cuts = sides
+    targets = points.withColumnRenamed("t", "g")
+    placed = cuts.placed(points, "t").withColumn("even", F.when(F.col("id") % 2 == 0, F.col("id")))
+    first = cuts.first(placed, "even", ["t", "id"], "next")
+    for df in (asof.nearest(targets, bounds), asof.nearest(targets, bounds, cuts=cuts), first):
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    after = {}
+    want = {}
+    for r in sorted(points.collect(), key=lambda r: (r.track_id, r.t, r.id), reverse=True):
+        after[r.track_id] = r.id if r.id % 2 == 0 else after.get(r.track_id)
+        want[r.id] = after[r.track_id]
+    assert {r.id: r.next for r in first.collect() if r._range >= 0} == {r.id: want[r.id] for r in placed.where("_range >= 0").collect()}

@@ -60,8 +60,9 @@ def nearest(targets: DataFrame, points: DataFrame, target: str = "g", time: str
     if cuts:
         both = cuts.first(cuts.last(both, "_bound", sides, "_last"), "_bound", sides, "_next")
     else:
-        order = Window.partitionBy(key).orderBy(*sides)
-        both = both.withColumn("_last", F.last("_bound", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.first("_bound", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+        # looked back on from either end: a frame up to the end of a window is worked out anew for each row
+        for name, order in (("_last", sides), ("_next", [F.desc(c) for c in sides])):
+            both = both.withColumn(name, F.last("_bound", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     rows = both.where("_kind = 1").select(key, *(F.col(f"_point.{c}").alias(c) for c in own), F.col("_last._spot").alias("_before"), F.col("_next._spot").alias("_after"))
     g = F.col(target)
     first, second = g - F.col("_before"), F.col("_after") - g

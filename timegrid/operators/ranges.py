@@ -78,11 +78,9 @@ class Cuts:
         """For each range what the aggregate `of` gives for the nearest range before (after) it that has any."""
         own = rows.where(f"{RANGE} >= 0").groupBy(self.key, RANGE).agg(of.alias("_edge"))
         every = self.ranges.select(self.key, F.col("range").alias(RANGE)).join(own, [self.key, RANGE], "left")
-        order = Window.partitionBy(self.key).orderBy(RANGE)
-        if back:
-            carried = F.last("_edge", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        else:
-            carried = F.first("_edge", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        # a frame up to the end of a window is worked out anew for each row, so what follows is looked back on from there
+        order = Window.partitionBy(self.key).orderBy(RANGE if back else F.desc(RANGE))
+        carried = F.last("_edge", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
         return every.select(self.key, RANGE, carried.alias("_edge"))
 
     def _window(self, order: list[str]):
@@ -97,7 +95,8 @@ class Cuts:
     def first(self, rows: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
         """rows with `name`, the first non-null value at or after a row of its track."""
         edges = self._edges(rows.where(F.col(value).isNotNull()), F.min_by(value, F.struct(*order)), False)
-        local = F.first(value, ignorenulls=True).over(self._window(order).rowsBetween(0, Window.unboundedFollowing))
+        backwards = Window.partitionBy(self.key, RANGE).orderBy(*map(F.desc, order))
+        local = F.last(value, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
         return self._with(rows.withColumn("_local", local), edges, F.coalesce("_local", "_edge"), name)
 
     def lead(self, rows: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
